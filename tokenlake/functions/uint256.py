@@ -3,13 +3,13 @@
 Spark decimals stop at 38 digits, a uint256 needs 78. A value is carried as
 nine base-10^9 chunks ``c0`` (least significant) .. ``c8`` in a struct of BIGINTs:
 
-* decode: the 64 hex digits are cut into eight 32-bit words (``conv``), each
-  split into two 16-bit limbs; chunk j collects ``limb_i * digit_j(2^(16 i))``
+* decode: the 64 hex digits are cut into four 64-bit words (``conv``), each
+  split into four 16-bit limbs; chunk j collects ``limb_i * digit_j(2^(16 i))``
   (every term below 2^16 * 10^9, so a BIGINT never overflows), then one carry
   pass normalises the chunks;
 * sum: each chunk is summed as DECIMAL (partial + final aggregate, exact up to
   10^19 rows per group) and the carry is applied once per group;
-* text: chunks are zero-padded and concatenated, leading zeros trimmed.
+* text: the highest non-zero chunk, then the lower ones zero-padded.
 
 Everything stays in JVM expressions, so whole-stage codegen covers the decode.
 """
@@ -51,16 +51,18 @@ def with_value_parts(df: DataFrame, hex64: str, out: str = "value_parts") -> Dat
     ``hex64`` must hold exactly 64 hex digits (no prefix); rows that do not are
     filtered out by the decode guards before this is applied.
     """
+    # four 64-bit words; base -10 gives the signed (two's complement) text, so
+    # every 16-hex-digit word fits a BIGINT; limbs are unsigned 16-bit slices
     words = {
-        f"{_TMP}_w{k}": F.conv(F.substring(F.col(hex64), 1 + 8 * k, 8), 16, 10).cast("bigint")
-        for k in range(8)
+        f"{_TMP}_w{k}": F.conv(F.substring(F.col(hex64), 1 + 16 * k, 16), 16, -10).cast("bigint")
+        for k in range(4)
     }
     df = df.withColumns(words)
     limbs = {}
     for i in range(N_LIMBS):
-        word = f"{_TMP}_w{7 - i // 2}"  # word 7 holds the least significant 32 bits
-        expr = f"({word} & 65535)" if i % 2 == 0 else f"shiftright({word}, 16)"
-        limbs[f"{_TMP}_l{i}"] = F.expr(expr)
+        word = f"{_TMP}_w{3 - i // 4}"  # word 3 holds the least significant 64 bits
+        shift = 16 * (i % 4)
+        limbs[f"{_TMP}_l{i}"] = F.expr(f"shiftrightunsigned({word}, {shift}) & 65535")
     df = df.withColumns(limbs)
     raw = {}
     for j in range(N_CHUNKS):
@@ -107,10 +109,20 @@ def _strip_leading_zeros(s: Column) -> Column:
 
 
 def parts_to_string(parts: Column) -> Column:
-    """Decimal text of normalised chunks (each chunk < 10^9)."""
-    pieces = [parts.getField(CHUNK_NAMES[-1]).cast("string")]
-    pieces += [F.lpad(parts.getField(c).cast("string"), CHUNK_DIGITS, "0") for c in reversed(CHUNK_NAMES[:-1])]
-    return _strip_leading_zeros(F.concat(*pieces))
+    """Decimal text of normalised chunks (each chunk < 10^9).
+
+    The branch of the highest non-zero chunk prints it unpadded and the lower
+    ones zero-padded, so no trimming pass is needed.
+    """
+    chunk = [parts.getField(c) for c in CHUNK_NAMES]
+    text = lambda top: F.concat(
+        chunk[top].cast("string"),
+        *[F.lpad(chunk[j].cast("string"), CHUNK_DIGITS, "0") for j in reversed(range(top))],
+    )
+    out = F.when(chunk[N_CHUNKS - 1] > 0, text(N_CHUNKS - 1))
+    for top in reversed(range(1, N_CHUNKS - 1)):
+        out = out.when(chunk[top] > 0, text(top))
+    return out.otherwise(chunk[0].cast("string"))
 
 
 def sum_parts_exprs(parts: Column, prefix: str = "__sum") -> list[Column]:

@@ -40,6 +40,11 @@ def raw_logs_from(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         "l_extendedprice", "l_tax", "l_returnflag", "l_linestatus",
     )
     o = orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    # hash-partition both sides on the order key: the join reuses this
+    # partitioning (one exchange per side, as a sort-merge join needs anyway),
+    # and the decode downstream runs in as many tasks as there are partitions
+    li = li.repartition("l_orderkey")
+    o = o.repartition("o_orderkey")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
 
     pk = F.col("l_partkey")
