@@ -18,9 +18,12 @@ from ..operators import callstats as CS
 from ..operators import decode as D
 from ..operators import dedup as DD
 from ..operators import query as Q
-from ..schemas import RPC_DURATION_BOUNDS, TRANSFER_TOPIC
+from ..operators import store as ST
+from ..schemas import FEED_BUFFER, RPC_DURATION_BOUNDS, TRANSFER_TOPIC
 from ..sources import fixtures as FX
+from ..streaming import ingest as I
 from . import oracle as O
+from . import scenarios as SC
 from . import views as V
 
 # Parameters of the registered queries.
@@ -86,7 +89,7 @@ def join_block_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.transfer_view(V.stored_transfers(spark, sf_dir))
+    return V.transfer_view(V.deduped_transfers(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- aggregates
@@ -144,6 +147,71 @@ def distinct_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DD.distinct_blocks(V.raw_logs(spark, sf_dir))
 
 
+# ---------------------------------------------------------------- store, progress, stream
+
+BATCH = 100  # blocks per batch in the range queries (the reference's largest batch)
+
+
+def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, batch_id = SC.replay_store(spark, sf_dir)
+    return V.transfer_view(store.read_batch(batch_id))
+
+
+def _progress_marks(spark: SparkSession, sf_dir: str, upto: int | None = None) -> DataFrame:
+    head = I.chain_head(V.blocks(spark, sf_dir))
+    ranges = I.batch_ranges(spark, 1, head, BATCH)
+    if upto is not None:
+        ranges = ranges.where(F.col("to_block") <= upto)
+    return ranges.select(F.col("to_block").alias("block_number"), F.current_timestamp().alias("processed_at"))
+
+
+def processed_blocks_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: one mark per batch end; a replay of blocks 1001-1500 marks its ends again."""
+    marks = _progress_marks(spark, sf_dir)
+    again = marks.where(F.col("block_number").between(1001, 1500)).withColumn(
+        "processed_at", F.col("processed_at") + F.expr("INTERVAL 1 SECOND")
+    )
+    return ST.upsert_progress(marks.unionByName(again)).select("block_number")
+
+
+def last_processed_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ST.last_processed(SC.L.backfilled_store(spark, sf_dir).progress())
+
+
+def ingest_block_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.batch_ranges(spark, 1, I.chain_head(V.blocks(spark, sf_dir)), BATCH)
+
+
+def resume_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress marked up to block 1200, resume with the next batch."""
+    head = V.blocks(spark, sf_dir).agg(F.max("block_number").alias("head"))
+    return I.resume_range(_progress_marks(spark, sf_dir, upto=1200), head, 1, BATCH)
+
+
+def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = V.blocks(spark, sf_dir)
+    return I.counters_by_range(V.raw_logs(spark, sf_dir), blocks, 1, I.chain_head(blocks), BATCH)
+
+
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.transfer_view(SC.streamed_store(spark, sf_dir).read())
+
+
+def feed_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a late subscriber gets: the oldest FEED_BUFFER published transfers."""
+    feed = SC.streamed_store(spark, sf_dir).feed()
+    first = feed.orderBy("batch", "block_number", "log_index", "tx_hash").limit(FEED_BUFFER)
+    return first.select("block_number", "log_index", "tx_hash")
+
+
+def transfer_feed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SC.streamed_store(spark, sf_dir).feed().select("batch", "json")
+
+
+def dedup_tx_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(SC.dedup_tx_output(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- call log analytics
 
 
@@ -198,6 +266,16 @@ def queries() -> dict[str, Query]:
         "page_total": page_total,
         "address_universe": address_universe,
         "distinct_blocks": distinct_blocks,
+        "insert_ignore": insert_ignore,
+        "processed_blocks_upsert": processed_blocks_upsert,
+        "last_processed_block": last_processed_block,
+        "ingest_block_range": ingest_block_range,
+        "resume_range": resume_range,
+        "ingest_counters": ingest_counters,
+        "stream_ingest": stream_ingest,
+        "feed_snapshot": feed_snapshot,
+        "transfer_feed_json": transfer_feed_json,
+        "dedup_tx_24h": dedup_tx_24h,
         "call_counters": call_counters,
         "call_duration_histogram": call_duration_histogram,
         "call_duration_sum": call_duration_sum,
@@ -292,6 +370,43 @@ FROM logs WHERE NOT (rflag = 'R' AND lstatus = 'O') AND block_number >= 1""",
         "address_universe": wb()
         + 'SELECT "from" AS address FROM transfers UNION SELECT "to" AS address FROM transfers',
         "distinct_blocks": wb() + "SELECT DISTINCT block_number FROM logs",
+        "insert_ignore": wb()
+        + f"""SELECT {O.TRANSFER_VIEW} FROM transfers t
+WHERE block_number >= 1001 AND NOT EXISTS (
+  SELECT 1 FROM transfers f WHERE f.block_number BETWEEN 1 AND 1200 AND f.okey = t.okey AND f.lnum = t.lnum)""",
+        "processed_blocks_upsert": wb()
+        + """SELECT DISTINCT least(s + 99, h) AS block_number
+FROM (SELECT max(block_number) AS h FROM logs) m, generate_series(1, m.h, 100) AS g(s)""",
+        "last_processed_block": wb() + "SELECT max(block_number) AS last_block FROM logs",
+        "ingest_block_range": wb()
+        + """SELECT s AS from_block, least(s + 99, h) AS to_block
+FROM (SELECT max(block_number) AS h FROM logs) m, generate_series(1, m.h, 100) AS g(s)""",
+        "resume_range": wb(
+            """r AS (SELECT least(s + 99, h) AS e, h FROM (SELECT max(block_number) AS h FROM logs) m,
+                      generate_series(1, m.h, 100) AS g(s))""",
+            "p AS (SELECT COALESCE(max(e) FILTER (WHERE e <= 1200), 0) AS l, max(h) AS h FROM r)",
+            "n AS (SELECT CASE WHEN l > 0 THEN l + 1 ELSE 1 END AS f, h FROM p)",
+        )
+        + """SELECT f AS from_block, CASE WHEN f > h THEN NULL ELSE least(f + 99, h) END AS to_block,
+  f > h AS noop FROM n""",
+        "ingest_counters": wb(
+            """c AS (SELECT (block_number - 1) // 100 AS rid, count(*) AS rows_read,
+                  count_if(reject_reason = 'topic_count') AS rejected_topic_count,
+                  count_if(reject_reason = 'signature') AS rejected_signature,
+                  count_if(reject_reason = 'data_length') AS rejected_data_length,
+                  count_if(reject_reason IS NULL) AS accepted
+                FROM logs GROUP BY 1)""",
+            "i AS (SELECT (block_number - 1) // 100 AS rid, count(*) AS inserted FROM transfers GROUP BY 1)",
+            "h AS (SELECT max(block_number) AS h FROM logs)",
+        )
+        + """SELECT rid * 100 + 1 AS from_block, least(rid * 100 + 100, h.h) AS to_block, rows_read,
+  rejected_topic_count, rejected_signature, rejected_data_length, CAST(0 AS BIGINT) AS missing_block, accepted,
+  COALESCE(inserted, 0) AS inserted, accepted - COALESCE(inserted, 0) AS duplicates, 'ok' AS status
+FROM c LEFT JOIN i USING (rid), h""",
+        "stream_ingest": wb() + f"SELECT {O.TRANSFER_VIEW} FROM transfers",
+        "feed_snapshot": wb()
+        + "SELECT block_number, log_index, tx_hash FROM transfers ORDER BY block_number, log_index, tx_hash LIMIT "
+        + str(FEED_BUFFER),
         "call_counters": "WITH "
         + O.CALL_LOG_CTE.strip()
         + "\nSELECT provider, method, count(*) AS requests, count_if(NOT ok) AS errors "

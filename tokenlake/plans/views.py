@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decode as D
 from ..operators import dedup as DD
-from ..sources import fixtures as FX
+from ..sources import landing as L
 
 
 def utc_ntz(name: str) -> Column:
@@ -16,11 +16,12 @@ def utc_ntz(name: str) -> Column:
 
 
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FX.raw_logs(spark, sf_dir)
+    """Raw logs derived from lineitem/orders, landed as block-sorted Parquet."""
+    return L.landed_raw_logs(spark, sf_dir)
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FX.blocks(spark, sf_dir)
+    return L.landed_blocks(spark, sf_dir)
 
 
 def decoded_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,11 +29,16 @@ def decoded_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.transfers_from_raw(raw_logs(spark, sf_dir), blocks(spark, sf_dir))
 
 
-def stored_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the store holds after a full backfill: decoded, first-wins dedup."""
+def deduped_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 in one plan: decoded, first-wins dedup."""
     return DD.dedup_transfers(decoded_transfers(spark, sf_dir))
 
 
+def stored_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the store holds after a full backfill through the ingest path."""
+    return L.backfilled_store(spark, sf_dir).read()
+
+
 def transfer_view(df: DataFrame) -> DataFrame:
     """Transfer columns as compared with the oracles (no wall-clock column)."""
     return df.select(
