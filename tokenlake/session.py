@@ -38,17 +38,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     A cluster sets this to shared storage; we only pick our own folder when it is
     unset, which happens in local tests and benches.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="tokenlake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    try:
-        spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # noqa: BLE001 - checkpoint dir already fixed by the cluster
-        pass
-    return d
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if d:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(d)
+        return d
+    existing = spark.sparkContext.getCheckpointDir()
+    if existing:
+        return existing
+    d = tempfile.mkdtemp(prefix="tokenlake-ckpt-")
+    spark.sparkContext.setCheckpointDir(d)
+    return spark.sparkContext.getCheckpointDir() or d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
