@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,7 +165,14 @@ class TransferStore:
         fresh = DD.dedup_transfers(transfers)
         if self.committed():
             fresh = fresh.join(self.keys(), ["tx_hash", "log_index"], "left_anti")
-        write_layout(fresh.select(*TRANSFER_STORE_SCHEMA.fieldNames()), self._data(batch_id))
+        # the range partitioner samples its input before the write: keep the
+        # batch's new rows so decode, dedup and anti-join run once (a lost
+        # executor's blocks are recomputed from lineage)
+        fresh = fresh.select(*TRANSFER_STORE_SCHEMA.fieldNames()).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            write_layout(fresh, self._data(batch_id))
+        finally:
+            fresh.unpersist()
         written = self.read_batch(batch_id)
         if feed:
             # K3: the batch's new rows as JSON, in chain order within the batch

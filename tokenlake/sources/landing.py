@@ -17,6 +17,7 @@ import os
 import uuid
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.store import TransferStore, _FS
@@ -63,8 +64,14 @@ def landed_raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = os.path.join(land_root(spark, sf_dir), "raw_logs")
 
     def write(p: str) -> None:
-        raw = FX.raw_logs(spark, sf_dir)
-        raw.repartitionByRange("block_number").sortWithinPartitions("block_number", "tx_index", "log_index").write.parquet(p)
+        raw = FX.raw_logs(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)  # sampled, then written
+        # an explicit file count (AQE does not coalesce it): reads of the landed
+        # logs split into at least this many tasks, whatever the row-group size
+        n = 2 * spark.sparkContext.defaultParallelism
+        try:
+            raw.repartitionByRange(n, "block_number").sortWithinPartitions("block_number", "tx_index", "log_index").write.parquet(p)
+        finally:
+            raw.unpersist()
 
     _materialise(spark, path, write)
     return spark.read.schema(RAW_LOG_SCHEMA).parquet(path)
