@@ -45,6 +45,21 @@ TRANSFER_STORE_SCHEMA = T.StructType(
 )
 
 
+BATCH_LOG_SCHEMA = T.StructType(
+    [T.StructField("batch", T.StringType()), T.StructField("from_block", T.LongType()), T.StructField("to_block", T.LongType())]
+    + [
+        T.StructField(c, T.LongType())
+        for c in ("rows_read", "rejected_topic_count", "rejected_signature", "rejected_data_length",
+                  "missing_block", "accepted", "inserted", "duplicates")
+    ]
+    + [
+        T.StructField("started_at", T.TimestampType()),
+        T.StructField("duration_s", T.DoubleType()),
+        T.StructField("status", T.StringType()),
+    ]
+)
+
+
 class _FS:
     """Hadoop FileSystem calls (work for local, HDFS and object-store paths)."""
 
@@ -101,6 +116,9 @@ class TransferStore:
     def _feed(self, batch_id: str) -> str:
         return f"{self.root}/feed/batch={batch_id}"
 
+    def _batch_log(self, batch_id: str) -> str:
+        return f"{self.root}/batch_log/batch={batch_id}"
+
     def committed(self) -> list[str]:
         return self.fs.list_names(f"{self.root}/_commits")
 
@@ -150,9 +168,16 @@ class TransferStore:
             return self.spark.createDataFrame([], "batch string, block_number long, log_index int, tx_hash string, json string")
         return self.spark.read.parquet(*[self._feed(b) for b in ids])
 
+    def batch_log(self) -> DataFrame:
+        """One row per committed batch (counters, start time, duration)."""
+        ids = [b for b in self.committed() if self.fs.exists(self._batch_log(b))]
+        if not ids:
+            return self.spark.createDataFrame([], BATCH_LOG_SCHEMA)
+        return self.spark.read.schema(BATCH_LOG_SCHEMA).parquet(*[self._batch_log(b) for b in ids])
+
     # --- writes (K1, K3, K2)
     def insert_ignore(self, transfers: DataFrame, batch_id: str, end_block: int | None = None,
-                      feed: bool = True) -> int:
+                      feed: bool = True, log: dict | None = None) -> int:
         """K1: append the batch's rows whose key is not stored yet; first wins, globally.
 
         In-batch duplicates go first (D1), then a left anti-join against every
@@ -177,11 +202,30 @@ class TransferStore:
         if feed:
             # K3: the batch's new rows as JSON, in chain order within the batch
             self.write_feed(written, batch_id)
+        inserted = written.count()
         if end_block is not None:
             # K2 is written before the marker, so progress never runs ahead of data
             self.mark_processed(end_block, batch_id)
+        if log is not None:
+            self.write_batch_log(batch_id, log, inserted)
         self.fs.touch(self._commit(batch_id))
-        return written.count()
+        return inserted
+
+    def write_batch_log(self, batch_id: str, log: dict, inserted: int) -> None:
+        """O1: the batch's counters; ``log`` holds from/to block, counters and ``started`` (epoch s)."""
+        started = datetime.fromtimestamp(log["started"], timezone.utc).replace(tzinfo=None)
+        duration = (datetime.now(timezone.utc).replace(tzinfo=None) - started).total_seconds()
+        accepted = int(log.get("accepted", 0))
+        row = (
+            batch_id, int(log["from_block"]), int(log["to_block"]),
+            *[int(log.get(c, 0)) for c in ("rows_read", "rejected_topic_count", "rejected_signature",
+                                            "rejected_data_length", "missing_block")],
+            accepted, int(inserted), accepted - int(inserted), started, float(duration), "ok",
+        )
+        schema = BATCH_LOG_SCHEMA.simpleString().replace("started_at:timestamp", "started_at:timestamp_ntz")
+        df = self.spark.createDataFrame([row], schema)
+        df = df.withColumn("started_at", F.col("started_at").cast("timestamp"))
+        df.coalesce(1).write.mode("overwrite").parquet(self._batch_log(batch_id))
 
     def write_feed(self, new_rows: DataFrame, batch_id: str) -> None:
         feed_rows = new_rows.select(

@@ -208,6 +208,18 @@ def transfer_feed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SC.streamed_store(spark, sf_dir).feed().select("batch", "json")
 
 
+def stream_batch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1 as recorded by the stream, one row per micro-batch; sums equal the backfill's."""
+    log = SC.streamed_store(spark, sf_dir).batch_log()
+    cols = ["rows_read", "rejected_topic_count", "rejected_signature", "rejected_data_length", "missing_block",
+            "accepted", "inserted", "duplicates"]
+    return log.agg(F.count(F.lit(1)).alias("batches"), *[F.sum(c).cast("bigint").alias(c) for c in cols])
+
+
+def slow_batch_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.slow_batches(SC.streamed_store(spark, sf_dir).batch_log())
+
+
 def dedup_tx_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(SC.dedup_tx_output(spark, sf_dir))
 
@@ -276,6 +288,8 @@ def queries() -> dict[str, Query]:
         "feed_snapshot": feed_snapshot,
         "transfer_feed_json": transfer_feed_json,
         "dedup_tx_24h": dedup_tx_24h,
+        "stream_batch_log": stream_batch_log,
+        "slow_batch_flags": slow_batch_flags,
         "call_counters": call_counters,
         "call_duration_histogram": call_duration_histogram,
         "call_duration_sum": call_duration_sum,
@@ -407,6 +421,14 @@ FROM c LEFT JOIN i USING (rid), h""",
         "feed_snapshot": wb()
         + "SELECT block_number, log_index, tx_hash FROM transfers ORDER BY block_number, log_index, tx_hash LIMIT "
         + str(FEED_BUFFER),
+        "stream_batch_log": wb()
+        + f"""SELECT CAST({SC.STREAM_FILES // SC.FILES_PER_TRIGGER} AS BIGINT) AS batches, count(*) AS rows_read,
+  count_if(reject_reason = 'topic_count') AS rejected_topic_count,
+  count_if(reject_reason = 'signature') AS rejected_signature,
+  count_if(reject_reason = 'data_length') AS rejected_data_length, CAST(0 AS BIGINT) AS missing_block,
+  count_if(reject_reason IS NULL) AS accepted, (SELECT count(*) FROM transfers) AS inserted,
+  count_if(reject_reason IS NULL) - (SELECT count(*) FROM transfers) AS duplicates
+FROM logs""",
         "call_counters": "WITH "
         + O.CALL_LOG_CTE.strip()
         + "\nSELECT provider, method, count(*) AS requests, count_if(NOT ok) AS errors "

@@ -8,6 +8,7 @@ comes last, so a batch is effectively once even when retried.
 from __future__ import annotations
 
 import hashlib
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,9 +136,26 @@ def ingest_range(
 
     The header side is bounded by the range, so it is broadcast (J1).
     """
+    started = time.time()
     logs = raw_logs.where(F.col("block_number").between(from_block, to_block))
+    log = batch_log_entry(logs, blocks, from_block, to_block, started)
     transfers, _ = D.decode_logs(logs, blocks, strict=strict, block_range=(from_block, to_block))
-    return store.insert_ignore(transfers, batch_id, end_block=to_block)
+    return store.insert_ignore(transfers, batch_id, end_block=to_block, log=log)
+
+
+def batch_log_entry(logs: DataFrame, blocks: DataFrame, from_block: int, to_block: int, started: float) -> dict:
+    """O1 counters of one batch (one small aggregate), for the store's batch log."""
+    timed = D.attach_block_time(D.classify(logs), blocks, block_range=(from_block, to_block))
+    row = batch_counters(timed).first().asDict()
+    row.update(from_block=from_block, to_block=to_block, started=started)
+    return row
+
+
+def slow_batches(batch_log: DataFrame, poll_interval_s: float = 12.0) -> DataFrame:
+    """Flag batches that took longer than the poll interval."""
+    return batch_log.select(
+        "batch", "from_block", "to_block", "duration_s", (F.col("duration_s") > poll_interval_s).alias("slow")
+    )
 
 
 def backfill(
@@ -189,14 +207,16 @@ def stream_ingest(
         bid = f"{run}-{batch_num:010d}"
         if store.is_committed(bid):
             return
+        started = time.time()
         batch = batch.persist()
         try:
             bounds = batch.agg(F.min("block_number").alias("lo"), F.max("block_number").alias("hi")).first()
             if bounds["lo"] is None:
                 return
             lo, hi = int(bounds["lo"]), int(bounds["hi"])
+            log = batch_log_entry(batch, blocks, lo, hi, started)
             transfers, _ = D.decode_logs(batch, blocks, block_range=(lo, hi))
-            store.insert_ignore(transfers, bid, end_block=hi)
+            store.insert_ignore(transfers, bid, end_block=hi, log=log)
         finally:
             batch.unpersist()
 
