@@ -90,10 +90,12 @@ def write_layout(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
     Range partitioning on (block_bucket, token) gives files with narrow token and
     block ranges, so Parquet row-group min/max prunes token and block filters the
-    way the reference's indexes do; the sort is local to each task.
+    way the reference's indexes do; the sort is local to each task. The block and
+    key columns in the range key let a hot token spread over several files.
     """
     # partition count from spark.sql.shuffle.partitions, coalesced by AQE to the data size
-    laid = df.repartitionByRange("block_bucket", "token").sortWithinPartitions("token", "block_number")
+    laid = df.repartitionByRange("block_bucket", "token", "block_number", "tx_hash", "log_index")
+    laid = laid.sortWithinPartitions("token", "block_number")
     laid.write.mode(mode).partitionBy("block_bucket").parquet(path)
 
 

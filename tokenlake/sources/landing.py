@@ -69,7 +69,7 @@ def landed_raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         # logs split into at least this many tasks, whatever the row-group size
         n = 2 * spark.sparkContext.defaultParallelism
         try:
-            raw.repartitionByRange(n, "block_number").sortWithinPartitions("block_number", "tx_index", "log_index").write.parquet(p)
+            raw.repartitionByRange(n, "block_number", "tx_index", "log_index").sortWithinPartitions("block_number", "tx_index", "log_index").write.parquet(p)
         finally:
             raw.unpersist()
 
