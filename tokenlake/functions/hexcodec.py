@@ -12,5 +12,8 @@ def hex_body(c: Column) -> Column:
 
 
 def topic_address(topic: Column) -> Column:
-    """Address in a 32-byte topic: its last 20 bytes, ``0x`` + 40 lower-case hex."""
-    return F.concat(F.lit("0x"), F.lower(F.right(hex_body(topic), F.lit(40))))
+    """Address in a 32-byte topic: its last 20 bytes, ``0x`` + 40 lower-case hex.
+
+    The last 40 digits are the same with or without the ``0x`` prefix.
+    """
+    return F.concat(F.lit("0x"), F.lower(F.substring(topic, -40, 40)))

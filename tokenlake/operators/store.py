@@ -12,7 +12,9 @@ checkpoint restarts its batch numbers, the run id keeps them apart.
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+import json
+import uuid
+from datetime import datetime, timedelta, timezone
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +47,20 @@ TRANSFER_STORE_SCHEMA = T.StructType(
 )
 
 
+# Largest batch (keys after in-batch dedup) whose keys are broadcast to probe the
+# store: ~100 bytes per key, so at most ~200 MB on each executor.
+MAX_BROADCAST_KEYS = 2_000_000
+
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+BATCH_COUNTERS = ["rows_read", "rejected_topic_count", "rejected_signature", "rejected_data_length",
+                  "missing_block", "accepted"]
+MARKER_SCHEMA = T.StructType(
+    [T.StructField("batch", T.StringType()), T.StructField("end_block", T.LongType()),
+     T.StructField("marked_at_us", T.LongType()), T.StructField("inserted", T.LongType()),
+     T.StructField("from_block", T.LongType()), T.StructField("started_us", T.LongType())]
+    + [T.StructField(c, T.LongType()) for c in BATCH_COUNTERS]
+)
+
 BATCH_LOG_SCHEMA = T.StructType(
     [T.StructField("batch", T.StringType()), T.StructField("from_block", T.LongType()), T.StructField("to_block", T.LongType())]
     + [
@@ -72,34 +88,56 @@ class _FS:
     def exists(self, p: str) -> bool:
         return bool(self.fs.exists(self._path(p)))
 
-    def touch(self, p: str) -> None:
-        out = self.fs.create(self._path(p), True)
-        out.close()
+    def write_text(self, p: str, text: str) -> None:
+        """Publish a small file atomically: write a temporary name, then rename."""
+        tmp = f"{p}.tmp-{uuid.uuid4().hex[:8]}"
+        out = self.fs.create(self._path(tmp), True)
+        try:
+            out.write(bytearray(text.encode("utf-8")))
+        finally:
+            out.close()
+        if not self.fs.rename(self._path(tmp), self._path(p)):
+            self.fs.delete(self._path(tmp), False)
+            if not self.exists(p):
+                raise RuntimeError(f"could not publish {p}")
 
     def list_names(self, p: str) -> list[str]:
         if not self.exists(p):
             return []
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(p)))
 
-    def delete(self, p: str) -> None:
-        self.fs.delete(self._path(p), True)
 
+# Batches above this many rows are range-partitioned (one sampling pass) so that
+# files hold disjoint token ranges; smaller ones are spread round-robin.
+RANGE_LAYOUT_ROWS = 4_000_000
+ROWS_PER_FILE = 1_000_000
 
-def write_layout(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K4: partition directories by ``block_bucket``, rows clustered by (token, block).
 
-    Range partitioning on (block_bucket, token) gives files with narrow token and
-    block ranges, so Parquet row-group min/max prunes token and block filters the
-    way the reference's indexes do; the sort is local to each task. The block and
-    key columns in the range key let a hot token spread over several files.
+def write_layout(df: DataFrame, path: str, rows: int | None = None, mode: str = "overwrite") -> None:
+    """K4: partition directories by ``block_bucket``, rows sorted by (token, block) in each file.
+
+    Sorted files let Parquet row-group min/max prune token and block filters the
+    way the reference's indexes do. Large writes are range-partitioned on
+    (block_bucket, token, block, key): files then hold disjoint token ranges, and
+    the block and key columns let a hot token spread over several files.
     """
-    # partition count from spark.sql.shuffle.partitions, coalesced by AQE to the data size
-    laid = df.repartitionByRange("block_bucket", "token", "block_number", "tx_hash", "log_index")
-    laid = laid.sortWithinPartitions("token", "block_number")
-    laid.write.mode(mode).partitionBy("block_bucket").parquet(path)
+    if rows is None or rows > RANGE_LAYOUT_ROWS:
+        # partition count from spark.sql.shuffle.partitions, coalesced by AQE to the data size
+        laid = df.repartitionByRange("block_bucket", "token", "block_number", "tx_hash", "log_index")
+    else:
+        laid = df.repartition(max(1, -(-rows // ROWS_PER_FILE)))
+    laid.sortWithinPartitions("token", "block_number").write.mode(mode).partitionBy("block_bucket").parquet(path)
 
 
 class TransferStore:
+    """Committed batches of transfers, their progress marks and batch log.
+
+    A batch's commit marker ``_commits/<id>`` is one JSON line: the batch id, the
+    end block it marks as processed, the time, and the batch's counters. It is
+    published last and atomically, so data, progress (K2) and the batch log (O1)
+    become visible together.
+    """
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
@@ -112,34 +150,27 @@ class TransferStore:
     def _commit(self, batch_id: str) -> str:
         return f"{self.root}/_commits/{batch_id}"
 
-    def _progress(self, batch_id: str) -> str:
-        return f"{self.root}/progress/batch={batch_id}"
-
-    def _feed(self, batch_id: str) -> str:
-        return f"{self.root}/feed/batch={batch_id}"
-
-    def _batch_log(self, batch_id: str) -> str:
-        return f"{self.root}/batch_log/batch={batch_id}"
-
     def committed(self) -> list[str]:
-        return self.fs.list_names(f"{self.root}/_commits")
+        return [n for n in self.fs.list_names(f"{self.root}/_commits") if ".tmp-" not in n]
 
     def is_committed(self, batch_id: str) -> bool:
         return self.fs.exists(self._commit(batch_id))
 
     # --- reads
-    def read(self) -> DataFrame:
-        """Every committed transfer; partition column ``block_bucket`` is pruned by filters."""
-        ids = self.committed()
-        if not ids:
-            return self.spark.createDataFrame([], TRANSFER_STORE_SCHEMA)
-        paths = [self._data(b) for b in ids]
+    def _committed_data(self) -> DataFrame | None:
+        paths = [self._data(b) for b in self.committed()]
         paths = [p for p in paths if self.fs.exists(p)]
         if not paths:
+            return None
+        schema = T.StructType(TRANSFER_STORE_SCHEMA.fields + [T.StructField("batch", T.StringType())])
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*paths)
+
+    def read(self) -> DataFrame:
+        """Every committed transfer; partition column ``block_bucket`` is pruned by filters."""
+        d = self._committed_data()
+        if d is None:
             return self.spark.createDataFrame([], TRANSFER_STORE_SCHEMA)
-        return self.spark.read.schema(TRANSFER_STORE_SCHEMA).option("basePath", f"{self.root}/data").parquet(
-            *paths
-        ).drop("batch")
+        return d.drop("batch")
 
     def read_batch(self, batch_id: str) -> DataFrame:
         """The rows one batch inserted."""
@@ -151,99 +182,98 @@ class TransferStore:
         """The narrow key dataset of the unique index: (tx_hash, log_index)."""
         return self.read().select("tx_hash", "log_index")
 
+    def _markers(self) -> DataFrame | None:
+        ids = self.committed()
+        if not ids:
+            return None
+        return self.spark.read.schema(MARKER_SCHEMA).json([self._commit(b) for b in ids])
+
     def progress(self) -> DataFrame:
         """K2 view: one row per marked block, the latest mark wins (upsert by block_number)."""
-        ids = [b for b in self.committed() if self.fs.exists(self._progress(b))]
-        if not ids:
+        m = self._markers()
+        if m is None:
             return self.spark.createDataFrame([], PROCESSED_BLOCK_SCHEMA)
-        marks = self.spark.read.schema(PROCESSED_BLOCK_SCHEMA).parquet(*[self._progress(b) for b in ids])
+        marks = m.where(F.col("end_block").isNotNull()).select(
+            F.col("end_block").alias("block_number"), F.timestamp_micros("marked_at_us").alias("processed_at")
+        )
         return upsert_progress(marks)
 
     def last_processed_block(self) -> int:
         """Highest processed block, 0 if none."""
-        row = last_processed(self.progress()).first()
-        return int(row["last_block"])
-
-    def feed(self) -> DataFrame:
-        ids = [b for b in self.committed() if self.fs.exists(self._feed(b))]
-        if not ids:
-            return self.spark.createDataFrame([], "batch string, block_number long, log_index int, tx_hash string, json string")
-        return self.spark.read.parquet(*[self._feed(b) for b in ids])
+        return int(last_processed(self.progress()).first()["last_block"])
 
     def batch_log(self) -> DataFrame:
-        """One row per committed batch (counters, start time, duration)."""
-        ids = [b for b in self.committed() if self.fs.exists(self._batch_log(b))]
-        if not ids:
+        """One row per committed batch that recorded counters."""
+        m = self._markers()
+        if m is None:
             return self.spark.createDataFrame([], BATCH_LOG_SCHEMA)
-        return self.spark.read.schema(BATCH_LOG_SCHEMA).parquet(*[self._batch_log(b) for b in ids])
+        m = m.where(F.col("from_block").isNotNull())
+        return m.select(
+            "batch", "from_block", F.col("end_block").alias("to_block"), *BATCH_COUNTERS, "inserted",
+            (F.col("accepted") - F.col("inserted")).alias("duplicates"),
+            F.timestamp_micros("started_us").alias("started_at"),
+            ((F.col("marked_at_us") - F.col("started_us")) / 1e6).alias("duration_s"),
+            F.lit("ok").alias("status"),
+        )
+
+    def feed(self) -> DataFrame:
+        """K3: every committed transfer as JSON, tagged with its batch (batch order = publish order)."""
+        d = self._committed_data()
+        if d is None:
+            return self.spark.createDataFrame([], "batch string, block_number long, log_index int, tx_hash string, json string")
+        return d.select("batch", "block_number", "log_index", "tx_hash", transfer_json().alias("json"))
 
-    # --- writes (K1, K3, K2)
+    # --- writes (K1, K2, O1)
     def insert_ignore(self, transfers: DataFrame, batch_id: str, end_block: int | None = None,
-                      feed: bool = True, log: dict | None = None) -> int:
+                      log: dict | None = None) -> int:
         """K1: append the batch's rows whose key is not stored yet; first wins, globally.
 
-        In-batch duplicates go first (D1), then a left anti-join against every
-        stored key; it is never pruned by block range, because a key may come
-        back in another block after a reorganisation. Returns rows inserted.
-        A batch that is already committed is skipped (retry after success).
+        In-batch duplicates go first (D1), then an anti-join against every stored
+        key; it is never pruned by block range, because a key may come back in
+        another block after a reorganisation. Returns rows inserted. A batch that
+        is already committed is skipped (retry after success); an uncommitted
+        attempt's directory is overwritten.
         """
         if self.is_committed(batch_id):
             return 0
-        fresh = DD.dedup_transfers(transfers)
-        if self.committed():
-            fresh = fresh.join(self.keys(), ["tx_hash", "log_index"], "left_anti")
-        # the range partitioner samples its input before the write: keep the
-        # batch's new rows so decode, dedup and anti-join run once (a lost
-        # executor's blocks are recomputed from lineage)
-        fresh = fresh.select(*TRANSFER_STORE_SCHEMA.fieldNames()).persist(StorageLevel.MEMORY_AND_DISK)
+        key = ["tx_hash", "log_index"]
+        # the batch after in-batch dedup is kept: it is counted (size check), then
+        # joined and written; lost blocks are recomputed from lineage
+        batch = DD.dedup_transfers(transfers).select(*TRANSFER_STORE_SCHEMA.fieldNames())
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            write_layout(fresh, self._data(batch_id))
+            n = batch.count()
+            fresh = batch
+            if self.committed():
+                stored = self.keys()
+                if n <= MAX_BROADCAST_KEYS:
+                    # proven bound: at most MAX_BROADCAST_KEYS batch keys are broadcast;
+                    # the store's key columns are scanned once and never shuffled, and
+                    # the keys found (no more than the batch's) are removed
+                    found = stored.join(F.broadcast(batch.select(*key)), key, "left_semi")
+                    fresh = batch.join(F.broadcast(found), key, "left_anti")
+                else:
+                    fresh = batch.join(stored, key, "left_anti")  # sort-merge, both sides by key
+            write_layout(fresh, self._data(batch_id), rows=n)
         finally:
-            fresh.unpersist()
-        written = self.read_batch(batch_id)
-        if feed:
-            # K3: the batch's new rows as JSON, in chain order within the batch
-            self.write_feed(written, batch_id)
-        inserted = written.count()
-        if end_block is not None:
-            # K2 is written before the marker, so progress never runs ahead of data
-            self.mark_processed(end_block, batch_id)
-        if log is not None:
-            self.write_batch_log(batch_id, log, inserted)
-        self.fs.touch(self._commit(batch_id))
+            batch.unpersist()
+        inserted = self.read_batch(batch_id).count()  # Parquet footers only
+        self.commit(batch_id, end_block, log, inserted)
         return inserted
 
-    def write_batch_log(self, batch_id: str, log: dict, inserted: int) -> None:
-        """O1: the batch's counters; ``log`` holds from/to block, counters and ``started`` (epoch s)."""
-        started = datetime.fromtimestamp(log["started"], timezone.utc).replace(tzinfo=None)
-        duration = (datetime.now(timezone.utc).replace(tzinfo=None) - started).total_seconds()
-        accepted = int(log.get("accepted", 0))
-        row = (
-            batch_id, int(log["from_block"]), int(log["to_block"]),
-            *[int(log.get(c, 0)) for c in ("rows_read", "rejected_topic_count", "rejected_signature",
-                                            "rejected_data_length", "missing_block")],
-            accepted, int(inserted), accepted - int(inserted), started, float(duration), "ok",
-        )
-        schema = BATCH_LOG_SCHEMA.simpleString().replace("started_at:timestamp", "started_at:timestamp_ntz")
-        df = self.spark.createDataFrame([row], schema)
-        df = df.withColumn("started_at", F.col("started_at").cast("timestamp"))
-        df.coalesce(1).write.mode("overwrite").parquet(self._batch_log(batch_id))
-
-    def write_feed(self, new_rows: DataFrame, batch_id: str) -> None:
-        feed_rows = new_rows.select(
-            F.lit(batch_id).alias("batch"),
-            "block_number",
-            "log_index",
-            "tx_hash",
-            transfer_json().alias("json"),
-        )
-        feed_rows.write.mode("overwrite").parquet(self._feed(batch_id))
+    def commit(self, batch_id: str, end_block: int | None, log: dict | None = None, inserted: int = 0) -> None:
+        """Publish the batch: progress mark (K2) and counters (O1) ride in the marker."""
+        now_us = (datetime.now(timezone.utc) - _EPOCH) // timedelta(microseconds=1)
+        rec = {"batch": batch_id, "end_block": end_block, "marked_at_us": now_us, "inserted": int(inserted)}
+        if log is not None:
+            rec.update({c: int(log.get(c, 0)) for c in BATCH_COUNTERS})
+            rec["from_block"] = int(log["from_block"])
+            rec["started_us"] = int(log["started"] * 1_000_000)
+        self.fs.write_text(self._commit(batch_id), json.dumps(rec) + "\n")
 
     def mark_processed(self, block_number: int, batch_id: str) -> None:
-        now = datetime.now(timezone.utc).replace(tzinfo=None)
-        mark = self.spark.createDataFrame([(int(block_number), now)], "block_number long, processed_at timestamp_ntz")
-        mark = mark.select("block_number", F.col("processed_at").cast("timestamp").alias("processed_at"))
-        mark.coalesce(1).write.mode("overwrite").parquet(self._progress(batch_id))
+        """K2 on its own: a batch with no data that only marks progress."""
+        self.commit(batch_id, block_number)
 
 
 def upsert_progress(marks: DataFrame) -> DataFrame:
