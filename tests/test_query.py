@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tokenlake.functions.params import TransferQueryParams, clamp, effective_limit, parse_params, parse_rfc3339
 from tokenlake.operators import decode as D
 from tokenlake.operators import query as Q
-from tokenlake.schemas import BLOCK_SCHEMA, RAW_LOG_SCHEMA, TRANSFER_TOPIC
+from tokenlake.schemas import BLOCK_SCHEMA, RAW_LOG_SCHEMA, TRANSFER_TOPIC, VALUE_PARTS_TYPE
 
 A = "0x" + "00" * 12 + "aa" * 20
 B = "0x" + "00" * 12 + "bb" * 20
@@ -100,7 +100,7 @@ def test_aggregates_empty(transfers):
 
 
 def test_legacy_rows_sum_from_text(transfers):
-    legacy = transfers.withColumns({"dec128_ok": F.lit(None).cast("boolean"), "value_parts": F.lit(None)})
+    legacy = transfers.withColumns({"dec128_ok": F.lit(None).cast("boolean"), "value_parts": F.lit(None).cast(VALUE_PARTS_TYPE)})
     expected = sum(b * 10**18 + li for b in range(1, 31) for li in range(3)) + 2**256 - 1
     assert Q.aggregates(legacy).first().total_value == str(expected)
 

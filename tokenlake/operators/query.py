@@ -69,9 +69,17 @@ def coerced_parts(value_parts: Column, dec128_ok: Column, value_string: Column)
     Stored Decimal128 values count as stored (0 for values that did not parse);
     legacy rows (no ``dec128_ok``) count from their decimal text.
     """
-    zero = F.struct(*[F.lit(0).cast("bigint").alias(c) for c in U.CHUNK_NAMES])
     legacy = U.parts_from_decimal_text(value_string)
-    return F.when(dec128_ok.isNull(), legacy).when(dec128_ok, value_parts).otherwise(zero)
+    # one CASE per chunk, so the optimizer reduces each sum's input to a field read
+    return F.struct(
+        *[
+            F.when(dec128_ok.isNull(), legacy.getField(c))
+            .when(dec128_ok, value_parts.getField(c))
+            .otherwise(F.lit(0).cast("bigint"))
+            .alias(c)
+            for c in U.CHUNK_NAMES
+        ]
+    )
 
 
 def _sum_text(df: DataFrame, parts: Column, out: str) -> DataFrame:

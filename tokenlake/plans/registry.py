@@ -19,7 +19,7 @@ from ..operators import decode as D
 from ..operators import dedup as DD
 from ..operators import query as Q
 from ..operators import store as ST
-from ..schemas import FEED_BUFFER, RPC_DURATION_BOUNDS, TRANSFER_TOPIC
+from ..schemas import FEED_BUFFER, RPC_DURATION_BOUNDS, TRANSFER_TOPIC, VALUE_PARTS_TYPE
 from ..sources import fixtures as FX
 from ..streaming import ingest as I
 from . import oracle as O
@@ -113,7 +113,7 @@ def legacy_value_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = t.withColumns(
         {
             "dec128_ok": F.when(legacy, F.lit(None).cast("boolean")).otherwise(F.col("dec128_ok")),
-            "value_parts": F.when(legacy, F.lit(None)).otherwise(F.col("value_parts")),
+            "value_parts": F.when(legacy, F.lit(None).cast(VALUE_PARTS_TYPE)).otherwise(F.col("value_parts")),
         }
     )
     a = Q.aggregates(t)
