@@ -127,12 +127,8 @@ def decode_logs(
     block_range: tuple[int, int] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Full decode: (transfers, rejects). Rejects keep the raw columns and a reason."""
-    classified = classify(raw)
-    if strict:
-        # the reference fails a batch on a missing header whatever the guards say
-        timed = attach_block_time(classified, blocks, strict=True, block_range=block_range)
-    else:
-        timed = attach_block_time(classified, blocks, strict=False, block_range=block_range)
+    # strict: a missing header fails the job whatever the guards say, like the reference's batch
+    timed = attach_block_time(classify(raw), blocks, strict=strict, block_range=block_range)
     accepted = timed.where(F.col("reject_reason").isNull()).drop("reject_reason")
     rejects = timed.where(F.col("reject_reason").isNotNull())
     return decode_accepted(accepted), rejects

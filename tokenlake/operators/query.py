@@ -82,10 +82,6 @@ def coerced_parts(value_parts: Column, dec128_ok: Column, value_string: Column)
     )
 
 
-def _sum_text(df: DataFrame, parts: Column, out: str) -> DataFrame:
-    return U.carried_sum_string(df.agg(*U.sum_parts_exprs(parts)), out=out)
-
-
 def aggregates(
     transfers: DataFrame,
     params: TransferQueryParams | None = None,
