@@ -100,3 +100,19 @@ def test_scan_range_inclusive_and_topic(spark):
     rows.append(log(["0x" + "ab" * 32, A, B], data_of(1), block=11, li=99))
     s = D.scan_transfer_logs(spark.createDataFrame(rows, RAW_LOG_SCHEMA), 10, 12)
     assert sorted(r.log_index for r in s.collect()) == [10, 11, 12]
+
+
+def test_rpc_json_reader(spark, scratch):
+    from tokenlake.sources import rpc as RPC
+
+    path = scratch("rpc")
+    line = ('{"address":"0xAbCdEf0000000000000000000000000000000001","topics":["%s","%s","%s"],'
+            '"data":"%s","blockNumber":"0x1a4","transactionHash":"0xFF","transactionIndex":"0x2",'
+            '"logIndex":"0x10","removed":false}') % (SIG, A, B, data_of(42))
+    spark.createDataFrame([(line,)], "value string").write.text(path + "/logs")
+    spark.createDataFrame([('{"number":"0x1a4","timestamp":"0x5f5e100"}',)], "value string").write.text(path + "/h")
+    logs = RPC.read_rpc_logs(spark, path + "/logs")
+    r = logs.first()
+    assert (r.block_number, r.tx_index, r.log_index) == (420, 2, 16)
+    t = D.transfers_from_raw(logs, RPC.read_rpc_headers(spark, path + "/h")).first()
+    assert t.value_string == "42" and t.timestamp.timestamp() == 100_000_000 and t.tx_hash == "0xff"

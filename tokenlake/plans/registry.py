@@ -88,6 +88,16 @@ def join_block_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("tx_hash", "log_index", "block_number", "block_time", V.utc_ntz("timestamp").alias("timestamp"))
 
 
+def rpc_json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1/S2 over JSON-RPC exports: hex quantities mapped, then decode and dedup."""
+    from ..sources import rpc as RPC
+
+    logs_path, headers_path = SC.rpc_export(spark, sf_dir)
+    logs = RPC.read_rpc_logs(spark, logs_path)
+    headers = RPC.read_rpc_headers(spark, headers_path)
+    return V.transfer_view(DD.dedup_transfers(D.transfers_from_raw(logs, headers)))
+
+
 def dedup_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.transfer_view(V.deduped_transfers(spark, sf_dir))
 
@@ -260,6 +270,7 @@ def queries() -> dict[str, Query]:
         "value_dec128": value_dec128,
         "join_block_time": join_block_time,
         "dedup_transfers": dedup_transfers,
+        "rpc_json_decode": rpc_json_decode,
         "aggregates_all": _aggregates(TransferQueryParams()),
         "aggregates_token": _aggregates(TransferQueryParams(token=TOKEN)),
         "aggregates_blocks": _aggregates(TransferQueryParams(start_block=BLOCK_LO, end_block=BLOCK_HI)),
@@ -356,6 +367,7 @@ FROM logs WHERE NOT (rflag = 'R' AND lstatus = 'O') AND block_number >= 1""",
         "value_dec128": wb() + "SELECT tx_hash, log_index, value_string, dec128_ok, value_dec128 FROM decoded",
         "join_block_time": wb() + 'SELECT tx_hash, log_index, block_number, block_time, "timestamp" FROM logs',
         "dedup_transfers": wb() + f"SELECT {O.TRANSFER_VIEW} FROM transfers",
+        "rpc_json_decode": wb() + f"SELECT {O.TRANSFER_VIEW} FROM transfers",
         "aggregates_all": O.aggregate_sql(),
         "aggregates_token": O.aggregate_sql(f"token = '{TOKEN}'"),
         "aggregates_blocks": O.aggregate_sql(f"block_number BETWEEN {BLOCK_LO} AND {BLOCK_HI}"),

@@ -65,6 +65,20 @@ def streamed_store(spark: SparkSession, sf_dir: str) -> TransferStore:
     return TransferStore(spark, path + "/store")
 
 
+def rpc_export(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The landed logs and headers written as JSON lines in the node's RPC shape."""
+    from ..sources import rpc as RPC
+
+    root = os.path.join(L.land_root(spark, sf_dir), "rpc_json")
+
+    def write(p: str) -> None:
+        RPC.to_rpc_logs(L.landed_raw_logs(spark, sf_dir)).write.json(p + "/logs")
+        RPC.to_rpc_headers(L.landed_blocks(spark, sf_dir)).write.json(p + "/headers")
+
+    L._materialise(spark, root, write)
+    return root + "/logs", root + "/headers"
+
+
 def replay_store(spark: SparkSession, sf_dir: str) -> tuple[TransferStore, str]:
     """Backfill blocks [1, SPLIT_BLOCK], then a forced restart from REPLAY_FROM
     to the head as one more batch; returns the store and the replay batch id."""
