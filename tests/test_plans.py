@@ -22,6 +22,13 @@ def test_block_range_pushed_to_parquet(spark):
     assert "PushedFilters: [IsNotNull(block_number), GreaterThanOrEqual(block_number,100)" in p
 
 
+def test_topic_filter_pushed_to_parquet(spark):
+    from tokenlake.operators import decode as D
+
+    p = plan(D.scan_transfer_logs(V.raw_logs(spark, SF), 100, 200))
+    assert "EqualTo(topic0,0xddf252ad" in p
+
+
 def test_store_scan_prunes_partitions_and_columns(spark):
     t = V.stored_transfers(spark, SF)
     df = Q.page_total(t, TransferQueryParams(start_block=100, end_block=200))

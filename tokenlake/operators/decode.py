@@ -28,8 +28,12 @@ def topic0(topics: Column) -> Column:
 
 
 def scan_transfer_logs(raw: DataFrame, from_block: int | None = None, to_block: int | None = None) -> DataFrame:
-    """Logs whose topic 0 is the Transfer hash, block in [from, to] (both inclusive)."""
-    cond = topic0(F.col("topics")) == TRANSFER_TOPIC
+    """Logs whose topic 0 is the Transfer hash, block in [from, to] (both inclusive).
+
+    Landed logs carry ``topic0`` as a column, so both predicates reach Parquet.
+    """
+    t0 = F.col("topic0") if "topic0" in raw.columns else topic0(F.col("topics"))
+    cond = t0 == TRANSFER_TOPIC
     if from_block is not None:
         cond = cond & (F.col("block_number") >= F.lit(from_block))
     if to_block is not None:
