@@ -1,10 +1,12 @@
-"""Transfer store on Parquet: insert-ignore (K1/J2), progress upsert (K2), layout (K4).
+"""Transfer store on Parquet: insert-ignore (K1/J2), progress upsert (K2), layout (K4), feed (K3).
 
 Plain Parquet has no transactions, so every batch is written to its own
 directory ``data/batch=<id>`` (overwritten on retry) and becomes visible only
-when its marker ``_commits/<id>`` exists; the marker is written last. A lost
-executor or a crash between the data write and the marker leaves an invisible
-directory that the retry overwrites, so replays add nothing.
+when its marker ``_commits/<id>`` exists. The marker is one JSON line holding
+the batch's progress mark and counters, published last by an atomic rename. A
+lost executor or a crash before the marker leaves an invisible directory that
+the retry overwrites, so replays add nothing. The feed is a view of the
+committed batches in batch order.
 
 Batch ids are ``<run id>-<batch number>``: a stream restarted with a new
 checkpoint restarts its batch numbers, the run id keeps them apart.
