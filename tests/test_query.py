@@ -112,3 +112,16 @@ def test_partition_count_invariance(spark, transfers):
         results.append(tuple(Q.aggregates(transfers).first()))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert results[0] == results[1] == results[2]
+
+
+def test_dedup_partition_count_invariance(spark, transfers):
+    from tokenlake.operators import dedup as DD
+
+    dup = transfers.unionByName(transfers.withColumn("block_number", F.col("block_number") + 100))
+    results = []
+    for n in (1, 8, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        results.append(sorted((r.tx_hash, r.log_index, r.block_number) for r in DD.dedup_transfers(dup).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert results[0] == results[1] == results[2] and len(results[0]) == 91
+    assert max(r[2] for r in results[0]) <= 31  # the earlier block won every key

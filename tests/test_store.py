@@ -85,3 +85,17 @@ def test_stream_equals_batch_and_rerun_adds_nothing(spark, scratch):
     q.awaitTermination()
     assert keys(store) == keys(batch)
     assert os.path.basename(store.root)
+
+
+def test_poll_once_ticks_resume_and_noop(spark, scratch):
+    store = TransferStore(spark, scratch("poll"))
+    logs = raw(spark, [(v, b, "0x%02x" % b, 0) for v, b in enumerate(range(5, 30))])
+    blk = spark.createDataFrame([(b, 1000 * b) for b in range(1, 26)], BLOCK_SCHEMA)  # head 25
+    assert I.poll_once(store, logs, blk, start_block=5, batch_blocks=10) == (5, 14)  # no progress: start
+    assert I.poll_once(store, logs, blk, start_block=5, batch_blocks=10) == (15, 24)  # last + 1
+    assert I.poll_once(store, logs, blk, start_block=5, batch_blocks=10) == (25, 25)  # clamped to head
+    n = len(store.committed())
+    assert I.poll_once(store, logs, blk, start_block=5, batch_blocks=10) is None  # head below from
+    assert len(store.committed()) == n and store.last_processed_block() == 25
+    assert I.poll_once(store, logs, blk, start_block=5, batch_blocks=500, force_start=True) == (5, 25)
+    assert store.read().count() == 21  # the forced replay added nothing

@@ -158,6 +158,31 @@ def slow_batches(batch_log: DataFrame, poll_interval_s: float = 12.0) -> DataFra
     )
 
 
+def poll_once(
+    store: TransferStore,
+    raw_logs: DataFrame,
+    blocks: DataFrame,
+    start_block: int,
+    batch_blocks: int = DEFAULT_BATCH_BLOCKS,
+    force_start: bool = False,
+) -> tuple[int, int] | None:
+    """One ingestion tick as a batch job: resume (R3), range (R2), ingest.
+
+    ``force_start`` restarts from ``start_block`` whatever the progress says (R4);
+    insert-ignore absorbs the replay. Returns the range ingested, or None when the
+    head is below the next block (no-op: nothing written, no progress row).
+    """
+    batch_blocks = max(1, min(batch_blocks, MAX_BATCH_BLOCKS))
+    frm = start_block if force_start else resume_from(store.last_processed_block(), start_block)
+    rng = next_range(frm, chain_head(blocks), batch_blocks)
+    if rng is None:
+        return None
+    lo, hi = rng
+    tag = "forced" if force_start else "tick"
+    ingest_range(store, raw_logs, blocks, lo, hi, f"{tag}-{lo:012d}-{hi:012d}")
+    return rng
+
+
 def backfill(
     store: TransferStore,
     raw_logs: DataFrame,
