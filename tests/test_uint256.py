@@ -68,3 +68,14 @@ def test_no_python_in_decode_plan(spark):
     df = spark.createDataFrame([("f" * 64,)], "h string")
     plan = U.with_value_parts(df, "h")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_scaled_double_is_correctly_rounded(spark):
+    import random
+    from fractions import Fraction
+
+    rnd = random.Random(3)
+    vals = [0, 1, 10**18, 10**18 + 1, 2**256 - 1, 123456789] + [rnd.getrandbits(rnd.randint(1, 256)) for _ in range(500)]
+    df = spark.createDataFrame([(str(v),) for v in vals], "s string")
+    got = [r.d for r in df.select(U.scaled_double(F.col("s")).alias("d")).collect()]
+    assert got == [float(Fraction(v, 10**18)) for v in vals]

@@ -155,6 +155,17 @@ def carried_sum_string(df: DataFrame, prefix: str = "__sum", out: str = "total")
     return df.drop(*[c for c in df.columns if c.startswith(prefix + "_")])
 
 
+def scaled_double(value_string: Column, decimals: int = 18) -> Column:
+    """``value / 10^decimals`` as the nearest double: the decimal point is placed in
+    the text and the text is parsed once (one rounding, not two)."""
+    # lpad truncates longer text, so pad only short values
+    short = F.length(value_string) <= decimals
+    padded = F.when(short, F.lpad(value_string, decimals + 1, "0")).otherwise(value_string)
+    n = F.length(padded)
+    text = F.concat(F.substring(padded, 1, n - decimals), F.lit("."), F.substring(padded, n - decimals + 1, decimals))
+    return F.when(value_string.isNull(), F.lit(None).cast("double")).otherwise(text.cast("double"))
+
+
 def dec128_ok(value_string: Column) -> Column:
     """True when the value parses as a 34-digit Decimal128 (trailing zeros go to the exponent)."""
     stripped = F.rtrim(value_string, F.lit("0"))

@@ -116,7 +116,7 @@ def decode_accepted(logs: DataFrame) -> DataFrame:
     d = d.withColumns(
         {
             "value_dec128": U.value_dec128(F.col("value_string"), F.col("dec128_ok")),
-            "value_decimal": F.col("value_string").cast("double") / F.lit(1e18),
+            "value_decimal": U.scaled_double(F.col("value_string")),
             "created_at": F.current_timestamp(),
             "block_bucket": F.expr(f"block_number div {BLOCK_BUCKET_SIZE}"),
         }

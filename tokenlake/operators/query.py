@@ -123,7 +123,7 @@ def aggregates(
     return one.select(
         F.col("total_transfers").cast("bigint").alias("total_transfers"),
         total_value.alias("total_value"),
-        F.coalesce(F.col("total_exact").cast("double") / F.lit(1e18), F.lit(0.0)).alias("total_value_decimal"),
+        F.coalesce(U.scaled_double(F.col("total_exact")), F.lit(0.0)).alias("total_value_decimal"),
         F.col("unique_tokens").cast("bigint").alias("unique_tokens"),
         F.col("unique_addresses").cast("bigint").alias("unique_addresses"),
         F.struct(F.col("start").alias("start"), F.col("end").alias("end")).alias("time_range"),

@@ -9,6 +9,18 @@ lower-case hex that Spark orders by).
 from __future__ import annotations
 
 WIDE_VALUE = str(2**256 - 1)  # the value of 64 x 'f'
+
+
+def scaled_double_sql(text: str, decimals: int = 18) -> str:
+    """value / 10^decimals: decimal point placed in the text, parsed once."""
+    # lpad truncates longer text, so pad only short values
+    p = f"(CASE WHEN length({text}) <= {decimals} THEN lpad({text}, {decimals + 1}, '0') ELSE {text} END)"
+    return (
+        f"CAST(substr({p}, 1, length({p}) - {decimals}) || '.' || substr({p}, length({p}) - {decimals - 1}, "
+        f"{decimals}) AS DOUBLE)"
+    )
+
+
 TWO_POW_56 = str(2**56)
 
 BASE_CTES = f"""
@@ -48,7 +60,7 @@ decoded AS (
     length(rtrim(value_string, '0')) <= 34 AS dec128_ok,
     CASE WHEN length(rtrim(value_string, '0')) <= 34
          THEN CAST(TRY_CAST(value_string AS DECIMAL(38,0)) AS VARCHAR) ELSE '0' END AS value_dec128,
-    CAST(value_string AS DOUBLE) / 1e18 AS value_decimal
+    {scaled_double_sql("value_string")} AS value_decimal
   FROM logs WHERE reject_reason IS NULL
 ),
 ranked AS (
@@ -87,7 +99,7 @@ def aggregate_sql(where: str = "TRUE") -> str:
                  FROM (SELECT "from" AS addr FROM f UNION ALL SELECT "to" AS addr FROM f))""",
     ) + """SELECT total_transfers,
   CASE WHEN total_transfers = 0 THEN '' ELSE CAST(tv AS VARCHAR) END AS total_value,
-  COALESCE(CAST(CAST(tv AS VARCHAR) AS DOUBLE) / 1e18, 0.0) AS total_value_decimal,
+  COALESCE(""" + scaled_double_sql("CAST(tv AS VARCHAR)") + """, 0.0) AS total_value_decimal,
   unique_tokens, unique_addresses, s AS time_start, e AS time_end
 FROM m, a"""
 
