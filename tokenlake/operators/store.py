@@ -49,6 +49,8 @@ TRANSFER_STORE_SCHEMA = T.StructType(
 )
 
 
+COMPACTION_PREFIX = "compact-"
+
 # Largest batch (keys after in-batch dedup) whose keys are broadcast to probe the
 # store: ~100 bytes per key, so at most ~200 MB on each executor.
 MAX_BROADCAST_KEYS = 2_000_000
@@ -103,6 +105,19 @@ class _FS:
             if not self.exists(p):
                 raise RuntimeError(f"could not publish {p}")
 
+    def read_text(self, p: str) -> str:
+        stream = self.fs.open(self._path(p))
+        try:
+            reader = self._jvm.java.io.BufferedReader(self._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+            lines = []
+            line = reader.readLine()
+            while line is not None:
+                lines.append(line)
+                line = reader.readLine()
+            return "\n".join(lines)
+        finally:
+            stream.close()
+
     def list_names(self, p: str) -> list[str]:
         if not self.exists(p):
             return []
@@ -159,13 +174,60 @@ class TransferStore:
         return self.fs.exists(self._commit(batch_id))
 
     # --- reads
+    def _compacted(self, compaction_id: str) -> str:
+        return f"{self.root}/compacted/{compaction_id}"
+
+    def _compactions(self) -> dict[str, list[str]]:
+        """Committed compactions and the batches each one replaces (small marker files)."""
+        out = {}
+        for cid in self.committed():
+            if cid.startswith(COMPACTION_PREFIX):
+                out[cid] = json.loads(self.fs.read_text(self._commit(cid)))["supersedes"]
+        return out
+
     def _committed_data(self) -> DataFrame | None:
-        paths = [self._data(b) for b in self.committed()]
+        """Committed rows with their origin batch id: live batch directories plus compactions."""
+        compactions = self._compactions()
+        superseded = {b for ids in compactions.values() for b in ids}
+        schema = T.StructType(TRANSFER_STORE_SCHEMA.fields + [T.StructField("batch", T.StringType())])
+        parts = []
+        paths = [self._data(b) for b in self.committed() if b not in superseded and b not in compactions]
         paths = [p for p in paths if self.fs.exists(p)]
-        if not paths:
+        if paths:
+            parts.append(self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*paths))
+        for cid in sorted(compactions):
+            if cid not in superseded and self.fs.exists(self._compacted(cid)):
+                parts.append(
+                    self.spark.read.schema(schema).option("basePath", self._compacted(cid)).parquet(self._compacted(cid))
+                )
+        if not parts:
             return None
-        schema = T.StructType(TRANSFER_STORE_SCHEMA.fields + [T.StructField("batch", T.StringType())])
-        return self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*paths)
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def compact(self, min_batches: int = 2) -> str | None:
+        """Rewrite the live batch directories as one range-laid-out dataset.
+
+        Long-running streams leave one directory (and small files) per micro-batch;
+        compaction keeps each row's origin batch id (feed order), then publishes a
+        marker listing the batches it replaces, so readers switch atomically. The
+        replaced directories stay until removed; progress and batch-log entries are
+        untouched. Returns the compaction id, or None when there is too little to do.
+        """
+        compactions = self._compactions()
+        superseded = {b for ids in compactions.values() for b in ids}
+        live = [b for b in self.committed()
+                if b not in superseded and b not in compactions and self.fs.exists(self._data(b))]
+        live += [c for c in compactions if c not in superseded]
+        if len(live) < min_batches:
+            return None
+        cid = f"{COMPACTION_PREFIX}{datetime.now(timezone.utc):%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
+        rows = self._committed_data()
+        write_layout(rows, self._compacted(cid))
+        self.fs.write_text(self._commit(cid), json.dumps({"batch": cid, "supersedes": sorted(live)}) + "\n")
+        return cid
 
     def read(self) -> DataFrame:
         """Every committed transfer; partition column ``block_bucket`` is pruned by filters."""
