@@ -44,7 +44,8 @@ def stream_input(spark: SparkSession, sf_dir: str) -> str:
 
 
 def streamed_store(spark: SparkSession, sf_dir: str) -> TransferStore:
-    """The store filled by a Structured Streaming run over the stream input."""
+    """The store filled by a Structured Streaming run over the stream input,
+    then compacted (K4), as a long-running stream's store would be."""
     path = os.path.join(L.land_root(spark, sf_dir), "stream_store")
 
     def write(p: str) -> None:
@@ -60,6 +61,7 @@ def streamed_store(spark: SparkSession, sf_dir: str) -> TransferStore:
         q.awaitTermination()
         if q.exception() is not None:
             raise RuntimeError(str(q.exception()))
+        store.compact()
 
     L._materialise(spark, path, write)
     return TransferStore(spark, path + "/store")
