@@ -116,3 +116,11 @@ def test_rpc_json_reader(spark, scratch):
     assert (r.block_number, r.tx_index, r.log_index) == (420, 2, 16)
     t = D.transfers_from_raw(logs, RPC.read_rpc_headers(spark, path + "/h")).first()
     assert t.value_string == "42" and t.timestamp.timestamp() == 100_000_000 and t.tx_hash == "0xff"
+
+
+def test_duplicate_headers_do_not_duplicate_logs(spark):
+    df = spark.createDataFrame([log([SIG, A, B], data_of(1), block=10)], RAW_LOG_SCHEMA)
+    hdr = spark.createDataFrame([(10, 500), (10, 400), (11, 1)], BLOCK_SCHEMA)
+    rows = D.attach_block_time(df, hdr).collect()
+    assert len(rows) == 1 and rows[0].block_time == 400
+    assert len(D.attach_block_time(df, hdr, block_range=(1, 20)).collect()) == 1

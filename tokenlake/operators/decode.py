@@ -56,10 +56,15 @@ def classify(raw: DataFrame) -> DataFrame:
     return raw.withColumn("reject_reason", reject_reason(F.col("topics"), F.col("data")))
 
 
+def one_header_per_block(blocks: DataFrame) -> DataFrame:
+    """Headers reduced to one per block (the earliest time, deterministic), so J1 stays N:1
+    even if a header was delivered twice; a partial aggregate, small next to the logs."""
+    return blocks.groupBy("block_number").agg(F.min("block_time").alias("block_time"))
+
+
 def blocks_in_range(blocks: DataFrame, from_block: int, to_block: int) -> DataFrame:
     """Headers of a bounded range, one per block: safe to broadcast (size <= range)."""
-    b = blocks.where(F.col("block_number").between(from_block, to_block)).select("block_number", "block_time")
-    return b.dropDuplicates(["block_number"])
+    return one_header_per_block(blocks.where(F.col("block_number").between(from_block, to_block)))
 
 
 def attach_block_time(
@@ -82,7 +87,7 @@ def attach_block_time(
         if hi - lo + 1 <= MAX_BROADCAST_BLOCKS:
             b = F.broadcast(b)
     else:
-        b = blocks.select("block_number", "block_time")
+        b = one_header_per_block(blocks)
     j = logs.join(b, "block_number", "left")
     if strict:
         missing = F.raise_error(F.concat(F.lit("missing block header for block "), F.col("block_number").cast("string")))
