@@ -54,3 +54,19 @@ def test_feed_json_keys_and_batch_log(spark, scratch):
             log.duplicates) == (1, 10, 4, 1, 3, 2, 1)
     assert I.slow_batches(store.batch_log(), poll_interval_s=1e9).first().slow is False
     assert store.progress().select(F.max("block_number")).first()[0] == 10
+
+
+def test_feed_published_through_a_stream(spark, scratch):
+    from tokenlake.streaming.feed import publish_feed, read_feed
+
+    blocks = spark.createDataFrame([(b, 1000 * b) for b in range(1, 50)], BLOCK_SCHEMA)
+    store = TransferStore(spark, scratch("pub-store"))
+    out, ckpt = scratch("pub-out"), scratch("pub-ckpt")
+    I.ingest_range(store, raw(spark, [(1, 5, "0x01", 0), (2, 6, "0x02", 0)]), blocks, 1, 10, "b-1")
+    publish_feed(spark, store, out, ckpt).awaitTermination()
+    I.ingest_range(store, raw(spark, [(3, 15, "0x03", 0), (4, 16, "0x01", 0)]), blocks, 11, 20, "b-2")
+    store.compact()
+    publish_feed(spark, store, out, ckpt).awaitTermination()
+    publish_feed(spark, store, out, ckpt).awaitTermination()  # nothing new: no-op
+    got = sorted((r.batch, json.loads(r.json)["tx_hash"]) for r in read_feed(spark, out).collect())
+    assert got == [("b-1", "0x01"), ("b-1", "0x02"), ("b-2", "0x03")]

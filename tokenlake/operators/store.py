@@ -92,9 +92,17 @@ class _FS:
     def exists(self, p: str) -> bool:
         return bool(self.fs.exists(self._path(p)))
 
-    def write_text(self, p: str, text: str) -> None:
-        """Publish a small file atomically: write a temporary name, then rename."""
-        tmp = f"{p}.tmp-{uuid.uuid4().hex[:8]}"
+    def write_text(self, p: str, text: str, tmp_dir: str | None = None) -> None:
+        """Publish a small file atomically: write a temporary name, then rename.
+
+        ``tmp_dir`` keeps the temporary file out of the target folder (which a
+        stream may be listing).
+        """
+        name = f"{p.rsplit('/', 1)[-1]}.tmp-{uuid.uuid4().hex[:8]}"
+        tmp = f"{tmp_dir}/{name}" if tmp_dir else f"{p}.tmp-{uuid.uuid4().hex[:8]}"
+        if tmp_dir:
+            self.fs.mkdirs(self._path(tmp_dir))
+            self.fs.mkdirs(self._path(p.rsplit("/", 1)[0]))
         out = self.fs.create(self._path(tmp), True)
         try:
             out.write(bytearray(text.encode("utf-8")))
@@ -226,7 +234,8 @@ class TransferStore:
         cid = f"{COMPACTION_PREFIX}{datetime.now(timezone.utc):%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
         rows = self._committed_data()
         write_layout(rows, self._compacted(cid))
-        self.fs.write_text(self._commit(cid), json.dumps({"batch": cid, "supersedes": sorted(live)}) + "\n")
+        marker = json.dumps({"batch": cid, "supersedes": sorted(live)}) + "\n"
+        self.fs.write_text(self._commit(cid), marker, tmp_dir=f"{self.root}/_commits_tmp")
         return cid
 
     def read(self) -> DataFrame:
@@ -236,6 +245,14 @@ class TransferStore:
             return self.spark.createDataFrame([], TRANSFER_STORE_SCHEMA)
         return d.drop("batch")
 
+    def read_batches(self, batch_ids: list[str]) -> DataFrame | None:
+        """The rows of the given batches, with column ``batch``."""
+        paths = [self._data(b) for b in batch_ids if self.fs.exists(self._data(b))]
+        if not paths:
+            return None
+        schema = T.StructType(TRANSFER_STORE_SCHEMA.fields + [T.StructField("batch", T.StringType())])
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*paths)
+
     def read_batch(self, batch_id: str) -> DataFrame:
         """The rows one batch inserted."""
         return self.spark.read.schema(TRANSFER_STORE_SCHEMA).option("basePath", self._data(batch_id)).parquet(
@@ -280,6 +297,9 @@ class TransferStore:
             F.lit("ok").alias("status"),
         )
 
+    def commits_dir(self) -> str:
+        return f"{self.root}/_commits"
+
     def feed(self) -> DataFrame:
         """K3: every committed transfer as JSON, tagged with its batch (batch order = publish order)."""
         d = self._committed_data()
@@ -333,7 +353,7 @@ class TransferStore:
             rec.update({c: int(log.get(c, 0)) for c in BATCH_COUNTERS})
             rec["from_block"] = int(log["from_block"])
             rec["started_us"] = int(log["started"] * 1_000_000)
-        self.fs.write_text(self._commit(batch_id), json.dumps(rec) + "\n")
+        self.fs.write_text(self._commit(batch_id), json.dumps(rec) + "\n", tmp_dir=f"{self.root}/_commits_tmp")
 
     def mark_processed(self, block_number: int, batch_id: str) -> None:
         """K2 on its own: a batch with no data that only marks progress."""

@@ -215,7 +215,10 @@ def feed_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transfer_feed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SC.streamed_store(spark, sf_dir).feed().select("batch", "json")
+    """K3: the JSON lines a feed stream published for every committed batch."""
+    from ..streaming.feed import read_feed
+
+    return read_feed(spark, SC.published_feed(spark, sf_dir))
 
 
 def stream_batch_log(spark: SparkSession, sf_dir: str) -> DataFrame:

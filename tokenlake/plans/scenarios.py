@@ -95,6 +95,19 @@ def replay_store(spark: SparkSession, sf_dir: str) -> tuple[TransferStore, str]:
     return store, batch_id
 
 
+def published_feed(spark: SparkSession, sf_dir: str) -> str:
+    """K3: the streamed store's feed published as JSON lines by a stream over its commits."""
+    from ..streaming.feed import publish_feed
+
+    path = os.path.join(L.land_root(spark, sf_dir), "feed_json")
+    store = streamed_store(spark, sf_dir)
+    q = publish_feed(spark, store, path + "/out", path + "/checkpoint")
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return path + "/out"
+
+
 def dedup_tx_output(spark: SparkSession, sf_dir: str) -> str:
     """The 24 h tx-hash dedup stream over the stream input; returns its output folder.
 
