@@ -175,6 +175,10 @@ class TransferStore:
     def _commit(self, batch_id: str) -> str:
         return f"{self.root}/_commits/{batch_id}"
 
+    def _data_batches(self) -> set[str]:
+        """Batch ids with a data folder (one listing, not one call per batch)."""
+        return {n.split("=", 1)[1] for n in self.fs.list_names(f"{self.root}/data") if n.startswith("batch=")}
+
     def committed(self) -> list[str]:
         return [n for n in self.fs.list_names(f"{self.root}/_commits") if ".tmp-" not in n]
 
@@ -199,8 +203,9 @@ class TransferStore:
         superseded = {b for ids in compactions.values() for b in ids}
         schema = T.StructType(TRANSFER_STORE_SCHEMA.fields + [T.StructField("batch", T.StringType())])
         parts = []
-        paths = [self._data(b) for b in self.committed() if b not in superseded and b not in compactions]
-        paths = [p for p in paths if self.fs.exists(p)]
+        present = self._data_batches()
+        paths = [self._data(b) for b in self.committed()
+                 if b not in superseded and b not in compactions and b in present]
         if paths:
             parts.append(self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*paths))
         for cid in sorted(compactions):
@@ -226,8 +231,8 @@ class TransferStore:
         """
         compactions = self._compactions()
         superseded = {b for ids in compactions.values() for b in ids}
-        live = [b for b in self.committed()
-                if b not in superseded and b not in compactions and self.fs.exists(self._data(b))]
+        present = self._data_batches()
+        live = [b for b in self.committed() if b not in superseded and b not in compactions and b in present]
         live += [c for c in compactions if c not in superseded]
         if len(live) < min_batches:
             return None
@@ -247,7 +252,8 @@ class TransferStore:
 
     def read_batches(self, batch_ids: list[str]) -> DataFrame | None:
         """The rows of the given batches, with column ``batch``."""
-        paths = [self._data(b) for b in batch_ids if self.fs.exists(self._data(b))]
+        present = self._data_batches()
+        paths = [self._data(b) for b in batch_ids if b in present]
         if not paths:
             return None
         schema = T.StructType(TRANSFER_STORE_SCHEMA.fields + [T.StructField("batch", T.StringType())])
