@@ -58,9 +58,17 @@ def _materialise(spark: SparkSession, final: str, write) -> None:
         return
     tmp = f"{final}.tmp-{uuid.uuid4().hex[:8]}"
     write(tmp)
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    if not fs.fs.rename(jpath(tmp), jpath(final)) and not fs.exists(final):
-        raise RuntimeError(f"could not publish {final}")
+    jvm = spark.sparkContext._jvm
+    # FileContext.rename with Rename.NONE fails if the target exists (another run
+    # published first), where FileSystem.rename would move the folder inside it
+    fc = jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark.sparkContext._jsc.hadoopConfiguration())
+    opts = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    opts[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        fc.rename(jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(final), opts)
+    except Exception:  # noqa: BLE001 - lost the race: the published copy is identical
+        if not fs.exists(final):
+            raise
 
 
 def landed_raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
