@@ -135,7 +135,7 @@ class _FS:
 # Batches above this many rows are range-partitioned (one sampling pass) so that
 # files hold disjoint token ranges; smaller ones are spread round-robin.
 RANGE_LAYOUT_ROWS = 4_000_000
-ROWS_PER_FILE = 1_000_000
+MIN_ROWS_PER_FILE = 100_000
 
 
 def write_layout(df: DataFrame, path: str, rows: int | None = None, mode: str = "overwrite") -> None:
@@ -150,7 +150,9 @@ def write_layout(df: DataFrame, path: str, rows: int | None = None, mode: str =
         # partition count from spark.sql.shuffle.partitions, coalesced by AQE to the data size
         laid = df.repartitionByRange("block_bucket", "token", "block_number", "tx_hash", "log_index")
     else:
-        laid = df.repartition(max(1, -(-rows // ROWS_PER_FILE)))
+        # files of at least MIN_ROWS_PER_FILE rows, written by up to one task per core
+        cores = max(1, df.sparkSession.sparkContext.defaultParallelism)
+        laid = df.repartition(max(1, min(cores, rows // MIN_ROWS_PER_FILE)))
     laid.sortWithinPartitions("token", "block_number").write.mode(mode).partitionBy("block_bucket").parquet(path)
 
 
