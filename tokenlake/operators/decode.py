@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hexcodec as H
+from . import dedup as DD
 from ..functions import uint256 as U
 from ..schemas import (
     BLOCK_BUCKET_SIZE,
@@ -101,10 +102,12 @@ def attach_block_time(
     return j
 
 
-def decode_accepted(logs: DataFrame) -> DataFrame:
-    """P5-P14 on accepted logs with ``block_time``: the stored transfer record."""
-    d = logs.select(
-        F.lit(EVENT_SIGNATURE).alias("event_signature"),
+def record_columns(logs: DataFrame) -> DataFrame:
+    """P5-P7 (no amount arithmetic): key, chain position, addresses and value hex.
+
+    Enough for first-wins dedup; ``decode_accepted`` adds the amounts.
+    """
+    cols = [
         F.lower(F.col("address")).alias("token"),
         H.topic_address(F.try_element_at(F.col("topics"), F.lit(2))).alias("from"),
         H.topic_address(F.try_element_at(F.col("topics"), F.lit(3))).alias("to"),
@@ -113,8 +116,20 @@ def decode_accepted(logs: DataFrame) -> DataFrame:
         F.lower(F.col("tx_hash")).alias("tx_hash"),
         F.col("tx_index"),
         F.col("log_index"),
-        F.timestamp_seconds(F.col("block_time")).alias("timestamp"),
-    )
+    ]
+    if "block_time" in logs.columns:
+        cols.append(F.timestamp_seconds(F.col("block_time")).alias("timestamp"))
+    return logs.select(*cols)
+
+
+def decode_accepted(logs: DataFrame) -> DataFrame:
+    """P5-P14 on accepted logs with ``block_time``: the stored transfer record."""
+    return decode_amounts(record_columns(logs))
+
+
+def decode_amounts(records: DataFrame) -> DataFrame:
+    """P8-P14 on ``record_columns`` output: exact amounts, text, Decimal128 parity, time."""
+    d = records.withColumn("event_signature", F.lit(EVENT_SIGNATURE))
     d = U.with_value_parts(d, "value_hex")
     d = d.withColumn("value_string", U.parts_to_string(F.col("value_parts")))
     d = d.withColumn("dec128_ok", U.dec128_ok(F.col("value_string")))
@@ -134,18 +149,36 @@ def decode_logs(
     blocks: DataFrame,
     strict: bool = False,
     block_range: tuple[int, int] | None = None,
+    first_wins: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Full decode: (transfers, rejects). Rejects keep the raw columns and a reason."""
+    """Full decode: (transfers, rejects). Rejects keep the raw columns and a reason.
+
+    ``first_wins`` dedups (D1) on the record columns before the amount arithmetic,
+    so only the winners are decoded and the shuffle carries narrow rows.
+    """
     # strict: a missing header fails the job whatever the guards say, like the reference's batch
     timed = attach_block_time(classify(raw), blocks, strict=strict, block_range=block_range)
     accepted = timed.where(F.col("reject_reason").isNull()).drop("reject_reason")
     rejects = timed.where(F.col("reject_reason").isNotNull())
-    return decode_accepted(accepted), rejects
+    records = record_columns(accepted)
+    if first_wins:
+        records = DD.dedup_transfers(records)
+    return decode_amounts(records), rejects
 
 
-def transfers_from_raw(raw: DataFrame, blocks: DataFrame, block_range: tuple[int, int] | None = None) -> DataFrame:
-    """Accepted, decoded transfers; guards run before the join so rejects never shuffle."""
+def transfers_from_raw(
+    raw: DataFrame,
+    blocks: DataFrame,
+    block_range: tuple[int, int] | None = None,
+    first_wins: bool = False,
+) -> DataFrame:
+    """Accepted, decoded transfers; guards run before the join so rejects never shuffle.
+
+    ``first_wins`` dedups (D1) before the amount arithmetic, as in ``decode_logs``.
+    """
     accepted = classify(raw).where(F.col("reject_reason").isNull()).drop("reject_reason")
     timed = attach_block_time(accepted, blocks, strict=False, block_range=block_range)
-    timed = timed.where(F.col("block_time").isNotNull())
-    return decode_accepted(timed)
+    records = record_columns(timed.where(F.col("block_time").isNotNull()))
+    if first_wins:
+        records = DD.dedup_transfers(records)
+    return decode_amounts(records)

@@ -317,10 +317,11 @@ class TransferStore:
 
     # --- writes (K1, K2, O1)
     def insert_ignore(self, transfers: DataFrame, batch_id: str, end_block: int | None = None,
-                      log: dict | None = None) -> int:
+                      log: dict | None = None, deduped: bool = False) -> int:
         """K1: append the batch's rows whose key is not stored yet; first wins, globally.
 
-        In-batch duplicates go first (D1), then an anti-join against every stored
+        In-batch duplicates go first (D1; skipped when the caller already did it
+        with ``deduped=True``), then an anti-join against every stored
         key; it is never pruned by block range, because a key may come back in
         another block after a reorganisation. Returns rows inserted. A batch that
         is already committed is skipped (retry after success); an uncommitted
@@ -331,7 +332,8 @@ class TransferStore:
         key = ["tx_hash", "log_index"]
         # the batch after in-batch dedup is kept: it is counted (size check), then
         # joined and written; lost blocks are recomputed from lineage
-        batch = DD.dedup_transfers(transfers).select(*TRANSFER_STORE_SCHEMA.fieldNames())
+        batch = transfers if deduped else DD.dedup_transfers(transfers)  # D1 within the batch
+        batch = batch.select(*TRANSFER_STORE_SCHEMA.fieldNames())
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             n = batch.count()

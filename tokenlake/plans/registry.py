@@ -95,7 +95,7 @@ def rpc_json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs_path, headers_path = SC.rpc_export(spark, sf_dir)
     logs = RPC.read_rpc_logs(spark, logs_path)
     headers = RPC.read_rpc_headers(spark, headers_path)
-    return V.transfer_view(DD.dedup_transfers(D.transfers_from_raw(logs, headers)))
+    return V.transfer_view(D.transfers_from_raw(logs, headers, first_wins=True))
 
 
 def dedup_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:

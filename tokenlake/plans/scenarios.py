@@ -89,9 +89,9 @@ def replay_store(spark: SparkSession, sf_dir: str) -> tuple[TransferStore, str]:
     store = TransferStore(spark, scratch_path(spark, "insert-ignore"))
     I.backfill(store, raw, blocks, from_block=1, to_block=SPLIT_BLOCK, run_id="first")
     head = I.chain_head(blocks)
-    replay = D.transfers_from_raw(raw.where(F.col("block_number").between(REPLAY_FROM, head)), blocks)
+    replay = D.transfers_from_raw(raw.where(F.col("block_number").between(REPLAY_FROM, head)), blocks, first_wins=True)
     batch_id = "replay-000001"
-    store.insert_ignore(replay, batch_id, end_block=head)
+    store.insert_ignore(replay, batch_id, end_block=head, deduped=True)
     return store, batch_id
 
 

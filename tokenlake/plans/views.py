@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decode as D
-from ..operators import dedup as DD
 from ..sources import landing as L
 
 
@@ -30,8 +29,8 @@ def decoded_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduped_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D1 in one plan: decoded, first-wins dedup."""
-    return DD.dedup_transfers(decoded_transfers(spark, sf_dir))
+    """D1 in one plan: first-wins dedup on the record columns, then the amounts."""
+    return D.transfers_from_raw(raw_logs(spark, sf_dir), blocks(spark, sf_dir), first_wins=True)
 
 
 def stored_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:

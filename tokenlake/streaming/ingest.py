@@ -104,7 +104,8 @@ def counters_by_range(raw_logs: DataFrame, blocks: DataFrame, start_block: int,
         F.count_if(r == REJECT_MISSING_BLOCK).alias("missing_block"),
         F.count_if(r.isNull()).alias("accepted"),
     )
-    winners = DD.dedup_transfers(D.decode_accepted(c.where(r.isNull()).drop("reject_reason")))
+    # winners need only the ordering columns, not the amount arithmetic
+    winners = DD.dedup_transfers(D.record_columns(c.where(r.isNull()).drop("reject_reason")))
     inserted = winners.groupBy(range_id).agg(F.count(F.lit(1)).alias("inserted"))
     cols = ["rows_read", "rejected_topic_count", "rejected_signature", "rejected_data_length", "missing_block",
             "accepted", "inserted"]
@@ -139,8 +140,8 @@ def ingest_range(
     started = time.time()
     logs = raw_logs.where(F.col("block_number").between(from_block, to_block))
     log = batch_log_entry(logs, blocks, from_block, to_block, started)
-    transfers, _ = D.decode_logs(logs, blocks, strict=strict, block_range=(from_block, to_block))
-    return store.insert_ignore(transfers, batch_id, end_block=to_block, log=log)
+    transfers, _ = D.decode_logs(logs, blocks, strict=strict, block_range=(from_block, to_block), first_wins=True)
+    return store.insert_ignore(transfers, batch_id, end_block=to_block, log=log, deduped=True)
 
 
 def batch_log_entry(logs: DataFrame, blocks: DataFrame, from_block: int, to_block: int, started: float) -> dict:
@@ -197,8 +198,8 @@ def backfill(
     """
     end = to_block if to_block is not None else chain_head(blocks)
     logs = raw_logs.where(F.col("block_number").between(from_block, end))
-    transfers = D.transfers_from_raw(logs, blocks)
-    return store.insert_ignore(transfers, f"{run_id}-{from_block:012d}", end_block=end)
+    transfers = D.transfers_from_raw(logs, blocks, first_wins=True)
+    return store.insert_ignore(transfers, f"{run_id}-{from_block:012d}", end_block=end, deduped=True)
 
 
 # ---------------------------------------------------------------- stream
@@ -240,8 +241,8 @@ def stream_ingest(
                 return
             lo, hi = int(bounds["lo"]), int(bounds["hi"])
             log = batch_log_entry(batch, blocks, lo, hi, started)
-            transfers, _ = D.decode_logs(batch, blocks, block_range=(lo, hi))
-            store.insert_ignore(transfers, bid, end_block=hi, log=log)
+            transfers, _ = D.decode_logs(batch, blocks, block_range=(lo, hi), first_wins=True)
+            store.insert_ignore(transfers, bid, end_block=hi, log=log, deduped=True)
         finally:
             batch.unpersist()
 
