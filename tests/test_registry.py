@@ -29,6 +29,7 @@ def _rows(cols, rows):
 def test_entry_smoke(spark):
     row = E.entry(spark).first()
     assert row.total_transfers == 3213 and row.unique_tokens == 200 and row.unique_addresses == 155
+    assert row.total_value == "1196511863630737298380057137"  # FIXTURES.md 2, sf0.001
 
 
 @pytest.fixture(scope="module")

@@ -119,6 +119,8 @@ def record_columns(logs: DataFrame) -> DataFrame:
     ]
     if "block_time" in logs.columns:
         cols.append(F.timestamp_seconds(F.col("block_time")).alias("timestamp"))
+    if "arrival" in logs.columns:
+        cols.append(F.col("arrival"))
     return logs.select(*cols)
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["tx_hash", "log_index"]
-# First wins: chain order, then every stored column, so the winner is total and
-# does not depend on partitioning or arrival order.
-FIRST_WINS_ORDER = ["block_number", "tx_index", "token", "from", "to", "value_hex"]
+# First wins: chain order, then the source's delivery order when it has one
+# (``arrival``), then every stored column, so the winner is total and does not
+# depend on partitioning.
+FIRST_WINS_ORDER = ["block_number", "tx_index", "arrival", "token", "from", "to", "value_hex"]
 
 
 def dedup_transfers(transfers: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -18,7 +19,7 @@ def dedup_transfers(transfers: DataFrame, order: list[str] | None = None) -> Dat
     the shuffle, so every map task keeps one row per key: a hot key is cut down
     map-side and cannot pile up in one reducer.
     """
-    order = order or FIRST_WINS_ORDER
+    order = [c for c in (order or FIRST_WINS_ORDER) if c in transfers.columns]
     w = Window.partitionBy(*KEY).orderBy(*[F.col(c).asc_nulls_last() for c in order])
     ranked = transfers.withColumn("__rn", F.row_number().over(w))
     return ranked.where(F.col("__rn") == 1).drop("__rn")

@@ -29,6 +29,7 @@ li AS (
          o.o_custkey AS ckey, l.l_quantity AS qty, l.l_tax AS tax,
          l.l_returnflag AS rflag, l.l_linestatus AS lstatus,
          CAST(round(l.l_extendedprice * 100) AS BIGINT) AS cents,
+         l.l_extendedprice AS eprice, l.l_shipdate AS shipdate,
          CAST(date_diff('day', DATE '1995-01-01', CAST(o.o_orderdate AS DATE)) + 1 AS BIGINT) AS block_number
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 ),
@@ -65,7 +66,7 @@ decoded AS (
 ),
 ranked AS (
   SELECT *, row_number() OVER (
-    PARTITION BY okey, lnum ORDER BY block_number, tx_index, pkey, skey * 31, ckey, wide, v) AS rn
+    PARTITION BY okey, lnum ORDER BY block_number, tx_index, __ARRIVAL__ pkey, skey * 31, ckey, wide, v) AS rn
   FROM decoded
 ),
 transfers AS (SELECT * FROM ranked WHERE rn = 1)
@@ -83,8 +84,14 @@ call_log AS (
 """
 
 
-def with_base(*extra_ctes: str) -> str:
-    ctes = [BASE_CTES.strip()] + [c.strip() for c in extra_ctes]
+# First wins among equal keys: delivery order (FIXTURES.md 2) where the source
+# carries one, else the stored columns only (node exports).
+ARRIVAL_ORDER = "pkey, skey, qty, eprice, shipdate,"
+
+
+def with_base(*extra_ctes: str, arrival: bool = True) -> str:
+    base = BASE_CTES.replace("__ARRIVAL__", ARRIVAL_ORDER if arrival else "")
+    ctes = [base.strip()] + [c.strip() for c in extra_ctes]
     return "WITH " + ",\n".join(ctes) + "\n"
 
 

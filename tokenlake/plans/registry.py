@@ -370,7 +370,8 @@ FROM logs WHERE NOT (rflag = 'R' AND lstatus = 'O') AND block_number >= 1""",
         "value_dec128": wb() + "SELECT tx_hash, log_index, value_string, dec128_ok, value_dec128 FROM decoded",
         "join_block_time": wb() + 'SELECT tx_hash, log_index, block_number, block_time, "timestamp" FROM logs',
         "dedup_transfers": wb() + f"SELECT {O.TRANSFER_VIEW} FROM transfers",
-        "rpc_json_decode": wb() + f"SELECT {O.TRANSFER_VIEW} FROM transfers",
+        # node exports carry no delivery order: first wins by stored columns
+        "rpc_json_decode": wb(arrival=False) + f"SELECT {O.TRANSFER_VIEW} FROM transfers",
         "aggregates_all": O.aggregate_sql(),
         "aggregates_token": O.aggregate_sql(f"token = '{TOKEN}'"),
         "aggregates_blocks": O.aggregate_sql(f"block_number BETWEEN {BLOCK_LO} AND {BLOCK_HI}"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decode as D
 from ..operators.store import TransferStore, _FS
+from ..schemas import RAW_LOG_WITH_ARRIVAL_SCHEMA
 from ..session import scratch_path
 from ..sources import landing as L
 from ..streaming import ingest as I
@@ -57,6 +58,7 @@ def streamed_store(spark: SparkSession, sf_dir: str) -> TransferStore:
             store,
             checkpoint=p + "/checkpoint",
             max_files_per_trigger=FILES_PER_TRIGGER,
+            schema=RAW_LOG_WITH_ARRIVAL_SCHEMA,
         )
         q.awaitTermination()
         if q.exception() is not None:

@@ -37,7 +37,7 @@ def block_number_of(order_date: Column) -> Column:
 def raw_logs_from(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     li = lineitem.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_tax", "l_returnflag", "l_linestatus",
+        "l_extendedprice", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
     )
     o = orders.select("o_orderkey", "o_custkey", "o_orderdate")
     # hash-partition both sides on the order key: the join reuses this
@@ -73,6 +73,15 @@ def raw_logs_from(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         F.concat(F.lit("0x"), _hex(F.col("l_orderkey"), 64)).alias("tx_hash"),
         (F.col("l_orderkey") % 256).cast("int").alias("tx_index"),
         F.col("l_linenumber").cast("int").alias("log_index"),
+        # delivery order of the log within its transaction, as the source delivered it
+        # (FIXTURES.md 2): first-wins dedup honours it where a source provides one
+        F.struct(
+            F.col("l_partkey").alias("partkey"),
+            F.col("l_suppkey").alias("suppkey"),
+            F.col("l_quantity").alias("quantity"),
+            F.col("l_extendedprice").alias("extendedprice"),
+            F.col("l_shipdate").alias("shipdate"),
+        ).alias("arrival"),
     )
 
 

@@ -24,12 +24,12 @@ from pyspark.sql import types as T
 
 from ..operators import decode as D
 from ..operators.store import TransferStore, _FS
-from ..schemas import BLOCK_SCHEMA, RAW_LOG_SCHEMA
+from ..schemas import BLOCK_SCHEMA, RAW_LOG_WITH_ARRIVAL_SCHEMA
 from ..session import checkpoint_root
 from . import fixtures as FX
 
 _PKG = Path(__file__).resolve().parent.parent
-LANDED_LOG_SCHEMA = T.StructType(RAW_LOG_SCHEMA.fields + [T.StructField("topic0", T.StringType())])
+LANDED_LOG_SCHEMA = T.StructType(RAW_LOG_WITH_ARRIVAL_SCHEMA.fields + [T.StructField("topic0", T.StringType())])
 
 
 def _code_version() -> str:

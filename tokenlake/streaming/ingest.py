@@ -219,6 +219,7 @@ def stream_ingest(
     max_files_per_trigger: int = 1,
     available_now: bool = True,
     processing_time: str = POLL_INTERVAL,
+    schema=RAW_LOG_SCHEMA,
 ):
     """S5 + R1: raw-log files as a stream, each micro-batch ingested in ``foreachBatch``.
 
@@ -246,7 +247,7 @@ def stream_ingest(
         finally:
             batch.unpersist()
 
-    stream = spark.readStream.schema(RAW_LOG_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).parquet(input_dir)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(input_dir)
     writer = stream.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
     return writer.start()
