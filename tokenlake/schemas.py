@@ -39,16 +39,9 @@ RAW_LOG_SCHEMA = T.StructType(
     ]
 )
 
-# Optional delivery order of a log (derived logs carry it; node exports do not).
-ARRIVAL_TYPE = T.StructType(
-    [
-        T.StructField("partkey", T.LongType()),
-        T.StructField("suppkey", T.LongType()),
-        T.StructField("quantity", T.DoubleType()),
-        T.StructField("extendedprice", T.DoubleType()),
-        T.StructField("shipdate", T.TimestampNTZType()),
-    ]
-)
+# Optional delivery position of a log within its transaction (derived logs carry
+# it; node exports do not).
+ARRIVAL_TYPE = T.IntegerType()
 RAW_LOG_WITH_ARRIVAL_SCHEMA = T.StructType(RAW_LOG_SCHEMA.fields + [T.StructField("arrival", ARRIVAL_TYPE)])
 
 BLOCK_SCHEMA = T.StructType(
