@@ -52,3 +52,16 @@ def test_query_matches_oracle(spark, duck, name):
     cols = [d[0] for d in res.description]
     assert sorted(cols) == sorted(df.columns)
     assert _rows(df.columns, rows) == _rows(cols, res.fetchall())
+
+
+def test_fixture_expectations_sf001(spark):
+    """FIXTURES.md 2 at sf0.01: decode counts, transfers, exact total, tokens, addresses, range slice."""
+    sf = "/root/testdata/sf0.01"
+    q = R.queries()
+    rejects = {r.outcome: r.n for r in q["decode_rejects"](spark, sf).collect()}
+    assert rejects == {"topic_count": 8598, "signature": 8606, "data_length": 2691, "accepted": 40105}
+    a = q["aggregates_all"](spark, sf).first()
+    assert (a.total_transfers, a.total_value, a.unique_tokens, a.unique_addresses) == (
+        32428, "12160054116620502221832975857", 2000, 1551)
+    b = q["aggregates_blocks"](spark, sf).first()
+    assert (b.total_transfers, b.total_value) == (1373, "510862089129788416032172249")
