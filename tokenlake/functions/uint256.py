@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import DECIMAL128_DIGITS, TOKEN_DECIMALS
+
 CHUNK_DIGITS = 9
 CHUNK_BASE = 10**CHUNK_DIGITS
 N_CHUNKS = 9  # 81 digits >= 78 digits of 2**256 - 1
@@ -155,7 +157,7 @@ def carried_sum_string(df: DataFrame, prefix: str = "__sum", out: str = "total")
     return df.drop(*[c for c in df.columns if c.startswith(prefix + "_")])
 
 
-def scaled_double(value_string: Column, decimals: int = 18) -> Column:
+def scaled_double(value_string: Column, decimals: int = TOKEN_DECIMALS) -> Column:
     """``value / 10^decimals`` as the nearest double: the decimal point is placed in
     the text and the text is parsed once (one rounding, not two)."""
     # lpad truncates longer text, so pad only short values
@@ -169,7 +171,7 @@ def scaled_double(value_string: Column, decimals: int = 18) -> Column:
 def dec128_ok(value_string: Column) -> Column:
     """True when the value parses as a 34-digit Decimal128 (trailing zeros go to the exponent)."""
     stripped = F.rtrim(value_string, F.lit("0"))
-    return F.length(stripped) <= 34
+    return F.length(stripped) <= DECIMAL128_DIGITS
 
 
 def value_dec128(value_string: Column, ok: Column) -> Column:

@@ -17,6 +17,13 @@ FEED_BUFFER = 1024
 RPC_DURATION_BOUNDS = (0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0)
 # Circuit breaker: consecutive failures that open it.
 FAILURE_THRESHOLD = 5
+# Ingestion: blocks per batch by default and at most; poll interval.
+DEFAULT_BATCH_BLOCKS = 10
+MAX_BATCH_BLOCKS = 100
+POLL_INTERVAL = "12 seconds"
+# Decimal128 keeps 34 significant digits; every token is read with 18 decimals.
+DECIMAL128_DIGITS = 34
+TOKEN_DECIMALS = 18
 
 # Store layout: blocks per partition directory of the transfer store.
 BLOCK_BUCKET_SIZE = 100_000

@@ -12,12 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.store import COMPACTION_PREFIX, MARKER_SCHEMA, TransferStore, transfer_json
+from ..schemas import POLL_INTERVAL
 
 MARKERS_PER_TRIGGER = 100
 
 
 def publish_feed(spark: SparkSession, store: TransferStore, out_dir: str, checkpoint: str,
-                 available_now: bool = True, processing_time: str = "12 seconds"):
+                 available_now: bool = True, processing_time: str = POLL_INTERVAL):
     def one_batch(markers: DataFrame, _batch_num: int) -> None:
         # batch ids committed in this trigger: at most MARKERS_PER_TRIGGER names
         ids = sorted(r.batch for r in markers.select("batch").distinct().collect() if r.batch)

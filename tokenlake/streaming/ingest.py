@@ -16,11 +16,17 @@ from pyspark.sql import functions as F
 from ..operators import decode as D
 from ..operators import dedup as DD
 from ..operators.store import TransferStore
-from ..schemas import RAW_LOG_SCHEMA, REJECT_DATA_LENGTH, REJECT_MISSING_BLOCK, REJECT_SIGNATURE, REJECT_TOPIC_COUNT
+from ..schemas import (
+    DEFAULT_BATCH_BLOCKS,
+    MAX_BATCH_BLOCKS,
+    POLL_INTERVAL,
+    RAW_LOG_SCHEMA,
+    REJECT_DATA_LENGTH,
+    REJECT_MISSING_BLOCK,
+    REJECT_SIGNATURE,
+    REJECT_TOPIC_COUNT,
+)
 
-DEFAULT_BATCH_BLOCKS = 10
-MAX_BATCH_BLOCKS = 100
-POLL_INTERVAL = "12 seconds"
 
 
 # ---------------------------------------------------------------- ranges
