@@ -125,3 +125,10 @@ def test_dedup_partition_count_invariance(spark, transfers):
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert results[0] == results[1] == results[2] and len(results[0]) == 91
     assert max(r[2] for r in results[0]) <= 31  # the earlier block won every key
+
+
+def test_approx_distinct_option(transfers):
+    exact = Q.aggregates(transfers).first()
+    approx = Q.aggregates(transfers, approx=True).first()
+    assert approx.total_value == exact.total_value and approx.total_transfers == exact.total_transfers
+    assert abs(approx.unique_tokens - exact.unique_tokens) <= 1 and abs(approx.unique_addresses - exact.unique_addresses) <= 1
