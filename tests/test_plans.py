@@ -45,3 +45,9 @@ def test_dedup_limits_before_shuffle(spark):
 def test_paging_is_top_k(spark):
     p = plan(Q.page(V.stored_transfers(spark, SF), TransferQueryParams(limit=10, offset=5)))
     assert "TakeOrderedAndProject" in p
+
+
+def test_amounts_decoded_after_dedup(spark):
+    p = plan(V.deduped_transfers(spark, SF))
+    # top-down plan text: the uint256 words (conv) are computed above the dedup window
+    assert p.index("conv(") < p.index("Window [row_number()")
