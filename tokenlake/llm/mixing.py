@@ -140,8 +140,8 @@ def placements(stream: DataFrame, shares: DataFrame, slots: DataFrame, block_wor
     return parts.join(slots, ["skey", "block"]).withColumn("words", taken)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), block_words: int = BLOCK_WORDS, seed: str = "mix") -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): ``taken`` counts the words the mix takes, repeats included."""
+def _spots(docs: DataFrame, weights: tuple[int, ...], block_words: int, seed: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents in their streams, targets, placements)."""
     sized = written(
         docs.select("doc_id", "source", source_key(F.col("source")).alias("skey"), word_count(F.col("text")).alias("size")),
         "mix-sizes",
@@ -149,13 +149,32 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), block_words: int
     sizes = sized.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
     shares = written(targets(cycled_weights(sizes, weights)), "mix-targets")
     stream = shuffled_stream(sized, seed)
-    spots = placements(stream, shares, schedule(shares, block_words), block_words)
-    taken = spots.groupBy("skey", "doc_id", "first_word", "size").agg(F.sum("words").alias("taken"))
+    return stream, shares, placements(stream, shares, schedule(shares, block_words), block_words)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), block_words: int = BLOCK_WORDS, seed: str = "mix") -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken): ``taken`` counts the words the mix takes, repeats included."""
+    stream, shares, spots = _spots(docs, weights, block_words, seed)
     # a document with words has a first_word of its own; those without words take nothing
     key = ["skey", "first_word", "size"]
-    rows = stream.filter("size > 0").join(taken.select(*key, "taken"), key, "left").unionByName(
+    taken = spots.groupBy(*key).agg(F.sum("words").alias("taken"))
+    rows = stream.filter("size > 0").join(taken, key, "left").unionByName(
         stream.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
     )
     return rows.join(shares.select("skey", "source_size", "target"), "skey").select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), block_words: int = BLOCK_WORDS, seed: str = "mix") -> DataFrame:
+    """The documents the mix takes, whole, once for every epoch in which it takes words of them; all columns kept.
+
+    Rows with one doc_id and source are taken alike.
+    """
+    _, _, spots = _spots(docs, weights, block_words, seed)
+    per_row = spots.groupBy("skey", "doc_id", "first_word").agg(F.countDistinct("epoch").alias("times"))
+    name = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("mix_doc")
+    times = per_row.groupBy(name, F.col("skey").alias("mix_source")).agg(F.max("times").alias("mix_times"))
+    keyed = docs.select("*", name, source_key(F.col("source")).alias("mix_source"))
+    repeated = keyed.join(times, ["mix_doc", "mix_source"]).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times").cast("int"))))
+    return repeated.select(docs.columns)

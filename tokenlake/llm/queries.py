@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenlake.llm import chat, mixing, quality_rules, url_filter
+from tokenlake.llm import (
+    chat,
+    decontaminate,
+    importance,
+    mixing,
+    probminhash,
+    quality_rules,
+    suffix_dedup,
+    token_ids,
+    url_filter,
+    warc,
+)
 from tokenlake.llm.common import read_table, written
 
 CONTRACT_CHAT = "<|im_end|><|im_start|>assistant ok"
@@ -26,6 +37,36 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(written(chat.format_conversations(rows), "chat"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per benchmark item that leaked into a document."""
+    return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit of the archive derived from pages; headers as sorted lines."""
+    resolved = warc.resolve_revisits(warc.records_of_pages(read_table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda h: F.concat(h["key"], F.lit(": "), h["value"]))
+    return resolved.withColumn("headers", F.array_join(lines, "\n"))
+
+
+def op6_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.read_token_files(*token_ids.write_token_files(read_table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(read_table(spark, sf_dir, "documents"))
     return judged.select(
@@ -38,6 +79,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sampled = importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return sampled.select("doc_id", "n_evidence", "log_weight", "key", "kept")
+
+
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
 OP1_SQL = f"""
@@ -103,14 +149,49 @@ SELECT page_id, host, path, rule, coalesce(action, CASE WHEN blocked AND NOT coa
 """
 
 
+OP5_SQL = r"""
+WITH b AS (SELECT page_id, url, 1700000000 + (page_id * 7919 % 10000) * 600 AS t, md5(coalesce(html, '')) AS digest,
+                  strlen(coalesce(html, ''))::BIGINT AS size FROM pages),
+r AS (
+  SELECT page_id, 0 AS k, url, t AS tm, '"' || digest || '"' AS etag, (t - 86400)::VARCHAR AS modified, digest, size FROM b
+  UNION ALL SELECT page_id, 1, url || '#again', t + 18000, 'W/"' || digest || '"', NULL, NULL, NULL FROM b
+  UNION ALL SELECT page_id, 2, CASE WHEN starts_with(url, 'https:') THEN 'http:' || url[7:] WHEN starts_with(url, 'http:') THEN 'https:' || url[6:] ELSE url END,
+                   t + 108000, NULL, (t - 86400)::VARCHAR, NULL, NULL FROM b
+  UNION ALL SELECT page_id, 3, url, t + 180000, '"changed"', NULL, NULL, NULL FROM b WHERE page_id % 3 = 0
+  UNION ALL SELECT page_id, 4, url, t - 100, '"' || digest || '"', NULL, NULL, NULL FROM b WHERE page_id % 5 = 0),
+p AS (SELECT *, 'p' || page_id || '-' || k AS record_id, CASE WHEN contains(url, '://') THEN url[position('://' IN url) + 3:] ELSE '' END AS rest FROM r),
+h AS (SELECT *, regexp_replace(translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ':(80|443)?$', '') AS host FROM p),
+u AS (SELECT *, CASE WHEN host <> '' THEN host || regexp_replace(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '/$', '')
+             || regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) END AS url_key FROM h),
+j AS (SELECT v.*, (SELECT {'id': f.record_id, 'tm': f.tm, 'etag': f.etag, 'modified': f.modified, 'digest': f.digest, 'size': f.size}
+                   FROM u f WHERE f.k = 0 AND f.url_key = v.url_key AND f.tm < v.tm ORDER BY f.tm DESC, f.record_id DESC LIMIT 1) AS f
+      FROM u v WHERE v.k > 0),
+o AS (SELECT *, CASE WHEN f IS NULL THEN 'no_response'
+                     WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = f.etag THEN 'resolved' ELSE 'mismatch' END
+                     WHEN modified = f.modified THEN 'resolved' ELSE 'mismatch' END AS outcome FROM j)
+SELECT record_id, url_key, tm AS "at", outcome, f.id AS response_id, f.tm AS response_at,
+       CASE WHEN outcome = 'resolved' THEN f.digest END AS payload_digest, CASE WHEN outcome = 'resolved' THEN f.size END AS payload_bytes,
+       CASE WHEN outcome = 'resolved' THEN 'cache-control: ' || CASE WHEN k < 3 THEN 'max-age=600' ELSE 'max-age=60' END || chr(10) || 'content-length: ' || f.size
+         || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || tm || chr(10) || 'etag: ' || coalesce(etag, f.etag) || chr(10)
+         || 'last-modified: ' || f.modified END AS headers
+FROM o
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_chat": op2_chat,
+        "op3_decontaminate": op3_decontaminate,
+        "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_warc_revisits": op5_warc_revisits,
+        "op6_probminhash": op6_probminhash,
+        "op7_token_ids": op7_token_ids,
         "op8_quality_rules": op8_quality_rules,
         "op9_url_filter": op9_url_filter,
+        "op10_importance": op10_importance,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op2_chat": OP2_SQL, "op8_quality_rules": OP8_SQL, "op9_url_filter": OP9_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_chat": OP2_SQL, "op5_warc_revisits": OP5_SQL, "op8_quality_rules": OP8_SQL, "op9_url_filter": OP9_SQL}
