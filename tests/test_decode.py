@@ -65,21 +65,14 @@ def test_decode_fields(spark):
     assert t.block_bucket == 0
 
 
-def test_missing_block_strict_fails_default_quarantines(spark):
+def test_missing_block_is_a_reject_or_an_error(spark):
     rows = [log([SIG, A, B], data_of(1), block=99, li=1), log([SIG, A, B], data_of(2), block=10, li=2)]
     df = spark.createDataFrame(rows, RAW_LOG_SCHEMA)
     transfers, rejects = D.decode_logs(df, blocks(spark))
     assert [r.log_index for r in transfers.collect()] == [2]
     assert [(r.log_index, r.reject_reason) for r in rejects.collect()] == [(1, "missing_block")]
-    strict, _ = D.decode_logs(df, blocks(spark), strict=True)
-    with pytest.raises(Exception):
-        strict.collect()
-
-
-def test_bounded_range_broadcasts_headers(spark):
-    df = spark.createDataFrame([log([SIG, A, B], data_of(1))], RAW_LOG_SCHEMA)
-    j = D.attach_block_time(df, blocks(spark), block_range=(10, 12))
-    assert "BroadcastHashJoin" in j._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(D.MissingHeaders):
+        D.require_headers(df, blocks(spark))
 
 
 def test_dedup_first_wins_and_keys(spark):
@@ -123,4 +116,3 @@ def test_duplicate_headers_do_not_duplicate_logs(spark):
     hdr = spark.createDataFrame([(10, 500), (10, 400), (11, 1)], BLOCK_SCHEMA)
     rows = D.attach_block_time(df, hdr).collect()
     assert len(rows) == 1 and rows[0].block_time == 400
-    assert len(D.attach_block_time(df, hdr, block_range=(1, 20)).collect()) == 1

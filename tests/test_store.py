@@ -1,10 +1,16 @@
 import os
 
+import pyarrow.parquet as pq
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from tokenlake.functions.params import parse_params
 from tokenlake.operators import decode as D
-from tokenlake.operators.store import TransferStore
+from tokenlake.operators import query as Q
+from tokenlake.operators.store import ConcurrentCommit, TransferStore
 from tokenlake.schemas import BLOCK_SCHEMA, RAW_LOG_SCHEMA, TRANSFER_TOPIC
+from tokenlake.sources import landing as L
 from tokenlake.streaming import ingest as I
 
 A = "0x" + "00" * 12 + "aa" * 20
@@ -49,7 +55,7 @@ def test_crash_between_data_and_commit(spark, scratch):
     b1 = raw(spark, [(1, 5, "0x01", 0), (2, 6, "0x02", 0)])
     # a crashed attempt: data written, no commit marker, no progress
     transfers, _ = D.decode_logs(b1, blocks(spark))
-    transfers.write.parquet(f"{root}/data/batch=r-1")
+    transfers.write.parquet(store.staging("000000000001-crashed"))
     assert store.read().count() == 0 and store.last_processed_block() == 0
     assert I.ingest_range(store, b1, blocks(spark), 1, 10, "r-1") == 2  # retry overwrites
     assert store.read().count() == 2 and store.last_processed_block() == 10
@@ -76,10 +82,10 @@ def test_stream_equals_batch_and_rerun_adds_nothing(spark, scratch):
     batch = TransferStore(spark, scratch("batch-store"))
     I.backfill(batch, df, blocks(spark), 1, 40)
     assert keys(store) == keys(batch)
-    assert len(store.committed()) == 4
+    assert store.committed().count() == 4
     q = I.stream_ingest(spark, src, blocks(spark), store, ckpt, max_files_per_trigger=1)
     q.awaitTermination()
-    assert keys(store) == keys(batch) and len(store.committed()) == 4
+    assert keys(store) == keys(batch) and store.committed().count() == 4
     # a new checkpoint (forced restart) replays every file; the store absorbs it
     q = I.stream_ingest(spark, src, blocks(spark), store, scratch("stream-ckpt2"), max_files_per_trigger=2)
     q.awaitTermination()
@@ -94,27 +100,174 @@ def test_poll_once_ticks_resume_and_noop(spark, scratch):
     assert I.poll_once(store, logs, blk, start_block=5, batch_blocks=10) == (5, 14)  # no progress: start
     assert I.poll_once(store, logs, blk, start_block=5, batch_blocks=10) == (15, 24)  # last + 1
     assert I.poll_once(store, logs, blk, start_block=5, batch_blocks=10) == (25, 25)  # clamped to head
-    n = len(store.committed())
+    n = store.committed().count()
     assert I.poll_once(store, logs, blk, start_block=5, batch_blocks=10) is None  # head below from
-    assert len(store.committed()) == n and store.last_processed_block() == 25
+    assert store.committed().count() == n and store.last_processed_block() == 25
     assert I.poll_once(store, logs, blk, start_block=5, batch_blocks=500, force_start=True) == (5, 25)
     assert store.read().count() == 21  # the forced replay added nothing
 
 
-def test_compaction_keeps_rows_feed_and_progress(spark, scratch):
-    store = TransferStore(spark, scratch("compact"))
-    blk = blocks(spark)
-    for k in range(4):
-        logs = raw(spark, [(v, 1 + k * 10 + v % 10, "0x%02x" % (k * 10 + v % 10), v % 3) for v in range(30)])
-        I.ingest_range(store, logs, blk, 1 + k * 10, 10 + k * 10, f"b-{k}")
-    before_rows, before_feed = keys(store), [r.json for r in store.feed().orderBy("batch", "tx_hash", "log_index").collect()]
-    before_last = store.last_processed_block()
-    cid = store.compact()
-    assert cid is not None and store.compact(min_batches=2) is None  # one live dataset left
-    assert keys(store) == before_rows
-    assert [r.json for r in store.feed().orderBy("batch", "tx_hash", "log_index").collect()] == before_feed
-    assert store.last_processed_block() == before_last and store.batch_log().count() == 4
-    # ingest after compaction still sees every stored key
-    again = raw(spark, [(999, 45, "0x01", 0), (7, 46, "0x77", 0)])
-    assert I.ingest_range(store, again, blk, 41, 46, "b-4") == 1
-    assert store.compact() is not None and len(keys(store)) == len(before_rows) + 1
+def header_rows(spark, numbers):
+    return spark.createDataFrame([(b, 1000 * b) for b in numbers], BLOCK_SCHEMA)
+
+
+def test_second_backfill_takes_what_the_chain_has_grown(spark, scratch):
+    store = TransferStore(spark, scratch("grow"))
+    logs = raw(spark, [(1, 5, "0x01", 0), (2, 15, "0x02", 0)])
+    assert I.backfill(store, logs, header_rows(spark, range(1, 11)), from_block=0) == 1
+    assert I.backfill(store, logs, header_rows(spark, range(1, 21)), from_block=0) == 1
+    assert store.read().count() == 2 and store.last_processed_block() == 20
+    # the same range of a named run is ingested once, another run of it is looked at again
+    assert I.backfill(store, logs, header_rows(spark, range(1, 21)), 0, run_id="a") == 0
+    more = logs.unionByName(raw(spark, [(3, 16, "0x03", 0)]))
+    assert I.backfill(store, more, header_rows(spark, range(1, 21)), 0, run_id="a") == 0
+    assert I.backfill(store, more, header_rows(spark, range(1, 21)), 0, run_id="b") == 1
+
+
+def test_missing_header_fails_the_batch_or_is_kept_aside(spark, scratch):
+    store = TransferStore(spark, scratch("headers"))
+    logs = raw(spark, [(1, 5, "0x01", 0), (2, 15, "0x02", 0)])
+    four = spark.createDataFrame([("0x" + "01" * 20, [TRANSFER_TOPIC, A, B, B], "0x", 15, "0x09", 0, 0)], RAW_LOG_SCHEMA)
+    known = header_rows(spark, [*range(1, 11), 20])
+    for some in (logs, logs.where("block_number < 10").unionByName(four)):  # a log that a guard rejects needs its header too
+        with pytest.raises(D.MissingHeaders, match="block 15"):
+            I.backfill(store, some, known, from_block=1)
+        with pytest.raises(D.MissingHeaders):
+            D.require_headers(some, known)
+    foreign = spark.createDataFrame([("0x" + "01" * 20, ["0x" + "ab" * 32, A, B], "0x", 15, "0x09", 0, 0)], RAW_LOG_SCHEMA)
+    D.require_headers(foreign, known)
+    assert store.read().count() == 0 and store.last_processed_block() == 0
+    assert [(r.status, r.error_type, r.missing_block) for r in store.batch_log().orderBy("started_at").collect()][0] == ("error", "MissingHeaders", 1)
+    assert I.backfill(store, logs, known, from_block=1, missing="quarantine") == 1
+    assert [(r.tx_hash, r.block_number) for r in store.quarantined(RAW_LOG_SCHEMA).collect()] == [("0x02", 15)]
+    assert store.last_processed_block(1) == 14  # progress stops before the gap
+    assert I.poll_once(store, logs, header_rows(spark, range(1, 21)), start_block=1, batch_blocks=100) == (15, 20)
+    assert store.read().count() == 2 and store.last_processed_block(1) == 20
+
+
+def test_stream_takes_headers_that_arrive_while_it_waits(spark, scratch):
+    src, headers, ckpt = scratch("late-src"), scratch("late-headers"), scratch("late-ckpt")
+    store = TransferStore(spark, scratch("late-store"))
+    raw(spark, [(1, 5, "0x01", 0)]).coalesce(1).write.mode("append").parquet(src)
+    raw(spark, [(2, 15, "0x02", 0)]).coalesce(1).write.mode("append").parquet(src)
+    header_rows(spark, range(1, 11)).write.parquet(headers)
+    blocks = lambda: spark.read.schema(BLOCK_SCHEMA).parquet(headers)
+    with pytest.raises(StreamingQueryException, match="MissingHeaders"):
+        I.stream_ingest(spark, src, blocks, store, ckpt, start_block=1).awaitTermination()
+    assert store.read().count() == 1 and store.last_processed_block(1) == 5
+    header_rows(spark, range(11, 21)).write.mode("append").parquet(headers)
+    I.stream_ingest(spark, src, blocks, store, ckpt, start_block=1).awaitTermination()
+    assert store.read().count() == 2 and store.last_processed_block(1) == 15
+
+
+def test_forced_restart_runs_to_the_head_each_time(spark, scratch):
+    store, heads = TransferStore(spark, scratch("forced")), header_rows(spark, range(1, 34))
+    first = raw(spark, [(v, b, "0x%02x" % b, 0) for v, b in enumerate(range(1, 30, 3))])
+    I.backfill(store, first, heads, 1)
+    late = first.unionByName(raw(spark, [(99, 4, "0xa1", 0), (98, 33, "0xa2", 0)]))
+    assert I.forced_restart(store, late, heads, 1, batch_blocks=10) == [(1, 10), (11, 20), (21, 30), (31, 33)]
+    later = late.unionByName(raw(spark, [(97, 4, "0xa3", 0)]))
+    I.forced_restart(store, later, heads, 1, batch_blocks=10)
+    assert store.read().count() == 13
+    I.forced_restart(store, later, heads, 1, batch_blocks=40)
+    assert store.read().count() == 13 and store.last_processed_block(1) == 33
+
+
+def test_checkpoint_reset_takes_new_files(spark, scratch):
+    src, ckpt = scratch("reset-src"), scratch("reset-ckpt")
+    store, heads = TransferStore(spark, scratch("reset-store")), header_rows(spark, range(1, 50))
+    raw(spark, [(1, 5, "0x01", 0)]).coalesce(1).write.mode("append").parquet(src)
+    I.stream_ingest(spark, src, heads, store, ckpt + "/c").awaitTermination()
+    os.rename(ckpt + "/c", ckpt + "/old")  # the same path again, as after a reset
+    raw(spark, [(2, 6, "0x02", 0)]).coalesce(1).write.mode("append").parquet(src)
+    I.stream_ingest(spark, src, heads, store, ckpt + "/c").awaitTermination()
+    assert store.read().count() == 2
+
+
+def test_progress_has_no_gaps(spark, scratch):
+    store, heads = TransferStore(spark, scratch("gaps")), header_rows(spark, range(1, 41))
+    src = scratch("gaps-src")
+    raw(spark, [(1, 30, "0x30", 0)]).coalesce(1).write.parquet(src)
+    I.stream_ingest(spark, src, heads, store, scratch("gaps-ckpt")).awaitTermination()
+    assert store.read().count() == 1 and store.last_processed_block(1) == 0
+    logs = raw(spark, [(1, 30, "0x30", 0), (2, 7, "0x07", 0)])
+    assert I.poll_once(store, logs, heads, start_block=1, batch_blocks=20) == (1, 20)
+    I.ingest_range(store, logs, heads, 31, 40, "ahead")
+    assert store.last_processed_block(1) == 20
+    assert I.poll_once(store, logs, heads, start_block=1, batch_blocks=10) == (21, 30)
+    assert store.last_processed_block(1) == 40 and store.read().count() == 2
+
+
+def test_two_writers_cannot_commit_the_same_key(spark, scratch):
+    root, heads = scratch("two"), header_rows(spark, range(1, 50))
+    one, two = TransferStore(spark, root), TransferStore(spark, root)
+    logs = raw(spark, [(1, 5, "0x01", 0)])
+    seen = two.last_seq
+    two.last_seq = lambda: 0  # compared with the store before the first writer committed
+    assert I.backfill(one, logs, heads, 1, run_id="one") == 1
+    two.is_committed = lambda _: False
+    with pytest.raises(ConcurrentCommit):
+        I.backfill(two, logs, heads, 1, run_id="two")
+    two.last_seq = seen
+    assert I.backfill(two, logs, heads, 1, run_id="two") == 0
+    assert one.read().count() == 1
+
+
+def test_crash_between_entry_and_move(spark, scratch, monkeypatch):
+    store, heads = TransferStore(spark, scratch("half")), header_rows(spark, range(1, 50))
+    monkeypatch.setattr(store, "_settle", lambda entry: (_ for _ in ()).throw(OSError("killed")))
+    monkeypatch.setattr(store, "record_failure", lambda *a: None)
+    with pytest.raises(OSError):
+        I.backfill(store, raw(spark, [(1, 5, "0x01", 0)]), heads, 1, run_id="r")
+    again = TransferStore(spark, store.root)
+    assert again.read().count() == 1 and again.is_committed("r-000000000001-000000000049")
+
+
+def test_entries_are_rolled_up(spark, scratch, monkeypatch):
+    monkeypatch.setattr("tokenlake.operators.store.GENERATION", 3)
+    store, heads = TransferStore(spark, scratch("rolled")), header_rows(spark, range(1, 50))
+    for k in range(7):
+        I.ingest_range(store, raw(spark, [(k, k + 1, "0x%02x" % k, 0)]), heads, k + 1, k + 1, f"b{k}")
+    assert store.fs.names(f"{store.root}/_rollup") == ["upto=000000000003", "upto=000000000006"]
+    assert [r.batch for r in store.committed().orderBy("seq").collect()] == [f"b{k}" for k in range(7)]
+    assert store.last_processed_block() == 7 and store.batch_log().count() == 7
+    read = store.entries().inputFiles()
+    assert not any("gen=000000000" in f and f.endswith(tuple(f"{n:012d}.json" for n in range(1, 7))) for f in read)
+
+
+def test_files_are_sorted_and_prune_by_token(spark, scratch):
+    store, heads = TransferStore(spark, scratch("layout")), header_rows(spark, range(1, 50))
+    rows = [("0x%040x" % (v * 7919 % 500), [TRANSFER_TOPIC, A, B], "0x" + format(v, "064x"), 1 + v % 40, "0x%05x" % v, 0, 0) for v in range(4000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        I.backfill(store, spark.createDataFrame(rows, RAW_LOG_SCHEMA), heads, 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spans = []
+    for path, _, _ in store.fs.statuses(f"{store.root}/data"):
+        if path.endswith(".parquet"):
+            table = pq.read_table(path.removeprefix("file:"), columns=["token", "block_number"]).to_pylist()
+            keys_ = [(r["token"], r["block_number"]) for r in table]
+            assert keys_ == sorted(keys_)
+            stats = pq.ParquetFile(path.removeprefix("file:")).metadata.row_group(0).column(1).statistics
+            spans.append((stats.min, stats.max))
+    assert len(spans) >= 4
+    token = "0x%040x" % 250
+    assert sum(lo <= token <= hi for lo, hi in spans) <= 2  # a token lies in one file's range, or at the edge of two
+
+
+def test_bounds_above_int64(spark, scratch):
+    store = TransferStore(spark, scratch("bounds"))
+    I.backfill(store, raw(spark, [(1, 5, "0x01", 0)]), blocks(spark), 1)
+    page = lambda **q: Q.filtered(store.read(), parse_params(q)).count()
+    big = str(2**64 - 1)
+    assert page(start_block=big) == 0 and page(end_block=big) == 1 and page(start_block="1", end_block=big) == 1
+
+
+def test_changed_folder_table_gives_fresh_results(spark, scratch):
+    root = scratch("tables")
+    spark.range(3).write.parquet(f"{root}/lineitem.parquet")
+    before = L.fingerprint(spark, root)
+    assert before == L.fingerprint(spark, root)
+    spark.range(4).write.mode("append").parquet(f"{root}/lineitem.parquet")
+    assert L.fingerprint(spark, root) != before

@@ -121,9 +121,10 @@ def build_filter(params: TransferQueryParams, normalize: bool = False) -> Column
         cond = cond & (F.col("from") == addr(params.from_))
     if params.to:
         cond = cond & (F.col("to") == addr(params.to))
+    # bounds are unsigned 64-bit, block numbers signed: no row can reach a larger start, any is below a larger end
     if params.start_block is not None:
-        cond = cond & (F.col("block_number") >= F.lit(params.start_block))
-    if params.end_block is not None:
+        cond = cond & (F.col("block_number") >= F.lit(params.start_block) if params.start_block <= _INT64_MAX else F.lit(False))
+    if params.end_block is not None and params.end_block <= _INT64_MAX:
         cond = cond & (F.col("block_number") <= F.lit(params.end_block))
     if params.start_time is not None:
         cond = cond & (F.col("timestamp") >= _utc_instant(params.start_time))
@@ -135,9 +136,9 @@ def build_filter(params: TransferQueryParams, normalize: bool = False) -> Column
 def bucket_filter(params: TransferQueryParams) -> Column | None:
     """Derived partition predicate on ``block_bucket`` (Catalyst cannot infer ``div``)."""
     cond = None
-    if params.start_block is not None:
+    if params.start_block is not None and params.start_block <= _INT64_MAX:
         cond = F.col("block_bucket") >= F.lit(params.start_block // BLOCK_BUCKET_SIZE)
-    if params.end_block is not None:
+    if params.end_block is not None and params.end_block <= _INT64_MAX:
         c = F.col("block_bucket") <= F.lit(params.end_block // BLOCK_BUCKET_SIZE)
         cond = c if cond is None else cond & c
     return cond

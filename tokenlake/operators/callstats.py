@@ -27,6 +27,11 @@ def call_counters(call_log: DataFrame) -> DataFrame:
     )
 
 
+def call_errors(call_log: DataFrame) -> DataFrame:
+    """O2: failed calls by (provider, error code)."""
+    return call_log.where(~F.col("ok")).groupBy("provider", "error").agg(F.count(F.lit(1)).alias("errors"))
+
+
 def duration_histogram(call_log: DataFrame, bounds: Sequence[float]) -> DataFrame:
     """O3: cumulative ``le`` bucket counts per (provider, method), long form, '+Inf' last."""
     aggs = [F.count_if(F.col("duration_s") <= b).alias(f"b{i}") for i, b in enumerate(bounds)]
@@ -54,14 +59,14 @@ def block_height(call_log: DataFrame) -> DataFrame:
 def failure_streaks(
     call_log: DataFrame,
     threshold: int = FAILURE_THRESHOLD,
-    bucket_unit: str = "hour",
+    slice_seconds: int = 60,
 ) -> DataFrame:
     """Maximal runs of consecutive failed calls per provider, length >= threshold.
 
     A window over ``provider`` alone would put a hot provider in one task. Runs
-    are found inside (provider, time bucket) instead, and runs that touch a
-    bucket edge are stitched in a second, small step over one summary row per
-    bucket:
+    are found inside (provider, time bucket of ``slice_seconds``) instead, so a busy hour
+    of one provider is many tasks, and runs that touch a bucket edge are stitched in a
+    second step over one summary row per bucket:
 
     1. inside a bucket, a failure's run id is the number of successes before it;
        runs not touching either edge are final;
@@ -76,7 +81,7 @@ def failure_streaks(
         "ts",
         "seq",
         "ok",
-        F.date_trunc(bucket_unit, F.col("ts")).alias("bucket"),
+        F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) div {slice_seconds}").alias("bucket"),
     )
     okint = F.col("ok").cast("int")
     w_run = Window.partitionBy("provider", "bucket").orderBy("ts", "seq").rowsBetween(

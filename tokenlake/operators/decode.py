@@ -19,10 +19,6 @@ from ..schemas import (
     TRANSFER_TOPIC,
 )
 
-# Largest block range whose headers are broadcast to the log side of J1: one
-# header per block, ~16 bytes each, so this bounds the broadcast at ~16 MB.
-MAX_BROADCAST_BLOCKS = 1_000_000
-
 
 def topic0(topics: Column) -> Column:
     return F.lower(F.try_element_at(topics, F.lit(1)))
@@ -63,36 +59,13 @@ def one_header_per_block(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("block_number").agg(F.min("block_time").alias("block_time"))
 
 
-def blocks_in_range(blocks: DataFrame, from_block: int, to_block: int) -> DataFrame:
-    """Headers of a bounded range, one per block: safe to broadcast (size <= range)."""
-    return one_header_per_block(blocks.where(F.col("block_number").between(from_block, to_block)))
-
-
-def attach_block_time(
-    logs: DataFrame,
-    blocks: DataFrame,
-    strict: bool = False,
-    block_range: tuple[int, int] | None = None,
-) -> DataFrame:
-    """Every log gets its block's time (N:1 equi-join on block_number).
+def attach_block_time(logs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Every log gets its block's time (N:1 equi-join on block_number); the join's kind is left to AQE.
 
-    With a bounded ``block_range`` of at most MAX_BROADCAST_BLOCKS blocks the
-    header side is broadcast; otherwise the join is left to AQE (sort-merge on
-    block_number for a backfill, broadcast if the runtime size turns out small).
-    ``strict`` fails the job on a missing header, like the reference's batch;
-    by default such logs are kept with reject reason ``missing_block``.
+    Logs without a header get reject reason ``missing_block`` unless a guard rejects them already;
+    their ``block_time`` is NULL, which is what ``require_headers`` and ingestion look at.
     """
-    if block_range is not None:
-        lo, hi = block_range
-        b = blocks_in_range(blocks, lo, hi)
-        if hi - lo + 1 <= MAX_BROADCAST_BLOCKS:
-            b = F.broadcast(b)
-    else:
-        b = one_header_per_block(blocks)
-    j = logs.join(b, "block_number", "left")
-    if strict:
-        missing = F.raise_error(F.concat(F.lit("missing block header for block "), F.col("block_number").cast("string")))
-        return j.withColumn("block_time", F.coalesce(F.col("block_time"), missing.cast("bigint")))
+    j = logs.join(one_header_per_block(blocks), "block_number", "left")
     if "reject_reason" in j.columns:
         reason = F.coalesce(
             F.col("reject_reason"),
@@ -102,10 +75,22 @@ def attach_block_time(
     return j
 
 
+class MissingHeaders(RuntimeError):
+    """Transfer logs whose block header is not known."""
+
+
+def require_headers(logs: DataFrame, blocks: DataFrame) -> None:
+    """Raises MissingHeaders if a log with the Transfer topic has no header, whatever the guards say of it."""
+    missing = scan_transfer_logs(logs).select("block_number").distinct().join(blocks, "block_number", "left_anti")
+    first = missing.agg(F.min("block_number").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    if first.n:
+        raise MissingHeaders(f"{first.n} blocks without a header, the first is {first.b}")
+
+
 def record_columns(logs: DataFrame) -> DataFrame:
     """P5-P7 (no amount arithmetic): key, chain position, addresses and value hex.
 
-    Enough for first-wins dedup; ``decode_accepted`` adds the amounts.
+    Enough for first-wins dedup; ``decode_amounts`` adds the amounts.
     """
     cols = [
         F.lower(F.col("address")).alias("token"),
@@ -124,11 +109,6 @@ def record_columns(logs: DataFrame) -> DataFrame:
     return logs.select(*cols)
 
 
-def decode_accepted(logs: DataFrame) -> DataFrame:
-    """P5-P14 on accepted logs with ``block_time``: the stored transfer record."""
-    return decode_amounts(record_columns(logs))
-
-
 def decode_amounts(records: DataFrame) -> DataFrame:
     """P8-P14 on ``record_columns`` output: exact amounts, text, Decimal128 parity, time."""
     d = records.withColumn("event_signature", F.lit(EVENT_SIGNATURE))
@@ -146,20 +126,13 @@ def decode_amounts(records: DataFrame) -> DataFrame:
     return d.select(*TRANSFER_COLUMNS)
 
 
-def decode_logs(
-    raw: DataFrame,
-    blocks: DataFrame,
-    strict: bool = False,
-    block_range: tuple[int, int] | None = None,
-    first_wins: bool = False,
-) -> tuple[DataFrame, DataFrame]:
+def decode_logs(raw: DataFrame, blocks: DataFrame, first_wins: bool = False) -> tuple[DataFrame, DataFrame]:
     """Full decode: (transfers, rejects). Rejects keep the raw columns and a reason.
 
     ``first_wins`` dedups (D1) on the record columns before the amount arithmetic,
     so only the winners are decoded and the shuffle carries narrow rows.
     """
-    # strict: a missing header fails the job whatever the guards say, like the reference's batch
-    timed = attach_block_time(classify(raw), blocks, strict=strict, block_range=block_range)
+    timed = attach_block_time(classify(raw), blocks)
     accepted = timed.where(F.col("reject_reason").isNull()).drop("reject_reason")
     rejects = timed.where(F.col("reject_reason").isNotNull())
     records = record_columns(accepted)
@@ -168,18 +141,13 @@ def decode_logs(
     return decode_amounts(records), rejects
 
 
-def transfers_from_raw(
-    raw: DataFrame,
-    blocks: DataFrame,
-    block_range: tuple[int, int] | None = None,
-    first_wins: bool = False,
-) -> DataFrame:
+def transfers_from_raw(raw: DataFrame, blocks: DataFrame, first_wins: bool = False) -> DataFrame:
     """Accepted, decoded transfers; guards run before the join so rejects never shuffle.
 
     ``first_wins`` dedups (D1) before the amount arithmetic, as in ``decode_logs``.
     """
     accepted = classify(raw).where(F.col("reject_reason").isNull()).drop("reject_reason")
-    timed = attach_block_time(accepted, blocks, strict=False, block_range=block_range)
+    timed = attach_block_time(accepted, blocks)
     records = record_columns(timed.where(F.col("block_time").isNotNull()))
     if first_wins:
         records = DD.dedup_transfers(records)

@@ -1,15 +1,16 @@
 """Transfer store on Parquet: insert-ignore (K1/J2), progress upsert (K2), layout (K4), feed (K3).
 
-Plain Parquet has no transactions, so every batch is written to its own
-directory ``data/batch=<id>`` (overwritten on retry) and becomes visible only
-when its marker ``_commits/<id>`` exists. The marker is one JSON line holding
-the batch's progress mark and counters, published last by an atomic rename. A
-lost executor or a crash before the marker leaves an invisible directory that
-the retry overwrites, so replays add nothing. The feed is a view of the
-committed batches in batch order.
-
-Batch ids are ``<run id>-<batch number>``: a stream restarted with a new
-checkpoint restarts its batch numbers, the run id keeps them apart.
+Plain Parquet has no transactions, so an attempt writes its rows to ``_staging`` and one small log
+entry commits them: ``_log/gen=<g>/<seq>.json``, created only if no entry has that number yet. The
+rows are then moved to ``data/seq=<seq>``, so readers read ``data`` as it is and need no list of
+batches. A crash before the entry leaves nothing visible; a crash between the entry and the move is
+finished by the next reader or writer. Two writers that started from the same number cannot
+both commit: the second fails with ``ConcurrentCommit`` and tries again on what the first has stored, which keeps
+(tx_hash, log_index) unique. Renaming must be atomic and fail on an existing target: local disks and
+HDFS do that, object stores such as S3 do not and need a file system layer that does.
+
+Entries carry progress (K2) and counters (O1). Every ``GENERATION`` entries they are rolled up into one
+Parquet table, so a reader opens that table and the entries after it, never the older ones.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ import json
 import uuid
 from datetime import datetime, timedelta, timezone
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import PROCESSED_BLOCK_SCHEMA, VALUE_PARTS_TYPE
+from ..schemas import BLOCK_BUCKET_SIZE, FEED_JSON_KEYS, PROCESSED_BLOCK_SCHEMA, VALUE_PARTS_TYPE
+from . import decode as D
 from . import dedup as DD
 
 TRANSFER_STORE_SCHEMA = T.StructType(
@@ -48,326 +49,270 @@ TRANSFER_STORE_SCHEMA = T.StructType(
     ]
 )
 
+STORED_SCHEMA = T.StructType(TRANSFER_STORE_SCHEMA.fields + [T.StructField("seq", T.LongType())])
 
-COMPACTION_PREFIX = "compact-"
-
-# Largest batch (keys after in-batch dedup) whose keys are broadcast to probe the
-# store: ~100 bytes per key, so at most ~200 MB on each executor.
-MAX_BROADCAST_KEYS = 2_000_000
+#: log entries in a folder, rolled up when it is full
+GENERATION = 1000
 
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 BATCH_COUNTERS = ["rows_read", "rejected_topic_count", "rejected_signature", "rejected_data_length",
                   "missing_block", "accepted"]
-MARKER_SCHEMA = T.StructType(
-    [T.StructField("batch", T.StringType()), T.StructField("end_block", T.LongType()),
-     T.StructField("marked_at_us", T.LongType()), T.StructField("inserted", T.LongType()),
-     T.StructField("from_block", T.LongType()), T.StructField("started_us", T.LongType())]
-    + [T.StructField(c, T.LongType()) for c in BATCH_COUNTERS]
+ENTRY_SCHEMA = T.StructType(
+    [T.StructField(c, T.LongType()) for c in ("seq", "covered_from", "covered_to", "from_block", "to_block",
+                                              "marked_at_us", "started_us", "inserted", *BATCH_COUNTERS)]
+    + [T.StructField(c, T.StringType()) for c in ("batch", "status", "error_type", "staging")]
 )
 
-BATCH_LOG_SCHEMA = T.StructType(
-    [T.StructField("batch", T.StringType()), T.StructField("from_block", T.LongType()), T.StructField("to_block", T.LongType())]
-    + [
-        T.StructField(c, T.LongType())
-        for c in ("rows_read", "rejected_topic_count", "rejected_signature", "rejected_data_length",
-                  "missing_block", "accepted", "inserted", "duplicates")
-    ]
-    + [
-        T.StructField("started_at", T.TimestampType()),
-        T.StructField("duration_s", T.DoubleType()),
-        T.StructField("status", T.StringType()),
-    ]
-)
+
+class ConcurrentCommit(RuntimeError):
+    """Another writer has committed since this batch was compared with the store."""
 
 
-class _FS:
-    """Hadoop FileSystem calls (work for local, HDFS and object-store paths)."""
+class Files:
+    """Hadoop FileSystem calls on the store's small files and folders."""
 
     def __init__(self, spark: SparkSession, root: str):
-        jvm = spark.sparkContext._jvm
-        self._jvm = jvm
+        self._jvm = jvm = spark.sparkContext._jvm
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._path = jvm.org.apache.hadoop.fs.Path
-        self.fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.fs = self._path(root).getFileSystem(self._conf)
+        self._gateway = spark.sparkContext._gateway
 
     def exists(self, p: str) -> bool:
         return bool(self.fs.exists(self._path(p)))
 
-    def write_text(self, p: str, text: str, tmp_dir: str | None = None) -> None:
-        """Publish a small file atomically: write a temporary name, then rename.
-
-        ``tmp_dir`` keeps the temporary file out of the target folder (which a
-        stream may be listing).
-        """
-        name = f"{p.rsplit('/', 1)[-1]}.tmp-{uuid.uuid4().hex[:8]}"
-        tmp = f"{tmp_dir}/{name}" if tmp_dir else f"{p}.tmp-{uuid.uuid4().hex[:8]}"
-        if tmp_dir:
-            self.fs.mkdirs(self._path(tmp_dir))
-            self.fs.mkdirs(self._path(p.rsplit("/", 1)[0]))
-        out = self.fs.create(self._path(tmp), True)
+    def move(self, source: str, target: str) -> bool:
+        """Renames; False if the target is there already."""
+        options = self._jvm.org.apache.hadoop.fs.Options.Rename
+        none = self._gateway.new_array(options, 1)
+        none[0] = options.NONE
+        self.fs.mkdirs(self._path(target).getParent())
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(target).toUri(), self._conf) if "://" in target else (
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._conf)
+        )
+        try:
+            context.rename(self._path(source), self._path(target), none)
+        except Exception:  # noqa: BLE001 - the Java exception differs between file systems
+            if self.exists(target):
+                return False
+            raise
+        return True
+
+    def write_text(self, p: str, text: str) -> None:
+        out = self.fs.create(self._path(p), True)
         try:
             out.write(bytearray(text.encode("utf-8")))
         finally:
             out.close()
-        if not self.fs.rename(self._path(tmp), self._path(p)):
-            self.fs.delete(self._path(tmp), False)
-            if not self.exists(p):
-                raise RuntimeError(f"could not publish {p}")
 
     def read_text(self, p: str) -> str:
         stream = self.fs.open(self._path(p))
         try:
-            reader = self._jvm.java.io.BufferedReader(self._jvm.java.io.InputStreamReader(stream, "UTF-8"))
-            lines = []
-            line = reader.readLine()
-            while line is not None:
-                lines.append(line)
-                line = reader.readLine()
-            return "\n".join(lines)
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
         finally:
             stream.close()
 
-    def list_names(self, p: str) -> list[str]:
+    def names(self, p: str) -> list[str]:
         if not self.exists(p):
             return []
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(p)))
 
-
-# Batches above this many rows are range-partitioned (one sampling pass) so that
-# files hold disjoint token ranges; smaller ones are spread round-robin.
-RANGE_LAYOUT_ROWS = 4_000_000
-MIN_ROWS_PER_FILE = 100_000
+    def statuses(self, p: str) -> list[tuple[str, int, int]]:
+        """(path, bytes, modification time) of a file, or of all files under a folder, by path."""
+        if not self.exists(p):
+            return []
+        files, out = self.fs.listFiles(self._path(p), True), []
+        while files.hasNext():
+            s = files.next()
+            out.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+        return sorted(out)
 
 
-def write_layout(df: DataFrame, path: str, rows: int | None = None, mode: str = "overwrite") -> None:
-    """K4: partition directories by ``block_bucket``, rows sorted by (token, block) in each file.
+def write_layout(rows: DataFrame, path: str) -> None:
+    """K4: folders by ``block_bucket``, files with ranges of (token, block), rows sorted by them in each file.
 
-    Sorted files let Parquet row-group min/max prune token and block filters the
-    way the reference's indexes do. Large writes are range-partitioned on
-    (block_bucket, token, block, key): files then hold disjoint token ranges, and
-    the block and key columns let a hot token spread over several files.
+    One layout for every size: rows are dealt by range on (bucket, token, block, key), so files hold disjoint
+    token ranges, a hot token spreads over several files, and min/max of files and row groups prune
+    token and block filters. ``rows`` may still be without amounts (``record_columns``): the range
+    partitioner reads its input twice, so the amount arithmetic comes after it.
     """
-    if rows is None or rows > RANGE_LAYOUT_ROWS:
-        # partition count from spark.sql.shuffle.partitions, coalesced by AQE to the data size
-        laid = df.repartitionByRange("block_bucket", "token", "block_number", "tx_hash", "log_index")
-    else:
-        # files of at least MIN_ROWS_PER_FILE rows, written by up to one task per core
-        cores = max(1, df.sparkSession.sparkContext.defaultParallelism)
-        laid = df.repartition(max(1, min(cores, rows // MIN_ROWS_PER_FILE)))
-    laid.sortWithinPartitions("token", "block_number").write.mode(mode).partitionBy("block_bucket").parquet(path)
+    bucket = F.expr(f"block_number div {BLOCK_BUCKET_SIZE}")
+    laid = rows.repartitionByRange(bucket, "token", "block_number", "tx_hash", "log_index")
+    if "value_parts" not in rows.columns:
+        laid = D.decode_amounts(laid)
+    # the writer wants rows grouped by folder: with block_bucket first it keeps this order
+    ordered = laid.select(*TRANSFER_STORE_SCHEMA.fieldNames()).sortWithinPartitions("block_bucket", "token", "block_number")
+    ordered.write.mode("overwrite").partitionBy("block_bucket").parquet(path)
 
 
 class TransferStore:
-    """Committed batches of transfers, their progress marks and batch log.
-
-    A batch's commit marker ``_commits/<id>`` is one JSON line: the batch id, the
-    end block it marks as processed, the time, and the batch's counters. It is
-    published last and atomically, so data, progress (K2) and the batch log (O1)
-    become visible together.
-    """
+    """Committed transfers, their progress marks and the batch log."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.fs = _FS(spark, self.root)
+        self.fs = Files(spark, self.root)
 
     # --- paths
-    def _data(self, batch_id: str) -> str:
-        return f"{self.root}/data/batch={batch_id}"
+    def _data(self, seq: int) -> str:
+        return f"{self.root}/data/seq={seq:012d}"
+
+    def staging(self, name: str) -> str:
+        return f"{self.root}/_staging/{name}"
 
-    def _commit(self, batch_id: str) -> str:
-        return f"{self.root}/_commits/{batch_id}"
+    def _entry(self, seq: int) -> str:
+        return f"{self.root}/_log/gen={(seq - 1) // GENERATION:09d}/{seq:012d}.json"
 
-    def _data_batches(self) -> set[str]:
-        """Batch ids with a data folder (one listing, not one call per batch)."""
-        return {n.split("=", 1)[1] for n in self.fs.list_names(f"{self.root}/data") if n.startswith("batch=")}
+    def _done(self, batch_id: str) -> str:
+        return f"{self.root}/_batches/{batch_id}"
 
-    def committed(self) -> list[str]:
-        return [n for n in self.fs.list_names(f"{self.root}/_commits") if ".tmp-" not in n]
+    # --- the log
+    def last_seq(self) -> int:
+        """Number of the last entry, 0 if there is none; finishes what a crash left between entry and move."""
+        generations = self.fs.names(f"{self.root}/_log")
+        if not generations:
+            return 0
+        seq = max(int(n[:12]) for n in self.fs.names(f"{self.root}/_log/{generations[-1]}"))
+        entry = json.loads(self.fs.read_text(self._entry(seq)))
+        self._settle(entry)
+        return seq
+
+    def _settle(self, entry: dict) -> None:
+        name = entry.get("staging")
+        for source, target in ((name, self._data(entry["seq"])), (f"{name}-quarantine", f"{self.root}/quarantine/seq={entry['seq']:012d}")):
+            if name and self.fs.exists(self.staging(source)):
+                self.fs.move(self.staging(source), target)
+        if entry["status"] == "ok":
+            self.fs.write_text(self._done(entry["batch"]), str(entry["seq"]))
+
+    def entries(self) -> DataFrame:
+        """All log entries: the last roll-up and the entries after it."""
+        self.last_seq()
+        rolled = [n for n in self.fs.names(f"{self.root}/_rollup") if n.startswith("upto=")]
+        upto = int(rolled[-1].split("=")[1]) if rolled else 0
+        open_ = [n for n in self.fs.names(f"{self.root}/_log") if int(n.split("=")[1]) * GENERATION >= upto]
+        parts = []
+        if rolled:
+            parts.append(self.spark.read.schema(ENTRY_SCHEMA).parquet(f"{self.root}/_rollup/{rolled[-1]}"))
+        if open_:
+            parts.append(self.spark.read.schema(ENTRY_SCHEMA).json([f"{self.root}/_log/{n}" for n in open_]))
+        if not parts:
+            return self.spark.createDataFrame([], ENTRY_SCHEMA)
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def _append(self, entry: dict, seq: int) -> None:
+        """Creates entry ``seq``: the commit."""
+        entry = entry | {"seq": seq, "marked_at_us": (datetime.now(timezone.utc) - _EPOCH) // timedelta(microseconds=1)}
+        tmp = self.staging(f"entry-{uuid.uuid4().hex}")
+        self.fs.write_text(tmp, json.dumps(entry) + "\n")
+        if not self.fs.move(tmp, self._entry(seq)):
+            raise ConcurrentCommit(f"entry {seq} of {self.root} is taken")
+        self._settle(entry)
+        if seq % GENERATION == 0:
+            tmp = self.staging(f"rollup-{uuid.uuid4().hex}")
+            self.entries().coalesce(1).write.parquet(tmp)
+            self.fs.move(tmp, f"{self.root}/_rollup/upto={seq:012d}")
 
     def is_committed(self, batch_id: str) -> bool:
-        return self.fs.exists(self._commit(batch_id))
+        self.last_seq()
+        return self.fs.exists(self._done(batch_id))
+
+    def committed(self) -> DataFrame:
+        return self.entries().where("status = 'ok'").select("seq", "batch")
 
     # --- reads
-    def _compacted(self, compaction_id: str) -> str:
-        return f"{self.root}/compacted/{compaction_id}"
-
-    def _compactions(self) -> dict[str, list[str]]:
-        """Committed compactions and the batches each one replaces (small marker files)."""
-        out = {}
-        for cid in self.committed():
-            if cid.startswith(COMPACTION_PREFIX):
-                out[cid] = json.loads(self.fs.read_text(self._commit(cid)))["supersedes"]
-        return out
-
-    def _committed_data(self) -> DataFrame | None:
-        """Committed rows with their origin batch id: live batch directories plus compactions."""
-        compactions = self._compactions()
-        superseded = {b for ids in compactions.values() for b in ids}
-        schema = T.StructType(TRANSFER_STORE_SCHEMA.fields + [T.StructField("batch", T.StringType())])
-        parts = []
-        present = self._data_batches()
-        paths = [self._data(b) for b in self.committed()
-                 if b not in superseded and b not in compactions and b in present]
-        if paths:
-            parts.append(self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*paths))
-        for cid in sorted(compactions):
-            if cid not in superseded and self.fs.exists(self._compacted(cid)):
-                parts.append(
-                    self.spark.read.schema(schema).option("basePath", self._compacted(cid)).parquet(self._compacted(cid))
-                )
-        if not parts:
-            return None
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-
-    def compact(self, min_batches: int = 2) -> str | None:
-        """Rewrite the live batch directories as one range-laid-out dataset.
-
-        Long-running streams leave one directory (and small files) per micro-batch;
-        compaction keeps each row's origin batch id (feed order), then publishes a
-        marker listing the batches it replaces, so readers switch atomically. The
-        replaced directories stay until removed; progress and batch-log entries are
-        untouched. Returns the compaction id, or None when there is too little to do.
-        """
-        compactions = self._compactions()
-        superseded = {b for ids in compactions.values() for b in ids}
-        present = self._data_batches()
-        live = [b for b in self.committed() if b not in superseded and b not in compactions and b in present]
-        live += [c for c in compactions if c not in superseded]
-        if len(live) < min_batches:
-            return None
-        cid = f"{COMPACTION_PREFIX}{datetime.now(timezone.utc):%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
-        rows = self._committed_data()
-        write_layout(rows, self._compacted(cid))
-        marker = json.dumps({"batch": cid, "supersedes": sorted(live)}) + "\n"
-        self.fs.write_text(self._commit(cid), marker, tmp_dir=f"{self.root}/_commits_tmp")
-        return cid
+    def read_stored(self) -> DataFrame:
+        """Committed rows with ``seq``, the number of the batch that inserted them."""
+        self.last_seq()
+        if not self.fs.names(f"{self.root}/data"):
+            return self.spark.createDataFrame([], STORED_SCHEMA)
+        return self.spark.read.schema(STORED_SCHEMA).parquet(f"{self.root}/data")
 
     def read(self) -> DataFrame:
         """Every committed transfer; partition column ``block_bucket`` is pruned by filters."""
-        d = self._committed_data()
-        if d is None:
-            return self.spark.createDataFrame([], TRANSFER_STORE_SCHEMA)
-        return d.drop("batch")
-
-    def read_batches(self, batch_ids: list[str]) -> DataFrame | None:
-        """The rows of the given batches, with column ``batch``."""
-        present = self._data_batches()
-        paths = [self._data(b) for b in batch_ids if b in present]
-        if not paths:
-            return None
-        schema = T.StructType(TRANSFER_STORE_SCHEMA.fields + [T.StructField("batch", T.StringType())])
-        return self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*paths)
+        return self.read_stored().drop("seq")
 
     def read_batch(self, batch_id: str) -> DataFrame:
         """The rows one batch inserted."""
-        return self.spark.read.schema(TRANSFER_STORE_SCHEMA).option("basePath", self._data(batch_id)).parquet(
-            self._data(batch_id)
-        )
+        if not self.is_committed(batch_id):
+            raise KeyError(f"batch {batch_id} is not committed")
+        return self.read_stored().where(F.col("seq") == int(self.fs.read_text(self._done(batch_id)))).drop("seq")
+
+    def quarantined(self, schema: T.StructType) -> DataFrame:
+        """Raw logs kept aside because their block's header was missing."""
+        path = f"{self.root}/quarantine"
+        return self.spark.read.schema(schema).parquet(path) if self.fs.exists(path) else self.spark.createDataFrame([], schema)
 
     def keys(self) -> DataFrame:
         """The narrow key dataset of the unique index: (tx_hash, log_index)."""
         return self.read().select("tx_hash", "log_index")
 
-    def _markers(self) -> DataFrame | None:
-        ids = self.committed()
-        if not ids:
-            return None
-        return self.spark.read.schema(MARKER_SCHEMA).json([self._commit(b) for b in ids])
-
     def progress(self) -> DataFrame:
         """K2 view: one row per marked block, the latest mark wins (upsert by block_number)."""
-        m = self._markers()
-        if m is None:
-            return self.spark.createDataFrame([], PROCESSED_BLOCK_SCHEMA)
-        marks = m.where(F.col("end_block").isNotNull()).select(
-            F.col("end_block").alias("block_number"), F.timestamp_micros("marked_at_us").alias("processed_at")
-        )
-        return upsert_progress(marks)
+        marks = self.entries().where("status = 'ok' AND covered_to IS NOT NULL")
+        return upsert_progress(marks.select(F.col("covered_to").alias("block_number"), F.timestamp_micros("marked_at_us").alias("processed_at")))
 
-    def last_processed_block(self) -> int:
-        """Highest processed block, 0 if none."""
-        return int(last_processed(self.progress()).first()["last_block"])
+    def last_processed_block(self, start_block: int | None = None) -> int:
+        """The block up to which everything from ``start_block`` on is ingested, 0 if nothing is."""
+        return int(contiguous_progress(self.entries(), start_block).first()["last_block"])
 
     def batch_log(self) -> DataFrame:
-        """One row per committed batch that recorded counters."""
-        m = self._markers()
-        if m is None:
-            return self.spark.createDataFrame([], BATCH_LOG_SCHEMA)
-        m = m.where(F.col("from_block").isNotNull())
-        return m.select(
-            "batch", "from_block", F.col("end_block").alias("to_block"), *BATCH_COUNTERS, "inserted",
+        """One row per batch that recorded counters, failed ones included."""
+        return self.entries().where("started_us IS NOT NULL").select(
+            "batch", "from_block", "to_block", *BATCH_COUNTERS, "inserted",
             (F.col("accepted") - F.col("inserted")).alias("duplicates"),
             F.timestamp_micros("started_us").alias("started_at"),
             ((F.col("marked_at_us") - F.col("started_us")) / 1e6).alias("duration_s"),
-            F.lit("ok").alias("status"),
-        )
-
-    def commits_dir(self) -> str:
-        return f"{self.root}/_commits"
+            "status", "error_type",
+        )
 
     def feed(self) -> DataFrame:
-        """K3: every committed transfer as JSON, tagged with its batch (batch order = publish order)."""
-        d = self._committed_data()
-        if d is None:
-            return self.spark.createDataFrame([], "batch string, block_number long, log_index int, tx_hash string, json string")
-        return d.select("batch", "block_number", "log_index", "tx_hash", transfer_json().alias("json"))
+        """K3: every committed transfer as JSON; ``seq`` is the publish order of the batches."""
+        return self.read_stored().select("seq", "block_number", "log_index", "tx_hash", transfer_json().alias("json"))
 
     # --- writes (K1, K2, O1)
-    def insert_ignore(self, transfers: DataFrame, batch_id: str, end_block: int | None = None,
-                      log: dict | None = None, deduped: bool = False) -> int:
+    def insert_ignore(self, transfers: DataFrame, batch_id: str, covered: tuple[int, int] | None = None,
+                      log: dict | None = None, deduped: bool = False, quarantine: DataFrame | None = None) -> int:
         """K1: append the batch's rows whose key is not stored yet; first wins, globally.
 
-        In-batch duplicates go first (D1; skipped when the caller already did it
-        with ``deduped=True``), then an anti-join against every stored
-        key; it is never pruned by block range, because a key may come back in
-        another block after a reorganisation. Returns rows inserted. A batch that
-        is already committed is skipped (retry after success); an uncommitted
-        attempt's directory is overwritten.
+        In-batch duplicates go first (D1; skipped when the caller already did it with
+        ``deduped=True``), then an anti-join against every stored key; it is never pruned by block
+        range, because a key may come back in another block after a reorganisation. ``covered`` is
+        the block range that the batch has ingested in full (K2). Returns rows inserted; a batch that is
+        already committed is skipped (retry after success).
         """
         if self.is_committed(batch_id):
             return 0
-        key = ["tx_hash", "log_index"]
-        # the batch after in-batch dedup is kept: it is counted (size check), then
-        # joined and written; lost blocks are recomputed from lineage
-        batch = transfers if deduped else DD.dedup_transfers(transfers)  # D1 within the batch
-        batch = batch.select(*TRANSFER_STORE_SCHEMA.fieldNames())
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            n = batch.count()
-            fresh = batch
-            if self.committed():
-                stored = self.keys()
-                if n <= MAX_BROADCAST_KEYS:
-                    # proven bound: at most MAX_BROADCAST_KEYS batch keys are broadcast;
-                    # the store's key columns are scanned once and never shuffled, and
-                    # the keys found (no more than the batch's) are removed
-                    found = stored.join(F.broadcast(batch.select(*key)), key, "left_semi")
-                    fresh = batch.join(F.broadcast(found), key, "left_anti")
-                else:
-                    fresh = batch.join(stored, key, "left_anti")  # sort-merge, both sides by key
-            write_layout(fresh, self._data(batch_id), rows=n)
-        finally:
-            batch.unpersist()
-        inserted = self.read_batch(batch_id).count()  # Parquet footers only
-        self.commit(batch_id, end_block, log, inserted)
+        seq = self.last_seq() + 1
+        fresh = transfers if deduped else DD.dedup_transfers(transfers)
+        if seq > 1:
+            fresh = fresh.join(self.keys(), ["tx_hash", "log_index"], "left_anti")
+        name = f"{seq:012d}-{uuid.uuid4().hex[:12]}"
+        write_layout(fresh, self.staging(name))
+        inserted = self.spark.read.schema(TRANSFER_STORE_SCHEMA).parquet(self.staging(name)).count()  # Parquet footers only
+        if quarantine is not None:
+            quarantine.write.parquet(self.staging(f"{name}-quarantine"))
+        self._append(_entry(batch_id, "ok", covered, log) | {"inserted": int(inserted), "staging": name}, seq)
         return inserted
 
-    def commit(self, batch_id: str, end_block: int | None, log: dict | None = None, inserted: int = 0) -> None:
-        """Publish the batch: progress mark (K2) and counters (O1) ride in the marker."""
-        now_us = (datetime.now(timezone.utc) - _EPOCH) // timedelta(microseconds=1)
-        rec = {"batch": batch_id, "end_block": end_block, "marked_at_us": now_us, "inserted": int(inserted)}
-        if log is not None:
-            rec.update({c: int(log.get(c, 0)) for c in BATCH_COUNTERS})
-            rec["from_block"] = int(log["from_block"])
-            rec["started_us"] = int(log["started"] * 1_000_000)
-        self.fs.write_text(self._commit(batch_id), json.dumps(rec) + "\n", tmp_dir=f"{self.root}/_commits_tmp")
-
-    def mark_processed(self, block_number: int, batch_id: str) -> None:
+    def mark_processed(self, covered: tuple[int, int], batch_id: str) -> None:
         """K2 on its own: a batch with no data that only marks progress."""
-        self.commit(batch_id, block_number)
+        self._append(_entry(batch_id, "ok", covered, None), self.last_seq() + 1)
+
+    def record_failure(self, batch_id: str, error: BaseException, log: dict | None = None) -> None:
+        """O1: a failed attempt in the batch log, with its error type; it stores nothing and marks nothing."""
+        self._append(_entry(batch_id, "error", None, log) | {"inserted": 0, "error_type": type(error).__name__}, self.last_seq() + 1)
+
+
+def _entry(batch_id: str, status: str, covered: tuple[int, int] | None, log: dict | None) -> dict:
+    entry = {"batch": batch_id, "status": status}
+    if covered is not None and covered[0] <= covered[1]:
+        entry |= {"covered_from": int(covered[0]), "covered_to": int(covered[1])}
+    if log is not None:
+        entry |= {c: int(log.get(c) or 0) for c in BATCH_COUNTERS}
+        entry |= {c: None if log.get(c) is None else int(log[c]) for c in ("from_block", "to_block")}
+        entry["started_us"] = int(log["started"] * 1_000_000)
+    return entry
 
 
 def upsert_progress(marks: DataFrame) -> DataFrame:
@@ -380,23 +325,33 @@ def last_processed(progress: DataFrame) -> DataFrame:
     return progress.agg(F.coalesce(F.max("block_number"), F.lit(0).cast("bigint")).alias("last_block"))
 
 
+def contiguous_progress(entries: DataFrame, start_block: int | None = None) -> DataFrame:
+    """S6 without gaps, as one row ``last_block``: the end of the covered run that starts at
+    ``start_block`` or before it (by default at the first covered block); 0 if there is none.
+
+    One row per batch goes through the window, not one per transfer.
+    """
+    marks = entries.where("status = 'ok' AND covered_to IS NOT NULL").select("covered_from", "covered_to")
+    if start_block is not None:
+        marks = marks.where(F.col("covered_to") >= F.lit(start_block - 1))
+    before = Window.orderBy("covered_from", "covered_to").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.lit(start_block - 1).cast("bigint") if start_block is not None else F.col("covered_from") - 1
+    reached = F.coalesce(F.max("covered_to").over(before), first)
+    if start_block is not None:
+        reached = F.greatest(reached, first)
+    runs = marks.withColumn("reached", reached).withColumn("gap", F.col("covered_from") > F.col("reached") + 1)
+    stop = F.min(F.when(F.col("gap"), F.col("reached")))
+    last = F.coalesce(stop, F.max("covered_to"), F.lit(0).cast("bigint"))
+    if start_block is not None:
+        last = F.when(last < F.lit(start_block), F.lit(0).cast("bigint")).otherwise(last)
+    return runs.agg(last.alias("last_block"))
+
+
 def transfer_json():
     """The record as JSON with the reference's key names; ``value`` as exact text."""
-    return F.to_json(
-        F.struct(
-            F.col("event_signature"),
-            F.col("token"),
-            F.col("from"),
-            F.col("to"),
-            F.col("value_string").alias("value"),
-            F.col("value_string"),
-            F.col("value_decimal"),
-            F.col("block_number"),
-            F.col("tx_hash"),
-            F.col("tx_index"),
-            F.col("log_index"),
-            F.date_format(F.col("timestamp"), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"),
-            F.date_format(F.col("created_at"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("created_at"),
-        )
-    )
-
+    shown = {
+        "value": F.col("value_string"),
+        "timestamp": F.date_format(F.col("timestamp"), "yyyy-MM-dd'T'HH:mm:ssXXX"),
+        "created_at": F.date_format(F.col("created_at"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"),
+    }
+    return F.to_json(F.struct(*[shown.get(k, F.col(k)).alias(k) for k in FEED_JSON_KEYS]))

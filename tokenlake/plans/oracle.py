@@ -77,8 +77,10 @@ TRANSFER_VIEW = """'Transfer' AS event_signature, token, "from", "to", value_hex
 
 CALL_LOG_CTE = """
 call_log AS (
-  SELECT 'p' || CAST(user_id % 4 AS VARCHAR) AS provider, event_type AS method, ts,
-         value AS duration_s, event_type <> 'error' AS ok, event_id AS height, event_id AS seq
+  SELECT 'p' || CAST(user_id % 4 AS VARCHAR) AS provider, 'm' || CAST(event_id % 3 AS VARCHAR) AS method, ts,
+         value AS duration_s, event_type <> 'error' AS ok,
+         CASE WHEN event_type = 'error' THEN CASE WHEN value > 30 THEN 'timeout' ELSE 'server' END END AS error,
+         event_id AS height, event_id AS seq
   FROM events
 )
 """

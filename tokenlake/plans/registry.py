@@ -19,7 +19,7 @@ from ..operators import decode as D
 from ..operators import dedup as DD
 from ..operators import query as Q
 from ..operators import store as ST
-from ..schemas import FEED_BUFFER, RPC_DURATION_BOUNDS, TRANSFER_TOPIC, VALUE_PARTS_TYPE
+from ..schemas import BATCH_DURATION_BOUNDS, FEED_BUFFER, RPC_DURATION_BOUNDS, TRANSFER_TOPIC, VALUE_PARTS_TYPE
 from ..sources import fixtures as FX
 from ..streaming import ingest as I
 from . import oracle as O
@@ -43,7 +43,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def raw_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = D.scan_transfer_logs(V.raw_logs(spark, sf_dir), from_block=1)
+    s = D.scan_transfer_logs(V.raw_logs(spark, sf_dir))
     return s.select(
         "address",
         D.topic0(F.col("topics")).alias("topic0"),
@@ -167,25 +167,13 @@ def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.transfer_view(store.read_batch(batch_id))
 
 
-def _progress_marks(spark: SparkSession, sf_dir: str, upto: int | None = None) -> DataFrame:
-    head = I.chain_head(V.blocks(spark, sf_dir))
-    ranges = I.batch_ranges(spark, 1, head, BATCH)
-    if upto is not None:
-        ranges = ranges.where(F.col("to_block") <= upto)
-    return ranges.select(F.col("to_block").alias("block_number"), F.current_timestamp().alias("processed_at"))
-
-
 def processed_blocks_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K2: one mark per batch end; a replay of blocks 1001-1500 marks its ends again."""
-    marks = _progress_marks(spark, sf_dir)
-    again = marks.where(F.col("block_number").between(1001, 1500)).withColumn(
-        "processed_at", F.col("processed_at") + F.expr("INTERVAL 1 SECOND")
-    )
-    return ST.upsert_progress(marks.unionByName(again)).select("block_number")
+    """K2: the marks that two runs and a forced restart left, one row per block marked."""
+    return SC.restarted_store(spark, sf_dir).progress().select("block_number")
 
 
 def last_processed_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ST.last_processed(SC.L.backfilled_store(spark, sf_dir).progress())
+    return ST.contiguous_progress(SC.L.backfilled_store(spark, sf_dir).entries())
 
 
 def ingest_block_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,9 +181,32 @@ def ingest_block_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resume_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Progress marked up to block 1200, resume with the next batch."""
+    """The first run's progress as stored, resumed with the next batch."""
     head = V.blocks(spark, sf_dir).agg(F.max("block_number").alias("head"))
-    return I.resume_range(_progress_marks(spark, sf_dir, upto=1200), head, 1, BATCH)
+    return I.resume_range(SC.first_run_store(spark, sf_dir).progress(), head, 1, BATCH)
+
+
+def forced_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.transfer_view(SC.restarted_store(spark, sf_dir).read())
+
+
+def backfill_extends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.transfer_view(SC.extended_store(spark, sf_dir).read())
+
+
+def stream_late_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.transfer_view(SC.late_header_store(spark, sf_dir).read())
+
+
+def missing_header_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each log with its place: stored as a transfer, or kept aside for want of a header."""
+    store = SC.quarantine_store(spark, sf_dir)
+    aside = store.quarantined(SC.L.LANDED_LOG_SCHEMA).select(F.lit("quarantined").alias("place"), "tx_hash", "log_index", "block_number")
+    return store.read().select(F.lit("stored").alias("place"), "tx_hash", "log_index", "block_number").unionByName(aside)
+
+
+def rpc_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.transfer_view(SC.rpc_streamed_store(spark, sf_dir).read())
 
 
 def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,17 +219,21 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a late subscriber gets: the oldest FEED_BUFFER published transfers."""
-    feed = SC.streamed_store(spark, sf_dir).feed()
-    first = feed.orderBy("batch", "block_number", "log_index", "tx_hash").limit(FEED_BUFFER)
+    """What a late subscriber gets: the oldest FEED_BUFFER published transfers, in commit order."""
+    feed = SC.restarted_store(spark, sf_dir).feed()
+    first = feed.orderBy("seq", "block_number", "log_index", "tx_hash").limit(FEED_BUFFER)
     return first.select("block_number", "log_index", "tx_hash")
 
 
+FEED_FIELDS = """event_signature string, token string, `from` string, `to` string, value string, value_string string,
+  value_decimal double, block_number long, tx_hash string, tx_index int, log_index int, timestamp string"""
+
+
 def transfer_feed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K3: the JSON lines a feed stream published for every committed batch."""
+    """The JSON lines that a feed stream published, parsed back (all but the wall-clock ``created_at``)."""
     from ..streaming.feed import read_feed
 
-    return read_feed(spark, SC.published_feed(spark, sf_dir))
+    return read_feed(spark, SC.published_feed(spark, sf_dir)).select(F.from_json("json", FEED_FIELDS).alias("t")).select("t.*")
 
 
 def stream_batch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,11 +245,27 @@ def stream_batch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slow_batch_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.slow_batches(SC.streamed_store(spark, sf_dir).batch_log())
+    """O6 over a batch log derived from ``events`` (duration from ``value``), so that the flag has an oracle."""
+    events = FX.read_table(spark, sf_dir, "events")
+    log = events.select(F.concat(F.lit("b"), F.col("event_id").cast("string")).alias("batch"), F.col("event_id").alias("from_block"),
+                        (F.col("event_id") + 9).alias("to_block"), F.col("value").alias("duration_s"))
+    return I.slow_batches(log)
 
 
 def dedup_tx_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(SC.dedup_tx_output(spark, sf_dir))
+    """How often each transaction was kept; which of its logs comes first is up to the source's files."""
+    return spark.read.parquet(SC.dedup_tx_output(spark, sf_dir)).groupBy("tx_hash").agg(F.count(F.lit(1)).alias("kept"))
+
+
+def batch_duration_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1: batch durations in the default bounds, over the batch log derived from ``events``."""
+    events = FX.read_table(spark, sf_dir, "events")
+    log = events.select(F.lit("ingest").alias("provider"), F.lit("batch").alias("method"), F.col("value").alias("duration_s"))
+    return CS.duration_histogram(log, BATCH_DURATION_BOUNDS).select("le", "cumulative_count")
+
+
+def call_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CS.call_errors(FX.call_log(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- call log analytics
@@ -299,12 +330,19 @@ def queries() -> dict[str, Query]:
         "resume_range": resume_range,
         "ingest_counters": ingest_counters,
         "stream_ingest": stream_ingest,
+        "stream_late_headers": stream_late_headers,
+        "missing_header_quarantine": missing_header_quarantine,
+        "rpc_stream_ingest": rpc_stream_ingest,
+        "forced_restart": forced_restart,
+        "backfill_extends": backfill_extends,
         "feed_snapshot": feed_snapshot,
         "transfer_feed_json": transfer_feed_json,
         "dedup_tx_24h": dedup_tx_24h,
         "stream_batch_log": stream_batch_log,
         "slow_batch_flags": slow_batch_flags,
+        "batch_duration_histogram": batch_duration_histogram,
         "call_counters": call_counters,
+        "call_errors": call_errors,
         "call_duration_histogram": call_duration_histogram,
         "call_duration_sum": call_duration_sum,
         "failure_streaks": _streaks(5),
@@ -316,8 +354,6 @@ def queries() -> dict[str, Query]:
 # ---------------------------------------------------------------- oracles
 
 
-def _le_label(b: float) -> str:
-    return CS.le_label(b)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -328,7 +364,7 @@ def oracle_sql() -> dict[str, str]:
     hist_sql = (
         "WITH " + O.CALL_LOG_CTE.strip() + "\n"
         + "\nUNION ALL\n".join(
-            f"SELECT provider, method, '{_le_label(b)}' AS le, count_if(duration_s <= {b}) AS cumulative_count "
+            f"SELECT provider, method, '{CS.le_label(b)}' AS le, count_if(duration_s <= {b}) AS cumulative_count "
             "FROM call_log GROUP BY provider, method"
             for b in RPC_DURATION_BOUNDS
         )
@@ -362,7 +398,7 @@ FROM runs WHERE length >= """
   CAST(CASE WHEN lnum = 7 THEN 4 ELSE 3 END AS INTEGER) AS topic_count,
   '0x' || CASE WHEN tax = 0.08 THEN substr(value_hex, 3) ELSE value_hex END AS data,
   block_number, tx_hash, tx_index, log_index
-FROM logs WHERE NOT (rflag = 'R' AND lstatus = 'O') AND block_number >= 1""",
+FROM logs WHERE NOT (rflag = 'R' AND lstatus = 'O')""",
         "chain_head": wb() + "SELECT max(block_number) AS head FROM logs",
         "decode_rejects": wb()
         + "SELECT COALESCE(reject_reason, 'accepted') AS outcome, count(*) AS n FROM logs GROUP BY 1",
@@ -405,27 +441,24 @@ FROM logs WHERE NOT (rflag = 'R' AND lstatus = 'O') AND block_number >= 1""",
 WHERE block_number >= 1001 AND NOT EXISTS (
   SELECT 1 FROM transfers f WHERE f.block_number BETWEEN 1 AND 1200 AND f.okey = t.okey AND f.lnum = t.lnum)""",
         "processed_blocks_upsert": wb()
-        + """SELECT DISTINCT least(s + 99, h) AS block_number
-FROM (SELECT max(block_number) AS h FROM logs) m, generate_series(1, m.h, 100) AS g(s)""",
+        + f"""SELECT DISTINCT b AS block_number FROM (SELECT max(block_number) AS h FROM logs) m,
+  LATERAL (SELECT unnest(range({SC.TICK}, {SC.SPLIT_BLOCK + 1}, {SC.TICK})) AS b
+           UNION ALL SELECT unnest(range({2 * SC.TICK}, h + 1, {2 * SC.TICK})) UNION ALL SELECT h) x""",
         "last_processed_block": wb() + "SELECT max(block_number) AS last_block FROM logs",
         "ingest_block_range": wb()
         + """SELECT s AS from_block, least(s + 99, h) AS to_block
 FROM (SELECT max(block_number) AS h FROM logs) m, generate_series(1, m.h, 100) AS g(s)""",
-        "resume_range": wb(
-            """r AS (SELECT least(s + 99, h) AS e, h FROM (SELECT max(block_number) AS h FROM logs) m,
-                      generate_series(1, m.h, 100) AS g(s))""",
-            "p AS (SELECT COALESCE(max(e) FILTER (WHERE e <= 1200), 0) AS l, max(h) AS h FROM r)",
-            "n AS (SELECT CASE WHEN l > 0 THEN l + 1 ELSE 1 END AS f, h FROM p)",
-        )
-        + """SELECT f AS from_block, CASE WHEN f > h THEN NULL ELSE least(f + 99, h) END AS to_block,
-  f > h AS noop FROM n""",
+        "resume_range": wb()
+        + f"""SELECT CAST({SC.SPLIT_BLOCK + 1} AS BIGINT) AS from_block,
+  CASE WHEN {SC.SPLIT_BLOCK + 1} > h THEN NULL ELSE least({SC.SPLIT_BLOCK + BATCH}, h) END AS to_block, {SC.SPLIT_BLOCK + 1} > h AS noop
+FROM (SELECT max(block_number) AS h FROM logs)""",
         "ingest_counters": wb(
             """c AS (SELECT (block_number - 1) // 100 AS rid, count(*) AS rows_read,
                   count_if(reject_reason = 'topic_count') AS rejected_topic_count,
                   count_if(reject_reason = 'signature') AS rejected_signature,
                   count_if(reject_reason = 'data_length') AS rejected_data_length,
                   count_if(reject_reason IS NULL) AS accepted
-                FROM logs GROUP BY 1)""",
+                FROM logs WHERE NOT (rflag = 'R' AND lstatus = 'O') GROUP BY 1)""",
             "i AS (SELECT (block_number - 1) // 100 AS rid, count(*) AS inserted FROM transfers GROUP BY 1)",
             "h AS (SELECT max(block_number) AS h FROM logs)",
         )
@@ -434,9 +467,32 @@ FROM (SELECT max(block_number) AS h FROM logs) m, generate_series(1, m.h, 100) A
   COALESCE(inserted, 0) AS inserted, accepted - COALESCE(inserted, 0) AS duplicates, 'ok' AS status
 FROM c LEFT JOIN i USING (rid), h""",
         "stream_ingest": wb() + f"SELECT {O.TRANSFER_VIEW} FROM transfers",
+        "stream_late_headers": wb() + f"SELECT {O.TRANSFER_VIEW} FROM transfers",
+        "rpc_stream_ingest": wb(arrival=False) + f"SELECT {O.TRANSFER_VIEW} FROM transfers",
+        "forced_restart": wb() + f"SELECT {O.TRANSFER_VIEW} FROM transfers",
+        "backfill_extends": wb() + f"SELECT {O.TRANSFER_VIEW} FROM transfers",
+        # a key stays in one block, so leaving out blocks commutes with the dedup
+        "missing_header_quarantine": wb()
+        + f"""SELECT 'stored' AS place, tx_hash, log_index, block_number FROM transfers WHERE block_number % {SC.GAP} <> 0
+UNION ALL SELECT 'quarantined', tx_hash, log_index, block_number FROM logs
+WHERE block_number % {SC.GAP} = 0 AND NOT (rflag = 'R' AND lstatus = 'O')""",
         "feed_snapshot": wb()
-        + "SELECT block_number, log_index, tx_hash FROM transfers ORDER BY block_number, log_index, tx_hash LIMIT "
-        + str(FEED_BUFFER),
+        + f"""SELECT block_number, log_index, tx_hash FROM transfers WHERE block_number % {SC.LATE} <> 0
+ORDER BY CASE WHEN block_number <= {SC.SPLIT_BLOCK} THEN (block_number - 1) // {SC.TICK} ELSE 1000000 END,
+  block_number, log_index, tx_hash LIMIT {FEED_BUFFER}""",
+        "transfer_feed_json": wb()
+        + """SELECT 'Transfer' AS event_signature, token, "from", "to", value_string AS value, value_string, value_decimal, block_number,
+  tx_hash, tx_index, log_index, strftime("timestamp", '%Y-%m-%dT%H:%M:%SZ') AS "timestamp" FROM transfers""",
+        "dedup_tx_24h": wb() + "SELECT DISTINCT tx_hash, CAST(1 AS BIGINT) AS kept FROM decoded",
+        "slow_batch_flags": """SELECT 'b' || event_id AS batch, event_id AS from_block, event_id + 9 AS to_block, value AS duration_s,
+  value > 12 AS slow FROM events""",
+        "batch_duration_histogram": "\nUNION ALL\n".join(
+            f"SELECT '{CS.le_label(b)}' AS le, count_if(value <= {b}) AS cumulative_count FROM events" for b in BATCH_DURATION_BOUNDS
+        )
+        + "\nUNION ALL\nSELECT '+Inf' AS le, count(*) AS cumulative_count FROM events",
+        "call_errors": "WITH "
+        + O.CALL_LOG_CTE.strip()
+        + "\nSELECT provider, error, count(*) AS errors FROM call_log WHERE NOT ok GROUP BY provider, error",
         "stream_batch_log": wb()
         + f"""SELECT CAST({SC.STREAM_FILES // SC.FILES_PER_TRIGGER} AS BIGINT) AS batches, count(*) AS rows_read,
   count_if(reject_reason = 'topic_count') AS rejected_topic_count,
@@ -444,7 +500,7 @@ FROM c LEFT JOIN i USING (rid), h""",
   count_if(reject_reason = 'data_length') AS rejected_data_length, CAST(0 AS BIGINT) AS missing_block,
   count_if(reject_reason IS NULL) AS accepted, (SELECT count(*) FROM transfers) AS inserted,
   count_if(reject_reason IS NULL) - (SELECT count(*) FROM transfers) AS duplicates
-FROM logs""",
+FROM logs WHERE NOT (rflag = 'R' AND lstatus = 'O')""",
         "call_counters": "WITH "
         + O.CALL_LOG_CTE.strip()
         + "\nSELECT provider, method, count(*) AS requests, count_if(NOT ok) AS errors "

@@ -6,15 +6,12 @@ in the shared checkpoint folder, and returns a TransferStore to query.
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import decode as D
-from ..operators.store import TransferStore, _FS
-from ..schemas import RAW_LOG_WITH_ARRIVAL_SCHEMA
-from ..session import scratch_path
+from ..operators.store import TransferStore
+from ..schemas import BLOCK_SCHEMA
 from ..sources import landing as L
 from ..streaming import ingest as I
 
@@ -22,50 +19,151 @@ STREAM_FILES = 8  # raw-log files the node "produces" over time
 FILES_PER_TRIGGER = 2
 SPLIT_BLOCK = 1200  # first backfill ends here; the replayed batch starts before it
 REPLAY_FROM = 1001
+TICK = 400  # blocks of a tick in the range scenarios
+LATE = 7  # logs of every LATE-th block arrive late
+GAP = 50  # headers of every GAP-th block are missing
+
+
+def _in_block_order(raw: DataFrame, write) -> None:
+    """``raw`` cut into STREAM_FILES ranges of blocks, given to ``write`` one after another, oldest first,
+    as a node would deliver them. One file each on purpose: the stream takes files in order."""
+    lo, hi = raw.agg(F.min("block_number"), F.max("block_number")).first()
+    step = max(1, -(-(hi - lo + 1) // STREAM_FILES))
+    for k in range(STREAM_FILES):
+        part = raw.where(F.col("block_number").between(lo + k * step, lo + (k + 1) * step - 1))
+        write(part.repartitionByRange(1, "block_number").sortWithinPartitions("block_number"))
 
 
 def stream_input(spark: SparkSession, sf_dir: str) -> str:
-    """Landed raw logs re-cut into STREAM_FILES files of consecutive block ranges,
-    written one after another, as a node would deliver them (oldest first)."""
-    path = os.path.join(L.land_root(spark, sf_dir), "stream_input")
+    """Landed raw logs as STREAM_FILES Parquet files of consecutive block ranges."""
+    path = f"{L.land_root(spark, sf_dir)}/stream_input"
 
     def write(p: str) -> None:
-        raw = L.landed_raw_logs(spark, sf_dir)
-        head = I.chain_head(L.landed_blocks(spark, sf_dir))
-        step = max(1, -(-head // STREAM_FILES))
-        for k in range(STREAM_FILES):
-            lo, hi = k * step + 1, (k + 1) * step
-            part = raw.where(F.col("block_number").between(lo, hi))
-            part.repartitionByRange(1, "block_number").sortWithinPartitions("block_number").write.mode(
-                "append"
-            ).parquet(p)
-
-    L._materialise(spark, path, write)
+        _in_block_order(L.landed_raw_logs(spark, sf_dir), lambda part: part.write.mode("append").parquet(p))
+
+    L.materialise(spark, path, write)
     return path
 
 
+def _run(query) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+
+
+def _streamed(spark: SparkSession, sf_dir: str, store: TransferStore, checkpoint: str, blocks, **options):
+    return I.stream_ingest(spark, stream_input(spark, sf_dir), blocks, store, checkpoint, max_files_per_trigger=FILES_PER_TRIGGER,
+                           schema=L.LANDED_LOG_SCHEMA, **options)
+
+
 def streamed_store(spark: SparkSession, sf_dir: str) -> TransferStore:
-    """The store filled by a Structured Streaming run over the stream input,
-    then compacted (K4), as a long-running stream's store would be."""
-    path = os.path.join(L.land_root(spark, sf_dir), "stream_store")
+    """The store filled by a Structured Streaming run over the stream input."""
+    path = f"{L.land_root(spark, sf_dir)}/stream_store"
 
     def write(p: str) -> None:
-        store = TransferStore(spark, p + "/store")
-        q = I.stream_ingest(
-            spark,
-            stream_input(spark, sf_dir),
-            L.landed_blocks(spark, sf_dir),
-            store,
-            checkpoint=p + "/checkpoint",
-            max_files_per_trigger=FILES_PER_TRIGGER,
-            schema=RAW_LOG_WITH_ARRIVAL_SCHEMA,
-        )
-        q.awaitTermination()
-        if q.exception() is not None:
-            raise RuntimeError(str(q.exception()))
-        store.compact()
-
-    L._materialise(spark, path, write)
+        blocks = L.landed_blocks(spark, sf_dir)
+        _run(_streamed(spark, sf_dir, TransferStore(spark, p + "/store"), p + "/checkpoint", blocks, start_block=1))
+
+    L.materialise(spark, path, write)
+    return TransferStore(spark, path + "/store")
+
+
+def late_header_store(spark: SparkSession, sf_dir: str) -> TransferStore:
+    """Headers up to SPLIT_BLOCK are there when the stream starts; it fails at the first batch that needs
+    more, the rest of the headers arrives, and the query goes on from its checkpoint."""
+    path = f"{L.land_root(spark, sf_dir)}/late_headers"
+
+    def write(p: str) -> None:
+        store, headers = TransferStore(spark, p + "/store"), p + "/headers"
+        known = L.landed_blocks(spark, sf_dir)
+        known.where(F.col("block_number") <= SPLIT_BLOCK).write.parquet(headers)
+        blocks = lambda: spark.read.schema(BLOCK_SCHEMA).parquet(headers)
+        try:
+            _run(_streamed(spark, sf_dir, store, p + "/checkpoint", blocks, start_block=1))
+        except StreamingQueryException as error:
+            if "MissingHeaders" not in str(error):
+                raise
+            known.where(F.col("block_number") > SPLIT_BLOCK).write.mode("append").parquet(headers)
+            _run(_streamed(spark, sf_dir, store, p + "/checkpoint", blocks, start_block=1))
+
+    L.materialise(spark, path, write)
+    return TransferStore(spark, path + "/store")
+
+
+def quarantine_store(spark: SparkSession, sf_dir: str) -> TransferStore:
+    """J1 with quarantine: a backfill without the headers of every GAP-th block."""
+    path = f"{L.land_root(spark, sf_dir)}/quarantine_store"
+
+    def write(p: str) -> None:
+        blocks = L.landed_blocks(spark, sf_dir)
+        I.backfill(TransferStore(spark, p), L.landed_raw_logs(spark, sf_dir), blocks.where(F.col("block_number") % GAP != 0),
+                   from_block=1, to_block=I.chain_head(blocks), missing="quarantine")
+
+    L.materialise(spark, path, write)
+    return TransferStore(spark, path)
+
+
+def first_run_store(spark: SparkSession, sf_dir: str) -> TransferStore:
+    """Ticks of TICK blocks up to SPLIT_BLOCK; the logs of every LATE-th block have not arrived yet."""
+    path = f"{L.land_root(spark, sf_dir)}/first_run"
+
+    def write(p: str) -> None:
+        _first_run(spark, sf_dir, TransferStore(spark, p))
+
+    L.materialise(spark, path, write)
+    return TransferStore(spark, path)
+
+
+def _first_run(spark: SparkSession, sf_dir: str, store: TransferStore) -> None:
+    early = L.landed_raw_logs(spark, sf_dir).where(F.col("block_number") % LATE != 0)
+    known = L.landed_blocks(spark, sf_dir).where(F.col("block_number") <= SPLIT_BLOCK)
+    head = known.unionByName(spark.createDataFrame([(SPLIT_BLOCK, 0)], BLOCK_SCHEMA))  # the head may be a block without orders
+    while I.poll_once(store, early, head, start_block=1, batch_blocks=TICK) is not None:
+        pass
+
+
+def restarted_store(spark: SparkSession, sf_dir: str) -> TransferStore:
+    """A first run, a second run that backfills from there to the head, then, when the late logs have
+    arrived, a forced restart from block 1 that runs on to the head in ranges of 2 x TICK blocks."""
+    path = f"{L.land_root(spark, sf_dir)}/restarted"
+
+    def write(p: str) -> None:
+        store = TransferStore(spark, p)
+        _first_run(spark, sf_dir, store)
+        raw, blocks = L.landed_raw_logs(spark, sf_dir), L.landed_blocks(spark, sf_dir)
+        I.backfill(store, raw.where(F.col("block_number") % LATE != 0), blocks, from_block=store.last_processed_block(1) + 1)
+        I.forced_restart(store, raw, blocks, start_block=1, batch_blocks=2 * TICK)
+
+    L.materialise(spark, path, write)
+    return TransferStore(spark, path)
+
+
+def extended_store(spark: SparkSession, sf_dir: str) -> TransferStore:
+    """Backfill from block 0 to the head twice: the chain has grown from SPLIT_BLOCK to its end in between."""
+    path = f"{L.land_root(spark, sf_dir)}/extended"
+
+    def write(p: str) -> None:
+        store, raw, blocks = TransferStore(spark, p), L.landed_raw_logs(spark, sf_dir), L.landed_blocks(spark, sf_dir)
+        for known in (blocks.where(F.col("block_number") <= SPLIT_BLOCK), blocks):
+            I.backfill(store, raw, known, from_block=0)
+
+    L.materialise(spark, path, write)
+    return TransferStore(spark, path)
+
+
+def rpc_streamed_store(spark: SparkSession, sf_dir: str) -> TransferStore:
+    """S1/S5 over JSON lines in the node's RPC shape, as a stream."""
+    from ..sources import rpc as RPC
+
+    path = f"{L.land_root(spark, sf_dir)}/rpc_stream"
+
+    def write(p: str) -> None:
+        _in_block_order(RPC.to_rpc_logs(L.landed_raw_logs(spark, sf_dir)).withColumn("block_number", RPC.hex_quantity(F.col("blockNumber"))),
+                        lambda part: part.drop("block_number").write.mode("append").json(p + "/in"))
+        _run(I.stream_ingest(spark, p + "/in", L.landed_blocks(spark, sf_dir), TransferStore(spark, p + "/store"), p + "/checkpoint",
+                             max_files_per_trigger=STREAM_FILES // 2, read_logs=RPC.stream_rpc_logs, start_block=1))
+
+    L.materialise(spark, path, write)
     return TransferStore(spark, path + "/store")
 
 
@@ -73,40 +171,38 @@ def rpc_export(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """The landed logs and headers written as JSON lines in the node's RPC shape."""
     from ..sources import rpc as RPC
 
-    root = os.path.join(L.land_root(spark, sf_dir), "rpc_json")
+    root = f"{L.land_root(spark, sf_dir)}/rpc_json"
 
     def write(p: str) -> None:
         RPC.to_rpc_logs(L.landed_raw_logs(spark, sf_dir)).write.json(p + "/logs")
         RPC.to_rpc_headers(L.landed_blocks(spark, sf_dir)).write.json(p + "/headers")
 
-    L._materialise(spark, root, write)
+    L.materialise(spark, root, write)
     return root + "/logs", root + "/headers"
 
 
 def replay_store(spark: SparkSession, sf_dir: str) -> tuple[TransferStore, str]:
-    """Backfill blocks [1, SPLIT_BLOCK], then a forced restart from REPLAY_FROM
-    to the head as one more batch; returns the store and the replay batch id."""
-    raw = L.landed_raw_logs(spark, sf_dir)
-    blocks = L.landed_blocks(spark, sf_dir)
-    store = TransferStore(spark, scratch_path(spark, "insert-ignore"))
-    I.backfill(store, raw, blocks, from_block=1, to_block=SPLIT_BLOCK, run_id="first")
+    """K1: backfill blocks [1, SPLIT_BLOCK], then one more batch from REPLAY_FROM to the head;
+    returns the store and the replay's batch id."""
+    path, blocks = f"{L.land_root(spark, sf_dir)}/replayed", L.landed_blocks(spark, sf_dir)
     head = I.chain_head(blocks)
-    replay = D.transfers_from_raw(raw.where(F.col("block_number").between(REPLAY_FROM, head)), blocks, first_wins=True)
-    batch_id = "replay-000001"
-    store.insert_ignore(replay, batch_id, end_block=head, deduped=True)
-    return store, batch_id
+
+    def write(p: str) -> None:
+        store, raw = TransferStore(spark, p), L.landed_raw_logs(spark, sf_dir)
+        I.backfill(store, raw, blocks, from_block=1, to_block=SPLIT_BLOCK, run_id="first")
+        I.backfill(store, raw, blocks, from_block=REPLAY_FROM, to_block=head, run_id="replay")
+
+    L.materialise(spark, path, write)
+    return TransferStore(spark, path), f"replay-{REPLAY_FROM:012d}-{head:012d}"
 
 
 def published_feed(spark: SparkSession, sf_dir: str) -> str:
     """K3: the streamed store's feed published as JSON lines by a stream over its commits."""
     from ..streaming.feed import publish_feed
 
-    path = os.path.join(L.land_root(spark, sf_dir), "feed_json")
+    path = f"{L.land_root(spark, sf_dir)}/feed_json"
     store = streamed_store(spark, sf_dir)
-    q = publish_feed(spark, store, path + "/out", path + "/checkpoint")
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    _run(publish_feed(spark, store, path + "/out", path + "/checkpoint"))
     return path + "/out"
 
 
@@ -116,20 +212,13 @@ def dedup_tx_output(spark: SparkSession, sf_dir: str) -> str:
     The file sink's log records absolute paths, so this one runs in place; its
     checkpoint makes a rerun a no-op (availableNow finds no new files).
     """
-    path = os.path.join(L.land_root(spark, sf_dir), "dedup_tx_24h")
-    q = I.dedup_tx_within(
+    path = f"{L.land_root(spark, sf_dir)}/dedup_tx_24h"
+    _run(I.dedup_tx_within(
         spark,
         stream_input(spark, sf_dir),
         L.landed_blocks(spark, sf_dir),
         out_dir=path + "/out",
         checkpoint=path + "/checkpoint",
         max_files_per_trigger=FILES_PER_TRIGGER,
-    )
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    ))
     return path + "/out"
-
-
-def is_ready(spark: SparkSession, path: str) -> bool:
-    return _FS(spark, path).exists(path)

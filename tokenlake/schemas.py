@@ -15,12 +15,18 @@ MAX_LIMIT = 1000
 # Feed replay buffer for late subscribers and RPC latency histogram bounds (seconds).
 FEED_BUFFER = 1024
 RPC_DURATION_BOUNDS = (0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0)
+# Batch-duration histogram bounds (seconds).
+BATCH_DURATION_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 # Circuit breaker: consecutive failures that open it.
 FAILURE_THRESHOLD = 5
-# Ingestion: blocks per batch by default and at most; poll interval.
+# Ingestion: blocks per batch by default; poll interval.
 DEFAULT_BATCH_BLOCKS = 10
-MAX_BATCH_BLOCKS = 100
 POLL_INTERVAL = "12 seconds"
+# Keys of a transfer in the JSON feed, in order.
+FEED_JSON_KEYS = [
+    "event_signature", "token", "from", "to", "value", "value_string", "value_decimal", "block_number", "tx_hash",
+    "tx_index", "log_index", "timestamp", "created_at",
+]
 # Decimal128 keeps 34 significant digits; every token is read with 18 decimals.
 DECIMAL128_DIGITS = 34
 TOKEN_DECIMALS = 18

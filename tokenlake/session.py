@@ -35,8 +35,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets this to shared storage; we only pick our own folder when it is
-    unset, which happens in local tests and benches.
+    A cluster sets this to shared storage. Where it is unset, a local session gets a temporary
+    folder (driver and tasks are one process there); on a cluster that is an error, because no
+    executor could see such a folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if d:
@@ -46,6 +47,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     d = tempfile.mkdtemp(prefix="tokenlake-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     return spark.sparkContext.getCheckpointDir() or d

@@ -24,6 +24,8 @@ GENESIS_DATE = "1995-01-01"
 GENESIS_UNIX = 788918400  # 1995-01-01T00:00:00Z
 FOREIGN_TOPIC = "0x" + "ab" * 32
 N_PROVIDERS = 4
+N_METHODS = 3
+TIMEOUT_S = 30
 
 
 def _hex(c: Column, width: int) -> Column:
@@ -94,15 +96,15 @@ def blocks_from(orders: DataFrame) -> DataFrame:
 
 
 def call_log_from(events: DataFrame) -> DataFrame:
-    """RPC call log: provider p0..p3 by user, method = event type, failure = 'error'."""
+    """RPC call log: provider p0..p3 by user, method m0..m2 by event, failure = event type 'error', its code by value."""
     ok = F.col("event_type") != "error"
     return events.select(
         F.concat(F.lit("p"), (F.col("user_id") % N_PROVIDERS).cast("string")).alias("provider"),
-        F.col("event_type").alias("method"),
+        F.concat(F.lit("m"), (F.col("event_id") % N_METHODS).cast("string")).alias("method"),
         F.col("ts"),
         F.col("value").alias("duration_s"),
         ok.alias("ok"),
-        F.when(~ok, F.col("event_type")).alias("error"),
+        F.when(~ok, F.when(F.col("value") > TIMEOUT_S, "timeout").otherwise("server")).alias("error"),
         F.col("event_id").alias("height"),
         F.col("event_id").alias("seq"),
     )

@@ -5,7 +5,7 @@ the raw logs and headers derived from the given tables are *landed* as Parquet
 (sorted by block, so a block-range scan prunes row groups), and the store is
 built from them by the real ingest path (decode, dedup, insert-ignore). Both
 live in the shared folder named by ``spark.checkpoint.dir``, keyed by the table
-files' sizes and times and by this package's source, and are written to a
+files' sizes and times and by LANDING_VERSION, and are written to a
 temporary name and renamed, so a lost executor or a concurrent run never
 leaves a half-written input behind.
 """
@@ -13,9 +13,7 @@ leaves a half-written input behind.
 from __future__ import annotations
 
 import hashlib
-import os
 import uuid
-from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -23,57 +21,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import decode as D
-from ..operators.store import TransferStore, _FS
+from ..operators.store import Files, TransferStore
 from ..schemas import BLOCK_SCHEMA, RAW_LOG_WITH_ARRIVAL_SCHEMA
 from ..session import checkpoint_root
 from . import fixtures as FX
 
-_PKG = Path(__file__).resolve().parent.parent
+# Changes whenever landed data or the store are derived or laid out differently.
+LANDING_VERSION = "2"
 LANDED_LOG_SCHEMA = T.StructType(RAW_LOG_WITH_ARRIVAL_SCHEMA.fields + [T.StructField("topic0", T.StringType())])
 
 
-def _code_version() -> str:
-    h = hashlib.sha1()
-    for p in sorted(_PKG.rglob("*.py")):
-        h.update(p.read_bytes())
-    return h.hexdigest()[:12]
+def fingerprint(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = ("lineitem", "orders", "events")) -> str:
+    """Names a snapshot of the tables: path, size and time of every file, as the file system reports them.
 
-
-def fingerprint(sf_dir: str, tables: tuple[str, ...] = ("lineitem", "orders", "events")) -> str:
-    h = hashlib.sha1(_code_version().encode())
+    Tables may be single files or folders, on any Hadoop file system.
+    """
+    h = hashlib.sha1(LANDING_VERSION.encode())
+    files = Files(spark, sf_dir)
     for t in tables:
-        p = os.path.join(sf_dir, f"{t}.parquet")
-        st = os.stat(p) if os.path.exists(p) else None
-        h.update(f"{os.path.abspath(p)}:{st.st_size if st else 0}:{st.st_mtime_ns if st else 0}".encode())
+        h.update(repr((t, files.statuses(f"{sf_dir}/{t}.parquet"))).encode())
     return h.hexdigest()[:16]
 
 
 def land_root(spark: SparkSession, sf_dir: str) -> str:
-    return os.path.join(checkpoint_root(spark), "tokenlake", fingerprint(sf_dir))
+    return f"{checkpoint_root(spark)}/tokenlake/{fingerprint(spark, sf_dir)}"
 
 
-def _materialise(spark: SparkSession, final: str, write) -> None:
-    fs = _FS(spark, final)
-    if fs.exists(final):
+def materialise(spark: SparkSession, final: str, write) -> None:
+    """Runs ``write(path)`` once for ``final``: to a temporary name, renamed unless another run was first."""
+    files = Files(spark, final)
+    if files.exists(final):
         return
     tmp = f"{final}.tmp-{uuid.uuid4().hex[:8]}"
     write(tmp)
-    jvm = spark.sparkContext._jvm
-    # FileContext.rename with Rename.NONE fails if the target exists (another run
-    # published first), where FileSystem.rename would move the folder inside it
-    fc = jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark.sparkContext._jsc.hadoopConfiguration())
-    opts = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    opts[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
-    try:
-        fc.rename(jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(final), opts)
-    except Exception:  # noqa: BLE001 - lost the race: the published copy is identical
-        if not fs.exists(final):
-            raise
+    files.move(tmp, final)  # False: the published copy is identical
 
 
 def landed_raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw logs as landed files: range-partitioned and sorted by block (S1 prunes ranges)."""
-    path = os.path.join(land_root(spark, sf_dir), "raw_logs")
+    path = f"{land_root(spark, sf_dir)}/raw_logs"
 
     def write(p: str) -> None:
         # topic0 as a plain column: an equality on it reaches the Parquet reader
@@ -88,17 +74,17 @@ def landed_raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         finally:
             raw.unpersist()
 
-    _materialise(spark, path, write)
+    materialise(spark, path, write)
     return spark.read.schema(LANDED_LOG_SCHEMA).parquet(path)
 
 
 def landed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = os.path.join(land_root(spark, sf_dir), "blocks")
+    path = f"{land_root(spark, sf_dir)}/blocks"
 
     def write(p: str) -> None:
         FX.blocks(spark, sf_dir).repartitionByRange("block_number").sortWithinPartitions("block_number").write.parquet(p)
 
-    _materialise(spark, path, write)
+    materialise(spark, path, write)
     return spark.read.schema(BLOCK_SCHEMA).parquet(path)
 
 
@@ -106,11 +92,11 @@ def backfilled_store(spark: SparkSession, sf_dir: str) -> TransferStore:
     """The store after one backfill of every landed log (built once per snapshot)."""
     from ..streaming.ingest import backfill
 
-    path = os.path.join(land_root(spark, sf_dir), "store")
+    path = f"{land_root(spark, sf_dir)}/store"
 
     def write(p: str) -> None:
         store = TransferStore(spark, p)
         backfill(store, landed_raw_logs(spark, sf_dir), landed_blocks(spark, sf_dir), from_block=0)
 
-    _materialise(spark, path, write)
+    materialise(spark, path, write)
     return TransferStore(spark, path)

@@ -53,6 +53,11 @@ def read_rpc_logs(spark: SparkSession, path: str) -> DataFrame:
     return logs_from_rpc(spark.read.schema(RPC_LOG_SCHEMA).json(path))
 
 
+def stream_rpc_logs(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:
+    """S5 over JSON lines of ``eth_getLogs`` objects: new files as a stream, for ``ingest.stream_ingest``."""
+    return logs_from_rpc(spark.readStream.schema(RPC_LOG_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).json(path))
+
+
 def read_rpc_headers(spark: SparkSession, path: str) -> DataFrame:
     """S2 over JSON lines of block headers (``number``, ``timestamp`` as hex quantities)."""
     h = spark.read.schema(RPC_HEADER_SCHEMA).json(path)

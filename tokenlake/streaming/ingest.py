@@ -1,24 +1,26 @@
 """Ingestion: batch ranges (R2), resume (R3), one range (R1), stream (S5), 24 h tx dedup.
 
-Order of effects per batch, as in the reference: scan, join block times, decode,
-store (insert-ignore), publish the new rows, mark progress; the commit marker
-comes last, so a batch is effectively once even when retried.
+Ticks, backfills and streams share ``ingest_logs``: scan by topic (S1), join block times (J1), count (O1),
+decode, store (insert-ignore) with the progress mark. The log entry comes last, so a batch is
+effectively once even when retried. A header that is missing fails the batch, as in the reference, and
+nothing is marked; with ``missing="quarantine"`` such logs are kept aside and progress stops before them.
 """
 
 from __future__ import annotations
 
-import hashlib
+import json
 import time
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decode as D
 from ..operators import dedup as DD
-from ..operators.store import TransferStore
+from ..operators.store import ConcurrentCommit, TransferStore
 from ..schemas import (
     DEFAULT_BATCH_BLOCKS,
-    MAX_BATCH_BLOCKS,
     POLL_INTERVAL,
     RAW_LOG_SCHEMA,
     REJECT_DATA_LENGTH,
@@ -27,6 +29,12 @@ from ..schemas import (
     REJECT_TOPIC_COUNT,
 )
 
+#: block headers, or how to read them anew: a frame keeps the file list it was made with
+Headers = DataFrame | Callable[[], DataFrame]
+
+
+def headers_now(blocks: Headers) -> DataFrame:
+    return blocks() if callable(blocks) else blocks
 
 
 # ---------------------------------------------------------------- ranges
@@ -76,16 +84,27 @@ def resume_range(progress: DataFrame, head: DataFrame, start_block: int, batch_b
 # ---------------------------------------------------------------- counters (O1)
 
 
-def batch_counters(classified: DataFrame) -> DataFrame:
-    """O1 for one batch: rows read and rejects by reason, one row."""
+def _reason_counts() -> list:
     r = F.col("reject_reason")
-    return classified.agg(
+    return [
         F.count(F.lit(1)).alias("rows_read"),
         F.count_if(r == REJECT_TOPIC_COUNT).alias("rejected_topic_count"),
         F.count_if(r == REJECT_SIGNATURE).alias("rejected_signature"),
         F.count_if(r == REJECT_DATA_LENGTH).alias("rejected_data_length"),
         F.count_if(r == REJECT_MISSING_BLOCK).alias("missing_block"),
         F.count_if(r.isNull()).alias("accepted"),
+    ]
+
+
+def batch_counters(classified: DataFrame) -> DataFrame:
+    """O1 for one batch, one row: rows read, rejects by reason, block bounds, logs without a header."""
+    headerless = F.col("block_time").isNull()
+    return classified.agg(
+        *_reason_counts(),
+        F.min("block_number").alias("from_block"),
+        F.max("block_number").alias("to_block"),
+        F.count_if(headerless).alias("headerless"),
+        F.min(F.when(headerless, F.col("block_number"))).alias("first_headerless"),
     )
 
 
@@ -98,18 +117,11 @@ def counters_by_range(raw_logs: DataFrame, blocks: DataFrame, start_block: int,
     key is inserted by the range of its first occurrence). Both sides are
     aggregated per range and combined by a union and a second aggregate, no join.
     """
-    range_id = F.expr(f"(block_number - {start_block}) div {batch_blocks}").alias("range_id")
-    logs = raw_logs.where(F.col("block_number").between(start_block, head))
+    range_id = F.floor((F.col("block_number") - start_block) / batch_blocks).alias("range_id")
+    logs = D.scan_transfer_logs(raw_logs, start_block, head)
     c = D.attach_block_time(D.classify(logs), blocks)
     r = F.col("reject_reason")
-    counts = c.groupBy(range_id).agg(
-        F.count(F.lit(1)).alias("rows_read"),
-        F.count_if(r == REJECT_TOPIC_COUNT).alias("rejected_topic_count"),
-        F.count_if(r == REJECT_SIGNATURE).alias("rejected_signature"),
-        F.count_if(r == REJECT_DATA_LENGTH).alias("rejected_data_length"),
-        F.count_if(r == REJECT_MISSING_BLOCK).alias("missing_block"),
-        F.count_if(r.isNull()).alias("accepted"),
-    )
+    counts = c.groupBy(range_id).agg(*_reason_counts())
     # winners need only the ordering columns, not the amount arithmetic
     winners = DD.dedup_transfers(D.record_columns(c.where(r.isNull()).drop("reject_reason")))
     inserted = winners.groupBy(range_id).agg(F.count(F.lit(1)).alias("inserted"))
@@ -130,32 +142,57 @@ def counters_by_range(raw_logs: DataFrame, blocks: DataFrame, start_block: int,
 # ---------------------------------------------------------------- one batch
 
 
+def ingest_logs(
+    store: TransferStore,
+    logs: DataFrame,
+    blocks: Headers,
+    batch_id: str,
+    covers: Callable[[dict], tuple[int, int] | None] = lambda counts: None,
+    missing: str = "fail",
+) -> int:
+    """One batch through the whole path; returns rows inserted.
+
+    ``covers`` tells from the batch's counters which block range it ingests in full (K2). A failed
+    attempt is recorded with its error type (O1) and raised again.
+    """
+    if missing not in ("fail", "quarantine"):
+        raise ValueError(f"missing must be 'fail' or 'quarantine', got {missing!r}")
+    if store.is_committed(batch_id):
+        return 0
+    log = {"started": time.time()}
+    try:
+        timed = D.attach_block_time(D.classify(D.scan_transfer_logs(logs)), headers_now(blocks))
+        log |= batch_counters(timed).first().asDict()
+        covered, aside = covers(log), None
+        if covered:
+            log["from_block"], log["to_block"] = covered
+        if log["headerless"]:
+            if missing == "fail":
+                raise D.MissingHeaders(f"{log['headerless']} logs without a block header, the first in block {log['first_headerless']}")
+            aside = timed.where(F.col("block_time").isNull()).drop("block_time", "reject_reason")
+            covered = covered and (covered[0], min(covered[1], log["first_headerless"] - 1))
+        accepted = timed.where(F.col("reject_reason").isNull()).drop("reject_reason")
+        records = DD.dedup_transfers(D.record_columns(accepted))
+        return store.insert_ignore(records, batch_id, covered, log=log, deduped=True, quarantine=aside)
+    except ConcurrentCommit:
+        raise  # not a failure of this batch: compare again with what is stored now
+    except Exception as error:
+        store.record_failure(batch_id, error, log)
+        raise
+
+
 def ingest_range(
     store: TransferStore,
     raw_logs: DataFrame,
-    blocks: DataFrame,
+    blocks: Headers,
     from_block: int,
     to_block: int,
     batch_id: str,
-    strict: bool = False,
+    missing: str = "fail",
 ) -> int:
-    """One range: scan (block range pushed to Parquet), join, decode, store, feed, progress.
-
-    The header side is bounded by the range, so it is broadcast (J1).
-    """
-    started = time.time()
+    """R1 for one block range, which is marked as processed to its end, with logs or without."""
     logs = raw_logs.where(F.col("block_number").between(from_block, to_block))
-    log = batch_log_entry(logs, blocks, from_block, to_block, started)
-    transfers, _ = D.decode_logs(logs, blocks, strict=strict, block_range=(from_block, to_block), first_wins=True)
-    return store.insert_ignore(transfers, batch_id, end_block=to_block, log=log, deduped=True)
-
-
-def batch_log_entry(logs: DataFrame, blocks: DataFrame, from_block: int, to_block: int, started: float) -> dict:
-    """O1 counters of one batch (one small aggregate), for the store's batch log."""
-    timed = D.attach_block_time(D.classify(logs), blocks, block_range=(from_block, to_block))
-    row = batch_counters(timed).first().asDict()
-    row.update(from_block=from_block, to_block=to_block, started=started)
-    return row
+    return ingest_logs(store, logs, blocks, batch_id, lambda _: (from_block, to_block), missing)
 
 
 def slow_batches(batch_log: DataFrame, poll_interval_s: float = 12.0) -> DataFrame:
@@ -165,95 +202,112 @@ def slow_batches(batch_log: DataFrame, poll_interval_s: float = 12.0) -> DataFra
     )
 
 
+def _attempt(kind: str, lo: int, hi: int) -> str:
+    """A batch id of its own for every attempt: a range that is run again later may bring new rows."""
+    return f"{kind}-{lo:012d}-{hi:012d}-{uuid.uuid4().hex[:12]}"
+
+
 def poll_once(
     store: TransferStore,
     raw_logs: DataFrame,
-    blocks: DataFrame,
+    blocks: Headers,
     start_block: int,
     batch_blocks: int = DEFAULT_BATCH_BLOCKS,
     force_start: bool = False,
+    missing: str = "fail",
 ) -> tuple[int, int] | None:
     """One ingestion tick as a batch job: resume (R3), range (R2), ingest.
 
-    ``force_start`` restarts from ``start_block`` whatever the progress says (R4);
-    insert-ignore absorbs the replay. Returns the range ingested, or None when the
+    ``force_start`` takes the range from ``start_block`` whatever the progress says;
+    ``forced_restart`` goes on from there to the head (R4). Returns the range ingested, or None when the
     head is below the next block (no-op: nothing written, no progress row).
     """
-    batch_blocks = max(1, min(batch_blocks, MAX_BATCH_BLOCKS))
-    frm = start_block if force_start else resume_from(store.last_processed_block(), start_block)
-    rng = next_range(frm, chain_head(blocks), batch_blocks)
-    if rng is None:
-        return None
-    lo, hi = rng
-    tag = "forced" if force_start else "tick"
-    ingest_range(store, raw_logs, blocks, lo, hi, f"{tag}-{lo:012d}-{hi:012d}")
+    if batch_blocks < 1:
+        raise ValueError(f"batch_blocks must be at least 1, got {batch_blocks}")
+    frm = start_block if force_start else resume_from(store.last_processed_block(start_block), start_block)
+    rng = next_range(frm, chain_head(headers_now(blocks)), batch_blocks)
+    if rng is not None:
+        ingest_range(store, raw_logs, blocks, *rng, _attempt("forced" if force_start else "tick", *rng), missing)
     return rng
 
 
+def forced_restart(
+    store: TransferStore,
+    raw_logs: DataFrame,
+    blocks: Headers,
+    start_block: int,
+    batch_blocks: int = DEFAULT_BATCH_BLOCKS,
+    missing: str = "fail",
+) -> list[tuple[int, int]]:
+    """Every range from ``start_block`` to the head, whatever the progress says; insert-ignore absorbs the replay."""
+    done: list[tuple[int, int]] = []
+    while (rng := next_range(done[-1][1] + 1 if done else start_block, chain_head(headers_now(blocks)), batch_blocks)) is not None:
+        ingest_range(store, raw_logs, blocks, *rng, _attempt("forced", *rng), missing)
+        done.append(rng)
+    return done
+
+
 def backfill(
     store: TransferStore,
     raw_logs: DataFrame,
-    blocks: DataFrame,
+    blocks: Headers,
     from_block: int,
     to_block: int | None = None,
-    run_id: str = "backfill",
+    run_id: str | None = None,
+    missing: str = "fail",
 ) -> int:
     """A whole range as one batch: one shuffle for dedup, one anti-join, one write.
 
-    ``to_block`` defaults to the chain head; progress is marked at the range end.
+    ``to_block`` defaults to the chain head. With a ``run_id``, the same range of the same run is
+    ingested once; without, every call is a run of its own.
     """
-    end = to_block if to_block is not None else chain_head(blocks)
-    logs = raw_logs.where(F.col("block_number").between(from_block, end))
-    transfers = D.transfers_from_raw(logs, blocks, first_wins=True)
-    return store.insert_ignore(transfers, f"{run_id}-{from_block:012d}", end_block=end, deduped=True)
+    end = to_block if to_block is not None else chain_head(headers_now(blocks))
+    batch_id = f"{run_id}-{from_block:012d}-{end:012d}" if run_id else _attempt("backfill", from_block, end)
+    return ingest_range(store, raw_logs, blocks, from_block, end, batch_id, missing)
 
 
 # ---------------------------------------------------------------- stream
 
 
-def run_id_of(checkpoint: str) -> str:
-    """Stable id of a stream's checkpoint: batch ids restart with a new checkpoint."""
-    return hashlib.sha1(checkpoint.encode()).hexdigest()[:10]
-
-
 def stream_ingest(
     spark: SparkSession,
     input_dir: str,
-    blocks: DataFrame,
+    blocks: Headers,
     store: TransferStore,
     checkpoint: str,
     max_files_per_trigger: int = 1,
     available_now: bool = True,
     processing_time: str = POLL_INTERVAL,
     schema=RAW_LOG_SCHEMA,
+    read_logs: Callable[[SparkSession, str, int], DataFrame] | None = None,
+    start_block: int | None = None,
+    missing: str = "fail",
 ):
     """S5 + R1: raw-log files as a stream, each micro-batch ingested in ``foreachBatch``.
 
-    Exactly-once effect: the micro-batch id (with the checkpoint's run id) names
-    the store batch; a replayed micro-batch finds its commit marker and is skipped,
-    a half-written one is overwritten. Dedup state lives in the store, not in the
-    stream (no unbounded ``dropDuplicates`` state).
+    Exactly-once effect: the id of the query (kept in its checkpoint) and the micro-batch number name
+    the batch; a replayed micro-batch finds its log entry and is skipped. Dedup state lives in the store,
+    not in the stream (no unbounded ``dropDuplicates`` state). Headers are read anew in every micro-batch
+    if ``blocks`` is a function; a missing one fails the query, which goes on from there when it is
+    started again. ``read_logs`` (spark, path, files per trigger) gives other sources than Parquet, such as
+    ``rpc.stream_rpc_logs``. With ``start_block``, files are taken to arrive in block order and
+    each micro-batch marks progress from the last mark to its largest block; without it the stream marks
+    nothing, since a late file may hold any block.
     """
-    run = run_id_of(checkpoint)
+
+    def covers(counts: dict) -> tuple[int, int] | None:
+        if start_block is None or counts["to_block"] is None:
+            return None
+        return resume_from(store.last_processed_block(start_block), start_block), counts["to_block"]
 
     def one_batch(batch: DataFrame, batch_num: int) -> None:
-        bid = f"{run}-{batch_num:010d}"
-        if store.is_committed(bid):
-            return
-        started = time.time()
-        batch = batch.persist()
-        try:
-            bounds = batch.agg(F.min("block_number").alias("lo"), F.max("block_number").alias("hi")).first()
-            if bounds["lo"] is None:
-                return
-            lo, hi = int(bounds["lo"]), int(bounds["hi"])
-            log = batch_log_entry(batch, blocks, lo, hi, started)
-            transfers, _ = D.decode_logs(batch, blocks, block_range=(lo, hi), first_wins=True)
-            store.insert_ignore(transfers, bid, end_block=hi, log=log, deduped=True)
-        finally:
-            batch.unpersist()
-
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(input_dir)
+        query = json.loads(store.fs.read_text(f"{checkpoint}/metadata"))["id"]
+        ingest_logs(store, batch, blocks, f"{query}-{batch_num:010d}", covers, missing)
+
+    if read_logs is not None:
+        stream = read_logs(spark, input_dir, max_files_per_trigger)
+    else:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(input_dir)
     writer = stream.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
     return writer.start()
