@@ -11,7 +11,9 @@ nine base-10^9 chunks ``c0`` (least significant) .. ``c8`` in a struct of BIGINT
   10^19 rows per group) and the carry is applied once per group;
 * text: the highest non-zero chunk, then the lower ones zero-padded.
 
-Everything stays in JVM expressions, so whole-stage codegen covers the decode.
+Everything stays in JVM expressions, without a UDF. The generated method of the decode is over the
+JVM's 8000 bytes for compiled methods, so sessions set ``spark.sql.codegen.hugeMethodLimit=8000``
+and Spark runs that stage operator by operator instead.
 """
 
 from __future__ import annotations
