@@ -87,7 +87,7 @@ def require_headers(logs: DataFrame, blocks: DataFrame) -> None:
         raise MissingHeaders(f"{first.n} blocks without a header, the first is {first.b}")
 
 
-def record_columns(logs: DataFrame) -> DataFrame:
+def record_columns(logs: DataFrame, keep_reason: bool = False) -> DataFrame:
     """P5-P7 (no amount arithmetic): key, chain position, addresses and value hex.
 
     Enough for first-wins dedup; ``decode_amounts`` adds the amounts.
@@ -106,6 +106,8 @@ def record_columns(logs: DataFrame) -> DataFrame:
         cols.append(F.timestamp_seconds(F.col("block_time")).alias("timestamp"))
     if "arrival" in logs.columns:
         cols.append(F.col("arrival"))
+    if keep_reason:
+        cols.append(F.col("reject_reason"))
     return logs.select(*cols)
 
 

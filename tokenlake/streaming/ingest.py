@@ -13,7 +13,7 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import decode as D
@@ -112,23 +112,20 @@ def counters_by_range(raw_logs: DataFrame, blocks: DataFrame, start_block: int,
                       batch_blocks: int) -> DataFrame:
     """O1 for a backfill run in ranges of ``batch_blocks``: one batch-log row per range.
 
-    One pass over the logs instead of one job per range: rejects come from the
-    guards, ``inserted`` from the first-wins winners (ranges run in block order, so a
-    key is inserted by the range of its first occurrence). Both sides are
-    aggregated per range and combined by a union and a second aggregate, no join.
+    One scan and one header join for all ranges: rejects come from the guards, ``inserted`` from the
+    first-wins winners (ranges run in block order, so a key is inserted by the range of its first
+    occurrence), which are flagged in the same pass.
     """
     range_id = F.floor((F.col("block_number") - start_block) / batch_blocks).alias("range_id")
     logs = D.scan_transfer_logs(raw_logs, start_block, head)
-    c = D.attach_block_time(D.classify(logs), blocks)
-    r = F.col("reject_reason")
-    counts = c.groupBy(range_id).agg(*_reason_counts())
-    # winners need only the ordering columns, not the amount arithmetic
-    winners = DD.dedup_transfers(D.record_columns(c.where(r.isNull()).drop("reject_reason")))
-    inserted = winners.groupBy(range_id).agg(F.count(F.lit(1)).alias("inserted"))
-    cols = ["rows_read", "rejected_topic_count", "rejected_signature", "rejected_data_length", "missing_block",
-            "accepted", "inserted"]
-    both = counts.unionByName(inserted, allowMissingColumns=True)
-    per = both.groupBy("range_id").agg(*[F.coalesce(F.max(k), F.lit(0)).cast("bigint").alias(k) for k in cols])
+    # the ordering columns are enough: no amount arithmetic
+    rows = D.record_columns(D.attach_block_time(D.classify(logs), blocks), keep_reason=True)
+    accepted = F.col("reject_reason").isNull()
+    order = [F.col(c).asc_nulls_last() for c in DD.FIRST_WINS_ORDER if c in rows.columns]
+    first = F.row_number().over(Window.partitionBy(*DD.KEY, accepted).orderBy(*order)) == 1
+    flagged = rows.withColumn("first", accepted & first)
+    per = flagged.groupBy(range_id).agg(*_reason_counts(), F.count_if(F.col("first")).alias("inserted"))
+    cols = [c for c in per.columns if c != "range_id"]
     frm = F.col("range_id") * batch_blocks + start_block
     return per.select(
         frm.alias("from_block"),
