@@ -109,17 +109,20 @@ def schedule(shares: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     )
     point = F.conv(F.reverse(F.lpad(F.conv(F.col("cell").cast("string"), 10, 2), bits, "0")), 2, 10).cast("long")
     points = cell.withColumn("point", point).withColumn("chunk", F.expr(f"point div {SLOT_CHUNK}"))
+    # written: rows made from a few source rows look small to the planner, which would broadcast them
+    points = written(points.select("skey", "words", "point", "chunk"), "mix-points")
     counts = points.groupBy("skey", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("skey").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("skey", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     rank = F.row_number().over(Window.partitionBy("skey", "chunk").orderBy("point")) - 1
-    return (
+    slots = (
         points.withColumn("rank", rank)
         .join(counts, ["skey", "chunk"])
         .withColumn("block", F.col("rank") + F.col("offset"))
         .filter(F.col("block") * block_words < F.col("words"))
         .select("skey", "block", "point")
     )
+    return written(slots, "mix-slots")
 
 
 def placements(stream: DataFrame, shares: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS,
