@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenlake.llm.common import small_batches
 from tokenlake.llm.ngrams import SpanHashes, documents_of_words, portions, texts_of
 
 SEGMENT_WORDS = 64
@@ -196,7 +197,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _leaks_of(docs: DataFrame, index, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHashes()
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = texts_of(batch)
             for at, to in portions(texts):
                 rows = _search(index.value, hasher, texts[at:to])

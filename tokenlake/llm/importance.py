@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenlake.llm.common import written
+from tokenlake.llm.common import small_batches, written
 from tokenlake.llm.ngrams import MULTIPLIER, SpanHashes, documents_of_words, mixed, portions, texts_of
 
 MAX_LABELLED = 20_000
@@ -58,7 +58,7 @@ def _rejected_ngrams(rejects: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHashes()
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = texts_of(batch, lower=True)
             for at, to in portions(texts):
                 doc, h = ngram_hashes(hasher, texts[at:to])
@@ -88,7 +88,7 @@ def _counts(docs: DataFrame, table, sample) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, (ids, good) = SpanHashes(), sample.value
         total = np.zeros((3, len(table.value)), np.int64)
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = texts_of(batch, lower=True)
             own = np.array([-1 if x is None else x for x in batch["doc_id"].to_pylist()])
             spot = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
@@ -133,7 +133,7 @@ def log_weights(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, (table, ratio) = SpanHashes(), shared.value
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = texts_of(batch, lower=True)
             weight, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             for at, to in portions(texts) if len(table) else ():

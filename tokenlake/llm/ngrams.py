@@ -12,7 +12,7 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: bytes of text looked at together in a task
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 2 << 20
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
