@@ -9,9 +9,11 @@ candidate pair is verified with the exact Jaccard similarity of the distinct shi
 
 Texts with the same words are one class from the start. In a bucket, members are compared with one
 leader, not with each other; connected components of the verified links become classes. Another
-leader is then tried for members that are still apart, and what remains apart after that is compared
-pair by pair across the classes of a bucket, so a bucket of thousands of copies costs a multiple of its
-members and no link between two classes is lost.
+leader is then tried for members that are still apart. What remains apart after that is paired by an
+exact rule: two texts of 0.8 or more share one of the rarest 20 % of the shingles of each, and only
+shingles that two classes have can be shared between them. So a bucket of thousands of copies costs a
+multiple of its members, texts too far from all others drop out without a comparison, and no link between
+two classes is lost.
 
 Defined results: documents without words are classes of their own; texts of fewer than five words have
 one shingle, all their words; rows of one doc_id count as one document; rows without doc_id are left
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenlake.llm.common import written
@@ -147,13 +149,49 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
-def _apart_pairs(buckets: DataFrame) -> DataFrame:
-    """(u, v): members of one bucket that are in different classes."""
-    mixed_up = buckets.groupBy("band").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).filter("low <> high")
-    rows = buckets.join(mixed_up.select("band"), "band", "left_semi")
-    left = rows.select("band", F.col("doc_id").alias("a"), F.col("class_id").alias("a_class"))
-    right = rows.select("band", F.col("doc_id").alias("b"), F.col("class_id").alias("b_class"))
-    return _ordered(left.join(right, "band").filter("a_class < b_class").select("a", "b"))
+def _distinct_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hasher = SpanHashes()
+    for batch in batches:
+        texts = texts_of(batch)
+        for at, to in portions(texts):
+            doc, h, _ = weighted_shingles(*shingle_hashes(*documents_of_words(hasher, texts[at:to])))
+            rows = pa.array(doc + at)
+            n = pa.array(np.bincount(doc, minlength=to - at)[doc])
+            columns = [batch["doc_id"].take(rows), batch["class_id"].take(rows), n, pa.array(h.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "class_id", "n", "shingle"])
+
+
+def _apart_pairs(buckets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v): all pairs of 0.8 or more, and few others, among members of a bucket that are in different classes.
+
+    Prefix filter: with the shingles of all texts in one order, rarest first, a text of n shingles shares one
+    of its first n - ceil(0.8 n) + 1 with a similar text that is not longer, and that one has it among its first
+    n - ceil(2 * 0.8 / 1.8 n) + 1. What follows the first shingle that they share must be long enough for
+    the overlap that is missing. Shingles of one class alone come first of all; a text with more of them than
+    its prefix has no partner.
+    """
+    several = buckets.groupBy("band").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).filter("low <> high")
+    apart = buckets.join(several.select("band"), "band", "left_semi").select("doc_id", "class_id").distinct()
+    rows = texts.join(apart, "doc_id").select("doc_id", "class_id", "text")
+    rows = written(rows.mapInArrow(_distinct_shingles, "doc_id long, class_id long, n long, shingle long"), "near-shingles")
+    found = rows.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("class_id").alias("low"), F.max("class_id").alias("high"))
+    shared = rows.join(found.filter("low <> high").select("shingle", "texts"), "shingle")
+    own = Window.partitionBy("doc_id")
+    place = F.row_number().over(own.orderBy("texts", "shingle")) + F.col("n") - F.count("*").over(own)
+    prefix = shared.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1)
+    prefix = written(prefix.select("doc_id", "class_id", "n", "shingle", "place"), "near-prefixes")
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "class_id", "n", "place")]
+    share = 2 * SIMILARITY / (1 + SIMILARITY)
+    longer = prefix.select("shingle", *side("a"))
+    shorter = prefix.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).select("shingle", *side("b"))
+    overlap = (F.col("a_n") + F.col("b_n")) * (share / 2) - 1e-9
+    near = (
+        (F.col("a_class_id") != F.col("b_class_id"))
+        & F.col("b_n").between(F.col("a_n") * (SIMILARITY - 1e-9), F.col("a_n"))
+        & (1 + F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) >= overlap)
+    )
+    met = longer.join(shorter, (longer["shingle"] == shorter["shingle"]) & near)
+    return _ordered(met.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")))
 
 
 def _classed(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -174,18 +212,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     steps = [
         lambda b: _led_pairs(b, F.col("doc_id")),
         lambda b: _led_pairs(b, F.xxhash64("band", "doc_id")),
-        _apart_pairs,
+        lambda b: _apart_pairs(b, involved),
     ]
     classed = members.withColumn("class_id", F.col("doc_id"))
     involved = written(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
     for step in steps:
         pairs = step(classed)
         pairs = written(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "near-pairs")
-        found = written(verify(pairs, involved), "near-links")
+        if pairs.isEmpty():
+            continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        good = found.filter(F.col("similarity") >= SIMILARITY).select("u", "v")
-        links = good if links is None else links.unionByName(good)
-        classed = written(_classed(members, links), "near-classes")
+        good = written(verify(pairs, involved).filter(F.col("similarity") >= SIMILARITY).select("u", "v"), "near-links")
+        if not good.isEmpty():
+            links = good if links is None else links.unionByName(good)
+            classed = written(_classed(members, links), "near-classes")
     classes = classed.select("doc_id", "class_id").distinct()
     own = texts.select("same", F.col("r.doc_id").alias("rep")).join(classes, F.col("rep") == classes["doc_id"], "left")
     own = own.select("same", F.coalesce("class_id", "rep").alias("class_id"))
