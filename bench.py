@@ -100,8 +100,8 @@ def main() -> None:
     small = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.01")
     growth: dict[str, float] = {}
     if os.path.isdir(small) and os.path.realpath(small) != os.path.realpath(sf_dir):
+        L.backfilled_store(spark, small)
         for name in HEADLINE:
-            qs[name](spark, small).write.format("noop").mode("overwrite").save()
             t0 = time.perf_counter()
             qs[name](spark, small).write.format("noop").mode("overwrite").save()
             growth[name] = round(timings[name] / max(time.perf_counter() - t0, 1e-3), 2)
