@@ -5,10 +5,11 @@ removed; strings are judged on the input and never cross documents.
 
 1. *Anchors.* In each 50-byte string the 18-byte gram with the smallest hash is its anchor, so equal
    strings have equal anchors. Documents send their anchors to buckets by gram, as packed arrays: hashes
-   of the gram, of 16 bytes more on either side, of the whole context (all 50-byte strings around
+   of the gram, of four 42-byte strings around it, of the whole context (all 50-byte strings around
    the gram), and the doc_id. An anchor whose whole context stands in a smaller document is settled: all of
-   the context goes. Of the rest, only anchors can matter whose gram with 16 more bytes on one side stands
-   in another document too, because a 50-byte string has 16 of its other 32 bytes on one side.
+   the context goes. Of the rest, only anchors can matter of which one of the four strings stands in
+   another document too: wherever a 50-byte string has its gram, it holds 0 and 24, 8 and 16, 16 and 8
+   or 24 and 0 of the bytes before and behind.
 2. *Suffix arrays.* The contexts of those anchors meet by gram, in blocks of bounded size. Each block is
    sorted by the difference-cover algorithm: triples at positions 1 and 2 modulo 3 are sorted and
    named, the names are sorted by recursion, the remaining suffixes are merged in, and neighbours are
@@ -16,7 +17,7 @@ removed; strings are judged on the input and never cross documents.
    A gram with many contexts is dealt over several blocks, whose classes are joined by digest.
 3. *Removal.* Runs are united per document and the rest is hashed.
 
-Only step 2 compares bytes; a false match in step 1 needs equal hashes of over 100 bits in one document
+Only step 2 compares bytes; a false match in step 1 needs equal hashes of 120 bits in one document
 pair. A hot gram does not gather in step 1: a task sends each context once and settles its own repeats, and of
 more than ``HOT`` contexts of a gram in one task only those go to the gram's bucket that others
 need to meet.
@@ -37,9 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenlake.llm.common import written
-from tokenlake.llm.ngrams import SpanHashes, mixed, portions, texts_of
+from tokenlake.llm.ngrams import MULTIPLIER, SpanHashes, mixed, portions, texts_of
 
-LENGTH, GRAM, SIDE = 50, 18, 16
+LENGTH, GRAM = 50, 18
+#: bytes before and behind a gram of the strings that one of must be shared
+AROUND = ((0, 24), (8, 16), (16, 8), (24, 0))
 SPAN = LENGTH - GRAM  # bytes of a 50-byte string beside its anchor
 #: bytes of a long text, or of several short ones, looked at together
 PIECE = 1 << 21
@@ -47,8 +50,8 @@ PIECE = 1 << 21
 BUCKET_ANCHORS, BLOCK_CONTEXTS, BLOCK_SYMBOLS = 400_000, 4096, 1 << 20
 HOT = 64
 SETTLED, ALIVE = 0, 1
-_ANCHOR = np.dtype([("gram", "<u8"), ("left", "<u2"), ("right", "<u2"), ("context", "<u4")])
-_RECORD = np.dtype([("gram", "<u4"), ("high", "u1"), ("left", "<u2"), ("right", "<u2"), ("context", "<u4")])
+_ANCHOR = np.dtype([("gram", "<u8"), ("around", "<u2", (4,)), ("context", "<u2")])
+_RECORD = np.dtype([("gram", "<u4"), ("high", "u1"), ("around", "<u2", (4,)), ("context", "<u2")])
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -106,22 +109,27 @@ class Anchors:
         clip = (left * 64 + right).astype(np.uint64)  # a context cut by an end is another context
         out = np.empty(len(at), _ANCHOR)
         out["gram"] = gram[at]
-        near, far = np.minimum(left, SIDE), np.minimum(right, GRAM + SIDE)
-        out["left"] = mixed(self.hashes.of(at - near, at) + near.astype(np.uint64)) >> np.uint64(48)
-        out["right"] = mixed(self.hashes.of(at, at + far) + far.astype(np.uint64)) >> np.uint64(48)
-        out["context"] = mixed(self.hashes.of(at - left, at + right) ^ clip) >> np.uint64(32)
+        for k, (near, far) in enumerate(AROUND):
+            near, far = np.minimum(left, near), np.minimum(right, GRAM + far)
+            out["around"][:, k] = mixed(self.hashes.of(at - near, at + far) ^ (near * 64 + far).astype(np.uint64)) >> np.uint64(48)
+        out["context"] = mixed(self.hashes.of(at - left, at + right) ^ clip) >> np.uint64(48)
         return doc, at - begin[doc] + np.array(first)[doc], out
 
 
+def _runs(changes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of each run among ``n`` rows; ``changes`` tells for all rows but the first whether a run begins."""
+    first = np.flatnonzero(np.concatenate([[True], changes])[:n])
+    return first, np.append(first[1:], n)[: len(first)]
+
+
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, first of each group in that order) by the keys, most important first."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        k = k[order]
-        new[1:] |= k[1:] != k[:-1]
-    return order, np.flatnonzero(new)
+    """(order, first of each group in that order): rows with equal keys stand together."""
+    h = keys[0].astype(np.uint64)
+    for k in keys[1:]:
+        h = mixed(h * MULTIPLIER + k.astype(np.uint64))
+    order = np.argsort(h)
+    h = h[order]
+    return order, np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
 
 
 def _per_group(order: np.ndarray, first: np.ndarray, x: np.ndarray, of) -> np.ndarray:
@@ -133,8 +141,13 @@ def _per_group(order: np.ndarray, first: np.ndarray, x: np.ndarray, of) -> np.nd
     return out
 
 
-def _settled(gram, left, right, context, doc) -> np.ndarray:
-    order, first = _groups(gram, left, right, context)
+def _alike(x: np.ndarray) -> list[np.ndarray]:
+    """The fields that tell one context from another, but for the gram."""
+    return [np.ascontiguousarray(x["around"]).view("<u8")[:, 0], x["context"]]
+
+
+def _settled(gram, rest: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    order, first = _groups(gram, *_alike(rest))
     return doc > _per_group(order, first, doc, np.minimum)
 
 
@@ -152,14 +165,14 @@ def _edge(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
 
 def _key(anchor: np.ndarray, gram40: np.ndarray) -> np.ndarray:
     """64 bits of an anchor's fields, the lowest free for its state."""
-    sides = anchor["left"].astype(np.uint64) << np.uint64(48) | anchor["right"].astype(np.uint64) << np.uint64(32) | anchor["context"]
-    return mixed(mixed(sides) + gram40) & ~np.uint64(1)
+    around, context = _alike(anchor)
+    return mixed(mixed(around * MULTIPLIER + context.astype(np.uint64)) + gram40) & ~np.uint64(1)
 
 
 _PACK = "bucket int, state int, docs binary, records binary"
 
 
-def _sent(buckets: int):
+def _sent(buckets: int, hot: int):
     """Packs the anchors of each portion by bucket; what is settled or alive already goes anywhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,28 +183,32 @@ def _sent(buckets: int):
             for a, b in portions(texts, 4 * PIECE):
                 doc, _, found = anchors.of(texts[a:b])
                 doc = ids[a:b][doc]
-                order, first = _groups(found["gram"], found["left"], found["right"], found["context"], doc)
+                order, first = _groups(found["gram"], *_alike(found), doc)
                 found, doc = found[order[first]], doc[order[first]]  # a document's repeats count once
                 gram = found["gram"]
-                settled = _settled(gram, found["left"], found["right"], found["context"], doc)
+                settled = _settled(gram, found, doc)
                 rest = np.flatnonzero(~settled)
                 g, d = gram[rest], doc[rest]
                 order, first = _groups(g)
-                many = _per_group(order, first, np.ones(len(g), np.int64), np.add) > HOT
-                alive = np.zeros(len(gram), bool)  # neither first nor last with its neighbours: others have them too
-                alive[rest] = many & ~_edge(d, g, found["left"][rest]) & ~_edge(d, g, found["right"][rest])
+                many = _per_group(order, first, np.ones(len(g), np.int64), np.add) > hot
+                alive = np.zeros(len(gram), bool)
+                crowd = rest[many]
+                g, d = gram[crowd], doc[crowd]
+                edge = np.zeros(len(crowd), bool)  # first or last with a string; the others share all four
+                for k in range(len(AROUND)):
+                    edge |= _edge(d, g, found["around"][crowd, k])
+                alive[crowd] = ~edge
                 to = ((gram >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
                 loose = settled | alive
                 to[loose] = (mixed(doc[loose].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
                 state = np.where(settled, SETTLED, np.where(alive, ALIVE, -1))
                 record = np.empty(len(found), _RECORD)
                 record["gram"], record["high"] = gram & np.uint64(0xFFFFFFFF), (gram >> np.uint64(32)) & np.uint64(0xFF)
-                for k in ("left", "right", "context"):
+                for k in ("around", "context"):
                     record[k] = found[k]
-                order = np.lexsort((gram, state, to))
+                order = np.argsort(to * 4 + state, kind="stable")
                 place = to[order] * 4 + state[order] + 1
-                cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])[: len(place)])
-                ends = np.append(cut[1:], len(place))
+                cut, ends = _runs(place[1:] != place[:-1], len(place))
                 rows = [(int(to[order[s]]), int(state[order[s]]), _narrow(doc[order[s:e]]), record[order[s:e]].tobytes()) for s, e in zip(cut, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)]
@@ -226,18 +243,20 @@ def _judged(parts: int):
         records = np.concatenate(records)
         gram = records["high"].astype(np.uint64) << np.uint64(32) | records["gram"]
         open_ = np.flatnonzero(state < 0)
-        g, left, right, doc = gram[open_], records["left"][open_], records["right"][open_], docs[open_]
-        settled = _settled(g, left, right, records["context"][open_], doc)
+        g, doc = gram[open_], docs[open_]
+        settled = _settled(g, records[open_], doc)
         state[open_[settled]] = SETTLED
-        rest = ~settled
-        met = _met(doc[rest], g[rest], left[rest]) | _met(doc[rest], g[rest], right[rest])
-        state[open_[rest][met]] = ALIVE
+        rest = open_[~settled]
+        g, doc = gram[rest], docs[rest]
+        met = np.zeros(len(rest), bool)
+        for k in range(len(AROUND)):
+            met |= _met(doc, g, records["around"][rest, k])
+        state[rest[met]] = ALIVE
         told = np.flatnonzero(state >= 0)
         key = _key(records[told], gram[told]) | state[told].astype(np.uint64)
         part = docs[told] % parts
         order = np.lexsort((docs[told], part))
-        cut = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0])[: len(order)])
-        for s, e in zip(cut, np.append(cut[1:], len(order)), strict=True):
+        for s, e in zip(*_runs(np.diff(part[order]) != 0, len(order)), strict=True):
             chosen = order[s:e]
             yield int(part[chosen[0]]), docs[told][chosen].astype("<i8").tobytes() + key[chosen].tobytes()
 
@@ -420,8 +439,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o, p = owner[matched], (start[owner] + offset)[matched]
         order = np.lexsort((p, o))
         o, p = o[order], p[order]
-        cut = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (p[1:] != p[:-1] + 1)])[: len(o)])
-        last = np.append(cut[1:], len(o)) - 1
+        cut, ends = _runs((o[1:] != o[:-1]) | (p[1:] != p[:-1] + 1), len(o))
+        last = ends - 1
         out = [(rows[k][0], rows[k][1], a, b + LENGTH, None) for k, a, b in zip(o[cut].tolist(), p[cut].tolist(), p[last].tolist(), strict=True)]
         for k, q in zip(owner[~matched & (deals[owner] > 1)].tolist(), offset[~matched & (deals[owner] > 1)].tolist(), strict=True):
             text = rows[k][3][q : q + LENGTH]
@@ -464,7 +483,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT, block_contexts: int = BLOCK_CONTEXTS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per document."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
@@ -472,7 +491,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     buckets = 1 + n_bytes // (BUCKET_ANCHORS * (SPAN + 2) // 2)
     workers = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    sent = docs.filter("doc_id IS NOT NULL").mapInArrow(_sent(buckets), _PACK)
+    sent = docs.filter("doc_id IS NOT NULL").mapInArrow(_sent(buckets, hot), _PACK)
     judged = sent.repartition(workers, "bucket").sortWithinPartitions("bucket").mapInArrow(_judged(buckets), "part int, told binary")
     none = {name: F.lit(None).cast(kind).alias(name) for name, kind in (("doc_id", "long"), ("text", "string"), ("told", "binary"))}
     told = judged.select("part", F.lit(0).alias("kind"), none["doc_id"], none["text"], "told")
@@ -482,7 +501,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = written(located, "repeats", compression="zstd")
 
     contexts = found.filter("kind = 2").select("gram", "doc_id", "row", "start", "context")
-    many = contexts.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK_CONTEXTS).alias("deals")).filter("deals > 1")
+    many = contexts.groupBy("gram").agg(F.ceil(F.count("*") / block_contexts).alias("deals")).filter("deals > 1")
     dealt = contexts.join(many, "gram", "left").withColumn("deals", F.coalesce("deals", F.lit(1)))
     dealt = dealt.withColumn("deal", F.pmod(F.xxhash64("doc_id"), F.col("deals")))
     blocks = dealt.repartition(workers, "gram", "deal").sortWithinPartitions("gram", "deal").mapInArrow(_compared, _MATCHED)
