@@ -9,8 +9,10 @@ The file format is a Parquet dataset of (shard, doc_id, n_tokens, control, data)
 shards and rows in ascending doc_id order, beside a dataset of (rank, id). Spark writes both, so a lost
 executor's tasks are written again and nothing is read by a path that only one machine has.
 
-Texts are cut at single spaces between other characters, where the byte-level pre-tokenizer always
-cuts too; each different piece is tokenized once per worker and its ids are looked up afterwards.
+Texts are cut where the byte-level pre-tokenizer always cuts too: before a single space between other
+characters, before a full stop or comma after a letter or digit, around a single line break. Each different piece is
+tokenized once per task and its ids are looked up afterwards; a text with doubtful cuts is cut at
+single spaces only.
 
 Defined results: null or empty text encodes to the end id alone; rows with the same doc_id are
 documents of their own; null doc_id comes first; an empty table gives no rows.
@@ -22,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,69 +34,132 @@ from pyspark.sql import functions as F
 from tokenlake.llm.common import written
 
 END_ID = 2
-#: pieces that a worker remembers; more start a new memory
+#: pieces that a task remembers; more start a new memory
 MAX_PIECES = 1 << 20
 #: documents whose ids are put together at a time
 DOCS_AT_ONCE = 256
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+#: what a piece is like at its ends; a cut is judged by the marks on both sides
+SPACED, STOP, BREAK, EMPTY, ENDS_SPACE, ENDS_WORD = (1 << k for k in range(6))
+
+
+_FIRST = {" ": SPACED, ".": STOP, ",": STOP, "\n": BREAK}
+
+
+def _marks(piece: str) -> int:
+    if not piece or piece == " " or piece[0] == " " and piece[1].isspace():
+        return EMPTY
+    last = piece[-1]
+    end = ENDS_WORD if last.isalnum() and last < "\u0250" else ENDS_SPACE if last.isspace() else 0
+    return _FIRST.get(piece[0], 0) | end
+
+
+def fine_pieces(text: str) -> list[str]:
+    """The text cut before spaces, full stops and commas and around line breaks."""
+    cut = text.replace("\0", " ").replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0").split("\0")
+    if not cut[-1]:
+        cut.pop()
+    return cut if "\0" not in text else ["", text]
+
+
+def plain_pieces(text: str) -> list[str]:
+    """The text cut before single spaces between other characters."""
+    cut = _CUT.split(text)
+    return [cut[0], *[" " + x for x in cut[1:]]]
+
+
+def safe_cuts(marks: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each text, pieces ends[i] .. ends[i + 1], tokenizes piece by piece like the whole."""
+    before, after = marks[:-1], marks[1:]
+    bad = np.zeros(len(marks) + 1, bool)
+    bad[1:-1] = (
+        ((after & (SPACED | BREAK)) > 0) & ((before & ENDS_SPACE) > 0)
+        | ((after & STOP) > 0) & ((before & ENDS_WORD) == 0)
+        | ((before & BREAK) > 0) & ((after & (SPACED | BREAK | STOP)) > 0)
+    )
+    bad[ends[:-1]] = False  # no cut before a text's first piece
+    bad[:-1] |= (marks & EMPTY) > 0
+    total = np.concatenate([[0], np.cumsum(bad)])
+    return total[ends[1:]] == total[ends[:-1]]
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+class _Places(dict):
+    """Numbers pieces in the order in which they are first asked for."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        return n
+
+
 class PieceEncoder:
     """Ids of whole texts, through a memory of pieces already tokenized."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = _tokenizer(path)
+        vocabulary = self.tokenizer.get_vocab()  # byte-level: one character for each byte
+        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.token_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts, self.counts, self.used = [], [], 0
+        self.place = _Places()
+        self.ids, self.marks = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        self.starts = self.counts = np.zeros(0, np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        for piece, ids in zip(pieces, (e.ids for e in encoded), strict=True):
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.place[piece] = len(self.starts)
-            self.starts.append(self.used)
-            self.counts.append(len(ids))
-            self.used += len(ids)
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """The text in pieces that tokenize by themselves; all but the first begin with a space."""
-        cut = text.split(" ")
-        for x in cut:
-            if not x or x[0].isspace() or x[-1].isspace():
-                cut = _CUT.split(text)
-                break
-        return [cut[0], *[" " + x for x in cut[1:]]]
+        """Tokenizes new pieces. Pieces that begin with a space and end without go through the tokenizer
+        many at a time, since it cuts before each; the bytes of the tokens tell where a piece ends."""
+        marks = np.fromiter(map(_marks, pieces), np.uint8, len(pieces))
+        joined = (marks & (SPACED | ENDS_SPACE | EMPTY)) == SPACED
+        rows = np.flatnonzero(joined)
+        groups = [rows[a : a + 256].tolist() for a in range(0, len(rows), 256)] + [[k] for k in np.flatnonzero(~joined).tolist()]
+        encoded = self.tokenizer.encode_batch_fast(["".join([pieces[k] for k in g]) for g in groups], add_special_tokens=False)
+        counts, starts, flat, used = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), [self.ids], len(self.ids)
+        for group, e in zip(groups, encoded, strict=True):
+            ids = np.array(e.ids, np.uint32)
+            at = np.array([0, len(ids)])
+            if len(group) > 1:
+                ends = np.cumsum([len(pieces[k].encode()) for k in group])
+                at = np.append(0, np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1)
+            starts[group], counts[group] = used + at[:-1], np.diff(at)
+            flat.append(ids)
+            used += len(ids)
+        self.ids, self.marks = np.concatenate(flat), np.append(self.marks, marks)
+        self.starts, self.counts = np.append(self.starts, starts), np.append(self.counts, counts)
+
+    def _spots(self, cut: list[list[str]]) -> np.ndarray:
+        """Where each piece stands in the memory; pieces not seen before are tokenized first."""
+        known = len(self.place)
+        spots = np.fromiter(map(self.place.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        if len(self.place) > known:
+            self._learn(list(islice(self.place, known, None)))
+        return spots
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.place) > MAX_PIECES:
             self._forget()
-        cut = [self.pieces(t) for t in texts]
-        place = self.place
-        new = {p for pieces in cut for p in pieces if p not in place}
-        if new:
-            self._learn(list(new))
-        spots = np.fromiter((place[p] for pieces in cut for p in pieces), np.int64, sum(map(len, cut)))
-        starts, counts = np.asarray(self.starts)[spots], np.asarray(self.counts)[spots]
+        cut = [fine_pieces(t) for t in texts]
+        spots = self._spots(cut)
+        bad = ~safe_cuts(self.marks[spots], np.cumsum([0, *map(len, cut)]))
+        if bad.any():
+            cut = [plain_pieces(t) if x else c for t, c, x in zip(texts, cut, bad, strict=True)]
+            spots = self._spots(cut)
+        starts, counts = self.starts[spots], self.counts[spots]
         ends = np.cumsum(counts)
         flat = self.ids[np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
         upto = np.cumsum([len(p) for p in cut])
         return np.split(flat, np.concatenate([[0], ends])[upto][:-1])
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
-
-
 def _shrink(ids: np.ndarray) -> bytes:
     """Ids as bytes: two each if all fit, else four, the width first."""
     if ids.max(initial=0) < 1 << 16:
@@ -109,7 +175,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, n_tokens, ids): whole texts through the tokenizer, the end id appended."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = PieceEncoder(path)  # its memory goes with the task
         for whole in batches:
             for at in range(0, whole.num_rows, DOCS_AT_ONCE):
                 batch = whole.slice(at, DOCS_AT_ONCE)
@@ -184,9 +250,10 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple
                     ["doc_id", "n_tokens", "control", "data"],
                 )
 
-    rows = tokens.mapInArrow(coded, "doc_id long, n_tokens long, control binary, data binary")
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens")
-    files = ordered.withColumn("shard", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
+    by_id = F.col("doc_id").asc_nulls_first()
+    ordered = tokens.repartitionByRange(by_id).sortWithinPartitions(by_id, "n_tokens")
+    files = ordered.mapInArrow(coded, "doc_id long, n_tokens long, control binary, data binary")
+    files = files.withColumn("shard", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
     return written(files, "token-files", compression="zstd"), ranks
 
 
