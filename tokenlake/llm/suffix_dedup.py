@@ -382,9 +382,15 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     t = np.concatenate([s.astype(np.int64), [0, 0, 0]])
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     sample = np.concatenate([one, two])
-    order = np.lexsort((t[sample + 2], t[sample + 1], t[sample]))
-    triple = [t[sample[order] + k] for k in range(3)]
-    new = np.concatenate([[1], (triple[0][1:] != triple[0][:-1]) | (triple[1][1:] != triple[1][:-1]) | (triple[2][1:] != triple[2][:-1])])
+    symbols = int(t.max()) + 1
+    if symbols < 1 << 21:  # three symbols fit one number
+        triple = (t[sample] * symbols + t[sample + 1]) * symbols + t[sample + 2]
+    else:
+        pairs = t[sample + 1] * symbols + t[sample + 2]
+        triple = t[sample] * (len(sample) + 1) + np.unique(pairs, return_inverse=True)[1]
+    order = np.argsort(triple)
+    triple = triple[order]
+    new = np.concatenate([[True], triple[1:] != triple[:-1]])
     names = np.empty(len(sample), np.int64)
     names[order] = np.cumsum(new)
     if new.sum() < len(sample):
@@ -393,7 +399,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     rank = np.zeros(n + 3, np.int64)
     rank[sorted_sample] = np.arange(1, len(sample) + 1)
     zero = np.arange(0, n, 3)
-    zero = zero[np.lexsort((rank[zero + 1], t[zero]))]
+    zero = zero[np.argsort(t[zero] * (n + 4) + rank[zero + 1])]
     ones, twos = sorted_sample[sorted_sample % 3 == 1], sorted_sample[sorted_sample % 3 == 2]
     width = np.int64(n + 4)
     before_one = np.searchsorted(t[ones] * width + rank[ones + 1], t[zero] * width + rank[zero + 1])
