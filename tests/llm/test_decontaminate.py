@@ -64,3 +64,27 @@ def test_awkward_rows(spark):
     assert dc.find_leaks(empty(docs), items).count() == 0 and dc.find_leaks(docs, empty(items)).count() == 0
     kept = dc.decontaminate(docs, items)
     assert kept.columns == docs.columns and kept.count() == docs.count() - 6 + 0
+
+
+def test_separated_and_half_copied_items_equal_brute_force(spark):
+    """Every pair that overlaps() confirms is found, wherever the shingles stand in the document."""
+    rng = random.Random(5)
+    words = [f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(6000)]
+    some = lambda n: rng.choices(words, k=n)
+    items = [(k, some(n)) for k, n in enumerate([1, 3, 4, 5, 7, 9, 10, 11, 15, 20, 30, 45, 59, 130, 300] * 3)]
+    items += [(100 + k, items[12][1][:30] + some(20)) for k in range(3)]  # the question of another item
+    texts = []
+    for _, w in items:
+        half = (len(w) + 1) // 2
+        texts.append(some(40) + w[:half] + some(200) + w[half:] + some(40))  # question and answer apart
+        texts.append(some(30) + w[half // 2 : half + (len(w) - half) // 2 + 3] + some(30))  # a contiguous part of each
+        cuts = [w[a : a + 9] for a in range(0, len(w), 10)]
+        texts.append([x for c in cuts for x in c + some(150)])  # pieces all over the document
+        texts.append(w[:half] + some(100))  # the question alone
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    coded = [([x.encode() for x in t]) for t in texts]
+    want = {(d, i) for i, w in items for d, t in enumerate(coded) if min(dc.overlaps([x.encode() for x in w], t)) >= dc.OVERLAP}
+    rows = dc.find_leaks(docs, benchmark).collect()
+    assert len(rows) == len(want) and {(r.doc_id, r.item_id) for r in rows} == want
+    assert {i for d, i in want if d % 4 == 0} >= {i for i, w in items if len(w) >= 2 * dc.SHINGLE}

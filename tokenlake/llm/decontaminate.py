@@ -1,23 +1,26 @@
 """Benchmark decontamination by a BM25 index with block-max pruning (operator 3).
 
-The test items are the indexed side: each item is cut into segments of at most ``SEGMENT_WORDS`` words,
-and every term has a posting list (segment, BM25 impact) laid out in blocks of ``BLOCK_SEGMENTS``
-segments with the largest impact of each block. Every passage of every training document is a query
-against the index. A segment must reach ``SHARE`` of the score that it gives itself; a passage is first
-bounded by the largest impacts of its terms, then block by block, and only blocks whose bound reaches
-the smallest threshold in the block are scored in full, so all segments above the threshold are found.
-
-Passages are ``2 * SEGMENT_WORDS`` words long and start every ``SEGMENT_WORDS`` words, so each run of words
-as long as a segment lies whole in one passage. What is retrieved is verified on the words: an item
-has leaked into a document when its question part (first half) and its answer part (second half)
-overlap the document in at least ``OVERLAP`` of their five-word shingles each.
+The test items are the indexed side: the question part (first half) and the answer part (second half)
+of each item are segments of their own, an item of fewer than ten words is one segment, and every term has
+a posting list (segment, BM25 impact) laid out in blocks of ``BLOCK_SEGMENTS`` segments with the largest
+impact of each block. Every training document is a query against the index: its words that lie in a
+shingle which some item has, wherever they stand. A document is first bounded by the largest impacts of its
+terms, then block by block, and only blocks whose bound reaches the smallest threshold in the block are
+scored in full, so all segments above the threshold are found.
+
+An item has leaked into a document when the document has at least ``OVERLAP`` of the five-word shingles
+of the question part and of the answer part. A segment's threshold is the least score that this rule
+allows, so retrieval loses nothing that the rule confirms: with a word's impact dealt evenly over its places
+in the segment, every shingle is worth the mean of its places, no place is in more than five shingles,
+and the score is at least the sum of the ``OVERLAP`` cheapest shingles. Documents in which all segments of
+an item are retrieved are verified on the words.
 
 The index is a function of the benchmark alone; a benchmark of more than ``MAX_INDEX_WORDS`` words is
 taken in batches of items, one pass over the documents per batch, so what is sent to the executors
 has a fixed bound.
 
 Defined results: null or empty documents and items leak nothing; repeated items and documents each
-count; items of fewer than five words are compared as one shingle of all their words.
+count; the score is the sum over the item's segments; items of fewer than five words are compared as one shingle of all their words.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenlake.llm.common import small_batches
-from tokenlake.llm.ngrams import SpanHashes, documents_of_words, portions, texts_of
+from tokenlake.llm.ngrams import MULTIPLIER, SpanHashes, documents_of_words, mixed, portions, texts_of
 
 SEGMENT_WORDS = 64
 BLOCK_SEGMENTS = 16
@@ -62,11 +65,38 @@ class Index:
     block_start: np.ndarray  # of each term, into the block maxima
     block_id: np.ndarray
     block_max: np.ndarray
+    shingles: dict[int, np.ndarray]  # sorted hashes of the segments' shingles, by their number of words
 
 
-def build_index(items: list[tuple[object, str | None]]) -> Index | None:
+def parts_of(item: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """Question and answer part; a short item is both."""
+    half = (len(item) + 1) // 2
+    return (item[:half], item[half:]) if len(item) >= 2 * SHINGLE else (item, item)
+
+
+def span_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every window of ``size`` words, from the hashes of the words."""
+    n = max(0, len(words) - size + 1)
+    h = words[:n]
+    for k in range(1, size):
+        h = h * MULTIPLIER + words[k : k + n]
+    return mixed(h)
+
+
+def least_score(impact: np.ndarray, spans: np.ndarray, size: int) -> float:
+    """The least score of a document with OVERLAP of a segment's shingles, given the impact of every place."""
+    upto = np.concatenate([[0.0], np.cumsum(impact)])
+    worth = (upto[size:] - upto[:-size])[np.unique(spans, return_index=True)[1]] / size
+    return float(np.sort(worth)[: math.ceil(len(worth) * OVERLAP - 1e-9)].sum()) * (1 - 1e-9)
+
+
+def build_index(items: list[tuple[object, str | None]], halves: bool = False) -> Index | None:
+    """Index of question and answer parts with the thresholds of the overlap rule, or else of runs of SEGMENT_WORDS with SHARE."""
     words = [(t or "").encode().split() for _, t in items]
-    segments = [(i, w[a : a + SEGMENT_WORDS]) for i, w in enumerate(words) for a in range(0, len(w), SEGMENT_WORDS)]
+    if halves:
+        segments = [(i, p) for i, w in enumerate(words) if w for p in parts_of(w)[: 1 + (len(w) >= 2 * SHINGLE)]]
+    else:
+        segments = [(i, w[a : a + SEGMENT_WORDS]) for i, w in enumerate(words) for a in range(0, len(w), SEGMENT_WORDS)]
     if not segments:
         return None
     vocabulary = sorted({x for _, s in segments for x in s})
@@ -85,11 +115,19 @@ def build_index(items: list[tuple[object, str | None]]) -> Index | None:
     terms, start = np.unique(term, return_index=True)
     key = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (segment[1:] // BLOCK_SEGMENTS != segment[:-1] // BLOCK_SEGMENTS)])
     own = np.bincount(segment, impact, len(segments)) * SHARE
+    shingles_of: dict[int, list[np.ndarray]] = {}
+    if halves:
+        weight = {(k, t): x for t, k, x in rows}
+        for k, (_, s) in enumerate(segments):
+            size, at = min(SHINGLE, len(s)), [place[x] for x in s]
+            spans, tf = span_hashes(np.array(at, np.uint64), size), Counter(at)
+            own[k] = least_score(np.array([weight[k, t] / tf[t] for t in at]), spans, size)
+            shingles_of.setdefault(size, []).append(spans)
     return Index(
         [i for i, _ in items], words, np.array([i for i, _ in segments]), own,
         np.minimum.reduceat(own, np.arange(0, len(own), BLOCK_SEGMENTS)), terms, np.append(start, len(term)), segment, impact,
         np.maximum.reduceat(impact, start), np.append(np.searchsorted(key, start), len(key)), segment[key] // BLOCK_SEGMENTS,
-        np.maximum.reduceat(impact, key),
+        np.maximum.reduceat(impact, key), {n: np.unique(np.concatenate(x)) for n, x in shingles_of.items()},
     )
 
 
@@ -136,8 +174,7 @@ def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
 
 def overlaps(item: list[bytes], doc: list[bytes]) -> tuple[float, float]:
     """Shares of the question's and of the answer's shingles that the document has."""
-    half = (len(item) + 1) // 2
-    parts = (item[:half], item[half:]) if len(item) >= 2 * SHINGLE else (item, item)
+    parts = parts_of(item)
     size = min(SHINGLE, *map(len, parts))
     has = {tuple(doc[i : i + size]) for i in range(len(doc) - size + 1)}
     asked = [{tuple(p[i : i + size]) for i in range(len(p) - size + 1)} for p in parts]
@@ -146,21 +183,24 @@ def overlaps(item: list[bytes], doc: list[bytes]) -> tuple[float, float]:
 
 def _search(index: Index, hasher: SpanHashes, texts: list[bytes]) -> list[tuple[int, int, float, float, float]]:
     """(text, item, score, question, answer) of every item that leaked into a text."""
-    hashes, doc, first = documents_of_words(hasher, texts)
-    term = np.searchsorted(index.terms, hashes)
-    term[term == len(index.terms)] = 0
-    known = np.flatnonzero(index.terms[term] == hashes)
-    n_passages = np.maximum(1, -(-np.diff(first) // SEGMENT_WORDS))
-    base = np.cumsum(n_passages) - n_passages
-    own = base[doc[known]] + (known - first[doc[known]]) // SEGMENT_WORDS
-    inner = own > base[doc[known]]  # a word is also in the passage that started a segment earlier
-    pair = np.unique(np.concatenate([own, own[inner] - 1]) * len(index.terms) + np.concatenate([term[known], term[known][inner]]))
-    passage, segment, score = retrieve(index, pair // len(index.terms), pair % len(index.terms))
-    found: dict[tuple[int, int], float] = {}
-    where = np.searchsorted(base, passage, side="right") - 1
+    hashes, doc, _ = documents_of_words(hasher, texts)
+    inside = np.zeros(len(hashes), bool)  # words in a shingle that some item has
+    for size, known in index.shingles.items():
+        spans = span_hashes(hashes, size)
+        spot = np.minimum(np.searchsorted(known, spans), len(known) - 1)
+        at = np.flatnonzero((known[spot] == spans) & (doc[: len(spans)] == doc[size - 1 :]))
+        for k in range(size):
+            inside[at + k] = True
+    place = np.flatnonzero(inside)
+    term = np.minimum(np.searchsorted(index.terms, hashes[place]), len(index.terms) - 1)
+    known = index.terms[term] == hashes[place]
+    pair = np.unique(doc[place][known] * len(index.terms) + term[known])
+    where, segment, score = retrieve(index, pair // len(index.terms), pair % len(index.terms))
+    hits: dict[tuple[int, int], list[float]] = {}
     for d, s, x in zip(where.tolist(), segment.tolist(), score.tolist(), strict=True):
-        key = (d, int(index.segment_item[s]))
-        found[key] = max(found.get(key, 0.0), x)
+        hits.setdefault((d, int(index.segment_item[s])), []).append(x)
+    segments = np.bincount(index.segment_item, minlength=len(index.words))
+    found = {key: sum(x) for key, x in hits.items() if len(x) == segments[key[1]]}
     out, split = [], {}
     for (d, i), x in sorted(found.items()):
         if d not in split:
@@ -190,7 +230,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double"
     rows = docs.select("doc_id", "text")
-    found = [_leaks_of(rows, spark.sparkContext.broadcast(i), schema) for i in map(build_index, _batches_of_items(benchmark)) if i]
+    found = [_leaks_of(rows, spark.sparkContext.broadcast(i), schema) for b in _batches_of_items(benchmark) if (i := build_index(b, halves=True))]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
