@@ -54,3 +54,31 @@ def test_awkward_rows(spark):
     for d, x in ((empty(docs), labels), (docs, empty(labels))):
         assert all(r.kept for r in im.resample(d, x).collect())
     assert im.keep_sampled(docs, empty(labels)).count() == docs.count()
+
+
+def test_few_labels_still_tell(spark):
+    """Four rejects among 32 labels tell, and toxic = 1 without a quality is a label."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.sample(words, k=30) + (["vile"] * (i % 8 == 0)))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, None if i % 8 == 0 else 1, int(i % 8 == 0)) for i in range(32)], LABELS)
+    weight = {r.doc_id: r.log_weight for r in im.resample(docs, labels).collect()}
+    bad = [w for i, w in weight.items() if i % 8 == 0 and i > 31]
+    good = [w for i, w in weight.items() if i % 8 and i > 31]
+    assert sum(bad) / len(bad) < sum(good) / len(good)
+
+
+def test_held_out_toxic_and_good(spark):
+    """Fitted on even ids, judged on odd ones; both signs and the noise act."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = read_table(spark, sf, "documents"), read_table(spark, sf, "labels")
+    rows = im.resample(docs, labels.filter("doc_id % 2 = 0")).collect()
+    kept = {r.doc_id: r.kept for r in rows}
+    held = [r for r in labels.collect() if r.doc_id % 2 and r.doc_id in kept]
+    rate = lambda fits: (lambda x: sum(x) / len(x))([kept[r.doc_id] for r in held if fits(r)])
+    good, toxic, low = rate(lambda r: r.quality == 1 and r.toxic == 0), rate(lambda r: r.toxic == 1), rate(lambda r: r.quality == 0)
+    print("held out, kept: good", good, "toxic", toxic, "low", low)
+    assert good > 0.97 and toxic < 0.2 and low < 0.25
+    assert min(r.log_weight for r in rows) < 0 < max(r.log_weight for r in rows)
+    assert max(r.log_weight for r in rows if not r.kept) > min(r.log_weight for r in rows if r.kept)
