@@ -94,3 +94,16 @@ def test_awkward_rows(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, None, None, 5, 7, -9]))
     assert pm.keep_one_of_each(empty(docs)).count() == 0
+
+
+def test_repeated_lines_do_not_hide_near_copies(spark):
+    """Pairs of Jaccard 0.8 or more, far apart in their weights, each alone in its buckets."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    rows = []
+    for i in range(60):
+        base, footers = [word() for _ in range(210)], [[word() for _ in range(9)] for _ in range(2)]
+        rows += [(2 * i + k, " ".join(base + f * 100)) for k, f in enumerate(footers)]
+    want = brute_classes(rows)
+    assert sum(want[2 * i + 1] == 2 * i for i in range(60)) == 60
+    assert classes(pm.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == want

@@ -4,7 +4,9 @@ Every distinct shingle of a document is a Poisson process whose rate is its weig
 arrival falls into one of ``REGISTERS`` registers, a register keeps the shingle that arrives first, and
 a shingle stops as soon as its next arrival is later than everything the registers hold. Two documents
 agree in a register with their probability Jaccard similarity. ``BANDS`` bands of ``ROWS`` registers find
-candidates (at similarity 0.8 a pair is missed with probability (1 - 0.8^4)^30, about 1e-7), and each
+candidates. A document with repeated shingles has a second sketch with all weights 1, whose registers agree
+with the Jaccard similarity of the distinct shingles; without repeats both sketches are the same. So at
+similarity 0.8 a pair is missed with probability (1 - 0.8^4)^30, about 1e-7, whatever is repeated, and each
 candidate pair is verified with the exact Jaccard similarity of the distinct shingles, 0.8 or more.
 
 Texts with the same words are one class from the start. In a bucket, members are compared with one
@@ -101,12 +103,19 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = texts_of(batch)
         for at, to in portions(texts):
             words, doc, first = documents_of_words(hasher, texts[at:to])
-            bands = band_hashes(prob_min_hash(*weighted_shingles(*shingle_hashes(words, doc, first)), to - at)).view(np.int64)
+            rows, h, weight = weighted_shingles(*shingle_hashes(words, doc, first))
+            bands = band_hashes(prob_min_hash(rows, h, weight, to - at)).view(np.int64)
             full = np.diff(first) > 0
+            again = np.zeros(to - at, bool)  # documents with repeated shingles
+            again[rows[weight > 1]] = True
+            own = again[rows]
+            unit = band_hashes(prob_min_hash((np.cumsum(again) - 1)[rows[own]], h[own], np.ones(own.sum()), again.sum())).view(np.int64)
+            bands = np.concatenate([bands[full], unit])
+            bands = bands[np.argsort(np.concatenate([np.flatnonzero(full), np.flatnonzero(again)]), kind="stable")]
             split = (texts[k].split() if full[k - at] else None for k in range(at, to))
             same = [w and hashlib.md5(b" ".join(w)).digest() for w in split]
-            ends = pa.array(np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32))
-            flat = pa.ListArray.from_arrays(ends, pa.array(bands[full].reshape(-1)))
+            ends = pa.array(np.concatenate([[0], np.cumsum((full.astype(int) + again) * BANDS)]).astype(np.int32))
+            flat = pa.ListArray.from_arrays(ends, pa.array(bands.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, to - at), pa.array(same, pa.binary()), flat], ["doc_id", "same", "bands"])
 
 
@@ -235,7 +244,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _shared_bands(distinct: DataFrame) -> DataFrame:
     """(doc_id, band) rows of buckets with two members or more, written once."""
-    rows = distinct.select("doc_id", F.explode("bands").alias("band"))
+    rows = distinct.select("doc_id", F.explode(F.array_distinct("bands")).alias("band"))
     several = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     return written(rows.join(several, "band", "left_semi"), "near-bands")
 
