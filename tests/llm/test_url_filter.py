@@ -62,3 +62,23 @@ def test_components_equal_union_find(spark):
 
 def test_empty_table(spark):
     assert verdicts(spark, []) == {}
+
+
+def test_links_are_resolved_against_the_page(spark):
+    page = "HTTPS://www.a.test/d/e/p.html?q=1"
+    forms = {
+        "/de/x": "a.test/de/x", "x.html": "a.test/d/e/x.html", "//b.test/y": "b.test/y", "?n=2": "a.test/d/e/p.html?n=2", "./z": "a.test/d/e/z",
+        "../z": "a.test/d/z", "../../../z": "a.test/z", "..": "a.test/d", "/m/./n/../o?u=../v": "a.test/m/o?u=../v", "x?u=http://c.test/": "a.test/d/e/x?u=http://c.test/",
+        "http://b.test/y?a=1&amp;b=2": "b.test/y?a=1&b=2", "f?a=1&#38;b=2": "a.test/d/e/f?a=1&b=2", "mailto:m@b.test": None, "#part": None,
+    }
+    for html in ('<link rel="canonical" href="{}">', '<meta http-equiv=refresh content="0; url={}">'):
+        rows = [(i, page, html.format(h)) for i, h in enumerate(forms)]
+        got = sorted(r.v for r in uf.html_links(spark.createDataFrame(rows, PAGES)).collect())
+        assert got == sorted(v for v in forms.values() if v)
+    other = [(1, page, "<base href='/g/'><link rel=canonical href=h>"), (2, "http://a.test", "<link rel=canonical href=h>")]
+    assert sorted(r.v for r in uf.html_links(spark.createDataFrame(other, PAGES)).collect()) == ["a.test/g/h", "a.test/h"]
+
+
+def test_relative_refresh_to_a_blocked_path(spark):
+    rows = [(1, "http://a.example.com/s", '<meta http-equiv="refresh" content="0; url=/de/x">'), (2, "http://a.example.com/de/x", None)]
+    assert {k: v[3] for k, v in verdicts(spark, rows).items()} == {1: "block", 2: "block"}

@@ -9,7 +9,8 @@ connected components gather the aliases. In a component, one explicit allow wins
 Everything is DataFrame operations; urls are judged once each, however many pages have them.
 
 Defined results: null url or one without ``://``: empty host and path, no rule, and no alias but
-itself; such pages are allowed. Repeated rows are kept. Null html has no links.
+itself; such pages are allowed. Repeated rows are kept. Null html has no links. Links are resolved against
+the page's url, or its ``base`` element; links of other schemes without ``://`` and to the page itself tie nothing.
 """
 
 from __future__ import annotations
@@ -31,7 +32,10 @@ RULES = [
 ]
 TRACKING = r"(?<=[?&])(utm_[^&#]*|ref=[^&#]*)(&|$)"
 CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?([^\"'\s>;]+)"
+REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?((?:&(?:amp|#38|#x26);|[^\"'\s>;])+)"
+BASE = r"(?is)<base\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+AMPERSAND = r"(?i)&(amp|#38|#x26);"
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 
 
 def rest_of(url: Column) -> Column:
@@ -77,13 +81,41 @@ def fitting_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
+def without_dots(path: Column) -> Column:
+    """The path with ``.`` and ``..`` segments carried out; the first segment, before the leading slash, stays."""
+    up = lambda kept: F.slice(kept, 1, F.greatest(F.lit(1), F.size(kept) - 1))
+    step = lambda kept, x: F.when(x == ".", kept).when(x == "..", up(kept)).otherwise(F.concat(kept, F.array(x)))
+    closed = F.regexp_replace(path, r"/(\.\.?)$", "/$1/")
+    return F.array_join(F.aggregate(F.split(closed, "/"), F.array().cast("array<string>"), step), "/")
+
+
+def resolved(href: Column, url: Column) -> Column:
+    """The link as a whole url, by the url (with a host) that it stands in; null if it leads to no other url."""
+    href = F.regexp_replace(href, AMPERSAND, "&")
+    root = F.concat(F.substring(url, F.lit(1), F.instr(url, "://") + 2), F.regexp_extract(rest_of(url), r"^[^/?#]*", 0))
+    path, tail = F.regexp_extract(href, r"^[^?#]*", 0), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(url), r"^/(.*/)?", 1))
+    return (
+        F.when(href.rlike(SCHEME + "//"), href)
+        .when(href.rlike(SCHEME) | href.rlike("^(#|$)"), F.lit(None))
+        .when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(url, SCHEME, 0), href))
+        .when(F.startswith(href, F.lit("?")), F.concat(root, path_of(url), href))
+        .when(F.startswith(href, F.lit("/")), F.concat(root, without_dots(path), tail))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, path)), tail))
+    )
+
+
 def html_links(pages: DataFrame) -> DataFrame:
     """(u, v): alias keys that a canonical link or a refresh redirect in the html ties together."""
     marked = pages.filter(F.col("html").rlike("(?i)canonical|refresh") & (host_of(F.col("url")) != ""))
     to = F.concat(F.regexp_extract_all("html", F.lit(CANONICAL), 1), F.regexp_extract_all("html", F.lit(REFRESH), 1))
-    return marked.select(alias_key(F.col("url")).alias("u"), F.explode(to).alias("href")).filter(host_of(F.col("href")) != "").select(
-        "u", alias_key(F.col("href")).alias("v")
-    )
+    own = lambda x: F.explode(F.array(x))  # noqa: E731  a step of its own: not copied into each place that reads it
+    base = F.col("base")
+    rows = marked.select("url", to.alias("to"), F.regexp_extract("html", BASE, 1).alias("base"))
+    rows = rows.select("url", "to", own(resolved(base, F.col("url"))).alias("base"))
+    rows = rows.select("url", F.coalesce(base, "url").alias("base"), F.explode("to").alias("href"))
+    rows = rows.select("url", own(resolved(F.col("href"), base)).alias("href")).filter(host_of(F.col("href")) != "")
+    return rows.select(alias_key(F.col("url")).alias("u"), alias_key(F.col("href")).alias("v"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, links: DataFrame | None = None) -> DataFrame:
