@@ -54,6 +54,17 @@ def test_query_matches_oracle(spark, duck, name):
     assert _rows(df.columns, rows) == _rows(cols, res.fetchall())
 
 
+@pytest.mark.parametrize("name", ["forced_restart", "feed_snapshot", "insert_ignore", "stream_late_headers"])
+def test_store_scenarios_at_the_next_scale(spark, name):
+    """At sf0.01 every block number has orders, which sf0.001 does not offer."""
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.01/{t}.parquet')")
+    df = R.queries()[name](spark, "/root/testdata/sf0.01")
+    res = con.execute(R.oracle_sql()[name])
+    assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows([d[0] for d in res.description], res.fetchall())
+
+
 def test_fixture_expectations_sf001(spark):
     """FIXTURES.md 2 at sf0.01: decode counts, transfers, exact total, tokens, addresses, range slice."""
     sf = "/root/testdata/sf0.01"

@@ -271,3 +271,26 @@ def test_changed_folder_table_gives_fresh_results(spark, scratch):
     assert before == L.fingerprint(spark, root)
     spark.range(4).write.mode("append").parquet(f"{root}/lineitem.parquet")
     assert L.fingerprint(spark, root) != before
+
+
+def test_two_times_for_one_block_fail_or_are_kept_aside(spark, scratch):
+    """Equal repeats of a header collapse; a block with two different times has none."""
+    twice = blocks(spark).unionByName(blocks(spark)).unionByName(spark.createDataFrame([(6, 0)], BLOCK_SCHEMA))
+    logs = raw(spark, [(1, 5, "0x01", 0), (2, 6, "0x02", 0), (3, 7, "0x03", 0)])
+    store = TransferStore(spark, scratch("conflict"))
+    with pytest.raises(D.MissingHeaders):
+        I.ingest_range(store, logs, twice, 1, 10, "b-1")
+    assert store.read().count() == 0 and store.last_processed_block() == 0
+    aside = TransferStore(spark, scratch("conflict-aside"))
+    assert I.ingest_range(aside, logs, twice, 1, 10, "b-1", missing="quarantine") == 2
+    assert [r.block_number for r in aside.quarantined(RAW_LOG_SCHEMA).collect()] == [6] and aside.last_processed_block() == 5
+
+
+def test_head_may_be_a_block_without_header(spark, scratch):
+    store = TransferStore(spark, scratch("head"))
+    logs, known = raw(spark, [(1, 5, "0x01", 0)]), blocks(spark).where("block_number <= 5")
+    done = []
+    while (r := I.poll_once(store, logs, known, start_block=1, batch_blocks=4, head=9)) is not None:
+        done.append(r)
+    assert done == [(1, 4), (5, 8), (9, 9)] and store.last_processed_block(1) == 9
+    assert store.read().first().timestamp.timestamp() == 5000

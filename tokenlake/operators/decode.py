@@ -54,9 +54,13 @@ def classify(raw: DataFrame) -> DataFrame:
 
 
 def one_header_per_block(blocks: DataFrame) -> DataFrame:
-    """Headers reduced to one per block (the earliest time, deterministic), so J1 stays N:1
-    even if a header was delivered twice; a partial aggregate, small next to the logs."""
-    return blocks.groupBy("block_number").agg(F.min("block_time").alias("block_time"))
+    """Headers reduced to one per block, so J1 stays N:1 even if a header was delivered twice.
+
+    Equal repeats collapse; a block whose headers disagree has no time (NULL) and is treated like a block
+    whose header is missing. A partial aggregate, small next to the logs.
+    """
+    lo, hi = F.min("block_time"), F.max("block_time")
+    return blocks.groupBy("block_number").agg(F.when(lo == hi, lo).alias("block_time"))
 
 
 def attach_block_time(logs: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -76,7 +80,7 @@ def attach_block_time(logs: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 class MissingHeaders(RuntimeError):
-    """Transfer logs whose block header is not known."""
+    """Transfer logs whose block header is not known, or known with different times."""
 
 
 def require_headers(logs: DataFrame, blocks: DataFrame) -> None:

@@ -24,14 +24,15 @@ def scaled_double_sql(text: str, decimals: int = 18) -> str:
 TWO_POW_56 = str(2**56)
 
 BASE_CTES = f"""
+genesis AS (SELECT least(DATE '1995-01-01', min(CAST(o_orderdate AS DATE))) AS day1 FROM orders),
 li AS (
   SELECT l.l_orderkey AS okey, l.l_linenumber AS lnum, l.l_partkey AS pkey, l.l_suppkey AS skey,
          o.o_custkey AS ckey, l.l_quantity AS qty, l.l_tax AS tax,
          l.l_returnflag AS rflag, l.l_linestatus AS lstatus,
          CAST(round(l.l_extendedprice * 100) AS BIGINT) AS cents,
          l.l_extendedprice AS eprice, l.l_shipdate AS shipdate,
-         CAST(date_diff('day', DATE '1995-01-01', CAST(o.o_orderdate AS DATE)) + 1 AS BIGINT) AS block_number
-  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+         CAST(date_diff('day', day1, CAST(o.o_orderdate AS DATE)) + 1 AS BIGINT) AS block_number, day1
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey CROSS JOIN genesis
 ),
 logs0 AS (
   SELECT *,
@@ -46,8 +47,8 @@ logs0 AS (
     '0x' || lpad(lower(hex(pkey)), 40, '0') AS token,
     '0x' || lpad(lower(hex(skey * 31)), 40, '0') AS "from",
     '0x' || lpad(lower(hex(ckey)), 40, '0') AS "to",
-    CAST(TIMESTAMP '1995-01-01 00:00:00' + to_days(CAST(block_number - 1 AS INTEGER)) AS TIMESTAMP) AS "timestamp",
-    CAST(788918400 + (block_number - 1) * 86400 AS BIGINT) AS block_time
+    CAST(day1 + to_days(CAST(block_number - 1 AS INTEGER)) AS TIMESTAMP) AS "timestamp",
+    CAST(epoch(CAST(day1 AS TIMESTAMP)) + (block_number - 1) * 86400 AS BIGINT) AS block_time
   FROM li
 ),
 logs AS (

@@ -117,8 +117,7 @@ def first_run_store(spark: SparkSession, sf_dir: str) -> TransferStore:
 def _first_run(spark: SparkSession, sf_dir: str, store: TransferStore) -> None:
     early = L.landed_raw_logs(spark, sf_dir).where(F.col("block_number") % LATE != 0)
     known = L.landed_blocks(spark, sf_dir).where(F.col("block_number") <= SPLIT_BLOCK)
-    head = known.unionByName(spark.createDataFrame([(SPLIT_BLOCK, 0)], BLOCK_SCHEMA))  # the head may be a block without orders
-    while I.poll_once(store, early, head, start_block=1, batch_blocks=TICK) is not None:
+    while I.poll_once(store, early, known, start_block=1, batch_blocks=TICK, head=SPLIT_BLOCK) is not None:
         pass
 
 

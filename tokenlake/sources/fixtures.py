@@ -6,13 +6,16 @@ so that every query's work grows with the tables (rules in FIXTURES.md 2):
 
 * one raw log per lineitem row, joined to its order (sort-merge join on the
   order key at scale; both sides are large);
-* block = 1 + days since 1995-01-01 of the order date, block time = that UTC midnight;
+* block = 1 + days of the order date since 1995-01-01, or since the first order if that is earlier, so
+  that blocks start at 1 whatever the table holds; block time = that UTC midnight;
 * malformed logs on purpose: a 4th topic, a foreign topic 0, 31-byte data,
   and the largest uint256.
 """
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +23,7 @@ from ..schemas import TRANSFER_TOPIC
 from .tables import read_table
 
 # Fixed values of the fixture rules.
-GENESIS_DATE = "1995-01-01"
-GENESIS_UNIX = 788918400  # 1995-01-01T00:00:00Z
+GENESIS_DATE = date(1995, 1, 1)
 FOREIGN_TOPIC = "0x" + "ab" * 32
 N_PROVIDERS = 4
 N_METHODS = 3
@@ -32,8 +34,14 @@ def _hex(c: Column, width: int) -> Column:
     return F.lpad(F.lower(F.hex(c)), width, "0")
 
 
-def block_number_of(order_date: Column) -> Column:
-    return (F.datediff(F.to_date(order_date), F.lit(GENESIS_DATE)) + 1).cast("bigint")
+def genesis_of(orders: DataFrame) -> date:
+    """The day of block 1: GENESIS_DATE, or the first order's day if that is earlier."""
+    first = orders.agg(F.min(F.to_date("o_orderdate")).alias("d")).first().d
+    return min(GENESIS_DATE, first) if first else GENESIS_DATE
+
+
+def block_number_of(order_date: Column, genesis: date) -> Column:
+    return (F.datediff(F.to_date(order_date), F.lit(genesis)) + 1).cast("bigint")
 
 
 def raw_logs_from(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
@@ -42,6 +50,7 @@ def raw_logs_from(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         "l_extendedprice", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
     )
     o = orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    genesis = genesis_of(orders)
     # hash-partition both sides on the order key: the join reuses this
     # partitioning (one exchange per side, as a sort-merge join needs anyway),
     # and the decode downstream runs in as many tasks as there are partitions
@@ -76,7 +85,7 @@ def raw_logs_from(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         address.alias("address"),
         topics.alias("topics"),
         F.concat(F.lit("0x"), body).alias("data"),
-        block_number_of(F.col("o_orderdate")).alias("block_number"),
+        block_number_of(F.col("o_orderdate"), genesis).alias("block_number"),
         F.concat(F.lit("0x"), _hex(F.col("l_orderkey"), 64)).alias("tx_hash"),
         (F.col("l_orderkey") % 256).cast("int").alias("tx_index"),
         F.col("l_linenumber").cast("int").alias("log_index"),
@@ -88,11 +97,10 @@ def raw_logs_from(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
 
 def blocks_from(orders: DataFrame) -> DataFrame:
     """One header per distinct block (partial aggregation before the shuffle)."""
-    b = orders.select(block_number_of(F.col("o_orderdate")).alias("block_number")).distinct()
-    return b.select(
-        "block_number",
-        (F.lit(GENESIS_UNIX) + (F.col("block_number") - 1) * 86400).cast("bigint").alias("block_time"),
-    )
+    genesis = genesis_of(orders)
+    b = orders.where("o_orderdate IS NOT NULL").select(block_number_of(F.col("o_orderdate"), genesis).alias("block_number")).distinct()
+    days = F.lit((genesis - date(1970, 1, 1)).days)
+    return b.select("block_number", ((days + F.col("block_number") - 1) * 86400).cast("bigint").alias("block_time"))
 
 
 def call_log_from(events: DataFrame) -> DataFrame:

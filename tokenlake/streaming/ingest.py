@@ -212,17 +212,19 @@ def poll_once(
     batch_blocks: int = DEFAULT_BATCH_BLOCKS,
     force_start: bool = False,
     missing: str = "fail",
+    head: int | None = None,
 ) -> tuple[int, int] | None:
     """One ingestion tick as a batch job: resume (R3), range (R2), ingest.
 
-    ``force_start`` takes the range from ``start_block`` whatever the progress says;
+    ``head`` is the chain head as the node reports it (S3), by default the latest known header; the head may be a
+    block without logs or header. ``force_start`` takes the range from ``start_block`` whatever the progress says;
     ``forced_restart`` goes on from there to the head (R4). Returns the range ingested, or None when the
     head is below the next block (no-op: nothing written, no progress row).
     """
     if batch_blocks < 1:
         raise ValueError(f"batch_blocks must be at least 1, got {batch_blocks}")
     frm = start_block if force_start else resume_from(store.last_processed_block(start_block), start_block)
-    rng = next_range(frm, chain_head(headers_now(blocks)), batch_blocks)
+    rng = next_range(frm, chain_head(headers_now(blocks)) if head is None else head, batch_blocks)
     if rng is not None:
         ingest_range(store, raw_logs, blocks, *rng, _attempt("forced" if force_start else "tick", *rng), missing)
     return rng
