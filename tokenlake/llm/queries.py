@@ -11,6 +11,7 @@ from tokenlake.llm import (
     chat,
     decontaminate,
     importance,
+    manifest,
     mixing,
     probminhash,
     quality_rules,
@@ -84,6 +85,13 @@ def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled.select("doc_id", "n_evidence", "log_weight", "key", "kept")
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the manifest, and whether a copy with some n_chars changed is found out."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    claimed = {"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    return manifest.verify(manifest.proofs(manifest.leaves(read_table(spark, sf_dir, "documents"), claimed)))
+
+
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
 OP1_SQL = f"""
@@ -178,6 +186,53 @@ FROM o
 """
 
 
+OP13_SQL = """
+WITH RECURSIVE fields AS (
+  SELECT doc_id, lang, n_chars,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail,
+         list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                     lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)),
+                                                lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+  FROM documents),
+hashed AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+         sha256(head || coalesce(strlen(m::VARCHAR) || ':' || m, '-') || tail) AS claimed
+  FROM (SELECT *, CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS m FROM fields)),
+leaves AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY lang) AS n,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM hashed),
+nodes AS (
+  SELECT tree, 0 AS level, i AS idx, n, leaf AS d FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY tree, level, n, idx // 2),
+subroots AS (SELECT tree, level AS height, d AS subroot, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, tree AS idx, n, subroot AS d FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY level, n, idx // 2),
+roots AS (SELECT level AS height, d AS root FROM tops WHERE n = 1),
+below AS (
+  SELECT l.tree, i, list(CASE WHEN s.d IS NULL THEN '-' WHEN (i >> h.level) & 1 = 1 THEN 'L' || s.d ELSE 'R' || s.d END ORDER BY h.level) AS steps
+  FROM leaves l JOIN (SELECT tree, unnest(range(height)) AS level FROM subroots) h ON h.tree = l.tree
+  LEFT JOIN nodes s ON s.tree = l.tree AND s.level = h.level AND s.idx = xor(i >> h.level, 1) GROUP BY l.tree, i),
+above AS (
+  SELECT r.tree, list(CASE WHEN s.d IS NULL THEN '-' WHEN (r.tree >> h.level) & 1 = 1 THEN 'L' || s.d ELSE 'R' || s.d END ORDER BY h.level) AS steps
+  FROM subroots r, (SELECT unnest(range(height)) AS level FROM roots) h
+  LEFT JOIN tops s ON s.level = h.level AND s.idx = xor(r.tree >> h.level, 1) GROUP BY r.tree),
+proven AS (
+  SELECT doc_id, leaf, subroot, root, list_concat(coalesce(below.steps, []), coalesce(above.steps, [])) AS steps, claimed
+  FROM leaves JOIN subroots USING (tree) CROSS JOIN roots LEFT JOIN below USING (tree, i) LEFT JOIN above USING (tree)),
+folded AS (
+  SELECT *, list_reduce(list_concat([claimed], steps),
+                        lambda x, s: CASE s[1] WHEN 'L' THEN sha256(s[2:] || x) WHEN 'R' THEN sha256(x || s[2:]) ELSE sha256(x) END) AS folded_root
+  FROM proven)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(list_filter(steps, lambda s: s <> '-'), lambda s: s[2:]), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified FROM folded
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -190,8 +245,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_url_filter": op9_url_filter,
         "op10_importance": op10_importance,
+        "op13_manifest": op13_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op2_chat": OP2_SQL, "op5_warc_revisits": OP5_SQL, "op8_quality_rules": OP8_SQL, "op9_url_filter": OP9_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_chat": OP2_SQL, "op5_warc_revisits": OP5_SQL, "op8_quality_rules": OP8_SQL, "op9_url_filter": OP9_SQL,
+            "op13_manifest": OP13_SQL}
