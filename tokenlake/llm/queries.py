@@ -15,6 +15,7 @@ from tokenlake.llm import (
     mixing,
     probminhash,
     quality_rules,
+    secrets,
     suffix_dedup,
     token_ids,
     url_filter,
@@ -85,6 +86,11 @@ def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled.select("doc_id", "n_evidence", "log_weight", "key", "kept")
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document: three patterns, and literals that reach sensitive names."""
+    return secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the manifest, and whether a copy with some n_chars changed is found out."""
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
@@ -245,6 +251,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_url_filter": op9_url_filter,
         "op10_importance": op10_importance,
+        "op12_secrets": op12_secrets,
         "op13_manifest": op13_manifest,
     }
 
