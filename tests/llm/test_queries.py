@@ -11,7 +11,7 @@ from tokenlake.llm import queries as Q
 from tokenlake.llm.common import read_table, written
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["documents", "pages", "conversations", "labels", "benchmark"]
+TABLES = ["documents", "embeddings", "pages", "conversations", "labels", "benchmark"]
 
 
 def norm(v):
@@ -45,7 +45,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_all_queries_are_registered():
     names = E.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) | {12, 13} and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline_stages_do_their_work(spark):

@@ -13,6 +13,7 @@ from tokenlake.llm import (
     importance,
     manifest,
     mixing,
+    negatives,
     probminhash,
     quality_rules,
     secrets,
@@ -86,6 +87,11 @@ def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled.select("doc_id", "n_evidence", "log_weight", "key", "kept")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(read_table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 50 == 0)
+
+
 def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document: three patterns, and literals that reach sensitive names."""
     return secrets.find_secrets(read_table(spark, sf_dir, "documents"))
@@ -192,6 +198,22 @@ FROM o
 """
 
 
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 OP13_SQL = """
 WITH RECURSIVE fields AS (
   SELECT doc_id, lang, n_chars,
@@ -251,6 +273,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_url_filter": op9_url_filter,
         "op10_importance": op10_importance,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_secrets": op12_secrets,
         "op13_manifest": op13_manifest,
     }
@@ -258,4 +281,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_mixing": OP1_SQL, "op2_chat": OP2_SQL, "op5_warc_revisits": OP5_SQL, "op8_quality_rules": OP8_SQL, "op9_url_filter": OP9_SQL,
-            "op13_manifest": OP13_SQL}
+            "op11_hard_negatives": OP11_SQL, "op13_manifest": OP13_SQL}
