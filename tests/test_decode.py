@@ -113,6 +113,9 @@ def test_rpc_json_reader(spark, scratch):
 
 def test_duplicate_headers_do_not_duplicate_logs(spark):
     df = spark.createDataFrame([log([SIG, A, B], data_of(1), block=10)], RAW_LOG_SCHEMA)
-    hdr = spark.createDataFrame([(10, 500), (10, 400), (11, 1)], BLOCK_SCHEMA)
+    hdr = spark.createDataFrame([(10, 400), (10, 400), (11, 1)], BLOCK_SCHEMA)
     rows = D.attach_block_time(df, hdr).collect()
     assert len(rows) == 1 and rows[0].block_time == 400
+    # headers that disagree give no time, like a missing one
+    other = D.attach_block_time(df, hdr.unionByName(spark.createDataFrame([(10, 500)], BLOCK_SCHEMA))).collect()
+    assert len(other) == 1 and other[0].block_time is None

@@ -9,8 +9,7 @@ from test_registry import _rows
 from tokenlake.plans import registry as R
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["ingest_counters", "missing_header_quarantine", "insert_ignore", "processed_blocks_upsert", "resume_range", "feed_snapshot",
-         "forced_restart", "stream_ingest", "aggregates_all", "ingest_block_range"]
+NAMES = ["ingest_counters", "missing_header_quarantine", "insert_ignore", "processed_blocks_upsert", "feed_snapshot", "forced_restart", "aggregates_all"]
 
 
 @pytest.fixture(scope="module")

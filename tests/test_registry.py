@@ -23,7 +23,7 @@ def _norm(v):
 
 def _rows(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
-    return sorted(tuple(_norm(r[i]) for i in order) for r in rows)
+    return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=str)
 
 
 def test_entry_smoke(spark):

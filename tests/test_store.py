@@ -294,3 +294,138 @@ def test_head_may_be_a_block_without_header(spark, scratch):
         done.append(r)
     assert done == [(1, 4), (5, 8), (9, 9)] and store.last_processed_block(1) == 9
     assert store.read().first().timestamp.timestamp() == 5000
+
+
+def row_groups(spark, files, column, value, bloom=True, dictionary=True):
+    """(row groups, those left for ``column = value``) as the Parquet reader decides from footers, dictionaries and filters."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    api, parquet = jvm.org.apache.parquet.filter2.predicate.FilterApi, jvm.org.apache.parquet
+    wanted = parquet.filter2.compat.FilterCompat.get(api.eq(api.binaryColumn(column), parquet.io.api.Binary.fromString(value)))
+    counts = [0, 0]
+    for f in files:
+        source = parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(f), conf)
+        asked = parquet.HadoopReadOptions.builder(conf).withRecordFilter(wanted).useBloomFilter(bloom).useDictionaryFilter(dictionary).build()
+        for k, options in enumerate((parquet.HadoopReadOptions.builder(conf).build(), asked)):
+            reader = parquet.hadoop.ParquetFileReader.open(source, options)
+            counts[k] += reader.getRowGroups().size()
+            reader.close()
+    return tuple(counts)
+
+
+@pytest.fixture()
+def many_files(spark):
+    """Settings under which a write of the layout gives 24 files, without dictionaries as in row groups of many values."""
+    wanted = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false", "parquet.enable.dictionary": "false"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_senders_and_receivers_skip_row_groups(spark, scratch, many_files):
+    """F2/F3 on a store of 24 files: Bloom filters leave few more row groups than hold the address."""
+    from tokenlake.operators.store import write_layout
+    from tokenlake.plans import views as V
+
+    rows = V.deduped_transfers(spark, "/root/testdata/sf0.01")
+    # senders as rare as on a chain: one of 3,000 each, anywhere in the token order
+    rows = rows.withColumn("from", F.concat(F.lit("0x"), F.sha1(F.pmod(F.xxhash64("tx_hash", "log_index"), F.lit(3000)).cast("string"))))
+    path = scratch("bloom")
+    write_layout(rows, path)
+    stored = spark.read.parquet(path)
+    files = stored.inputFiles()
+    assert len(files) >= 20
+    for column, places in (("from", 40), ("to", 40)):
+        for (value,) in stored.select(column).distinct().orderBy(F.xxhash64(column)).limit(5).collect():
+            holding = stored.where(F.col(column) == value).select(F.input_file_name()).distinct().count()
+            total, left = row_groups(spark, files, column, value)
+            without = row_groups(spark, files, column, value, bloom=False)[1]
+            assert holding <= left <= holding + 2 and left < total, (column, holding, left, total)
+            assert without > left or column == "to", (column, without, left)
+    # the query pushes the equality that the reader decides by
+    plan = stored.where(F.col("from") == value)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(from," in plan
+
+
+def test_key_index_buckets(spark, scratch):
+    """K1: a batch reads the buckets it touches, from the index and from commits that are not in it yet."""
+    from tokenlake.operators.store import KEY_BUCKETS, bucket_mask, buckets_of, key_bucket
+
+    store = TransferStore(spark, scratch("keys"), open_commits=2)
+    for k in range(5):
+        rows = [(v, 1 + k, "0x%02x" % (10 * k + v), v % 3) for v in range(10)]
+        assert I.ingest_range(store, raw(spark, rows), blocks(spark), k + 1, k + 1, f"b-{k}") == 10
+    assert store.fs.names(store.root + "/keys") == ["upto=000000000002", "upto=000000000004"] and store.indexed_upto() == 4
+    every = {(r.tx_hash, r.log_index) for r in store.keys().collect()}
+    assert every == {(r.tx_hash, r.log_index) for r in store.read().collect()} and store.keys().count() == 50
+    # one transaction, one bucket: only its folder, in the index and in the open commit
+    one = raw(spark, [(7, 40, "0x07", 1), (9, 40, "0x07", 2)]).select("tx_hash")
+    (bucket,) = buckets_of(one.agg(bucket_mask(F.col("tx_hash"))).first()[0])
+    some = store.keys([bucket])
+    assert {r.kb for r in some.collect()} == {bucket} and some.count() < 50
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert f"PartitionFilters: [isnotnull(kb" in plan or "PartitionFilters: [kb" in plan
+    # a key comes back in another block; replays of everything add nothing
+    assert I.ingest_range(store, raw(spark, [(7, 40, "0x07", 1), (9, 40, "0x07", 2)]), blocks(spark), 40, 40, "again") == 1
+    rows = [(v, 1 + k, "0x%02x" % (10 * k + v), v % 3) for v in range(10) for k in range(5)]
+    assert I.ingest_range(store, raw(spark, rows), blocks(spark), 1, 5, "replay") == 0
+    assert buckets_of(-1) == list(range(KEY_BUCKETS)) and buckets_of(None) == []
+    assert spark.range(1000).select(key_bucket(F.col("id").cast("string")).alias("b")).distinct().count() == KEY_BUCKETS
+
+
+def test_headers_are_read_for_the_batch_only(spark, scratch):
+    """The batch's block bounds reach the header scan."""
+    path = scratch("headers")
+    blocks(spark).repartitionByRange(5, "block_number").write.parquet(path)
+    heads = I.headers_between(spark.read.schema(BLOCK_SCHEMA).parquet(path), 5, 9)
+    p = D.attach_block_time(raw(spark, [(1, 5, "0x01", 0)]), heads)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(block_number,5), LessThanOrEqual(block_number,9)" in p
+    assert I.headers_between(blocks(spark), None, None).count() == 0
+
+
+def test_the_source_is_read_once(spark, scratch):
+    """One scan of the batch, its staged records are gone afterwards, and reading the store writes nothing."""
+    src, seen = scratch("once"), spark.sparkContext.accumulator(0)
+    raw(spark, [(v, 1 + v % 9, "0x%02x" % v, 0) for v in range(50)]).write.parquet(src)
+
+    def counted(rows):
+        for r in rows:
+            seen.add(1)
+            yield r
+
+    logs = spark.createDataFrame(spark.read.parquet(src).rdd.mapPartitions(counted), RAW_LOG_SCHEMA)
+    store = TransferStore(spark, scratch("once-store"))
+    assert I.ingest_range(store, logs, blocks(spark), 1, 9, "b-1") == 50 and seen.value == 50
+    assert not store.fs.names(store.root + "/_staging")
+    before = store.fs.statuses(store.root)
+    assert store.read().count() == 50 and store.is_committed("b-1") and store.last_processed_block() == 9
+    assert store.fs.statuses(store.root) == before
+
+
+def test_failure_keeps_its_error(spark, scratch, monkeypatch):
+    """O1: another writer takes the entry's number; the failure is recorded after it and the real error is raised."""
+    store = TransferStore(spark, scratch("error"))
+    real, taken = TransferStore._append, []
+
+    def append(self, entry, seq):
+        if not taken:
+            taken.append(seq)
+            raise ConcurrentCommit("taken")
+        return real(self, entry, seq)
+
+    monkeypatch.setattr(TransferStore, "_append", append)
+    with pytest.raises(D.MissingHeaders):
+        I.ingest_range(store, raw(spark, [(1, 99, "0x01", 0)]), blocks(spark), 90, 99, "b-1")
+    assert [r.status for r in store.batch_log().collect()] == ["error"]
+
+
+def test_feed_after_a_position(spark, scratch):
+    store = TransferStore(spark, scratch("feed-after"))
+    for k in range(3):
+        I.ingest_range(store, raw(spark, [(v, 1 + k, "0x%02x" % (10 * k + v), v % 2) for v in range(6)]), blocks(spark), k + 1, k + 1, f"b-{k}")
+    everything = [tuple(r)[:4] for r in store.feed_after(limit=100).collect()]
+    assert len(everything) == 18
+    for n in (0, 1, 5, 6, 11, 17):
+        assert [tuple(r)[:4] for r in store.feed_after(everything[n], 4).collect()] == everything[n + 1 : n + 5]

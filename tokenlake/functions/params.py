@@ -15,7 +15,7 @@ _INT = re.compile(r"^[+-]?[0-9]+$")
 _UINT = re.compile(r"^\+?[0-9]+$")
 # RFC 3339 date-time: date, 'T', time, optional fraction, 'Z' or a numeric offset.
 _RFC3339 = re.compile(
-    r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2}):(\d{2})(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
+    r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2}):(\d{2})(\.\d+)?(Z|[+-]\d{2}:[0-5]\d)$"
 )
 _INT64_MAX = 2**63 - 1
 _UINT64_MAX = 2**64 - 1

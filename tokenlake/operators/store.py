@@ -11,6 +11,11 @@ HDFS do that, object stores such as S3 do not and need a file system layer that
 
 Entries carry progress (K2) and counters (O1). Every ``GENERATION`` entries they are rolled up into one
 Parquet table, so a reader opens that table and the entries after it, never the older ones.
+
+The unique key has an index of its own: ``keys/upto=<seq>/kb=<bucket>`` holds the keys of the commits up to
+``seq`` that no earlier folder holds, dealt by a hash of tx_hash into folders. It is made from committed
+rows, so it may lag behind: the keys of younger commits are read from ``data``. A batch reads only the
+buckets that its own hashes fall into, whatever block they are in.
 """
 
 from __future__ import annotations
@@ -19,11 +24,11 @@ import json
 import uuid
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import BLOCK_BUCKET_SIZE, FEED_JSON_KEYS, PROCESSED_BLOCK_SCHEMA, VALUE_PARTS_TYPE
+from ..schemas import BLOCK_BUCKET_SIZE, FEED_BUFFER, FEED_JSON_KEYS, PROCESSED_BLOCK_SCHEMA, VALUE_PARTS_TYPE
 from . import decode as D
 from . import dedup as DD
 
@@ -53,8 +58,19 @@ STORED_SCHEMA = T.StructType(TRANSFER_STORE_SCHEMA.fields + [T.StructField("seq"
 
 #: log entries in a folder, rolled up when it is full
 GENERATION = 1000
+#: folders of the key index; a batch's touched buckets fit the bits of one BIGINT
+KEY_BUCKETS = 64
+#: commits, or bytes of their data, that may be without key index before they get one
+OPEN_COMMITS, OPEN_BYTES = 100, 64 << 20
+#: columns of which every row group keeps a Bloom filter: lookups by sender or receiver skip row groups
+BLOOM_COLUMNS = ("from", "to")
+
+KEY_SCHEMA = T.StructType([T.StructField("tx_hash", T.StringType()), T.StructField("log_index", T.IntegerType()),
+                           T.StructField("upto", T.LongType()), T.StructField("kb", T.IntegerType())])
 
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+#: publish order of the feed: commits, then chain order
+FEED_ORDER = ("seq", "block_number", "log_index", "tx_hash")
 BATCH_COUNTERS = ["rows_read", "rejected_topic_count", "rejected_signature", "rejected_data_length",
                   "missing_block", "accepted"]
 ENTRY_SCHEMA = T.StructType(
@@ -112,6 +128,10 @@ class Files:
         finally:
             stream.close()
 
+    def discard(self, p: str) -> None:
+        """Deletes a folder of this run's own staging, if it is there."""
+        self.fs.delete(self._path(p), True)
+
     def names(self, p: str) -> list[str]:
         if not self.exists(p):
             return []
@@ -128,12 +148,27 @@ class Files:
         return sorted(out)
 
 
+def key_bucket(tx_hash: Column) -> Column:
+    """The key index folder of a transaction; a hash, since leading digits need not be spread evenly."""
+    return F.pmod(F.hash(tx_hash), F.lit(KEY_BUCKETS))
+
+
+def bucket_mask(tx_hash: Column) -> Column:
+    """Aggregate: one bit for each bucket that the rows fall into."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), key_bucket(tx_hash)))
+
+
+def buckets_of(mask: int | None) -> list[int]:
+    return [b for b in range(KEY_BUCKETS) if (mask or 0) >> b & 1]
+
+
 def write_layout(rows: DataFrame, path: str) -> None:
     """K4: folders by ``block_bucket``, files with ranges of (token, block), rows sorted by them in each file.
 
     One layout for every size: rows are dealt by range on (bucket, token, block, key), so files hold disjoint
     token ranges, a hot token spreads over several files, and min/max of files and row groups prune
-    token and block filters. ``rows`` may still be without amounts (``record_columns``): the range
+    token and block filters. Senders and receivers lie anywhere, so row groups carry Bloom filters of them, sized by
+    the values they hold; a row group whose values all fit a dictionary is skipped by that instead. ``rows`` may still be without amounts (``record_columns``): the range
     partitioner reads its input twice, so the amount arithmetic comes after it.
     """
     bucket = F.expr(f"block_number div {BLOCK_BUCKET_SIZE}")
@@ -142,16 +177,18 @@ def write_layout(rows: DataFrame, path: str) -> None:
         laid = D.decode_amounts(laid)
     # the writer wants rows grouped by folder: with block_bucket first it keeps this order
     ordered = laid.select(*TRANSFER_STORE_SCHEMA.fieldNames()).sortWithinPartitions("block_bucket", "token", "block_number")
-    ordered.write.mode("overwrite").partitionBy("block_bucket").parquet(path)
+    blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in BLOOM_COLUMNS} | {"parquet.bloom.filter.adaptive.enabled": "true"}
+    ordered.write.mode("overwrite").options(**blooms).partitionBy("block_bucket").parquet(path)
 
 
 class TransferStore:
     """Committed transfers, their progress marks and the batch log."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, open_commits: int = OPEN_COMMITS, open_bytes: int = OPEN_BYTES):
         self.spark = spark
         self.root = root.rstrip("/")
         self.fs = Files(spark, self.root)
+        self.open_commits, self.open_bytes = open_commits, open_bytes
 
     # --- paths
     def _data(self, seq: int) -> str:
@@ -182,7 +219,7 @@ class TransferStore:
         for source, target in ((name, self._data(entry["seq"])), (f"{name}-quarantine", f"{self.root}/quarantine/seq={entry['seq']:012d}")):
             if name and self.fs.exists(self.staging(source)):
                 self.fs.move(self.staging(source), target)
-        if entry["status"] == "ok":
+        if entry["status"] == "ok" and not self.fs.exists(self._done(entry["batch"])):
             self.fs.write_text(self._done(entry["batch"]), str(entry["seq"]))
 
     def entries(self) -> DataFrame:
@@ -243,9 +280,42 @@ class TransferStore:
         path = f"{self.root}/quarantine"
         return self.spark.read.schema(schema).parquet(path) if self.fs.exists(path) else self.spark.createDataFrame([], schema)
 
-    def keys(self) -> DataFrame:
-        """The narrow key dataset of the unique index: (tx_hash, log_index)."""
-        return self.read().select("tx_hash", "log_index")
+    def indexed_upto(self) -> int:
+        """The last commit whose keys are in the key index."""
+        return max((int(n.split("=")[1]) for n in self.fs.names(f"{self.root}/keys") if n.startswith("upto=")), default=0)
+
+    def keys(self, buckets: list[int] | None = None) -> DataFrame:
+        """The unique key's columns and their bucket: (kb, tx_hash, log_index) of every stored row, or of some buckets.
+
+        ``buckets`` is a partition filter on the key index; of commits that are not in it yet all keys are read.
+        """
+        upto = self.indexed_upto()
+        young = self.read_stored().where(F.col("seq") > upto).select(key_bucket(F.col("tx_hash")).alias("kb"), "tx_hash", "log_index")
+        if buckets is not None:
+            young = young.where(F.col("kb").isin(buckets))
+        if not upto:
+            return young
+        old = self.spark.read.schema(KEY_SCHEMA).parquet(f"{self.root}/keys")
+        return (old if buckets is None else old.where(F.col("kb").isin(buckets))).drop("upto").unionByName(young)
+
+    def index_keys(self) -> None:
+        """Adds the keys of the commits that the key index does not hold yet, in one folder for all of them."""
+        upto, last = self.indexed_upto(), self.last_seq()
+        if last == upto or not self.fs.names(f"{self.root}/data"):
+            return
+        tmp = self.staging(f"keys-{uuid.uuid4().hex}")
+        rows = self.read_stored().where(F.col("seq").between(upto + 1, last))
+        keyed = rows.select(key_bucket(F.col("tx_hash")).alias("kb"), "tx_hash", "log_index")
+        # range partitioning: a bucket that outgrows a task spreads over several
+        laid = keyed.repartitionByRange("kb", "tx_hash", "log_index").sortWithinPartitions("kb", "tx_hash", "log_index")
+        laid.write.partitionBy("kb").parquet(tmp)
+        self.fs.move(tmp, f"{self.root}/keys/upto={last:012d}")  # False: another writer's folder holds the same keys
+
+    def _index_when_due(self) -> None:
+        upto, last = self.indexed_upto(), self.last_seq()
+        waiting = [self._data(seq) for seq in range(upto + 1, last + 1)]
+        if len(waiting) >= self.open_commits or sum(size for p in waiting for _, size, _ in self.fs.statuses(p)) >= self.open_bytes:
+            self.index_keys()
 
     def progress(self) -> DataFrame:
         """K2 view: one row per marked block, the latest mark wins (upsert by block_number)."""
@@ -268,16 +338,32 @@ class TransferStore:
 
     def feed(self) -> DataFrame:
         """K3: every committed transfer as JSON; ``seq`` is the publish order of the batches."""
-        return self.read_stored().select("seq", "block_number", "log_index", "tx_hash", transfer_json().alias("json"))
+        return self.read_stored().select(*FEED_ORDER, transfer_json().alias("json"))
+
+    def feed_after(self, position: tuple[int, int, int, str] | None = None, limit: int = FEED_BUFFER) -> DataFrame:
+        """The first ``limit`` feed rows after ``position`` (seq, block_number, log_index, tx_hash), by default from the start.
+
+        Commits before the position's are not read; a page is the top of each task, merged.
+        """
+        rows = self.feed()
+        if position is not None:
+            past = F.lit(False)
+            for i in reversed(range(len(FEED_ORDER))):
+                here, at = F.col(FEED_ORDER[i]), F.lit(position[i])
+                past = (here > at) | ((here == at) & past)
+            rows = rows.where((F.col("seq") >= position[0]) & past)
+        return rows.orderBy(*FEED_ORDER).limit(limit)
 
     # --- writes (K1, K2, O1)
     def insert_ignore(self, transfers: DataFrame, batch_id: str, covered: tuple[int, int] | None = None,
-                      log: dict | None = None, deduped: bool = False, quarantine: DataFrame | None = None) -> int:
+                      log: dict | None = None, deduped: bool = False, quarantine: DataFrame | None = None,
+                      buckets: list[int] | None = None) -> int:
         """K1: append the batch's rows whose key is not stored yet; first wins, globally.
 
         In-batch duplicates go first (D1; skipped when the caller already did it with
-        ``deduped=True``), then an anti-join against every stored key; it is never pruned by block
-        range, because a key may come back in another block after a reorganisation. ``covered`` is
+        ``deduped=True``), then an anti-join against the stored keys of the key buckets that the batch touches
+        (``buckets``, looked up where not given); it is never pruned by block range, because a key may come back in
+        another block after a reorganisation. ``covered`` is
         the block range that the batch has ingested in full (K2). Returns rows inserted; a batch that is
         already committed is skipped (retry after success).
         """
@@ -286,13 +372,17 @@ class TransferStore:
         seq = self.last_seq() + 1
         fresh = transfers if deduped else DD.dedup_transfers(transfers)
         if seq > 1:
-            fresh = fresh.join(self.keys(), ["tx_hash", "log_index"], "left_anti")
+            if buckets is None:
+                buckets = buckets_of(fresh.agg(bucket_mask(F.col("tx_hash"))).first()[0])
+            bucketed = fresh.withColumn("kb", key_bucket(F.col("tx_hash")))
+            fresh = bucketed.join(self.keys(buckets), ["kb", "tx_hash", "log_index"], "left_anti").drop("kb")
         name = f"{seq:012d}-{uuid.uuid4().hex[:12]}"
         write_layout(fresh, self.staging(name))
         inserted = self.spark.read.schema(TRANSFER_STORE_SCHEMA).parquet(self.staging(name)).count()  # Parquet footers only
         if quarantine is not None:
             quarantine.write.parquet(self.staging(f"{name}-quarantine"))
         self._append(_entry(batch_id, "ok", covered, log) | {"inserted": int(inserted), "staging": name}, seq)
+        self._index_when_due()
         return inserted
 
     def mark_processed(self, covered: tuple[int, int], batch_id: str) -> None:
@@ -300,8 +390,16 @@ class TransferStore:
         self._append(_entry(batch_id, "ok", covered, None), self.last_seq() + 1)
 
     def record_failure(self, batch_id: str, error: BaseException, log: dict | None = None) -> None:
-        """O1: a failed attempt in the batch log, with its error type; it stores nothing and marks nothing."""
-        self._append(_entry(batch_id, "error", None, log) | {"inserted": 0, "error_type": type(error).__name__}, self.last_seq() + 1)
+        """O1: a failed attempt in the batch log, with its error type; it stores nothing and marks nothing.
+
+        Another writer may take the entry's number meanwhile; then the next one is tried, so the caller's error is not hidden.
+        """
+        entry = _entry(batch_id, "error", None, log) | {"inserted": 0, "error_type": type(error).__name__}
+        while True:
+            try:
+                return self._append(entry, self.last_seq() + 1)
+            except ConcurrentCommit:
+                continue
 
 
 def _entry(batch_id: str, status: str, covered: tuple[int, int] | None, log: dict | None) -> dict:

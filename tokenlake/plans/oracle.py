@@ -8,6 +8,8 @@ lower-case hex that Spark orders by).
 
 from __future__ import annotations
 
+from ..sources import fixtures as FX
+
 WIDE_VALUE = str(2**256 - 1)  # the value of 64 x 'f'
 
 
@@ -114,13 +116,57 @@ def aggregate_sql(where: str = "TRUE") -> str:
 FROM m, a"""
 
 
-def listing_sql(where: str = "TRUE", limit: int | None = None, offset: int = 0) -> str:
+def listing_sql(where: str = "TRUE", limit: int | None = None, offset: int | str = 0) -> str:
     sql = with_base() + f"SELECT {TRANSFER_VIEW} FROM transfers WHERE {where}"
     if limit is not None:
         sql += f"\nORDER BY block_number DESC, log_index ASC, tx_hash ASC LIMIT {limit} OFFSET {offset}"
     return sql
 
 
+def _sql_list(values: tuple) -> str:
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
+
+
+def _instant_sql(c: str) -> str:
+    """RFC 3339 text as UTC TIMESTAMP, NULL where it does not parse."""
+    pattern = r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}:\d{2}(?:\.\d+)?)(?:Z|([+-])(\d{2}):(\d{2}))$"
+    part = lambda i: f"regexp_extract({c}, '{pattern}', {i})"
+    minutes = f"coalesce(TRY_CAST({part(4)} AS INTEGER) * 60 + TRY_CAST({part(5)} AS INTEGER), 0)"
+    return (f"CASE WHEN regexp_matches({c}, '{pattern}') THEN TRY_CAST({part(1)} || ' ' || {part(2)} AS TIMESTAMP)"
+            f" - to_minutes(CASE WHEN {part(3)} = '-' THEN -1 ELSE 1 END * {minutes}) END")
+
+
+def request_table_sql() -> str:
+    """Every request against every transfer, straight from the definition."""
+    addr = lambda x: f"'0x' || lpad(lower(hex({x})), 40, '0')"
+    unsigned = lambda c: (
+        f"CASE WHEN regexp_matches({c}, '^[+]?[0-9]+$') AND length({c}) < 30 AND TRY_CAST(ltrim({c}, '+') AS HUGEINT) <= {2**64 - 1}"
+        f" THEN TRY_CAST(ltrim({c}, '+') AS HUGEINT) END"
+    )
+    return with_base(
+        "ev AS (SELECT max(event_id) AS e, user_id AS u FROM events GROUP BY user_id, event_type)",
+        f"""asked AS (SELECT e AS request_id,
+  nullif(CASE WHEN e % 4 = 0 THEN {addr("e % 200 + 1")} WHEN e % 40 = 1 THEN '0x' || lpad('A', 40, '0') WHEN e % 4 = 2 THEN '' END, '') AS token,
+  CASE WHEN e % 5 = 1 THEN {addr("(u % 10 + 1) * 31")} END AS sender, CASE WHEN e % 7 = 2 THEN {addr("u + 1")} END AS receiver,
+  {_sql_list(FX.REQUEST_LIMITS)}[e % {len(FX.REQUEST_LIMITS)} + 1] AS lim, {_sql_list(FX.REQUEST_OFFSETS)}[e % {len(FX.REQUEST_OFFSETS)} + 1] AS off,
+  CASE WHEN e % 13 = 0 THEN '{FX.MAX_UINT64}' WHEN e % 11 = 0 THEN '12x' WHEN e % 3 = 0 THEN '+' || (e % 2400) END AS b0,
+  CASE WHEN e % 17 = 0 THEN '{FX.MAX_UINT64}0' WHEN e % 19 = 0 THEN '{FX.MAX_UINT64}' WHEN e % 2 = 0 THEN (e % 2400 + e % 400)::VARCHAR END AS b1,
+  CASE WHEN e % 6 = 1 THEN '1995-06-01T02:30:00+02:30' WHEN e % 6 = 3 THEN '1996-13-01T00:00:00Z' WHEN e % 6 = 5 THEN '1996-01-01' END AS t0,
+  CASE WHEN e % 8 = 3 THEN '1999-12-31T23:59:59.999Z' WHEN e % 8 = 5 THEN '2000-01-01T00:00:00-23:59' END AS t1 FROM ev)""",
+        f"""parsed AS (SELECT request_id, token, sender, receiver, {unsigned("b0")} AS b0, {unsigned("b1")} AS b1, {_instant_sql("t0")} AS t0,
+  {_instant_sql("t1")} AS t1, coalesce(TRY_CAST(nullif(lim, '') AS BIGINT), 100) AS lim, coalesce(TRY_CAST(nullif(off, '') AS BIGINT), 0) AS off FROM asked)""",
+        """hits AS (SELECT request_id, t.block_number, t.log_index, t.tx_hash,
+  row_number() OVER (PARTITION BY request_id ORDER BY t.block_number DESC, t.log_index, t.tx_hash) - 1 AS position, count(*) OVER (PARTITION BY request_id) AS n
+  FROM parsed p JOIN transfers t ON (p.token IS NULL OR t.token = p.token) AND (sender IS NULL OR t."from" = sender) AND (receiver IS NULL OR t."to" = receiver)
+   AND (b0 IS NULL OR t.block_number >= b0) AND (b1 IS NULL OR t.block_number <= b1) AND (t0 IS NULL OR t."timestamp" >= t0) AND (t1 IS NULL OR t."timestamp" <= t1)
+  WHERE off >= 0)""",
+    ) + """SELECT p.request_id, CASE WHEN off < 0 THEN 'negative_offset' END AS error,
+  CASE WHEN off >= 0 THEN coalesce((SELECT max(n) FROM hits h WHERE h.request_id = p.request_id), 0) END AS total, lim AS "limit", off AS "offset",
+  h.position, h.block_number, h.log_index, h.tx_hash
+FROM parsed p LEFT JOIN hits h ON h.request_id = p.request_id AND h.position >= off
+  AND h.position < off + CASE WHEN lim <= 0 THEN 100 WHEN lim > 1000 THEN 1000 ELSE lim END"""
+
+
 def big_sum_text(terms: list[tuple[str, int]], small: str) -> str:
     """SQL text of ``small + sum(count_expr * constant)`` for constants wider than HUGEINT.
 

@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions.params import TransferQueryParams
 from ..operators import callstats as CS
+from ..operators import chains as CH
 from ..operators import decode as D
 from ..operators import dedup as DD
+from ..operators import paging as PG
 from ..operators import query as Q
+from ..operators import requests as RQ
 from ..operators import store as ST
 from ..schemas import BATCH_DURATION_BOUNDS, FEED_BUFFER, RPC_DURATION_BOUNDS, TRANSFER_TOPIC, VALUE_PARTS_TYPE
 from ..sources import fixtures as FX
@@ -35,6 +38,8 @@ BLOCK_LO, BLOCK_HI = 100, 200
 TIME_LO = datetime(1996, 1, 1, tzinfo=timezone.utc)
 TIME_HI = datetime(1996, 12, 31, 23, 59, 59, tzinfo=timezone.utc)
 STREAK_MIN = 3
+AFTER_KEY = (1200, 3, "0x" + "8".rjust(64, "0"))
+DEEP_RANGE_ROWS = 1000  # small, so that every level of counts is gone through on the given tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -146,6 +151,25 @@ def page_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.page_total(V.stored_transfers(spark, sf_dir), TransferQueryParams(start_block=1000))
 
 
+def page_deep_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page in the middle of the store, found by counted ranges."""
+    t = V.stored_transfers(spark, sf_dir)
+    total = Q.page_total(t, TransferQueryParams()).first().total
+    return V.transfer_view(PG.page_deep(t, TransferQueryParams(offset=total // 2), range_rows=DEEP_RANGE_ROWS))
+
+
+def page_after_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyset paging: the page after a given listing key."""
+    return V.transfer_view(Q.page_after(V.stored_transfers(spark, sf_dir), TransferQueryParams(), AFTER_KEY))
+
+
+def request_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P17/F1-F8/T1-T5 for every request derived from ``events``: totals and pages."""
+    t = V.stored_transfers(spark, sf_dir)
+    answers = RQ.answer(t, FX.requests(spark, sf_dir))
+    return answers.select("request_id", "error", "total", "limit", "offset", "position", "block_number", "log_index", "tx_hash")
+
+
 # ---------------------------------------------------------------- sets
 
 
@@ -220,9 +244,14 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feed_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a late subscriber gets: the oldest FEED_BUFFER published transfers, in commit order."""
-    feed = SC.restarted_store(spark, sf_dir).feed()
-    first = feed.orderBy("seq", "block_number", "log_index", "tx_hash").limit(FEED_BUFFER)
-    return first.select("block_number", "log_index", "tx_hash")
+    return SC.restarted_store(spark, sf_dir).feed_after().select("block_number", "log_index", "tx_hash")
+
+
+def feed_after_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subscriber comes back with the position of the last transfer of the snapshot."""
+    store = SC.restarted_store(spark, sf_dir)
+    last = store.feed_after().select(F.max(F.struct(*ST.FEED_ORDER)).alias("at")).first().at
+    return store.feed_after(last and tuple(last)).select("block_number", "log_index", "tx_hash")
 
 
 FEED_FIELDS = """event_signature string, token string, `from` string, `to` string, value string, value_string string,
@@ -257,6 +286,17 @@ def dedup_tx_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(SC.dedup_tx_output(spark, sf_dir)).groupBy("tx_hash").agg(F.count(F.lit(1)).alias("kept"))
 
 
+def dedup_tx_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R6 as a function of the data: of each user's events those 24 h or more past the last kept one."""
+    events = FX.read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return CH.keep_chain(events, "user_id", "ts", ["event_id"]).drop("__key", "__t")
+
+
+def dedup_tx_chain_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over micro-batches, with the last kept times carried between them."""
+    return spark.read.parquet(SC.chained_events(spark, sf_dir)).drop("batch")
+
+
 def batch_duration_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O1: batch durations in the default bounds, over the batch log derived from ``events``."""
     events = FX.read_table(spark, sf_dir, "events")
@@ -320,7 +360,10 @@ def queries() -> dict[str, Query]:
         "page_first": _listing(TransferQueryParams(), paged=True),
         "page_clamped": _listing(TransferQueryParams(start_block=BLOCK_LO, end_block=BLOCK_HI, limit=5000), paged=True),
         "page_offset": _listing(TransferQueryParams(limit=50, offset=250), paged=True),
+        "page_deep_offset": page_deep_offset,
+        "page_after_key": page_after_key,
         "page_total": page_total,
+        "request_table": request_table,
         "address_universe": address_universe,
         "distinct_blocks": distinct_blocks,
         "insert_ignore": insert_ignore,
@@ -336,8 +379,11 @@ def queries() -> dict[str, Query]:
         "forced_restart": forced_restart,
         "backfill_extends": backfill_extends,
         "feed_snapshot": feed_snapshot,
+        "feed_after_position": feed_after_position,
         "transfer_feed_json": transfer_feed_json,
         "dedup_tx_24h": dedup_tx_24h,
+        "dedup_tx_chain": dedup_tx_chain,
+        "dedup_tx_chain_stream": dedup_tx_chain_stream,
         "stream_batch_log": stream_batch_log,
         "slow_batch_flags": slow_batch_flags,
         "batch_duration_histogram": batch_duration_histogram,
@@ -372,6 +418,12 @@ def oracle_sql() -> dict[str, str]:
         "FROM call_log GROUP BY provider, method"
     )
 
+    # commits of the first run, the second run, and the forced restart, which brings the late blocks
+    feed_sql = wb() + f"""SELECT block_number, log_index, tx_hash FROM transfers
+ORDER BY CASE WHEN block_number % {SC.LATE} = 0 THEN 2000000 + (block_number - 1) // {2 * SC.TICK}
+              WHEN block_number <= {SC.SPLIT_BLOCK} THEN (block_number - 1) // {SC.TICK} ELSE 1000000 END,
+  block_number, log_index, tx_hash LIMIT {FEED_BUFFER}"""
+
     def streak_sql(threshold: int) -> str:
         return (
             "WITH " + O.CALL_LOG_CTE.strip() + """,
@@ -432,6 +484,11 @@ FROM logs WHERE NOT (rflag = 'R' AND lstatus = 'O')""",
         "page_first": O.listing_sql(limit=100),
         "page_clamped": O.listing_sql(f"block_number BETWEEN {BLOCK_LO} AND {BLOCK_HI}", limit=1000),
         "page_offset": O.listing_sql(limit=50, offset=250),
+        "page_deep_offset": O.listing_sql(limit=100, offset="(SELECT count(*) // 2 FROM transfers)"),
+        "page_after_key": O.listing_sql(
+            f"""(block_number < {AFTER_KEY[0]} OR block_number = {AFTER_KEY[0]} AND (log_index > {AFTER_KEY[1]}
+                 OR log_index = {AFTER_KEY[1]} AND tx_hash > '{AFTER_KEY[2]}'))""", limit=100),
+        "request_table": O.request_table_sql(),
         "page_total": wb() + "SELECT count(*) AS total FROM transfers WHERE block_number >= 1000",
         "address_universe": wb()
         + 'SELECT "from" AS address FROM transfers UNION SELECT "to" AS address FROM transfers',
@@ -476,14 +533,18 @@ FROM c LEFT JOIN i USING (rid), h""",
         + f"""SELECT 'stored' AS place, tx_hash, log_index, block_number FROM transfers WHERE block_number % {SC.GAP} <> 0
 UNION ALL SELECT 'quarantined', tx_hash, log_index, block_number FROM logs
 WHERE block_number % {SC.GAP} = 0 AND NOT (rflag = 'R' AND lstatus = 'O')""",
-        "feed_snapshot": wb()
-        + f"""SELECT block_number, log_index, tx_hash FROM transfers WHERE block_number % {SC.LATE} <> 0
-ORDER BY CASE WHEN block_number <= {SC.SPLIT_BLOCK} THEN (block_number - 1) // {SC.TICK} ELSE 1000000 END,
-  block_number, log_index, tx_hash LIMIT {FEED_BUFFER}""",
+        "feed_snapshot": feed_sql,
+        "feed_after_position": feed_sql + f" OFFSET {FEED_BUFFER}",
         "transfer_feed_json": wb()
         + """SELECT 'Transfer' AS event_signature, token, "from", "to", value_string AS value, value_string, value_decimal, block_number,
   tx_hash, tx_index, log_index, strftime("timestamp", '%Y-%m-%dT%H:%M:%SZ') AS "timestamp" FROM transfers""",
         "dedup_tx_24h": wb() + "SELECT DISTINCT tx_hash, CAST(1 AS BIGINT) AS kept FROM decoded",
+        **dict.fromkeys(("dedup_tx_chain", "dedup_tx_chain_stream"), """WITH RECURSIVE
+p AS (SELECT user_id, ts, min(event_id) AS event_id FROM events GROUP BY user_id, ts),
+kept AS (SELECT user_id, min(ts) AS ts FROM p GROUP BY user_id
+         UNION ALL
+         SELECT k.user_id, min(p.ts) FROM kept k JOIN p ON p.user_id = k.user_id AND p.ts >= k.ts + INTERVAL 24 HOUR GROUP BY k.user_id)
+SELECT event_id, user_id, ts FROM kept JOIN p USING (user_id, ts)"""),
         "slow_batch_flags": """SELECT 'b' || event_id AS batch, event_id AS from_block, event_id + 9 AS to_block, value AS duration_s,
   value > 12 AS slow FROM events""",
         "batch_duration_histogram": "\nUNION ALL\n".join(

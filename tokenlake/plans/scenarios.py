@@ -10,8 +10,10 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import chains as CH
 from ..operators.store import TransferStore
 from ..schemas import BLOCK_SCHEMA
+from ..sources import fixtures as FX
 from ..sources import landing as L
 from ..streaming import ingest as I
 
@@ -181,13 +183,13 @@ def rpc_export(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
 
 
 def replay_store(spark: SparkSession, sf_dir: str) -> tuple[TransferStore, str]:
-    """K1: backfill blocks [1, SPLIT_BLOCK], then one more batch from REPLAY_FROM to the head;
-    returns the store and the replay's batch id."""
+    """K1: backfill blocks [1, SPLIT_BLOCK], then one more batch from REPLAY_FROM to the head; the first one's
+    keys come from the key index. Returns the store and the replay's batch id."""
     path, blocks = f"{L.land_root(spark, sf_dir)}/replayed", L.landed_blocks(spark, sf_dir)
     head = I.chain_head(blocks)
 
     def write(p: str) -> None:
-        store, raw = TransferStore(spark, p), L.landed_raw_logs(spark, sf_dir)
+        store, raw = TransferStore(spark, p, open_bytes=0), L.landed_raw_logs(spark, sf_dir)
         I.backfill(store, raw, blocks, from_block=1, to_block=SPLIT_BLOCK, run_id="first")
         I.backfill(store, raw, blocks, from_block=REPLAY_FROM, to_block=head, run_id="replay")
 
@@ -195,6 +197,24 @@ def replay_store(spark: SparkSession, sf_dir: str) -> tuple[TransferStore, str]:
     return TransferStore(spark, path), f"replay-{REPLAY_FROM:012d}-{head:012d}"
 
 
+def chained_events(spark: SparkSession, sf_dir: str, files_per_trigger: int = FILES_PER_TRIGGER) -> str:
+    """The events as STREAM_FILES files in time order, deduplicated by user and 24 h as a stream; the output folder."""
+    path = f"{L.land_root(spark, sf_dir)}/chained_events_{files_per_trigger}"
+
+    def write(p: str) -> None:
+        events = FX.read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+        lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+        step = (hi - lo) / STREAM_FILES if lo is not None else None
+        for k in range(STREAM_FILES if step is not None else 0):
+            until = F.lit(True) if k == STREAM_FILES - 1 else F.col("ts") < F.lit(lo + (k + 1) * step)
+            events.where((F.col("ts") >= F.lit(lo + k * step)) & until).coalesce(1).write.mode("append").parquet(p + "/in")
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(p + "/in")
+        _run(CH.keep_chain_stream(spark, stream, p + "/out", p + "/checkpoint", "user_id", "ts", ["event_id"]))
+
+    L.materialise(spark, path, write)
+    return path + "/out"
+
+
 def published_feed(spark: SparkSession, sf_dir: str) -> str:
     """K3: the streamed store's feed published as JSON lines by a stream over its commits."""
     from ..streaming.feed import publish_feed

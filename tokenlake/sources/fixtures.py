@@ -28,6 +28,9 @@ FOREIGN_TOPIC = "0x" + "ab" * 32
 N_PROVIDERS = 4
 N_METHODS = 3
 TIMEOUT_S = 30
+MAX_UINT64 = str(2**64 - 1)
+REQUEST_LIMITS = (None, "0", "-1", "5", "50", "1001", "x", "+7", "")
+REQUEST_OFFSETS = (None, "0", "7", "abc", "300", "25", "-3", "1000000", "+12", "")
 
 
 def _hex(c: Column, width: int) -> Column:
@@ -118,6 +121,27 @@ def call_log_from(events: DataFrame) -> DataFrame:
     )
 
 
+def requests_from(events: DataFrame) -> DataFrame:
+    """Listing requests as strings, one for each (user, event type), from its last event; some do not parse (FIXTURES.md 2)."""
+    e, u = F.col("request_id"), F.col("user_id")
+    last = events.groupBy("user_id", "event_type").agg(F.max("event_id").alias("request_id"))
+    address = lambda c: F.concat(F.lit("0x"), _hex(c, 40))
+    one_of = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (e % by + 1).cast("int"))
+    text = lambda c: c.cast("string")
+    return last.select(
+        "request_id",
+        F.when(e % 4 == 0, address(e % 200 + 1)).when(e % 40 == 1, "0x" + "A".rjust(40, "0")).when(e % 4 == 2, "").alias("token"),
+        F.when(e % 5 == 1, address((u % 10 + 1) * 31)).alias("from"),
+        F.when(e % 7 == 2, address(u + 1)).alias("to"),
+        one_of(REQUEST_LIMITS, len(REQUEST_LIMITS)).alias("limit"),
+        one_of(REQUEST_OFFSETS, len(REQUEST_OFFSETS)).alias("offset"),
+        F.when(e % 13 == 0, MAX_UINT64).when(e % 11 == 0, "12x").when(e % 3 == 0, F.concat(F.lit("+"), text(e % 2400))).alias("start_block"),
+        F.when(e % 17 == 0, MAX_UINT64 + "0").when(e % 19 == 0, MAX_UINT64).when(e % 2 == 0, text(e % 2400 + e % 400)).alias("end_block"),
+        F.when(e % 6 == 1, "1995-06-01T02:30:00+02:30").when(e % 6 == 3, "1996-13-01T00:00:00Z").when(e % 6 == 5, "1996-01-01").alias("start_time"),
+        F.when(e % 8 == 3, "1999-12-31T23:59:59.999Z").when(e % 8 == 5, "2000-01-01T00:00:00-23:59").alias("end_time"),
+    )
+
+
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_logs_from(read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "orders"))
 
@@ -128,3 +152,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return call_log_from(read_table(spark, sf_dir, "events"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests_from(read_table(spark, sf_dir, "events"))

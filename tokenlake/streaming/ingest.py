@@ -13,12 +13,12 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import decode as D
 from ..operators import dedup as DD
-from ..operators.store import ConcurrentCommit, TransferStore
+from ..operators.store import ConcurrentCommit, TransferStore, bucket_mask, buckets_of
 from ..schemas import (
     DEFAULT_BATCH_BLOCKS,
     POLL_INTERVAL,
@@ -96,16 +96,14 @@ def _reason_counts() -> list:
     ]
 
 
-def batch_counters(classified: DataFrame) -> DataFrame:
-    """O1 for one batch, one row: rows read, rejects by reason, block bounds, logs without a header."""
-    headerless = F.col("block_time").isNull()
-    return classified.agg(
+def batch_counters() -> list:
+    """O1 for one batch as aggregates over its classified records: rows read, rejects by reason, block bounds, key buckets."""
+    return [
         *_reason_counts(),
         F.min("block_number").alias("from_block"),
         F.max("block_number").alias("to_block"),
-        F.count_if(headerless).alias("headerless"),
-        F.min(F.when(headerless, F.col("block_number"))).alias("first_headerless"),
-    )
+        bucket_mask(F.col("tx_hash")).alias("buckets"),
+    ]
 
 
 def counters_by_range(raw_logs: DataFrame, blocks: DataFrame, start_block: int, head: int,
@@ -139,6 +137,25 @@ def counters_by_range(raw_logs: DataFrame, blocks: DataFrame, start_block: int,
 # ---------------------------------------------------------------- one batch
 
 
+def headers_between(blocks: DataFrame, first: int | None, last: int | None) -> DataFrame:
+    """Headers of the blocks from first to last; the bounds reach the scan as pushed predicates."""
+    return blocks.where(F.lit(False)) if first is None else blocks.where(F.col("block_number").between(first, last))
+
+
+def headerless(records: DataFrame, headers: DataFrame) -> DataFrame:
+    """One row: logs in blocks without a header (``headerless``), the first such block, those not rejected already (``lacking``).
+
+    Only block numbers and reasons are read, counted by block before the join.
+    """
+    by_block = records.groupBy("block_number").agg(F.count("*").alias("n"), F.count_if(F.col("reject_reason").isNull()).alias("good"))
+    known = D.one_header_per_block(headers).where("block_time IS NOT NULL")
+    return by_block.join(known, "block_number", "left_anti").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("headerless"),
+        F.min("block_number").alias("first_headerless"),
+        F.coalesce(F.sum("good"), F.lit(0)).alias("lacking"),
+    )
+
+
 def ingest_logs(
     store: TransferStore,
     logs: DataFrame,
@@ -149,33 +166,45 @@ def ingest_logs(
 ) -> int:
     """One batch through the whole path; returns rows inserted.
 
-    ``covers`` tells from the batch's counters which block range it ingests in full (K2). A failed
+    The source is read once: its classified records (no amounts, no header) are staged, and the counters are
+    observed while they are written. Everything else reads the staged records. Headers are read for the
+    blocks between the batch's first and last only (S2), as a predicate on the scan. ``covers`` tells from the batch's counters which block range it ingests in full (K2). A failed
     attempt is recorded with its error type (O1) and raised again.
     """
     if missing not in ("fail", "quarantine"):
         raise ValueError(f"missing must be 'fail' or 'quarantine', got {missing!r}")
     if store.is_committed(batch_id):
         return 0
-    log = {"started": time.time()}
+    log, staged = {"started": time.time()}, store.staging(f"records-{uuid.uuid4().hex}")
     try:
-        timed = D.attach_block_time(D.classify(D.scan_transfer_logs(logs)), headers_now(blocks))
-        log |= batch_counters(timed).first().asDict()
+        transfer_logs, seen = D.scan_transfer_logs(logs), Observation(f"batch-{uuid.uuid4().hex}")
+        records = D.record_columns(D.classify(transfer_logs), keep_reason=True)
+        records.observe(seen, *batch_counters()).write.parquet(staged)
+        records = store.spark.read.schema(records.schema).parquet(staged)
+        log |= seen.get
+        headers = headers_between(headers_now(blocks), log["from_block"], log["to_block"])
+        log |= headerless(records, headers).first().asDict()
+        log["missing_block"], log["accepted"] = log["lacking"], log["accepted"] - log["lacking"]
         covered, aside = covers(log), None
         if covered:
             log["from_block"], log["to_block"] = covered
         if log["headerless"]:
             if missing == "fail":
                 raise D.MissingHeaders(f"{log['headerless']} logs without a block header, the first in block {log['first_headerless']}")
-            aside = timed.where(F.col("block_time").isNull()).drop("block_time", "reject_reason")
-            covered = covered and (covered[0], min(covered[1], log["first_headerless"] - 1))
-        accepted = timed.where(F.col("reject_reason").isNull()).drop("reject_reason")
-        records = DD.dedup_transfers(D.record_columns(accepted))
-        return store.insert_ignore(records, batch_id, covered, log=log, deduped=True, quarantine=aside)
+            aside = D.attach_block_time(transfer_logs, headers).where(F.col("block_time").isNull()).drop("block_time")
+            stop = log["first_headerless"]  # NULL: a log without a block number, which lies in no range
+            covered = covered and stop is not None and (covered[0], min(covered[1], stop - 1)) or None
+        accepted = D.attach_block_time(records.where(F.col("reject_reason").isNull()).drop("reject_reason"), headers)
+        timed = accepted.where(F.col("block_time").isNotNull()).withColumn("timestamp", F.timestamp_seconds("block_time")).drop("block_time")
+        fresh = DD.dedup_transfers(timed)
+        return store.insert_ignore(fresh, batch_id, covered, log=log, deduped=True, quarantine=aside, buckets=buckets_of(log["buckets"]))
     except ConcurrentCommit:
         raise  # not a failure of this batch: compare again with what is stored now
     except Exception as error:
         store.record_failure(batch_id, error, log)
         raise
+    finally:
+        store.fs.discard(staged)
 
 
 def ingest_range(
