@@ -357,7 +357,8 @@ def test_key_index_buckets(spark, scratch):
     for k in range(5):
         rows = [(v, 1 + k, "0x%02x" % (10 * k + v), v % 3) for v in range(10)]
         assert I.ingest_range(store, raw(spark, rows), blocks(spark), k + 1, k + 1, f"b-{k}") == 10
-    assert store.fs.names(store.root + "/keys") == ["upto=000000000002", "upto=000000000004"] and store.indexed_upto() == 4
+    for kind in ("keys", "summaries"):
+        assert store.fs.names(f"{store.root}/{kind}") == ["upto=000000000002", "upto=000000000004"] and store.indexed_upto(kind) == 4
     every = {(r.tx_hash, r.log_index) for r in store.keys().collect()}
     assert every == {(r.tx_hash, r.log_index) for r in store.read().collect()} and store.keys().count() == 50
     # one transaction, one bucket: only its folder, in the index and in the open commit

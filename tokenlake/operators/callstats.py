@@ -56,12 +56,8 @@ def block_height(call_log: DataFrame) -> DataFrame:
     )
 
 
-def failure_streaks(
-    call_log: DataFrame,
-    threshold: int = FAILURE_THRESHOLD,
-    slice_seconds: int = 60,
-) -> DataFrame:
-    """Maximal runs of consecutive failed calls per provider, length >= threshold.
+def _run_pieces(call_log: DataFrame, threshold: int, slice_seconds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs of consecutive failed calls per provider: inside a time slice, touching slice edges, and the slices.
 
     A window over ``provider`` alone would put a hot provider in one task. Runs
     are found inside (provider, time bucket of ``slice_seconds``) instead, so a busy hour
@@ -130,13 +126,32 @@ def failure_streaks(
             )
         ).alias("p"),
     ).where((F.col("p.n") > 0) & (F.col("p.g") >= 0))
-    spanning = (
-        pieces.groupBy("provider", F.col("p.g").alias("g"))
-        .agg(F.min("p.s").alias("s"), F.max("p.e").alias("e"), F.sum("p.n").alias("length"))
-        .where(F.col("length") >= threshold)
-        .select("provider", "s", "e", "length")
+    spanning = pieces.groupBy("provider", F.col("p.g").alias("g")).agg(F.min("p.s").alias("s"), F.max("p.e").alias("e"), F.sum("p.n").alias("length"))
+    return interior, spanning, summary
+
+
+def _runs(call_log: DataFrame, threshold: int, slice_seconds: int) -> tuple[DataFrame, DataFrame]:
+    """The runs of a part of the log (provider, s, e, length): those between two successes, and those at its edges.
+
+    The first frame has the runs of length >= threshold with a success of the provider before and after them. The second
+    one has a row per provider: ``any_ok``, and its runs before the first success (``pre``) and after the last one
+    (``suf``) as structs (n, s, e), NULL if there is none; without any success ``pre`` is all of it.
+    """
+    interior, spanning, summary = _run_pieces(call_log, threshold, slice_seconds)
+    oks = summary.groupBy("provider").agg(F.sum(F.col("any_ok").cast("int")).cast("bigint").alias("oks"))
+    # group 0 lies before the first success, the last group after the last one
+    placed = oks.join(spanning, "provider", "left")
+    run = F.struct(F.col("length").alias("n"), "s", "e")
+    edges = placed.groupBy("provider").agg(
+        (F.max("oks") > 0).alias("any_ok"),
+        F.first(F.when(F.col("g") == 0, run), ignorenulls=True).alias("pre"),
+        F.first(F.when((F.col("g") == F.col("oks")) & (F.col("oks") > 0), run), ignorenulls=True).alias("suf"),
     )
-    runs = interior.unionByName(spanning)
+    between = placed.where((F.col("g") > 0) & (F.col("g") < F.col("oks")) & (F.col("length") >= threshold)).select("provider", "s", "e", "length")
+    return interior.unionByName(between), edges
+
+
+def _shown(runs: DataFrame) -> DataFrame:
     return runs.select(
         "provider",
         F.col("s.ts").alias("start_ts"),
@@ -145,3 +160,45 @@ def failure_streaks(
         F.col("e.seq").alias("end_seq"),
         F.col("length").cast("bigint").alias("length"),
     )
+
+
+def failure_streaks(call_log: DataFrame, threshold: int = FAILURE_THRESHOLD, slice_seconds: int = 60) -> DataFrame:
+    """Maximal runs of consecutive failed calls per provider, length >= threshold."""
+    interior, spanning, _ = _run_pieces(call_log, threshold, slice_seconds)
+    long = spanning.where(F.col("length") >= threshold).select("provider", "s", "e", "length")
+    return _shown(interior.unionByName(long))
+
+
+#: the run that a provider's log so far ends with, one row per provider whose last call failed
+OPEN_RUN_SCHEMA = "provider string, n bigint, s struct<ts: timestamp_ntz, seq: bigint>, e struct<ts: timestamp_ntz, seq: bigint>"
+
+
+def continue_streaks(call_log: DataFrame, open_runs: DataFrame, threshold: int = FAILURE_THRESHOLD,
+                     slice_seconds: int = 60) -> tuple[DataFrame, DataFrame]:
+    """O4 over the next part of a log: (streaks that ended in it, the open runs after it).
+
+    Runs form a monoid: a part of the log is its run before the first success, its run after the last one and
+    whether it has a success at all. An open run is joined with what comes before the part's first success; if the part
+    has none, it stays open. Nothing of earlier parts is read again.
+    """
+    closed, edges = _runs(call_log, threshold, slice_seconds)
+    known = open_runs.select("provider", F.struct("n", "s", "e").alias("open"))
+    both = edges.join(known, "provider", "full_outer")
+    joined = F.when(
+        F.col("open").isNotNull() | F.col("pre").isNotNull(),
+        F.struct(
+            (F.coalesce("open.n", F.lit(0)) + F.coalesce("pre.n", F.lit(0))).cast("bigint").alias("n"),
+            F.coalesce("open.s", "pre.s").alias("s"),
+            F.coalesce("pre.e", "open.e").alias("e"),
+        ),
+    )
+    ends = F.coalesce("any_ok", F.lit(False))
+    both = both.select("provider", ends.alias("ends"), joined.alias("first"), "suf")
+    stitched = both.where(F.col("ends") & (F.col("first.n") >= threshold)).select("provider", "first.s", "first.e", F.col("first.n").alias("length"))
+    still = both.select("provider", F.when(F.col("ends"), F.col("suf")).otherwise(F.col("first")).alias("r")).where("r IS NOT NULL")
+    return _shown(closed.unionByName(stitched)), still.select("provider", "r.n", "r.s", "r.e")
+
+
+def open_streaks(open_runs: DataFrame, threshold: int = FAILURE_THRESHOLD) -> DataFrame:
+    """Streaks that have not ended yet."""
+    return _shown(open_runs.where(F.col("n") >= threshold).withColumnRenamed("n", "length"))

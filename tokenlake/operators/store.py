@@ -15,7 +15,8 @@ Parquet table, so a reader opens that table and the entries after it, never the
 The unique key has an index of its own: ``keys/upto=<seq>/kb=<bucket>`` holds the keys of the commits up to
 ``seq`` that no earlier folder holds, dealt by a hash of tx_hash into folders. It is made from committed
 rows, so it may lag behind: the keys of younger commits are read from ``data``. A batch reads only the
-buckets that its own hashes fall into, whatever block they are in.
+buckets that its own hashes fall into, whatever block they are in. ``summaries/upto=<seq>`` holds a row per block
+bucket for the same commits (``sketches``).
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ STORED_SCHEMA = T.StructType(TRANSFER_STORE_SCHEMA.fields + [T.StructField("seq"
 GENERATION = 1000
 #: folders of the key index; a batch's touched buckets fit the bits of one BIGINT
 KEY_BUCKETS = 64
-#: commits, or bytes of their data, that may be without key index before they get one
+#: commits, or bytes of their data, that may be without key index and summaries before they get them
 OPEN_COMMITS, OPEN_BYTES = 100, 64 << 20
 #: columns of which every row group keeps a Bloom filter: lookups by sender or receiver skip row groups
 BLOOM_COLUMNS = ("from", "to")
@@ -280,9 +281,9 @@ class TransferStore:
         path = f"{self.root}/quarantine"
         return self.spark.read.schema(schema).parquet(path) if self.fs.exists(path) else self.spark.createDataFrame([], schema)
 
-    def indexed_upto(self) -> int:
-        """The last commit whose keys are in the key index."""
-        return max((int(n.split("=")[1]) for n in self.fs.names(f"{self.root}/keys") if n.startswith("upto=")), default=0)
+    def indexed_upto(self, kind: str = "keys") -> int:
+        """The last commit that the key index (or the summaries) holds."""
+        return max((int(n.split("=")[1]) for n in self.fs.names(f"{self.root}/{kind}") if n.startswith("upto=")), default=0)
 
     def keys(self, buckets: list[int] | None = None) -> DataFrame:
         """The unique key's columns and their bucket: (kb, tx_hash, log_index) of every stored row, or of some buckets.
@@ -298,24 +299,37 @@ class TransferStore:
         old = self.spark.read.schema(KEY_SCHEMA).parquet(f"{self.root}/keys")
         return (old if buckets is None else old.where(F.col("kb").isin(buckets))).drop("upto").unionByName(young)
 
-    def index_keys(self) -> None:
-        """Adds the keys of the commits that the key index does not hold yet, in one folder for all of them."""
-        upto, last = self.indexed_upto(), self.last_seq()
-        if last == upto or not self.fs.names(f"{self.root}/data"):
-            return
-        tmp = self.staging(f"keys-{uuid.uuid4().hex}")
-        rows = self.read_stored().where(F.col("seq").between(upto + 1, last))
-        keyed = rows.select(key_bucket(F.col("tx_hash")).alias("kb"), "tx_hash", "log_index")
-        # range partitioning: a bucket that outgrows a task spreads over several
-        laid = keyed.repartitionByRange("kb", "tx_hash", "log_index").sortWithinPartitions("kb", "tx_hash", "log_index")
-        laid.write.partitionBy("kb").parquet(tmp)
-        self.fs.move(tmp, f"{self.root}/keys/upto={last:012d}")  # False: another writer's folder holds the same keys
+    def summaries(self) -> tuple[DataFrame | None, int]:
+        """Summaries by block bucket (``sketches.summarise``) and the last commit that they hold."""
+        upto = self.indexed_upto("summaries")
+        return (self.spark.read.parquet(f"{self.root}/summaries").drop("upto") if upto else None), upto
+
+    def index_commits(self) -> None:
+        """Adds keys and summaries of the commits without them, in one folder for all of these commits.
+
+        Both are made from committed rows, so a crash in between loses nothing: the next call makes what is missing.
+        """
+        from . import sketches
+
+        def keyed(rows: DataFrame) -> DataFrame:
+            keys = rows.select(key_bucket(F.col("tx_hash")).alias("kb"), "tx_hash", "log_index")
+            # range partitioning: a bucket that outgrows a task spreads over several
+            return keys.repartitionByRange("kb", "tx_hash", "log_index").sortWithinPartitions("kb", "tx_hash", "log_index")
+
+        last = self.last_seq()
+        for kind, make, folders in (("keys", keyed, ["kb"]), ("summaries", sketches.summarise, [])):
+            upto = self.indexed_upto(kind)
+            if last == upto or not self.fs.names(f"{self.root}/data"):
+                continue
+            tmp = self.staging(f"{kind}-{uuid.uuid4().hex}")
+            make(self.read_stored().where(F.col("seq").between(upto + 1, last))).write.partitionBy(*folders).parquet(tmp)
+            self.fs.move(tmp, f"{self.root}/{kind}/upto={last:012d}")  # False: another writer's folder holds the same
 
     def _index_when_due(self) -> None:
         upto, last = self.indexed_upto(), self.last_seq()
         waiting = [self._data(seq) for seq in range(upto + 1, last + 1)]
         if len(waiting) >= self.open_commits or sum(size for p in waiting for _, size, _ in self.fs.statuses(p)) >= self.open_bytes:
-            self.index_keys()
+            self.index_commits()
 
     def progress(self) -> DataFrame:
         """K2 view: one row per marked block, the latest mark wins (upsert by block_number)."""

@@ -21,10 +21,12 @@ from ..operators import dedup as DD
 from ..operators import paging as PG
 from ..operators import query as Q
 from ..operators import requests as RQ
+from ..operators import sketches as SK
 from ..operators import store as ST
 from ..schemas import BATCH_DURATION_BOUNDS, FEED_BUFFER, RPC_DURATION_BOUNDS, TRANSFER_TOPIC, VALUE_PARTS_TYPE
 from ..sources import fixtures as FX
 from ..streaming import ingest as I
+from ..streaming import progress as PR
 from . import oracle as O
 from . import scenarios as SC
 from . import views as V
@@ -117,6 +119,16 @@ def _aggregates(params: TransferQueryParams) -> Query:
     return q
 
 
+def aggregates_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1-A6 from the stored summaries alone; distinct counts must lie within the sketches' error of the exact ones."""
+    store, _ = SC.replay_store(spark, sf_dir)
+    near, exact = SK.aggregates(store), Q.aggregates(store.read()).select(F.col("unique_tokens").alias("t"), F.col("unique_addresses").alias("a"))
+    close = lambda found, true: F.abs(found - true) <= SK.ERROR * true + 1
+    both = V.aggregate_view(near).crossJoin(exact)  # one row each
+    return both.select("total_transfers", "total_value", "total_value_decimal", "time_start", "time_end",
+                       close(F.col("unique_tokens"), F.col("t")).alias("tokens_close"), close(F.col("unique_addresses"), F.col("a")).alias("addresses_close"))
+
+
 def exact_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.exact_total(V.stored_transfers(spark, sf_dir))
 
@@ -297,6 +309,19 @@ def dedup_tx_chain_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(SC.chained_events(spark, sf_dir)).drop("batch")
 
 
+def failure_streaks_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O4 over eight micro-batches: streaks that span them are joined from the stored open runs."""
+    return SC.streamed_streaks(spark, sf_dir, STREAK_MIN)
+
+
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O6 from the stream's own progress: micro-batches, rows read, and how many are flagged by a limit that each passes, and by one that none does."""
+    progress = PR.read_progress(spark, SC.watched_stream(spark, sf_dir))
+    flagged = lambda limit: F.count_if(F.col("duration_s") > limit)
+    rows = F.count_if(F.col("input_rows") > 0)
+    return progress.agg(F.count("*").alias("batches"), rows.alias("with_rows"), flagged(0.0).alias("over_0_s"), flagged(86400.0).alias("over_1_day"))
+
+
 def batch_duration_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O1: batch durations in the default bounds, over the batch log derived from ``events``."""
     events = FX.read_table(spark, sf_dir, "events")
@@ -350,6 +375,7 @@ def queries() -> dict[str, Query]:
         "aggregates_blocks": _aggregates(TransferQueryParams(start_block=BLOCK_LO, end_block=BLOCK_HI)),
         "aggregates_time": _aggregates(TransferQueryParams(start_time=TIME_LO, end_time=TIME_HI)),
         "aggregates_empty": _aggregates(TransferQueryParams(token=MIXED_CASE_TOKEN)),
+        "aggregates_sketched": aggregates_sketched,
         "exact_total": exact_total,
         "legacy_value_sum": legacy_value_sum,
         "filter_token": _listing(TransferQueryParams(token=TOKEN), paged=False),
@@ -392,6 +418,8 @@ def queries() -> dict[str, Query]:
         "call_duration_histogram": call_duration_histogram,
         "call_duration_sum": call_duration_sum,
         "failure_streaks": _streaks(5),
+        "failure_streaks_stream": failure_streaks_stream,
+        "stream_progress": stream_progress,
         "failure_streaks_min3": _streaks(STREAK_MIN),
         "block_height": block_height,
     }
@@ -418,6 +446,7 @@ def oracle_sql() -> dict[str, str]:
         "FROM call_log GROUP BY provider, method"
     )
 
+    micro = f"CAST({SC.STREAM_FILES // SC.FILES_PER_TRIGGER} AS BIGINT)"
     # commits of the first run, the second run, and the forced restart, which brings the late blocks
     feed_sql = wb() + f"""SELECT block_number, log_index, tx_hash FROM transfers
 ORDER BY CASE WHEN block_number % {SC.LATE} = 0 THEN 2000000 + (block_number - 1) // {2 * SC.TICK}
@@ -465,6 +494,8 @@ FROM logs WHERE NOT (rflag = 'R' AND lstatus = 'O')""",
         "aggregates_blocks": O.aggregate_sql(f"block_number BETWEEN {BLOCK_LO} AND {BLOCK_HI}"),
         "aggregates_time": O.aggregate_sql(f'"timestamp" BETWEEN {t_lo} AND {t_hi}'),
         "aggregates_empty": O.aggregate_sql(f"token = '{MIXED_CASE_TOKEN}'"),
+        "aggregates_sketched": "SELECT total_transfers, total_value, total_value_decimal, time_start, time_end, TRUE AS tokens_close, TRUE AS addresses_close FROM ("
+        + O.aggregate_sql() + ") x",
         "exact_total": wb(
             """s AS (SELECT count(*) AS total_transfers, count_if(wide) AS n_wide,
                      COALESCE(sum(CASE WHEN wide THEN 0 ELSE v END), 0) AS small FROM transfers)"""
@@ -573,6 +604,11 @@ FROM logs WHERE NOT (rflag = 'R' AND lstatus = 'O')""",
         "count(*) AS duration_count FROM call_log GROUP BY provider, method",
         "failure_streaks": streak_sql(5),
         "failure_streaks_min3": streak_sql(STREAK_MIN),
+        "failure_streaks_stream": streak_sql(STREAK_MIN),
+        # the stream's files are ranges of blocks of one length, so a micro-batch is a pair of ranges
+        "stream_progress": wb() + f"""SELECT {micro} AS batches, count(DISTINCT (block_number - lo) // step // {SC.FILES_PER_TRIGGER}) AS with_rows, {micro} AS over_0_s,
+  CAST(0 AS BIGINT) AS over_1_day
+FROM logs, (SELECT min(block_number) AS lo, CAST(ceil((max(block_number) - min(block_number) + 1) / {SC.STREAM_FILES}) AS BIGINT) AS step FROM logs)""",
         "block_height": "WITH "
         + O.CALL_LOG_CTE.strip()
         + "\nSELECT provider, arg_max(height, {'ts': ts, 'seq': seq}) AS height FROM call_log GROUP BY provider",

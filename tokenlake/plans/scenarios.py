@@ -16,6 +16,8 @@ from ..schemas import BLOCK_SCHEMA
 from ..sources import fixtures as FX
 from ..sources import landing as L
 from ..streaming import ingest as I
+from ..streaming import progress as PR
+from ..streaming import streaks as STK
 
 STREAM_FILES = 8  # raw-log files the node "produces" over time
 FILES_PER_TRIGGER = 2
@@ -197,17 +199,53 @@ def replay_store(spark: SparkSession, sf_dir: str) -> tuple[TransferStore, str]:
     return TransferStore(spark, path), f"replay-{REPLAY_FROM:012d}-{head:012d}"
 
 
+def _in_time_order(events: DataFrame, path: str) -> None:
+    """``events`` as STREAM_FILES folders of consecutive times, written one after another, as they would be logged."""
+    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+    for k in range(STREAM_FILES if lo is not None else 0):
+        step = (hi - lo) / STREAM_FILES
+        until = F.lit(True) if k == STREAM_FILES - 1 else F.col("ts") < F.lit(lo + (k + 1) * step)
+        events.where((F.col("ts") >= F.lit(lo + k * step)) & until).coalesce(1).write.mode("append").parquet(path)
+
+
+def streamed_streaks(spark: SparkSession, sf_dir: str, threshold: int) -> DataFrame:
+    """The call log as STREAM_FILES files in time order, one micro-batch each; every streak up to the last one."""
+    path = f"{L.land_root(spark, sf_dir)}/streaks_{threshold}"
+
+    def write(p: str) -> None:
+        log = FX.call_log(spark, sf_dir)
+        _in_time_order(log, p + "/in")
+        stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(p + "/in")
+        _run(STK.streaks_stream(spark, stream, p + "/out", p + "/checkpoint", threshold))
+
+    L.materialise(spark, path, write)
+    return STK.streaks_so_far(spark, path + "/out", path + "/checkpoint", STREAM_FILES - 1, threshold)
+
+
+def watched_stream(spark: SparkSession, sf_dir: str) -> str:
+    """A stream ingest with a progress listener; returns the progress table's path."""
+    path = f"{L.land_root(spark, sf_dir)}/progress"
+
+    def write(p: str) -> None:
+        listener = PR.ProgressLog(spark, p + "/table")
+        spark.streams.addListener(listener)
+        try:
+            _run(_streamed(spark, sf_dir, TransferStore(spark, p + "/store"), p + "/checkpoint", L.landed_blocks(spark, sf_dir), start_block=1))
+            PR.wait_for(listener, STREAM_FILES // FILES_PER_TRIGGER)
+        finally:
+            spark.streams.removeListener(listener)
+
+    L.materialise(spark, path, write)
+    return path + "/table"
+
+
 def chained_events(spark: SparkSession, sf_dir: str, files_per_trigger: int = FILES_PER_TRIGGER) -> str:
     """The events as STREAM_FILES files in time order, deduplicated by user and 24 h as a stream; the output folder."""
     path = f"{L.land_root(spark, sf_dir)}/chained_events_{files_per_trigger}"
 
     def write(p: str) -> None:
         events = FX.read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-        lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
-        step = (hi - lo) / STREAM_FILES if lo is not None else None
-        for k in range(STREAM_FILES if step is not None else 0):
-            until = F.lit(True) if k == STREAM_FILES - 1 else F.col("ts") < F.lit(lo + (k + 1) * step)
-            events.where((F.col("ts") >= F.lit(lo + k * step)) & until).coalesce(1).write.mode("append").parquet(p + "/in")
+        _in_time_order(events, p + "/in")
         stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(p + "/in")
         _run(CH.keep_chain_stream(spark, stream, p + "/out", p + "/checkpoint", "user_id", "ts", ["event_id"]))
 

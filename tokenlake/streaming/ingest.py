@@ -222,10 +222,9 @@ def ingest_range(
 
 
 def slow_batches(batch_log: DataFrame, poll_interval_s: float = 12.0) -> DataFrame:
-    """Flag batches that took longer than the poll interval."""
-    return batch_log.select(
-        "batch", "from_block", "to_block", "duration_s", (F.col("duration_s") > poll_interval_s).alias("slow")
-    )
+    """Flag batches that took longer than the poll interval; a batch log, or a stream's progress (``progress.read_progress``)."""
+    bounds = [c for c in ("from_block", "to_block") if c in batch_log.columns]
+    return batch_log.select("batch", *bounds, "duration_s", (F.col("duration_s") > poll_interval_s).alias("slow"))
 
 
 def _attempt(kind: str, lo: int, hi: int) -> str:
@@ -344,7 +343,7 @@ def stream_ingest(
 def dedup_tx_within(
     spark: SparkSession,
     input_dir: str,
-    blocks: DataFrame,
+    blocks: Headers,
     out_dir: str,
     checkpoint: str,
     horizon: str = "24 hours",
@@ -352,11 +351,15 @@ def dedup_tx_within(
 ):
     """R6 (opt-in): drop a transfer whose tx_hash was seen within ``horizon`` of event time.
 
-    State is bounded by the watermark; what expires depends on micro-batch
-    boundaries, so there is no batch equivalent.
+    State is bounded by the watermark; what expires depends on micro-batch boundaries, so there is no batch
+    equivalent (``chains.keep_chain`` and its stream depend on the data alone). A missing header fails the query.
     """
     stream = spark.readStream.schema(RAW_LOG_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).parquet(input_dir)
-    transfers = D.transfers_from_raw(stream, blocks)
+    accepted = D.classify(stream).where(F.col("reject_reason").isNull()).drop("reject_reason")
+    # a log without a header fails the query, which goes on from there when it is started again; none is dropped
+    failed = F.raise_error(F.concat(F.lit("a log without a block header, block "), F.col("block_number"))).cast("bigint")
+    timed = D.attach_block_time(accepted, headers_now(blocks)).withColumn("block_time", F.coalesce("block_time", failed))
+    transfers = D.decode_amounts(D.record_columns(timed))
     kept = transfers.withWatermark("timestamp", horizon).dropDuplicatesWithinWatermark(["tx_hash"])
     out = kept.select("tx_hash", "log_index", "block_number", "token", "from", "to", "value_string", "timestamp")
     return (
