@@ -13,7 +13,8 @@ def awkward(spark):
         (7, "ä" * 400 + "\n" + "ä" * 400, "de", "a", 1), (8, "few words", "en", "c", 1), (-9, "few words", "en", "c", 1),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for clash in ("size", "skey", "u", "v", "n", "row", "part", "kind", "band", "bucket", "class_id", "mix_doc_", "target", "words", "shard", "same", "kept"):
+    for clash in ("size", "skey", "u", "v", "n", "row", "part", "kind", "band", "bucket", "class_id", "mix_doc_", "mix_doc", "mix_source", "mix_times", "mix_copy", "mix", "target", "words", "shard", "same", "kept",
+                  "skey", "gkey", "digest", "claimed", "tie", "slice", "idx", "block", "spans", "failures", "only_rule", "ukey", "node"):
         docs = docs.withColumn(clash, F.lit("clash"))
     return docs
 

@@ -50,3 +50,18 @@ def test_awkward_rows(spark):
     assert len(got) == docs.count()
     assert all(r.base_failed and not r.kept and r.n_words == 0 for r in got if r.doc_id in (2, 3, 4))
     assert qr.judge(empty(docs)).count() == 0 and qr.ablations(qr.ledger(empty(docs)), "v1").count() == 0
+
+
+def test_ablation_columns(spark):
+    good = " ".join(f"word{i}" for i in range(30))
+    texts = [good, good, "few words", " ".join(f"longerword{i} ###" for i in range(20)), "a b", None, good + " !!" * 40 + " # $ % & * <" * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    book = qr.ledger(docs).cache()
+    rows = book.collect()
+    for r in qr.explain(book).collect():
+        single = [name for i, name in enumerate(qr._rules()) if r.failures == 1 << i]
+        assert r.only_rule == (single[0] if single else None)
+        want = sum(x.failures in (0, r.failures) for x in rows) if single else None
+        assert r.kept_without == want and r.kept == (r.failures == 0)
+    assert {r.only_rule for r in qr.explain(book).collect()} >= {None, "few_words", "symbols"}
+    assert qr.explain(qr.ledger(empty(awkward(spark)))).count() == 0

@@ -55,3 +55,12 @@ def test_awkward_rows(spark):
     docs = awkward(spark)
     assert result(docs) == direct([(r.doc_id, r.text) for r in docs.collect()])
     assert result(empty(docs)) == []
+
+
+def test_ties_do_not_depend_on_the_input_order(spark):
+    """Rows of one doc_id and length go by their ids."""
+    rows = [(1, t) for t in ("a b", "c d", "e f", "g h", "c d")] + [(None, "x y"), (None, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first = result(docs.coalesce(1))
+    assert result(docs.repartition(4)) == first == result(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3))
+    assert [r[1] for r in first] == [3 * i for i in range(7)]

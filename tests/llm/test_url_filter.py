@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tokenlake.llm import url_filter as uf
 from tokenlake.llm.components import connected_components
 
@@ -82,3 +84,25 @@ def test_links_are_resolved_against_the_page(spark):
 def test_relative_refresh_to_a_blocked_path(spark):
     rows = [(1, "http://a.example.com/s", '<meta http-equiv="refresh" content="0; url=/de/x">'), (2, "http://a.example.com/de/x", None)]
     assert {k: v[3] for k, v in verdicts(spark, rows).items()} == {1: "block", 2: "block"}
+
+
+def test_comments_scripts_and_short_hosts_tie_nothing(spark):
+    link = "<link rel=canonical href=http://bad.net/x>"
+    hidden = ["<!-- " + link + " -->", "<!--" + link, "<script>s='" + link + "'</script>", "<SCRIPT>" + link, "<!-- a --><p><!-- " + link + "-->"]
+    shown = ["<!-- a -->" + link, "<script>a</script>" + link + "<!-- b -->"]
+    rows = [(i, f"http://a.test/{i}", html) for i, html in enumerate(hidden + shown)]
+    got = verdicts(spark, [*rows, (99, "http://bad.net/x", None)])
+    assert [got[i][3] for i in range(len(rows))] == ["allow"] * len(hidden) + ["block"] * len(shown)
+    urls = ["http://m.com/", "http://com/", "http://www.org/", "http://org/", "http://m.net/", "http://www.a.test/", "https://a.test"]
+    keys = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(uf.alias_key(F.col("u"))).collect()]
+    assert keys == ["m.com", "com", "www.org", "org", "m.net", "a.test", "a.test"]
+
+
+def test_long_inputs_and_clashing_names(spark):
+    long = "<!-- " + "x" * 300_000 + "<!--" * 50_000 + "<link rel=canonical href=http://bad.net/x>"
+    rows = spark.createDataFrame([(1, "http://a.test/" + "p" * 200_000, long), (None, None, None)], PAGES)
+    for clash in ("host", "path", "rule", "verdict", "alias", "node", "component", "u", "v", "ukey", "base", "href", "action"):
+        rows = rows.withColumn(clash, F.lit("clash"))
+    got = {r.page_id: r.verdict for r in uf.judge_urls(rows, uf.rule_table(spark, uf.RULES)).collect()}
+    assert got == {1: "allow", None: "allow"}
+    assert uf.judge_urls(rows, uf.rule_table(spark, [])).count() == 2

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tokenlake.llm import warc
 
 
@@ -60,3 +62,22 @@ def test_odd_records(spark):
 def test_pages_with_nulls(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "http://x/", None), (None, "http://y", "h"), (2, "http://x/", None)], "page_id long, url string, html string")
     assert warc.resolve_revisits(warc.records_of_pages(pages)).count() >= 8
+
+
+def test_header_names_in_any_case(spark):
+    rows = [
+        ("a", "http://x", 3, 200, {"ETag": '"1"', "Content-Type": "t"}, "d", 1), ("b", "http://x/", 4, 304, {"ETAG": 'W/"1"', "CONTENT-TYPE": "u", "Date": "now"}, None, None),
+        ("c", "http://x/", 5, 304, {"Etag": '"2"'}, None, None), ("e", "http://x/", 6, 304, {"etag": '"2"', "ETag": '"1"'}, None, None),
+        ("f", "http://x/", 7, 304, {"ETAG": '"2"', "ETag": '"1"'}, None, None),
+    ]
+    got = {r.record_id: (r.outcome, r.headers) for r in warc.resolve_revisits(spark.createDataFrame(rows, warc.RECORD)).collect()}
+    assert got["b"] == ("resolved", {"etag": 'W/"1"', "content-type": "t", "date": "now"})
+    assert got["c"][0] == "mismatch" and got["e"][0] == "mismatch" and got["f"][0] == "resolved"
+
+
+def test_clashing_names_and_long_urls(spark):
+    pages = spark.createDataFrame([(1, "http://x/" + "p" * 100_000, "h" * 100_000)], "page_id long, url string, html string")
+    records = warc.records_of_pages(pages)
+    for clash in ("url_key", "slice", "full", "found", "carried", "newest", "outcome"):
+        records = records.withColumn(clash, F.lit("clash"))
+    assert {r.outcome for r in warc.resolve_revisits(records).collect()} == {"resolved"}

@@ -11,7 +11,9 @@ Everything is DataFrame operations. A hot source is split: running sums and rank
 within (source, slice) and shifted by the sums of the slices before.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; documents
-without words take nothing; repeated rows are documents of their own; an empty table gives no rows.
+without words take nothing; repeated rows are documents of their own; documents with one shuffle key go by doc_id, then
+size; a document longer than a block is taken by several slots; an empty table gives no rows; other columns, whatever their
+names, are kept by ``mixed_documents`` and ignored by ``mix``.
 """
 
 from __future__ import annotations
@@ -178,6 +180,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), block
     per_row = spots.groupBy("skey", "doc_id", "first_word").agg(F.countDistinct("epoch").alias("times"))
     name = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("mix_doc")
     times = per_row.groupBy(name, F.col("skey").alias("mix_source")).agg(F.max("times").alias("mix_times"))
-    keyed = docs.select("*", name, source_key(F.col("source")).alias("mix_source"))
+    # the document travels as one struct, so its columns may have any names
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), name, source_key(F.col("source")).alias("mix_source"))
     repeated = keyed.join(times, ["mix_doc", "mix_source"]).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times").cast("int"))))
-    return repeated.select(docs.columns)
+    return repeated.select("row.*")

@@ -5,7 +5,8 @@ counts and stores one failure bit per rule. A policy is a versioned mask over th
 or asking what each rule alone rejects, is bit arithmetic over the ledger and never reads a text again.
 
 Defined results: null or empty text has no words and all counts 0 (it fails ``few_words``); repeated
-rows are judged one by one; a null doc_id is carried along; an empty table gives an empty ledger.
+rows are judged one by one; a null doc_id is carried along; texts of any length are measured whole; other columns,
+whatever their names, are ignored; an empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -135,6 +136,22 @@ def ablations(book: DataFrame, policy: str) -> DataFrame:
     )
 
 
+def verdicts(book: DataFrame, policy: str = "v1") -> DataFrame:
+    """A ledger with ``base_failed`` and ``kept`` under a policy."""
+    return book.withColumn("base_failed", ~passes("base")).withColumn("kept", passes("base") & passes(policy))
+
+
 def judge(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """The ledger with ``base_failed`` and ``kept`` under a policy."""
-    return ledger(docs).withColumn("base_failed", ~passes("base")).withColumn("kept", passes("base") & passes(policy))
+    """The ledger of documents with ``base_failed`` and ``kept`` under a policy."""
+    return verdicts(ledger(docs), policy)
+
+
+def explain(book: DataFrame, policy: str = "v1") -> DataFrame:
+    """``verdicts`` with the policy's ablation: ``only_rule``, the one rule that rejects a document (null if several do, or none),
+    and ``kept_without``, how many documents the policy would keep without that rule. ``book`` is a stored ledger, read twice.
+    """
+    bits = F.col("failures").bitwiseAND(F.lit(mask(policy)))
+    names = list(_rules())
+    only = F.coalesce(*[F.when(bits == 1 << names.index(r), F.lit(r)) for r in POLICIES[policy]])
+    figures = ablations(book, policy).select(F.col("rule").alias("only_rule"), "kept_without")  # a row per rule
+    return verdicts(book, policy).withColumn("only_rule", only).join(figures, "only_rule", "left")

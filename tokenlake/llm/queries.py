@@ -71,9 +71,9 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(read_table(spark, sf_dir, "documents"))
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures"
+    book = written(quality_rules.ledger(read_table(spark, sf_dir, "documents")), "ledger")
+    return quality_rules.explain(book).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures", "only_rule", "kept_without"
     )
 
 
@@ -150,7 +150,11 @@ c AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words
 f AS (SELECT *, ((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (10 * n_symbols > 3 * n_words)::INT
       + 8 * (10 * n_dup_lines > 5 * n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 15 * n_words)::INT
       + 64 * (10 * n_bangs > 5 * n_words)::INT)::BIGINT AS failures FROM c)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, failures,
+       CASE failures WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'duplicate_lines' WHEN 16 THEN 'short_words'
+                     WHEN 32 THEN 'long_words' WHEN 64 THEN 'shouting' END AS only_rule,
+       CASE WHEN failures IN (1, 2, 4, 8, 16, 32, 64)
+            THEN (SELECT count(*) FROM f WHERE failures = 0) + count(*) OVER (PARTITION BY failures) END AS kept_without FROM f
 """
 
 OP9_SQL = r"""
@@ -159,7 +163,7 @@ q AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDE
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) AS query FROM p),
 rules(rule_host, rule_path, action) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'),
                                                ('org', '/fr/', 'allow')),
-k AS (SELECT *, CASE WHEN host = '' THEN '=' || coalesce(url, '') ELSE regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '/$', '')
+k AS (SELECT *, CASE WHEN host = '' THEN '=' || coalesce(url, '') ELSE regexp_replace(host, '^(www|m)\.([^.]+\..)', '\2') || regexp_replace(path, '/$', '')
              || regexp_replace(regexp_replace(regexp_replace(query, '([?&])(utm_[^&#]*|ref=[^&#]*)(&|$)', '\1', 'g'), '([?&])(utm_[^&#]*|ref=[^&#]*)(&|$)', '\1', 'g'), '[?&]$', '') END AS alias,
              (SELECT rule_host || rule_path FROM rules WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
               ORDER BY length(rule_host || rule_path) DESC LIMIT 1) AS rule FROM q),

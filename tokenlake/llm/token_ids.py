@@ -251,7 +251,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple
                 )
 
     by_id = F.col("doc_id").asc_nulls_first()
-    ordered = tokens.repartitionByRange(by_id).sortWithinPartitions(by_id, "n_tokens")
+    ordered = tokens.repartitionByRange(by_id).sortWithinPartitions(by_id, "n_tokens", "ids")
     files = ordered.mapInArrow(coded, "doc_id long, n_tokens long, control binary, data binary")
     files = files.withColumn("shard", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
     return written(files, "token-files", compression="zstd"), ranks

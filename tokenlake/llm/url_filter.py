@@ -2,14 +2,15 @@
 
 A rule (host, path, action) fits its host and all subdomains where the url's path starts with the
 rule's path; the longest fitting rule decides. Urls without a rule take the decision of their aliases:
-urls are nodes under an alias key (scheme, ``www.``/``m.``, fragment, tracking parameters and a closing
-slash do not count), canonical links and refresh redirects in the html are edges between keys, and
+urls are nodes under an alias key (scheme, a leading ``www.`` or ``m.``, fragment, tracking parameters and a closing
+slash do not count; that such urls are one is a guess, not an edge that a page states), canonical links and refresh redirects in the html are edges between keys, and
 connected components gather the aliases. In a component, one explicit allow wins over any block.
 
 Everything is DataFrame operations; urls are judged once each, however many pages have them.
 
 Defined results: null url or one without ``://``: empty host and path, no rule, and no alias but
-itself; such pages are allowed. Repeated rows are kept. Null html has no links. Links are resolved against
+itself; such pages are allowed. Repeated rows are kept; other columns, whatever their names, are ignored; urls and html of any
+length are read whole. Null html has no links, and neither have comments and scripts. Links are resolved against
 the page's url, or its ``base`` element; links of other schemes without ``://`` and to the page itself tie nothing.
 """
 
@@ -34,6 +35,8 @@ TRACKING = r"(?<=[?&])(utm_[^&#]*|ref=[^&#]*)(&|$)"
 CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?((?:&(?:amp|#38|#x26);|[^\"'\s>;])+)"
 BASE = r"(?is)<base\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+#: comments and scripts hold no links; one that is not closed reaches to the end
+HIDDEN = r"(?is)<!--(?:.*?-->|.*\z)|<script\b(?:.*?</script|.*\z)"
 AMPERSAND = r"(?i)&(amp|#38|#x26);"
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 
@@ -55,7 +58,8 @@ def path_of(url: Column) -> Column:
 
 def alias_key(url: Column) -> Column:
     """One string for urls that servers redirect to each other as a rule; the url itself where it has no host."""
-    host = F.regexp_replace(host_of(url), r"^(www|m)\.", "")
+    # a label goes only if two are left: www.org and m.com are sites of their own
+    host = F.regexp_replace(host_of(url), r"^(www|m)\.([^.]+\..)", "$2")
     query = F.regexp_replace(F.regexp_extract(rest_of(url), r"^[^?#]*(\?[^#]*)", 1), TRACKING, "")
     query = F.regexp_replace(query, r"[?&]$", "")
     key = F.concat(host, F.regexp_replace(path_of(url), r"/$", ""), query)
@@ -63,7 +67,11 @@ def alias_key(url: Column) -> Column:
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(rules, "rule_host string, rule_path string, action string")
+    """The rules as literals of the plan."""
+    names = ("rule_host", "rule_path", "action")
+    if not rules:
+        return spark.range(0).select(*[F.lit(None).cast("string").alias(n) for n in names])
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, rule, strict=True)]) for rule in rules])))
 
 
 def fitting_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -108,6 +116,7 @@ def resolved(href: Column, url: Column) -> Column:
 def html_links(pages: DataFrame) -> DataFrame:
     """(u, v): alias keys that a canonical link or a refresh redirect in the html ties together."""
     marked = pages.filter(F.col("html").rlike("(?i)canonical|refresh") & (host_of(F.col("url")) != ""))
+    marked = marked.select("url", F.regexp_replace("html", HIDDEN, " ").alias("html"))
     to = F.concat(F.regexp_extract_all("html", F.lit(CANONICAL), 1), F.regexp_extract_all("html", F.lit(REFRESH), 1))
     own = lambda x: F.explode(F.array(x))  # noqa: E731  a step of its own: not copied into each place that reads it
     base = F.col("base")

@@ -11,7 +11,8 @@ the last response of the slices before, of which there is one row per url and sl
 Defined results: no earlier response (or a null url or time): ``no_response``; validators that differ:
 ``mismatch``; a revisit without validators: ``unverified``, resolved all the same; a response at the same
 second is not earlier; among responses of one second the largest record_id counts; repeated records
-are resolved one by one; null headers are empty; an empty table gives no rows.
+are resolved one by one; null headers are empty; header names count in lower case; urls of any length are keys as they are;
+other columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +42,14 @@ def _opaque(etag: Column) -> Column:
     return F.regexp_replace(etag, r"^W/", "")
 
 
+def lower_names(headers: Column) -> Column:
+    """Headers with names in lower case; of names that differ in case only the last by code point counts, lower case first of all."""
+    lowered = F.transform(F.array_sort(F.map_entries(headers)), lambda h: F.struct(F.lower(h["key"]).alias("key"), h["value"].alias("value")))
+    last = F.filter(lowered, lambda h, i: ~F.exists(F.slice(lowered, i + 2, F.size(lowered)), lambda later: later["key"] == h["key"]))
+    odd = F.exists(F.map_keys(headers), lambda k: k != F.lower(k))
+    return F.when(odd, F.map_from_entries(last)).otherwise(headers)
+
+
 def merged_headers(stored: Column, update: Column) -> Column:
     """The stored response's headers, updated by those of the revisit that may change."""
     allowed = F.map_filter(update, lambda k, _: ~k.isin(NOT_UPDATED))
@@ -50,13 +59,13 @@ def merged_headers(stored: Column, update: Column) -> Column:
 def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """(record_id, url_key, at, outcome, response_id, response_at, payload_digest, payload_bytes, headers) of every revisit.
 
-    ``records`` has RECORD's columns, header names in lower case; status 304 is a revisit, 200 a full response.
+    ``records`` has RECORD's columns, header names in any case; status 304 is a revisit, 200 a full response.
     """
     names = [f.split()[0] for f in RECORD.split(", ")]
     rows = (
         records.select(*names)
         .filter(F.col("status").isin(200, 304))
-        .withColumn("headers", F.coalesce("headers", F.expr("cast(map() as map<string,string>)")))
+        .withColumn("headers", F.coalesce(lower_names(F.col("headers")), F.expr("cast(map() as map<string,string>)")))
         .withColumn("url_key", canonical_url(F.col("url")))
         .withColumn("slice", F.floor(F.col("at") / slice_seconds))
         .withColumn("full", F.col("status") == 200)
