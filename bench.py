@@ -5,7 +5,8 @@ Prints one JSON line. Every step writes to a fresh checkpoint folder, so the
 landing, the backfill and the stream are measured from scratch; queries are
 forced with the ``noop`` sink (full computation, nothing collected). Each
 headline query runs twice; ``queries`` holds the better run, ``cold_queries``
-the first one (JIT warm-up and code generation included).
+the first one (JIT warm-up and code generation included). ``insert_ignore`` is an insert: a
+batch that overlaps the stored half, into a fresh store each time. ``more_queries`` run once and are not in the total.
 """
 
 from __future__ import annotations
@@ -34,14 +35,16 @@ HEADLINE = [
     "page_first",
     "page_offset",
     "page_total",
+    "page_deep_offset",
     "address_universe",
     "ingest_counters",
-    "insert_ignore",
     "failure_streaks",
     "call_counters",
     "call_duration_histogram",
 ]
 
+MORE = ["request_table", "dedup_tx_chain"]
+
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -64,10 +67,11 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
 
+    from tokenlake.operators.store import TransferStore
     from tokenlake.plans import registry as R
     from tokenlake.plans import scenarios as SC
     from tokenlake.sources import landing as L
-    from tokenlake.streaming.ingest import chain_head
+    from tokenlake.streaming.ingest import backfill, chain_head
 
     timings: dict[str, float] = {}
 
@@ -86,6 +90,15 @@ def main() -> None:
 
     qs = R.queries()
     cold: dict[str, float] = {}
+    inserts = []
+    for _ in range(2):
+        store = TransferStore(spark, tempfile.mkdtemp(prefix="insert-", dir=ckpt), open_bytes=0)
+        raw, heads = L.landed_raw_logs(spark, sf_dir), L.landed_blocks(spark, sf_dir)
+        backfill(store, raw, heads, from_block=1, to_block=SC.SPLIT_BLOCK)
+        t0 = time.perf_counter()
+        backfill(store, raw, heads, from_block=SC.REPLAY_FROM)
+        inserts.append(round(time.perf_counter() - t0, 3))
+    cold["insert_ignore"], timings["insert_ignore"] = inserts[0], min(inserts)
     for name in HEADLINE:
         # first run: cold (JIT and code generation included); second run: warm
         runs = []
@@ -96,6 +109,12 @@ def main() -> None:
         cold[name] = runs[0]
         timings[name] = min(runs)
 
+    more: dict[str, float] = {}
+    for name in MORE:
+        t0 = time.perf_counter()
+        qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        more[name] = round(time.perf_counter() - t0, 3)
+
     # a second, smaller scale beside it, so that growth can be read
     small = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.01")
     growth: dict[str, float] = {}
@@ -107,7 +126,7 @@ def main() -> None:
             growth[name] = round(timings[name] / max(time.perf_counter() - t0, 1e-3), 2)
 
     ingest_total = round(sum(timings[n] for n in ("land_raw_logs", "backfill_ingest", "stream_ingest")), 3)
-    query_total = round(sum(timings[n] for n in HEADLINE), 3)
+    query_total = round(sum(timings[n] for n in [*HEADLINE, "insert_ignore"]), 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(
         json.dumps(
@@ -117,6 +136,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": timings,
                 "cold_queries": cold,
+                "more_queries": more,
                 "ingest_total": ingest_total,
                 "headline_queries_total": query_total,
                 "times_of_sf0.01": growth,

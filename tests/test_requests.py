@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from tokenlake.functions.params import build_filter, effective_limit, parse_params
 from tokenlake.operators import query as Q
@@ -102,6 +103,10 @@ def test_no_requests_and_no_transfers(spark, transfers):
 
 
 def test_joins_are_equi_joins(spark, transfers):
-    some = spark.createDataFrame([request(1), request(2, token="a"), request(3, token="a", to="p")], SCHEMA)
-    p = RQ.answer(transfers, some)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+    some = RQ.parse(spark.createDataFrame([request(1), request(2, token="a"), request(3, token="a", to="p")], SCHEMA))
+    for keys in ([], ["token"], ["token", "to"]):
+        blocks = RQ._matching_blocks(transfers, some, keys).withColumn("asked", F.lit(0))
+        pages = RQ._page_rows(transfers, RQ._needed_blocks(blocks), keys)
+        for df in (blocks, pages):
+            p = df._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p

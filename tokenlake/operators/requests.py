@@ -16,13 +16,14 @@ All joins are equi-joins (addresses, bucket or block), so a request meets the ro
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import BLOCK_BUCKET_SIZE, DEFAULT_LIMIT, MAX_LIMIT
+from ..session import scratch_path, written
 from .query import listing_order
 
 ADDRESSES = ("token", "from", "to")
@@ -88,7 +89,7 @@ def _in_bounds(block: Column, time: Column) -> Column:
 
 
 def _matching_blocks(transfers: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
-    """(request_id, offset, page_limit, keys, block, time, n): the blocks of every request, with the rows it has in them."""
+    """The requests' columns with (block_number, time, n): the blocks of every request, and the rows it has in them."""
     rows = transfers.select(*keys, "block_number", F.col("timestamp").alias("time"))
     if keys:
         rows = rows.join(asked.select(*keys).distinct(), keys, "left_semi")
@@ -112,43 +113,56 @@ def answer(transfers: DataFrame, requests: DataFrame) -> DataFrame:
     """Every request with its total and page: one row per listed transfer, or one row with NULL position if there is none.
 
     (request_id, error, total, limit, offset, position, then the transfer's columns); ``position`` counts from 0 in the whole
-    result. A request with an error has no total. ``transfers`` has unique (block_number, log_index, tx_hash).
+    result. A request with an error has no total. ``request_id`` is unique and not NULL; ``transfers`` has unique
+    (block_number, log_index, tx_hash). Blocks and pages are written between the steps, so each step is a small plan.
     """
-    parsed = parse(requests).withColumn("asked", _asked_for())
+    spark = requests.sparkSession
+    parsed = written(parse(requests).withColumn("asked", _asked_for()), "requests")
     valid = parsed.where("error IS NULL")
     kinds = sorted(r.asked for r in valid.select("asked").distinct().collect())  # 8 at most
-    out = [_answer_kind(transfers, valid.where(F.col("asked") == kind), kind) for kind in kinds]
+    asked = {kind: valid.where(F.col("asked") == kind) for kind in kinds}
+    keys = {kind: [c for i, c in enumerate(ADDRESSES) if kind >> i & 1] for kind in kinds}
+
+    block_path, page_path = scratch_path(spark, "request-blocks"), scratch_path(spark, "request-pages")
+    request = [f for f in parsed.schema if f.name in ("request_id", "asked", *ADDRESSES, "offset", "page_limit")]
+    block = [T.StructField("block_number", T.LongType()), T.StructField("time", transfers.schema["timestamp"].dataType), T.StructField("n", T.LongType())]
+    block_schema = T.StructType(request + block)
+    for kind in kinds:
+        _matching_blocks(transfers, asked[kind], keys[kind]).select(*block_schema.fieldNames()).write.mode("append").parquet(block_path)
+    blocks = _read(spark, block_schema, block_path, kinds)
+    totals = blocks.groupBy("request_id").agg(F.sum("n").alias("total"))
+    needed = written(_needed_blocks(blocks), "request-needed")
+
+    page_schema = T.StructType([parsed.schema["request_id"], T.StructField("position", T.LongType()), *transfers.schema])
+    for kind in kinds:
+        page = _page_rows(transfers, needed.where(F.col("asked") == kind), keys[kind])
+        page.select(*page_schema.fieldNames()).write.mode("append").parquet(page_path)
+    pages = _read(spark, page_schema, page_path, kinds)
+    total = F.when(F.col("error").isNull(), F.coalesce("total", F.lit(0).cast("bigint"))).alias("total")
     head = parsed.select("request_id", "error", "limit", "offset")
-    if not out:
-        nothing = transfers.limit(0).withColumns({"position": F.lit(None).cast("bigint"), "total": F.lit(None).cast("bigint")})
-        return _joined(head, nothing.select(F.lit(None).cast(dict(head.dtypes)["request_id"]).alias("request_id"), "total"),
-                       nothing.withColumn("request_id", F.lit(None).cast(dict(head.dtypes)["request_id"])).drop("total"), transfers.columns)
-    totals, pages = (reduce(DataFrame.unionByName, frames) for frames in zip(*out, strict=True))
-    return _joined(head, totals, pages, transfers.columns)
+    joined = head.join(totals, "request_id", "left").join(pages, "request_id", "left")
+    return joined.select("request_id", "error", total, "limit", "offset", "position", *transfers.columns)
 
 
-def _joined(head: DataFrame, totals: DataFrame, pages: DataFrame, columns: Iterable[str]) -> DataFrame:
-    total = F.when(F.col("error").isNull(), F.coalesce("total", F.lit(0).cast("bigint"))).alias("total")
-    return head.join(totals, "request_id", "left").join(pages, "request_id", "left").select("request_id", "error", total, "limit", "offset", "position", *columns)
+def _read(spark: SparkSession, schema: T.StructType, path: str, parts: list) -> DataFrame:
+    return spark.read.schema(schema).parquet(path) if parts else spark.createDataFrame([], schema)
 
 
-def _answer_kind(transfers: DataFrame, asked: DataFrame, kind: int) -> tuple[DataFrame, DataFrame]:
-    keys = [c for i, c in enumerate(ADDRESSES) if kind >> i & 1]
-    wanted = asked.select("request_id", *keys, "start_block", "end_block", "start_time", "end_time", "offset", "page_limit")
-    blocks = _matching_blocks(transfers, wanted, keys)
-    totals = blocks.groupBy("request_id").agg(F.sum("n").alias("total"))
-    # blocks in listing order; only those that hold a part of the page are needed
+def _needed_blocks(blocks: DataFrame) -> DataFrame:
+    """The blocks that hold a part of a request's page, with the rows that its listing has before them."""
     newest = Window.partitionBy("request_id").orderBy(F.col("block_number").desc(), F.col("time"))
     placed = blocks.withColumn("upto", F.sum("n").over(newest.rowsBetween(Window.unboundedPreceding, 0)))
     # headers give a block one time; several would interleave, so the running sum goes by block
-    placed = placed.withColumn("upto", F.max("upto").over(Window.partitionBy("request_id", "block_number")))
-    placed = placed.withColumn("before", F.col("upto") - F.sum("n").over(Window.partitionBy("request_id", "block_number")))
-    needed = placed.where((F.col("upto") > F.col("offset")) & (F.col("before") < F.col("offset") + F.col("page_limit")))
-    rows = transfers.withColumn("time", F.col("timestamp")).join(
-        needed.select("request_id", *keys, "block_number", "time", "before", "offset", "page_limit"), [*keys, "block_number", "time"]
-    )
+    of_block = Window.partitionBy("request_id", "block_number")
+    placed = placed.withColumn("upto", F.max("upto").over(of_block)).withColumn("before", F.col("upto") - F.sum("n").over(of_block))
+    return placed.where((F.col("upto") > F.col("offset")) & (F.col("before") < F.col("offset") + F.col("page_limit"))).drop("upto", "n")
+
+
+def _page_rows(transfers: DataFrame, needed: DataFrame, keys: list[str]) -> DataFrame:
+    """(request_id, position, the transfer's columns) of the pages."""
+    wanted = needed.select("request_id", *keys, "block_number", "time", "before", "offset", "page_limit")
+    rows = transfers.withColumn("time", F.col("timestamp")).join(wanted, [*keys, "block_number", "time"])
     # a block's first row in the listing is number ``before``, so ranks stay inside (request, block): no request is one group
     rank = F.row_number().over(Window.partitionBy("request_id", "block_number").orderBy(*listing_order()[1:]))
     ranked = rows.withColumn("position", (F.col("before") + rank - 1).cast("bigint"))
-    page = ranked.where((F.col("position") >= F.col("offset")) & (F.col("position") < F.col("offset") + F.col("page_limit")))
-    return totals, page.select("request_id", "position", *transfers.columns)
+    return ranked.where((F.col("position") >= F.col("offset")) & (F.col("position") < F.col("offset") + F.col("page_limit")))
