@@ -430,3 +430,23 @@ def test_feed_after_a_position(spark, scratch):
     assert len(everything) == 18
     for n in (0, 1, 5, 6, 11, 17):
         assert [tuple(r)[:4] for r in store.feed_after(everything[n], 4).collect()] == everything[n + 1 : n + 5]
+
+
+def test_progress_over_merged_runs(spark, scratch, monkeypatch):
+    """Ranges in any order, with gaps that close later, over several roll-ups; few rows reach the window."""
+    from tokenlake.operators import store as ST
+
+    monkeypatch.setattr(ST, "GENERATION", 4)
+    store = TransferStore(spark, scratch("runs"))
+    marks = [(5, 9), (1, 2), (20, 22), (3, 4), (23, 30), (15, 16), (10, 14), (17, 19), (40, 41), (1, 3), (31, 39)]
+    for k, (lo, hi) in enumerate(marks):
+        store.mark_processed((lo, hi), f"m{k}")
+        done = {b for a, z in marks[: k + 1] for b in range(a, z + 1)}
+        for start in (1, 5, 20):
+            want = next(b for b in range(start, 99) if b not in done) - 1
+            assert store.last_processed_block(start) == (want if want >= start else 0), (k, start)
+    assert store.fs.names(store.root + "/_runs") == ["upto=000000000004", "upto=000000000008"]
+    assert store._covered().count() == 1 + 3  # one run up to entry 8, and three entries after it
+    rows = [(1, 2), (2, 5), (7, 8), (8, 8), (10, 11), (3, 4)]
+    entries = spark.createDataFrame([(a, z, "ok") for a, z in rows] + [(50, 60, "error"), (None, None, "ok")], "covered_from long, covered_to long, status string")
+    assert sorted(tuple(r)[:2] for r in ST.covered_runs(entries).select("covered_from", "covered_to").collect()) == [(1, 5), (7, 8), (10, 11)]

@@ -247,9 +247,11 @@ class TransferStore:
             raise ConcurrentCommit(f"entry {seq} of {self.root} is taken")
         self._settle(entry)
         if seq % GENERATION == 0:
-            tmp = self.staging(f"rollup-{uuid.uuid4().hex}")
-            self.entries().coalesce(1).write.parquet(tmp)
-            self.fs.move(tmp, f"{self.root}/_rollup/upto={seq:012d}")
+            # runs first: progress reads them up to the roll-up that names them
+            for kind, rows in (("runs", covered_runs(self._covered())), ("rollup", self.entries().coalesce(1))):
+                tmp = self.staging(f"{kind}-{uuid.uuid4().hex}")
+                rows.write.parquet(tmp)
+                self.fs.move(tmp, f"{self.root}/_{kind}/upto={seq:012d}")
 
     def is_committed(self, batch_id: str) -> bool:
         self.last_seq()
@@ -336,9 +338,20 @@ class TransferStore:
         marks = self.entries().where("status = 'ok' AND covered_to IS NOT NULL")
         return upsert_progress(marks.select(F.col("covered_to").alias("block_number"), F.timestamp_micros("marked_at_us").alias("processed_at")))
 
+    def _covered(self) -> DataFrame:
+        """Covered ranges in the shape of entries: the runs of the last roll-up, and the entries after it."""
+        rolled = [n for n in self.fs.names(f"{self.root}/_runs") if n.startswith("upto=")]
+        upto = int(rolled[-1].split("=")[1]) if rolled else 0
+        young = self.entries().where(F.col("seq") > upto).select("covered_from", "covered_to", "status")
+        return young.unionByName(self.spark.read.schema(young.schema).parquet(f"{self.root}/_runs/{rolled[-1]}")) if rolled else young
+
+    def contiguous(self, start_block: int | None = None) -> DataFrame:
+        """S6 as one row ``last_block``; what goes through the window is bounded by a roll-up's entries and the gaps before it."""
+        return contiguous_progress(self._covered(), start_block)
+
     def last_processed_block(self, start_block: int | None = None) -> int:
         """The block up to which everything from ``start_block`` on is ingested, 0 if nothing is."""
-        return int(contiguous_progress(self.entries(), start_block).first()["last_block"])
+        return int(self.contiguous(start_block).first()["last_block"])
 
     def batch_log(self) -> DataFrame:
         """One row per batch that recorded counters, failed ones included."""
@@ -437,6 +450,16 @@ def last_processed(progress: DataFrame) -> DataFrame:
     return progress.agg(F.coalesce(F.max("block_number"), F.lit(0).cast("bigint")).alias("last_block"))
 
 
+def covered_runs(entries: DataFrame) -> DataFrame:
+    """The covered ranges of ok entries merged into gap-free runs, in the shape of entries."""
+    marks = entries.where("status = 'ok' AND covered_to IS NOT NULL").select("covered_from", "covered_to")
+    order = Window.orderBy("covered_from", "covered_to")
+    reached = F.max("covered_to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce((F.col("covered_from") > reached + 1).cast("int"), F.lit(1))
+    runs = marks.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("run").agg(F.min("covered_from").alias("covered_from"), F.max("covered_to").alias("covered_to"), F.lit("ok").alias("status")).drop("run")
+
+
 def contiguous_progress(entries: DataFrame, start_block: int | None = None) -> DataFrame:
     """S6 without gaps, as one row ``last_block``: the end of the covered run that starts at
     ``start_block`` or before it (by default at the first covered block); 0 if there is none.

@@ -209,7 +209,7 @@ def processed_blocks_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def last_processed_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ST.contiguous_progress(SC.L.backfilled_store(spark, sf_dir).entries())
+    return SC.L.backfilled_store(spark, sf_dir).contiguous()
 
 
 def ingest_block_range(spark: SparkSession, sf_dir: str) -> DataFrame:
