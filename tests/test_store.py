@@ -358,7 +358,7 @@ def test_key_index_buckets(spark, scratch):
         rows = [(v, 1 + k, "0x%02x" % (10 * k + v), v % 3) for v in range(10)]
         assert I.ingest_range(store, raw(spark, rows), blocks(spark), k + 1, k + 1, f"b-{k}") == 10
     for kind in ("keys", "summaries"):
-        assert store.fs.names(f"{store.root}/{kind}") == ["upto=000000000002", "upto=000000000004"] and store.indexed_upto(kind) == 4
+        assert store.fs.names(f"{store.root}/{kind}") == ["after=000000000000", "after=000000000002"] and store.indexed_upto(kind) == 4
     every = {(r.tx_hash, r.log_index) for r in store.keys().collect()}
     assert every == {(r.tx_hash, r.log_index) for r in store.read().collect()} and store.keys().count() == 50
     # one transaction, one bucket: only its folder, in the index and in the open commit
@@ -450,3 +450,18 @@ def test_progress_over_merged_runs(spark, scratch, monkeypatch):
     rows = [(1, 2), (2, 5), (7, 8), (8, 8), (10, 11), (3, 4)]
     entries = spark.createDataFrame([(a, z, "ok") for a, z in rows] + [(50, 60, "error"), (None, None, "ok")], "covered_from long, covered_to long, status string")
     assert sorted(tuple(r)[:2] for r in ST.covered_runs(entries).select("covered_from", "covered_to").collect()) == [(1, 5), (7, 8), (10, 11)]
+
+
+def test_late_writer_cannot_index_commits_twice(spark, scratch, monkeypatch):
+    """Two writers index at once: the one whose starting point is taken publishes nothing, so no summary counts twice."""
+    root = scratch("index-race")
+    store, other = TransferStore(spark, root), TransferStore(spark, root)
+    for k in range(3):
+        I.ingest_range(store, raw(spark, [(k, k + 1, f"0x0{k}", 0)]), blocks(spark), k + 1, k + 1, f"b-{k}")
+    monkeypatch.setattr(store, "last_seq", lambda: 2)  # it has not seen the third commit
+    monkeypatch.setattr(other, "indexed_upto", lambda kind="keys": 0)  # it has not seen the first one's folders
+    store.index_commits()
+    other.index_commits()
+    late = TransferStore(spark, root)
+    assert late.indexed_upto("keys") == late.indexed_upto("summaries") == 2
+    assert late.keys().count() == 3 and late.summaries()[0].agg(F.sum("n")).first()[0] == 2

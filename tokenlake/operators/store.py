@@ -12,10 +12,10 @@ HDFS do that, object stores such as S3 do not and need a file system layer that
 Entries carry progress (K2) and counters (O1). Every ``GENERATION`` entries they are rolled up into one
 Parquet table, so a reader opens that table and the entries after it, never the older ones.
 
-The unique key has an index of its own: ``keys/upto=<seq>/kb=<bucket>`` holds the keys of the commits up to
-``seq`` that no earlier folder holds, dealt by a hash of tx_hash into folders. It is made from committed
+The unique key has an index of its own: ``keys/after=<seq>/upto=<seq>/kb=<bucket>`` holds the keys of the commits
+between, dealt by a hash of tx_hash into folders. It is made from committed
 rows, so it may lag behind: the keys of younger commits are read from ``data``. A batch reads only the
-buckets that its own hashes fall into, whatever block they are in. ``summaries/upto=<seq>`` holds a row per block
+buckets that its own hashes fall into, whatever block they are in. ``summaries/after=/upto=`` holds a row per block
 bucket for the same commits (``sketches``).
 """
 
@@ -67,7 +67,7 @@ OPEN_COMMITS, OPEN_BYTES = 100, 64 << 20
 BLOOM_COLUMNS = ("from", "to")
 
 KEY_SCHEMA = T.StructType([T.StructField("tx_hash", T.StringType()), T.StructField("log_index", T.IntegerType()),
-                           T.StructField("upto", T.LongType()), T.StructField("kb", T.IntegerType())])
+                           T.StructField("after", T.LongType()), T.StructField("upto", T.LongType()), T.StructField("kb", T.IntegerType())])
 
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 #: publish order of the feed: commits, then chain order
@@ -284,8 +284,12 @@ class TransferStore:
         return self.spark.read.schema(schema).parquet(path) if self.fs.exists(path) else self.spark.createDataFrame([], schema)
 
     def indexed_upto(self, kind: str = "keys") -> int:
-        """The last commit that the key index (or the summaries) holds."""
-        return max((int(n.split("=")[1]) for n in self.fs.names(f"{self.root}/{kind}") if n.startswith("upto=")), default=0)
+        """The last commit that the key index (or the summaries) holds.
+
+        Folders form a chain, ``after=<seq>/upto=<seq>``; a second one after the same commit cannot be created, so none overlap.
+        """
+        chain = [n for n in self.fs.names(f"{self.root}/{kind}") if n.startswith("after=")]
+        return int(self.fs.names(f"{self.root}/{kind}/{chain[-1]}")[-1].split("=")[1]) if chain else 0
 
     def keys(self, buckets: list[int] | None = None) -> DataFrame:
         """The unique key's columns and their bucket: (kb, tx_hash, log_index) of every stored row, or of some buckets.
@@ -299,12 +303,12 @@ class TransferStore:
         if not upto:
             return young
         old = self.spark.read.schema(KEY_SCHEMA).parquet(f"{self.root}/keys")
-        return (old if buckets is None else old.where(F.col("kb").isin(buckets))).drop("upto").unionByName(young)
+        return (old if buckets is None else old.where(F.col("kb").isin(buckets))).select(*young.columns).unionByName(young)
 
     def summaries(self) -> tuple[DataFrame | None, int]:
         """Summaries by block bucket (``sketches.summarise``) and the last commit that they hold."""
         upto = self.indexed_upto("summaries")
-        return (self.spark.read.parquet(f"{self.root}/summaries").drop("upto") if upto else None), upto
+        return (self.spark.read.parquet(f"{self.root}/summaries").drop("after", "upto") if upto else None), upto
 
     def index_commits(self) -> None:
         """Adds keys and summaries of the commits without them, in one folder for all of these commits.
@@ -324,8 +328,8 @@ class TransferStore:
             if last == upto or not self.fs.names(f"{self.root}/data"):
                 continue
             tmp = self.staging(f"{kind}-{uuid.uuid4().hex}")
-            make(self.read_stored().where(F.col("seq").between(upto + 1, last))).write.partitionBy(*folders).parquet(tmp)
-            self.fs.move(tmp, f"{self.root}/{kind}/upto={last:012d}")  # False: another writer's folder holds the same
+            make(self.read_stored().where(F.col("seq").between(upto + 1, last))).write.partitionBy(*folders).parquet(f"{tmp}/upto={last:012d}")
+            self.fs.move(tmp, f"{self.root}/{kind}/after={upto:012d}")  # False: another writer was first
 
     def _index_when_due(self) -> None:
         upto, last = self.indexed_upto(), self.last_seq()

@@ -27,7 +27,7 @@ from ..session import checkpoint_root
 from . import fixtures as FX
 
 # Changes whenever landed data or the store are derived or laid out differently.
-LANDING_VERSION = "5"
+LANDING_VERSION = "6"
 LANDED_LOG_SCHEMA = T.StructType(RAW_LOG_WITH_ARRIVAL_SCHEMA.fields + [T.StructField("topic0", T.StringType())])
 
 
