@@ -88,3 +88,17 @@ def test_separated_and_half_copied_items_equal_brute_force(spark):
     rows = dc.find_leaks(docs, benchmark).collect()
     assert len(rows) == len(want) and {(r.doc_id, r.item_id) for r in rows} == want
     assert {i for d, i in want if d % 4 == 0} >= {i for i, w in items if len(w) >= 2 * dc.SHINGLE}
+
+
+def test_scores_do_not_depend_on_the_batches(spark, monkeypatch):
+    """The same pairs and scores with the benchmark in one index and in many."""
+    docs, items = read_table(spark, SF, "documents"), read_table(spark, SF, "benchmark")
+    odd = spark.createDataFrame([(90_001, None), (90_002, "two words"), (90_003, ""), (90_002, "two words")], items.schema)
+    items = items.unionByName(odd)
+    more = spark.createDataFrame([(70_000, "here two words stand", None, None, None)], docs.schema)
+    docs = docs.unionByName(more)
+    rows = lambda: sorted((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in dc.find_leaks(docs, items).collect())
+    whole = rows()
+    assert len(whole) >= 5 and (70_000, 90_002) in {r[:2] for r in whole}
+    monkeypatch.setattr(dc, "MAX_INDEX_WORDS", 150)
+    assert len(list(dc._batches_of_items(items))) > 3 and rows() == whole

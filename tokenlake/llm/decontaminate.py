@@ -17,26 +17,29 @@ an item are retrieved are verified on the words.
 
 The index is a function of the benchmark alone; a benchmark of more than ``MAX_INDEX_WORDS`` words is
 taken in batches of items, one pass over the documents per batch, so what is sent to the executors
-has a fixed bound.
+has a bound (an item longer than that is a batch of its own). The statistics are those of the whole benchmark, so scores
+do not depend on the batches.
 
 Defined results: null or empty documents and items leak nothing; repeated items and documents each
-count; the score is the sum over the item's segments; items of fewer than five words are compared as one shingle of all their words.
+count; texts of any length are searched whole; other columns, whatever their names, are ignored or kept by ``decontaminate``;
+the score is the sum over the item's segments; items of fewer than five words are compared as one shingle of all their words.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenlake.llm.common import small_batches
+from tokenlake.llm.common import WORD_PATTERN, small_batches, written
 from tokenlake.llm.ngrams import MULTIPLIER, SpanHashes, documents_of_words, mixed, portions, texts_of
 
 SEGMENT_WORDS = 64
@@ -90,8 +93,20 @@ def least_score(impact: np.ndarray, spans: np.ndarray, size: int) -> float:
     return float(np.sort(worth)[: math.ceil(len(worth) * OVERLAP - 1e-9)].sum()) * (1 - 1e-9)
 
 
-def build_index(items: list[tuple[object, str | None]], halves: bool = False) -> Index | None:
-    """Index of question and answer parts with the thresholds of the overlap rule, or else of runs of SEGMENT_WORDS with SHARE."""
+@dataclass(frozen=True)
+class Statistics:
+    """What BM25 needs to know of all segments: how many there are, their mean length, and in how many each word stands."""
+
+    segments: int
+    mean: float
+    found: Mapping[bytes, int]  # for the words of the items to be indexed at least
+
+
+def build_index(items: list[tuple[object, str | None]], halves: bool = False, known: Statistics | None = None) -> Index | None:
+    """Index of question and answer parts with the thresholds of the overlap rule, or else of runs of SEGMENT_WORDS with SHARE.
+
+    ``known`` has the statistics of the whole benchmark where ``items`` are only a part of it.
+    """
     words = [(t or "").encode().split() for _, t in items]
     if halves:
         segments = [(i, p) for i, w in enumerate(words) if w for p in parts_of(w)[: 1 + (len(w) >= 2 * SHINGLE)]]
@@ -102,13 +117,14 @@ def build_index(items: list[tuple[object, str | None]], halves: bool = False) ->
     vocabulary = sorted({x for _, s in segments for x in s})
     starts, hashes = SpanHashes().words(b" ".join(vocabulary))
     place = dict(zip(vocabulary, hashes.tolist(), strict=True))
-    found = Counter(x for _, s in segments for x in set(s))
-    mean = sum(len(s) for _, s in segments) / len(segments)
+    if known is None:
+        lengths = [len(s) for _, s in segments]
+        known = Statistics(len(segments), sum(lengths) / len(lengths), Counter(x for _, s in segments for x in set(s)))
     rows = []
     for k, (_, s) in enumerate(segments):
         for x, tf in Counter(s).items():
-            idf = math.log(1 + (len(segments) - found[x] + 0.5) / (found[x] + 0.5))
-            rows.append((place[x], k, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(s) / mean))))
+            idf = math.log(1 + (known.segments - known.found[x] + 0.5) / (known.found[x] + 0.5))
+            rows.append((place[x], k, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(s) / known.mean))))
     rows.sort()
     term = np.array([r[0] for r in rows], np.uint64)
     segment, impact = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
@@ -224,13 +240,41 @@ def _batches_of_items(benchmark: DataFrame) -> Iterator[list]:
         yield batch
 
 
+def _segments(benchmark: DataFrame) -> DataFrame:
+    """(words): the question and answer parts of every item, as ``parts_of`` cuts them."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN), F.lit(0))
+    n = F.size("words")
+    half = F.floor((n + 1) / 2).cast("int")
+    parts = F.when(n >= 2 * SHINGLE, F.array(F.slice("words", F.lit(1), half), F.slice("words", half + 1, n))).otherwise(F.array("words"))
+    return benchmark.select(words.alias("words")).where(n > 0).select(F.explode(parts).alias("words"))
+
+
+def _statistics(segments: DataFrame, counts: DataFrame, batch: list) -> Statistics:
+    """Statistics of the whole benchmark for the words of one batch, which bounds what the driver gets."""
+    total = segments.agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("words")).first()
+    mine = segments.sparkSession.createDataFrame([(w.decode(),) for w in {x for _, t in batch for x in (t or "").encode().split()}], "word string")
+    return Statistics(total.n, total.words / total.n, {r.word.encode(): r.n for r in counts.join(mine, "word").toLocalIterator()})
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap), one row per leaked item and document."""
     spark = docs.sparkSession
     kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double"
     rows = docs.select("doc_id", "text")
-    found = [_leaks_of(rows, spark.sparkContext.broadcast(i), schema) for b in _batches_of_items(benchmark) if (i := build_index(b, halves=True))]
+    batches = _batches_of_items(benchmark)
+    first, second = next(batches, None), next(batches, None)
+    if second is None:  # the batch is the whole benchmark
+        index = build_index(first or [], halves=True)
+        return _leaks_of(rows, spark.sparkContext.broadcast(index), schema) if index else spark.createDataFrame([], schema)
+    segments = written(_segments(benchmark), "benchmark-segments")
+    counts = written(segments.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "benchmark-words")
+    found = []
+    for batch in chain([first, second], batches):  # one index at a time
+        if index := build_index(batch, halves=True, known=_statistics(segments, counts, batch)):
+            sent = spark.sparkContext.broadcast(index)
+            found.append(written(_leaks_of(rows, sent, schema), "leaks"))
+            sent.unpersist()
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
