@@ -281,6 +281,7 @@ def _judged(parts: int):
 
 
 _FOUND = "kind int, doc_id long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, spans binary, gram long, start long, context binary"
+_FOUND_NAMES = tuple(f.split()[0] for f in _FOUND.split(", "))
 
 
 def _united(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -352,9 +353,9 @@ def _locate(anchors: Anchors, ids: list, texts: list[bytes], told_docs: np.ndarr
     key = _key(found, found["gram"] & np.uint64(0xFFFFFFFFFF))
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
 
-    def add(**values) -> None:
-        for name in (f.split()[0] for f in _FOUND.split(", ")):
-            out[name].append(values.get(name))
+    def add(n: int = 1, **columns: list) -> None:
+        for name in _FOUND_NAMES:
+            out[name].extend(columns.get(name) or [None] * n)
 
     for k, (i, text) in enumerate(zip(ids, texts, strict=True)):
         own = slice(first[k], first[k + 1])
@@ -365,13 +366,13 @@ def _locate(anchors: Anchors, ids: list, texts: list[bytes], told_docs: np.ndarr
         lo, hi = _united(np.maximum(spot[settled] - SPAN, 0), np.minimum(spot[settled] + LENGTH, len(text)))
         if not alive.any():
             removed, runs, digest = _rest(text, lo, hi)
-            add(kind=0, doc_id=i, n_bytes=len(text), n_removed=removed, n_spans=runs, kept_sha256=digest)
+            add(kind=[0], doc_id=[i], n_bytes=[len(text)], n_removed=[removed], n_spans=[runs], kept_sha256=[digest])
             continue
         row = _row_id(text)
-        add(kind=1, doc_id=i, row=row, n_bytes=len(text), text=text.decode(), spans=np.concatenate([lo, hi]).astype("<i8").tobytes())
-        for p, g in zip(spot[alive].tolist(), found["gram"][own][alive].view(np.int64).tolist(), strict=True):
-            start = max(p - SPAN, 0)
-            add(kind=2, doc_id=i, row=row, gram=g, start=start, context=text[start : p + LENGTH])
+        add(kind=[1], doc_id=[i], row=[row], n_bytes=[len(text)], text=[text.decode()], spans=[np.concatenate([lo, hi]).astype("<i8").tobytes()])
+        starts, ends = np.maximum(spot[alive] - SPAN, 0).tolist(), (spot[alive] + LENGTH).tolist()
+        n, grams = len(starts), found["gram"][own][alive].view(np.int64).tolist()
+        add(n, kind=[2] * n, doc_id=[i] * n, row=[row] * n, gram=grams, start=starts, context=[text[a:b] for a, b in zip(starts, ends, strict=True)])
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -412,21 +413,27 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out[out < n]
 
 
+#: where eight bytes are taken to compare 50: the last eight overlap
+_WORDS_AT = (*range(0, LENGTH - 7, 8), LENGTH - 8)
+
+
 def equal_strings(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, offset, class) of every 50-byte string in the contexts; equal strings have one class."""
     size = np.array([len(c) for c in contexts])
-    raw = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int64) + 2
+    text = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
     begin = np.cumsum(size + 1) - size - 1
+    raw = text.astype(np.int64) + 2
     raw[begin + size] = 1  # the end of a context sorts before every byte
     order = suffix_array(raw)
-    owner = np.searchsorted(begin, order, side="right") - 1
-    fits = order + LENGTH <= begin[owner] + size[owner]
-    order, owner = order[fits], owner[fits]
-    new = np.ones(len(order), bool)
-    for a in range(1, len(order), 1 << 16):
-        b = min(len(order), a + (1 << 16))
-        here, before = order[a:b, None] + np.arange(LENGTH), order[a - 1 : b - 1, None] + np.arange(LENGTH)
-        new[a:b] = (raw[here] != raw[before]).any(axis=1)
+    end = np.repeat(begin + size, size + 1)  # of the context that a byte is in
+    order = order[(np.arange(len(raw)) + LENGTH <= end)[order]]
+    owner = np.repeat(np.arange(len(contexts)), size + 1)[order]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    words = np.ndarray((max(len(text) - 7, 0),), "<u8", text, strides=(1,))  # eight bytes from each byte on
+    for at in _WORDS_AT:
+        word = words[order + at]
+        new[1:] |= word[1:] != word[:-1]
     return owner, order - begin[owner], np.cumsum(new) - 1
 
 
