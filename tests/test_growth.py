@@ -1,0 +1,76 @@
+"""What keeps a task's work bounded while the tables grow: files by rows, ranks before requests, settings."""
+
+from datetime import datetime, timedelta, timezone
+
+from pyspark.sql import functions as F
+
+from tokenlake import session as S
+from tokenlake.operators import requests as RQ
+from tokenlake.plans import scenarios as SC
+from tokenlake.sources import landing as L
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "request_id long, " + ", ".join(f"`{c}` string" for c in RQ.REQUEST_FIELDS)
+TRANSFERS = "block_number long, log_index int, tx_hash string, token string, `from` string, `to` string, timestamp timestamp"
+START = datetime(2024, 1, 1, tzinfo=timezone.utc)
+
+
+def request(i, **fields):
+    return (i, *[fields.get(c) for c in RQ.REQUEST_FIELDS])
+
+
+def test_more_logs_make_more_landed_files(spark, scratch, monkeypatch):
+    monkeypatch.setattr(L, "ROWS_PER_FILE", 50)
+    root = scratch("landing-files")
+    monkeypatch.setattr(L, "land_root", lambda *_: root)
+    raw = L.landed_raw_logs(spark, SF)
+    assert raw.count() == 6000 and len([n for n in L.Files(spark, root).names(f"{root}/raw_logs") if n.startswith("part-")]) >= 100
+
+
+def test_ranges_of_the_stream_have_equally_many_files(spark, scratch):
+    path = scratch("stream-files")
+    SC._in_block_order(spark, SF, path, lambda part, to: part.write.mode("append").parquet(to), rows_per_file=300)
+    files = spark.read.schema(L.LANDED_LOG_SCHEMA).parquet(path)
+    assert SC._delivered(L.Files(spark, path), path) % SC.STREAM_FILES == 0 and SC._per_trigger(spark, path, 1) > 1
+    assert files.count() == 6000 and files.exceptAll(L.landed_raw_logs(spark, SF)).isEmpty()
+
+
+def test_whole_groups_of_blocks_are_one_row(spark):
+    data = [(b, li, f"0x{b}{li}", "a", "x", "p", START + timedelta(days=b)) for b in range(640) for li in range(2)]
+    transfers = spark.createDataFrame(data, TRANSFERS)
+    asked = RQ.parse(spark.createDataFrame([request(1), request(2, start_block="100", end_time="2024-10-01T00:00:00Z")], SCHEMA))
+    met = {}
+    for r in RQ._matching_blocks(transfers, asked, []).collect():
+        met.setdefault(r.request_id, []).append(r)
+    assert len(met[1]) == 640 // RQ.GROUP and sum(r.n for r in met[1]) == 1280
+    assert len(met[2]) < 2 * RQ.GROUP and sum(r.n for r in met[2]) == 2 * (274 - 100 + 1)
+
+
+def test_a_request_meets_only_slots_of_a_large_block(spark):
+    """500 requests for 3 rows each of a block of 5000: the join's rows do not grow with the block."""
+    data = [(7, i, f"0x{i:05d}", "a", "x", "p", START) for i in range(5000)]
+    transfers = spark.createDataFrame(data, TRANSFERS)
+    rows = [request(i, limit="3", offset=str(9 * i)) for i in range(500)]
+    got = RQ.answer(transfers, spark.createDataFrame(rows, SCHEMA), ["tx_hash"])
+    assert got.columns == ["request_id", "error", "total", "limit", "offset", "position", "tx_hash"]
+    assert {(r.request_id, r.position): r.tx_hash for r in got.collect()} == {(i, 9 * i + k): f"0x{9 * i + k:05d}" for i in range(500) for k in range(3)}
+
+
+def test_blocks_of_several_times_interleave(spark):
+    data = [(b, i, f"0x{b}{i:03d}", "a", "x", "p", START + timedelta(hours=i % 2)) for b in (5, 6, 900) for i in range(40)]
+    transfers = spark.createDataFrame(data, TRANSFERS)
+    rows = [request(1, offset="30", limit="30"), request(2, offset="5", limit="50", end_time="2024-01-01T00:30:00Z"), request(3, token="a", offset="35", limit="10")]
+    got = {}
+    for r in RQ.answer(transfers, spark.createDataFrame(rows, SCHEMA)).collect():
+        got.setdefault(r.request_id, []).append((r.position, r.tx_hash))
+    order = sorted(data, key=lambda d: (-d[0], d[1], d[2]))
+    early = [d for d in order if d[6] == START]
+    for i, hits, lo, n in ((1, order, 30, 30), (2, early, 5, 50), (3, order, 35, 10)):
+        assert sorted(got[i]) == [(lo + k, d[2]) for k, d in enumerate(hits[lo : lo + n])]
+
+
+def test_settings_that_the_session_has_made_stay(spark):
+    s = spark.newSession()
+    s.conf.set("spark.sql.files.maxPartitionBytes", "77m")
+    S.tuned(s)
+    assert s.conf.get("spark.sql.files.maxPartitionBytes") == "77m" and s.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
