@@ -64,3 +64,27 @@ def test_ties_do_not_depend_on_the_input_order(spark):
     first = result(docs.coalesce(1))
     assert result(docs.repartition(4)) == first == result(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3))
     assert [r[1] for r in first] == [3 * i for i in range(7)]
+
+
+def test_documents_are_coded_together_like_one_by_one():
+    docs = [np.array(x, np.uint32) for x in ([1, 300, 70_000, 1 << 24, 5], [], [0xFFFFFFFF], [255, 256, 65_535, 65_536])]
+    counts = np.array([len(x) for x in docs])
+    coded = ti.encode_many(np.concatenate(docs), counts)
+    assert coded == [ti.encode_ranks(x) for x in docs]
+    assert ti.decode_many([c for c, _ in coded], [d for _, d in coded], counts).tolist() == np.concatenate(docs).tolist()
+
+
+def test_a_worker_keeps_what_it_has_learnt(monkeypatch):
+    encoder = ti.worker_encoder(tokenizer_path())
+    assert ti.worker_encoder(tokenizer_path()) is encoder
+    texts = ["one two three, four. ", "five  six\nseven", ""]
+    want = [x.tolist() for x in ENCODER.encode(texts)]
+    assert [x.tolist() for x in encoder.encode(texts)] == want
+    monkeypatch.setattr(encoder, "_learn", lambda pieces: 1 / 0)
+    assert [x.tolist() for x in encoder.encode(texts)] == want  # nothing to learn
+    try:
+        encoder.encode(["never seen before"])
+    except ZeroDivisionError:
+        pass
+    monkeypatch.undo()
+    assert [x.tolist() for x in encoder.encode(["never seen before", *texts])][1:] == want

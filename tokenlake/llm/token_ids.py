@@ -11,8 +11,8 @@ executor's tasks are written again and nothing is read by a path that only one m
 
 Texts are cut where the byte-level pre-tokenizer always cuts too: before a single space between other
 characters, before a full stop or comma after a letter or digit, around a single line break. Each different piece is
-tokenized once per task and its ids are looked up afterwards; a text with doubtful cuts is cut at
-single spaces only.
+tokenized once per worker (a worker's tasks share its memory, which ``MAX_PIECES`` bounds) and its ids are looked up
+afterwards; a text with doubtful cuts is cut at single spaces only.
 
 Defined results: null or empty text encodes to the end id alone; rows with the same doc_id are
 documents of their own; null doc_id comes first; an empty table gives no rows.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tokenlake.llm.common import written
 
 END_ID = 2
-#: pieces that a task remembers; more start a new memory
+#: pieces that a worker remembers; more start a new memory
 MAX_PIECES = 1 << 20
 #: documents whose ids are put together at a time
 DOCS_AT_ONCE = 256
@@ -100,6 +100,14 @@ class _Places(dict):
         return n
 
 
+def _extended(held: np.ndarray, n: int, new: np.ndarray) -> np.ndarray:
+    """``held``, of which ``n`` values count, with ``new`` behind them; room is doubled at least, so little is copied."""
+    if n + len(new) > len(held):
+        held = np.concatenate([held[:n], np.zeros(n + 2 * len(new) + 1024, held.dtype)])
+    held[n : n + len(new)] = new
+    return held
+
+
 class PieceEncoder:
     """Ids of whole texts, through a memory of pieces already tokenized."""
 
@@ -111,7 +119,7 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place = _Places()
+        self.place, self.known, self.used = _Places(), 0, 0
         self.ids, self.marks = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
         self.starts = self.counts = np.zeros(0, np.int64)
 
@@ -121,31 +129,36 @@ class PieceEncoder:
         marks = np.fromiter(map(_marks, pieces), np.uint8, len(pieces))
         joined = (marks & (SPACED | ENDS_SPACE | EMPTY)) == SPACED
         rows = np.flatnonzero(joined)
-        groups = [rows[a : a + 256].tolist() for a in range(0, len(rows), 256)] + [[k] for k in np.flatnonzero(~joined).tolist()]
-        encoded = self.tokenizer.encode_batch_fast(["".join([pieces[k] for k in g]) for g in groups], add_special_tokens=False)
-        counts, starts, flat, used = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), [self.ids], len(self.ids)
-        for group, e in zip(groups, encoded, strict=True):
+        groups, alone = [rows[a : a + 256].tolist() for a in range(0, len(rows), 256)], np.flatnonzero(~joined)
+        given = ["".join([pieces[k] for k in g]) for g in groups] + [pieces[k] for k in alone.tolist()]
+        encoded = self.tokenizer.encode_batch_fast(given, add_special_tokens=False)
+        counts, starts, flat, used = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), [], self.used
+        for group, e in zip(groups, encoded[: len(groups)], strict=True):
             ids = np.array(e.ids, np.uint32)
-            at = np.array([0, len(ids)])
-            if len(group) > 1:
-                ends = np.cumsum([len(pieces[k].encode()) for k in group])
-                at = np.append(0, np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1)
+            ends = np.cumsum([len(pieces[k].encode()) for k in group])
+            at = np.append(0, np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1)
             starts[group], counts[group] = used + at[:-1], np.diff(at)
             flat.append(ids)
             used += len(ids)
-        self.ids, self.marks = np.concatenate(flat), np.append(self.marks, marks)
-        self.starts, self.counts = np.append(self.starts, starts), np.append(self.counts, counts)
+        lists = [e.ids for e in encoded[len(groups) :]]
+        counts[alone] = n = np.fromiter(map(len, lists), np.int64, len(lists))
+        starts[alone] = used + np.cumsum(n) - n
+        flat.append(np.fromiter(chain.from_iterable(lists), np.uint32, int(n.sum())))
+        used += int(n.sum())
+        self.ids = _extended(self.ids, self.used, np.concatenate(flat))
+        for name, new in (("marks", marks), ("starts", starts), ("counts", counts)):
+            setattr(self, name, _extended(getattr(self, name), self.known, new))
+        self.known, self.used = self.known + len(pieces), used
 
     def _spots(self, cut: list[list[str]]) -> np.ndarray:
         """Where each piece stands in the memory; pieces not seen before are tokenized first."""
-        known = len(self.place)
         spots = np.fromiter(map(self.place.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
-        if len(self.place) > known:
-            self._learn(list(islice(self.place, known, None)))
+        if len(self.place) > self.known:
+            self._learn(list(islice(self.place, self.known, None)))
         return spots
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.place) > MAX_PIECES:
+        if len(self.place) > MAX_PIECES or len(self.place) != self.known:  # full, or left half learnt by a task that failed
             self._forget()
         cut = [fine_pieces(t) for t in texts]
         spots = self._spots(cut)
@@ -160,6 +173,12 @@ class PieceEncoder:
         return np.split(flat, np.concatenate([[0], ends])[upto][:-1])
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> PieceEncoder:
+    """The encoder of this Python worker: the tasks that it runs one after another share what it has learnt."""
+    return PieceEncoder(path)
+
+
 def _shrink(ids: np.ndarray) -> bytes:
     """Ids as bytes: two each if all fit, else four, the width first."""
     if ids.max(initial=0) < 1 << 16:
@@ -175,7 +194,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, n_tokens, ids): whole texts through the tokenizer, the end id appended."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path)  # its memory goes with the task
+        encoder = worker_encoder(path)
         for whole in batches:
             for at in range(0, whole.num_rows, DOCS_AT_ONCE):
                 batch = whole.slice(at, DOCS_AT_ONCE)
@@ -194,8 +213,9 @@ def frequency_ranks(tokens: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for raw in batch["ids"]:
-                seen = np.bincount(_grown(raw.as_py()))
+            rows = batch["ids"].to_pylist()
+            for at in range(0, len(rows), DOCS_AT_ONCE):
+                seen = np.bincount(np.concatenate([_grown(raw) for raw in rows[at : at + DOCS_AT_ONCE]]))
                 if len(seen) > len(total):
                     total = np.pad(total, (0, len(seen) - len(total)))
                 total[: len(seen)] += seen
@@ -206,28 +226,58 @@ def frequency_ranks(tokens: DataFrame) -> DataFrame:
     return counts.select((F.row_number().over(Window.orderBy(F.col("n").desc(), "id")) - 1).cast("long").alias("rank"), "id")
 
 
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control, data) of an array of ranks below 2^32."""
+def _in_fours(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(control bytes of each document, place of each rank): a document's ranks begin with a control byte of their own."""
+    fours = -(-counts // 4)
+    shift = 4 * (np.cumsum(fours) - fours) - (np.cumsum(counts) - counts)
+    return fours, np.arange(counts.sum()) + np.repeat(shift, counts)
+
+
+def _cuts(sizes: np.ndarray) -> list[tuple[int, int]]:
+    ends = np.cumsum(sizes)
+    return list(zip((ends - sizes).tolist(), ends.tolist(), strict=True))
+
+
+def encode_many(ranks: np.ndarray, counts: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """(control, data) of each document; ``ranks`` are all their ranks, below 2^32, ``counts`` of each."""
     size = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)  # bytes - 1
-    padded = np.pad(size, (0, -len(size) % 4)).reshape(-1, 4)
-    control = padded[:, 0] | padded[:, 1] << 2 | padded[:, 2] << 4 | padded[:, 3] << 6
+    fours, place = _in_fours(counts)
+    padded = np.zeros(4 * int(fours.sum()), np.uint8)
+    padded[place] = size
+    padded = padded.reshape(-1, 4)
+    control = (padded[:, 0] | padded[:, 1] << 2 | padded[:, 2] << 4 | padded[:, 3] << 6).astype(np.uint8).tobytes()
     quads = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), quads[np.arange(4) <= size[:, None]].tobytes()
+    data = quads[np.arange(4) <= size[:, None]].tobytes()
+    upto = np.concatenate([[0], np.cumsum(size.astype(np.int64) + 1)])[np.concatenate([[0], np.cumsum(counts)])]
+    return [(control[a:b], data[c:d]) for (a, b), (c, d) in zip(_cuts(fours), _cuts(np.diff(upto)), strict=True)]
+
+
+def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
+    """(control, data) of an array of ranks below 2^32."""
+    return encode_many(ranks, np.array([len(ranks)]))[0]
 
 
 #: control byte -> lengths of its four ranks
-LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
+LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
+
+
+def decode_many(controls: list[bytes], data: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """The ranks of documents, all at once: lengths by table lookup, starts by a running sum."""
+    length = LENGTHS[np.frombuffer(b"".join(controls), np.uint8)].reshape(-1)[_in_fours(counts)[1]]
+    start = np.cumsum(length, dtype=np.int64) - length
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    if int(length.sum(dtype=np.int64)) != len(raw):
+        raise ValueError("a token file's data do not fit its control bytes")
+    words = raw[start].astype(np.uint32)
+    for k in range(1, 4):
+        more = np.flatnonzero(length > k)
+        words[more] |= raw[start[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    return words
 
 
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The ``n`` ranks, all at once: lengths by table lookup, starts by a running sum."""
-    length = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    start = np.cumsum(length) - length
-    padded = np.frombuffer(data + b"\0\0\0", np.uint8)
-    words = np.zeros(n, np.uint32)
-    for k in range(4):
-        words |= np.where(length > k, padded[start + k], 0).astype(np.uint32) << np.uint32(8 * k)
-    return words
+    """The ``n`` ranks of one document."""
+    return decode_many([control], [data], np.array([n]))
 
 
 def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[DataFrame, DataFrame]:
@@ -244,7 +294,8 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple
         for whole in batches:
             for at in range(0, whole.num_rows, DOCS_AT_ONCE):
                 batch = whole.slice(at, DOCS_AT_ONCE)
-                pairs = [encode_ranks(table.value[_grown(raw.as_py())]) for raw in batch["ids"]]
+                ids = [_grown(raw) for raw in batch["ids"].to_pylist()]
+                pairs = encode_many(table.value[np.concatenate(ids)], np.array([len(x) for x in ids]))
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"], batch["n_tokens"], pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())],
                     ["doc_id", "n_tokens", "control", "data"],
@@ -272,9 +323,14 @@ def read_token_files(files: DataFrame, ranks: DataFrame) -> DataFrame:
     table = files.sparkSession.sparkContext.broadcast(rows["id"].to_numpy().astype("<u4"))
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = (batch[k].to_pylist() for k in ("n_tokens", "control", "data"))
-            crc = [zlib.crc32(table.value[decode_ranks(c, d, n)].tobytes()) for n, c, d in zip(*columns, strict=True)]
+        for whole in batches:
+            crc = []
+            for at in range(0, whole.num_rows, DOCS_AT_ONCE):
+                batch = whole.slice(at, DOCS_AT_ONCE)
+                counts = batch["n_tokens"].to_numpy()
+                ids = table.value[decode_many(batch["control"].to_pylist(), batch["data"].to_pylist(), counts)]
+                crc += [zlib.crc32(ids[a:b]) for a, b in _cuts(counts)]
+            batch = whole
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["shard"], batch["row"], batch["n_tokens"], pa.array(crc, pa.int64())],
                                              ["doc_id", "shard", "row", "n_tokens", "ids_crc32"])
 
