@@ -86,3 +86,21 @@ def test_awkward_rows(spark):
     long = {r.doc_id: r for r in sd.remove_repeats(docs).collect()}
     assert long[5].n_removed == 0 and long[6].n_removed == long[6].n_bytes - 4
     assert sd.remove_repeats(empty(docs)).count() == 0
+
+
+real = sd.written
+
+
+def test_contexts_are_dealt_without_a_shuffle_of_their_own(spark, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(sd, "written", lambda df, name, **options: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and real(df, name, **options))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shared = "".join(chr(97 + (i * i) % 23) for i in range(70))
+        rows = [(i, f"{i:03d}" + shared + f"{i:05d}") for i in range(40)]
+        got = sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), block_contexts=4).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plans["repeats-matched"] and "SortMergeJoin" not in plans["repeats-matched"]
+    assert {r.doc_id: r.n_removed >= 70 for r in got} == {i: i > 0 for i in range(40)}

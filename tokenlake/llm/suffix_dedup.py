@@ -515,10 +515,11 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, block_contexts: int = BLOCK_
 
     contexts = found.filter("kind = 2").select("gram", "doc_id", "row", "start", "context")
     many = contexts.groupBy("gram").agg(F.ceil(F.count("*") / block_contexts).alias("deals")).filter("deals > 1")
-    dealt = contexts.join(many, "gram", "left").withColumn("deals", F.coalesce("deals", F.lit(1)))
+    # one of ``block_contexts`` contexts at most is a row of ``many``, so the contexts are dealt where they are, without a shuffle of their own
+    dealt = contexts.join(F.broadcast(many), "gram", "left").withColumn("deals", F.coalesce("deals", F.lit(1)))
     dealt = dealt.withColumn("deal", F.pmod(F.xxhash64("doc_id"), F.col("deals")))
     blocks = dealt.repartition(workers, "gram", "deal").sortWithinPartitions("gram", "deal").mapInArrow(_compared, _MATCHED)
-    matched = written(blocks, "repeats-matched")
+    matched = written(blocks, "repeats-matched", compression="zstd")
 
     strings = matched.filter("digest IS NOT NULL")
     least = strings.groupBy("digest").agg(F.min("doc_id").alias("least"))
