@@ -1,12 +1,16 @@
 """What keeps a task's work bounded while the tables grow: files by rows, ranks before requests, settings."""
 
+import os
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
 from tokenlake import session as S
+from tokenlake.functions import hexcodec as H
 from tokenlake.operators import requests as RQ
 from tokenlake.plans import scenarios as SC
+from tokenlake.schemas import TRANSFER_TOPIC
+from tokenlake.sources import fixtures as FX
 from tokenlake.sources import landing as L
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +78,34 @@ def test_settings_that_the_session_has_made_stay(spark):
     s.conf.set("spark.sql.files.maxPartitionBytes", "77m")
     S.tuned(s)
     assert s.conf.get("spark.sql.files.maxPartitionBytes") == "77m" and s.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_shuffles_are_cut_for_the_tables_size(spark):
+    """A shuffle begins with a partition for each 4 MB; the session's larger number stays, small tables change nothing."""
+    s = spark.newSession()
+    S.tuned(s, 1 << 20)
+    assert s.conf.get(S.INITIAL_PARTITIONS, None) is None
+    S.tuned(s, 4 << 30)
+    assert int(s.conf.get(S.INITIAL_PARTITIONS)) == 1024
+    S.tuned(s, 2 << 30)
+    assert int(s.conf.get(S.INITIAL_PARTITIONS)) == 1024
+    assert L.table_bytes(spark, SF) == sum(os.path.getsize(f"{SF}/{t}.parquet") for t in ("lineitem", "orders", "events"))
+
+
+def test_landing_shuffles_only_what_logs_are_made_of(spark):
+    line = spark.createDataFrame([(7, 10, 3, 1, 50.0, 12.34, START, "N", "O", 0.0), (7, 11, 3, 2, 1.0, 12.34, START, "R", "O", 0.08), (2**40, 255, 3, 7, 1.0, 1.25, START, "N", "F", 0.0)],
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp, l_returnflag string, l_linestatus string, l_tax double")
+    order = spark.createDataFrame([(7, 31, datetime(1995, 1, 2)), (2**40, 16, datetime(1995, 1, 1))], "o_orderkey long, o_custkey long, o_orderdate timestamp")
+    rows = FX.log_rows(line, order)
+    assert not {"tx_index", "log_index", "l_quantity", "l_extendedprice"} & set(rows.columns)
+    a, b, c = FX.logs_of(rows).orderBy(F.col("block_number").desc(), "log_index").collect()
+    assert (a.address, b.address, c.address) == ("0x" + "A".rjust(40, "0"), "0x" + "b".rjust(40, "0"), "0x" + "ff".rjust(40, "0"))
+    assert a.data == "0x" + "f" * 64 and b.data == "0x" + f"{1234:x}{11:014x}".rjust(64, "0")[2:] and c.data == "0x" + f"{125:x}{255:014x}".rjust(64, "0")
+    assert a.topics == [TRANSFER_TOPIC, f"0x{93:064x}", f"0x{31:064x}"] and b.topics[0] == FX.FOREIGN_TOPIC and c.topics[3] == f"0x{7:064x}"
+    assert (c.tx_hash, c.tx_index, c.log_index, c.block_number) == (f"0x{2**40:064x}", 0, 7, 1) and (a.tx_index, b.log_index) == (7, 2)
+
+
+def test_digits_are_counted_like_they_are_cut(spark):
+    texts = spark.createDataFrame([(x,) for x in ("0x" + "a" * 64, "0X12", "0x", "0", "", "12", None, "0xéé")], "s string")
+    got = texts.select(H.hex_length(F.col("s")).alias("n"), F.length(H.hex_body(F.col("s"))).alias("m")).collect()
+    assert [r.n for r in got] == [r.m for r in got] == [64, 2, 0, 1, 0, 2, None, 2]
