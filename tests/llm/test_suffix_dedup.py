@@ -104,3 +104,39 @@ def test_contexts_are_dealt_without_a_shuffle_of_their_own(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in plans["repeats-matched"] and "SortMergeJoin" not in plans["repeats-matched"]
     assert {r.doc_id: r.n_removed >= 70 for r in got} == {i: i > 0 for i in range(40)}
+
+
+def test_contexts_hold_the_strings_of_their_anchor_and_no_others():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["the", "of", "anon", "sthea", "é", "x" * 60, "ab" * 30], k=k)).encode() for k in (0, 1, 9, 12, 40, 300, 2000)]
+    doc, at, found = sd.Anchors().of(texts)
+    size = np.array([len(t) for t in texts])
+    rows = np.arange(len(at))
+    first, last = sd.own_strings(doc, at, found["gram"], size[doc], rows)
+    hashes = {(d, p): g for d, p, g in zip(doc.tolist(), at.tolist(), found["gram"].tolist(), strict=True)}
+    for d, p, a, b in zip(doc.tolist(), at.tolist(), first.tolist(), last.tolist(), strict=True):
+        # a string belongs to the anchors with the least hash in it; all string's least hashes are anchors
+        mine = [s for s in range(max(p - 32, 0), min(p, len(texts[d]) - 50) + 1) if hashes[d, p] == min(hashes[d, q] for q in range(s, s + 33) if (d, q) in hashes)]
+        assert [a, b] == [mine[0], mine[-1]] and len(mine) == b - a + 1
+    some = rows[::3]  # the anchors asked for are judged beside all
+    assert [x.tolist() for x in sd.own_strings(doc, at, found["gram"], size[doc], some)] == [first[some].tolist(), last[some].tolist()]
+
+
+def test_a_blocks_contexts_are_no_longer_than_needed(spark, monkeypatch):
+    """A context used to hold all 33 strings around its gram, about twice as many as the gram is the anchor of."""
+    kept = {}
+    monkeypatch.setattr(sd, "written", lambda df, name, **options: kept.setdefault(name, real(df, name, **options)))
+    rows = made_up(60, 4)
+    sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sizes = [len(r.context) for r in kept["repeats"].filter("kind = 2").select("context").collect()]
+    assert min(sizes) >= 50 and sum(sizes) / len(sizes) < 75
+    texts = dict(rows)
+    assert all(bytes(r.context) in texts[r.doc_id].encode() for r in kept["repeats"].filter("kind = 2").select("doc_id", "context").collect())
+
+
+def test_order_of_numbers_that_fit_with_their_places_and_of_others():
+    rng = np.random.default_rng(1)
+    for top in (1, 1 << 10, 1 << 62):
+        keys = rng.integers(0, top, 5000)
+        assert sd.ordered(keys, top).tolist() == np.argsort(keys, kind="stable").tolist()
+    assert sd.ordered(np.zeros(0, np.int64), 5).tolist() == [] and sd.ordered(np.array([3]), 5).tolist() == [0]

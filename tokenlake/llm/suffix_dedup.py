@@ -10,7 +10,7 @@ removed; strings are judged on the input and never cross documents.
    the context goes. Of the rest, only anchors can matter of which one of the four strings stands in
    another document too: wherever a 50-byte string has its gram, it holds 0 and 24, 8 and 16, 16 and 8
    or 24 and 0 of the bytes before and behind.
-2. *Suffix arrays.* The contexts of those anchors meet by gram, in blocks of bounded size. Each block is
+2. *Suffix arrays.* The contexts of those anchors, cut to the strings that have them as their anchor, meet by gram, in blocks of bounded size. Each block is
    sorted by the difference-cover algorithm: triples at positions 1 and 2 modulo 3 are sorted and
    named, the names are sorted by recursion, the remaining suffixes are merged in, and neighbours are
    compared on their first 50 bytes. Strings of one class with a smaller doc_id in it are removed.
@@ -326,7 +326,7 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 split = [(np.frombuffer(w[: len(w) // 2], "<i8"), np.frombuffer(w[len(w) // 2 :], "<u8")) for w in waiting]
                 told_docs = np.concatenate([x[0] for x in split]) if split else np.zeros(0, np.int64)
                 told_keys = np.concatenate([x[1] for x in split]) if split else np.zeros(0, np.uint64)
-                order = np.lexsort((told_keys, told_docs))
+                order = np.argsort(_spread(told_docs, told_keys))
                 told_docs, told_keys, waiting = told_docs[order], told_keys[order], []
             to = at
             while to < len(parts) and parts[to] == part and kinds[to] == 1:
@@ -348,6 +348,43 @@ def _found_batch(out: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(out[n], kinds[k]) for n, k in fields], [n for n, _ in fields])
 
 
+def own_strings(doc: np.ndarray, at: np.ndarray, gram: np.ndarray, size: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) start of the 50-byte strings that have the anchor of each of ``rows`` as theirs.
+
+    ``doc``, ``at`` and ``gram`` are all anchors in order, ``size`` the bytes of each anchor's text. A string has another anchor
+    if one with a smaller hash stands in it, so the strings of an anchor follow one another.
+    """
+    here, own = at[rows], gram[rows]
+    first, last = np.maximum(here - SPAN, 0), np.minimum(here, size[rows] - LENGTH)
+    for step in (-1, 1):
+        left, k = np.arange(len(rows)), step
+        while len(left):
+            there = rows[left] + k
+            left, there = left[(there >= 0) & (there < len(at))], there[(there >= 0) & (there < len(at))]
+            near = (doc[there] == doc[rows[left]]) & (np.abs(at[there] - here[left]) <= SPAN)
+            left, there = left[near], there[near]
+            less = gram[there] < own[left]
+            if step < 0:
+                first[left[less]] = np.maximum(first[left[less]], at[there[less]] + 1)
+            else:
+                last[left[less]] = np.minimum(last[left[less]], at[there[less]] - SPAN - 1)
+            left, k = left[~less], k + step  # the nearest one is what counts
+    return first, last
+
+
+def _told(told_docs: np.ndarray, told_keys: np.ndarray, ids: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether each (id, key) was told; what was told is in order of :func:`_spread`."""
+    if not len(told_docs):
+        return np.zeros(len(key), bool)
+    whole = _spread(told_docs, told_keys)
+    place = np.minimum(np.searchsorted(whole, _spread(ids, key)), len(whole) - 1)
+    return (told_docs[place] == ids) & (told_keys[place] == key)
+
+
+def _spread(ids: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return mixed(ids.view(np.uint64) * MULTIPLIER + key)
+
+
 def _locate(anchors: Anchors, ids: list, texts: list[bytes], told_docs: np.ndarray, told_keys: np.ndarray, out: dict[str, list]) -> None:
     doc, at, found = anchors.of(texts)
     key = _key(found, found["gram"] & np.uint64(0xFFFFFFFFFF))
@@ -357,22 +394,38 @@ def _locate(anchors: Anchors, ids: list, texts: list[bytes], told_docs: np.ndarr
         for name in _FOUND_NAMES:
             out[name].extend(columns.get(name) or [None] * n)
 
+    size = np.array([len(t) for t in texts], np.int64)
+    known = np.array([i is not None for i in ids], bool)
+    doc_ids = np.array([0 if i is None else i for i in ids], np.int64)[doc]
+    settled = _told(told_docs, told_keys, doc_ids, key | np.uint64(SETTLED)) & known[doc]
+    alive = _told(told_docs, told_keys, doc_ids, key | np.uint64(ALIVE)) & known[doc] & ~settled
+    rows = np.flatnonzero(alive)
+    starts, last = own_strings(doc, at, found["gram"], size[doc], rows)
+    ends, grams = (last + LENGTH).tolist(), found["gram"][rows].view(np.int64).tolist()
+    starts, cut = starts.tolist(), np.searchsorted(rows, first).tolist()
+    spots = np.flatnonzero(settled)
+    gone = np.searchsorted(spots, first).tolist()
+    lows, highs = np.maximum(at[spots] - SPAN, 0), np.minimum(at[spots] + LENGTH, size[doc[spots]])
+    none = np.zeros(0, np.int64)
     for k, (i, text) in enumerate(zip(ids, texts, strict=True)):
-        own = slice(first[k], first[k + 1])
-        mine = told_keys[np.searchsorted(told_docs, i) : np.searchsorted(told_docs, i, side="right")] if i is not None else told_keys[:0]
-        spot = at[own]
-        settled, alive = np.isin(key[own], mine[mine & np.uint64(1) == SETTLED]), np.isin(key[own] | np.uint64(1), mine[mine & np.uint64(1) == ALIVE])
-        alive &= ~settled
-        lo, hi = _united(np.maximum(spot[settled] - SPAN, 0), np.minimum(spot[settled] + LENGTH, len(text)))
-        if not alive.any():
+        lo, hi = _united(lows[gone[k] : gone[k + 1]], highs[gone[k] : gone[k + 1]]) if gone[k] < gone[k + 1] else (none, none)
+        a, b = cut[k], cut[k + 1]
+        if a == b:
             removed, runs, digest = _rest(text, lo, hi)
             add(kind=[0], doc_id=[i], n_bytes=[len(text)], n_removed=[removed], n_spans=[runs], kept_sha256=[digest])
             continue
-        row = _row_id(text)
+        row, n = _row_id(text), b - a
         add(kind=[1], doc_id=[i], row=[row], n_bytes=[len(text)], text=[text.decode()], spans=[np.concatenate([lo, hi]).astype("<i8").tobytes()])
-        starts, ends = np.maximum(spot[alive] - SPAN, 0).tolist(), (spot[alive] + LENGTH).tolist()
-        n, grams = len(starts), found["gram"][own][alive].view(np.int64).tolist()
-        add(n, kind=[2] * n, doc_id=[i] * n, row=[row] * n, gram=grams, start=starts, context=[text[a:b] for a, b in zip(starts, ends, strict=True)])
+        contexts = [text[x:y] for x, y in zip(starts[a:b], ends[a:b], strict=True)]
+        add(n, kind=[2] * n, doc_id=[i] * n, row=[row] * n, gram=grams[a:b], start=starts[a:b], context=contexts)
+
+
+def ordered(keys: np.ndarray, bound: int) -> np.ndarray:
+    """The order of keys from 0 to ``bound``, ties by place. Where both fit one number, keys are sorted with their places, which numpy does much faster."""
+    bits = max(len(keys) - 1, 1).bit_length()
+    if bound >= 1 << (63 - bits):
+        return np.argsort(keys, kind="stable")
+    return np.sort(keys << bits | np.arange(len(keys))) & ((1 << bits) - 1)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -389,7 +442,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     else:
         pairs = t[sample + 1] * symbols + t[sample + 2]
         triple = t[sample] * (len(sample) + 1) + np.unique(pairs, return_inverse=True)[1]
-    order = np.argsort(triple)
+    order = ordered(triple, int(triple.max()))
     triple = triple[order]
     new = np.concatenate([[True], triple[1:] != triple[:-1]])
     names = np.empty(len(sample), np.int64)
@@ -400,13 +453,17 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     rank = np.zeros(n + 3, np.int64)
     rank[sorted_sample] = np.arange(1, len(sample) + 1)
     zero = np.arange(0, n, 3)
-    zero = zero[np.argsort(t[zero] * (n + 4) + rank[zero + 1])]
+    zero = zero[ordered(t[zero] * (n + 4) + rank[zero + 1], symbols * (n + 4))]
     ones, twos = sorted_sample[sorted_sample % 3 == 1], sorted_sample[sorted_sample % 3 == 2]
     width = np.int64(n + 4)
     before_one = np.searchsorted(t[ones] * width + rank[ones + 1], t[zero] * width + rank[zero + 1])
     tails = [t[x + 1] * width + rank[x + 2] for x in (twos, zero)]
-    _, tail = np.unique(np.concatenate(tails), return_inverse=True)
-    before_two = np.searchsorted(t[twos] * width + tail[: len(twos)], t[zero] * width + tail[len(twos) :])
+    if symbols * symbols * (n + 4) < 1 << 63:  # two symbols and a rank fit one number
+        width *= symbols
+    else:
+        _, tail = np.unique(np.concatenate(tails), return_inverse=True)
+        tails = [tail[: len(twos)], tail[len(twos) :]]
+    before_two = np.searchsorted(t[twos] * width + tails[0], t[zero] * width + tails[1])
     out = np.full(len(zero) + len(sample), -1, np.int64)
     out[np.arange(len(zero)) + before_one + before_two] = zero
     out[out < 0] = sorted_sample
