@@ -88,3 +88,48 @@ def test_a_worker_keeps_what_it_has_learnt(monkeypatch):
         pass
     monkeypatch.undo()
     assert [x.tolist() for x in encoder.encode(["never seen before", *texts])][1:] == want
+
+
+def test_a_doubtful_place_does_not_change_the_cuts_elsewhere():
+    """A text with one doubtful cut used to be cut at single spaces throughout, so " four." was a piece of its own."""
+    encoder = ti.PieceEncoder(tokenizer_path())
+    encoder.encode(["one four.", " two", "five"])
+    learnt, real = [], encoder._learn
+    encoder._learn = lambda pieces: learnt.extend(pieces) or real(pieces)
+    text = "five,, four. two  one"
+    assert encoder.encode([text])[0].tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert learnt and not any(b"four" in bytes(p, "utf-8") if isinstance(p, str) else b"four" in p for p in learnt)
+
+
+def test_cuts_are_where_the_rules_say():
+    def pieces(*texts):
+        raw = [t.encode() for t in texts]
+        begin = np.cumsum([0, *map(len, raw)])[:-1]
+        flat = b"".join(raw)
+        at = ti.cut_places(np.frombuffer(flat + b"\0", np.uint8)[:-1], begin)
+        return [flat[a:b].decode() for a, b in zip(at, [*at[1:], len(flat)], strict=False)]
+
+    assert pieces("one two.\nthree", "é. x× , ,.") == ["one", " two", ".", "\n", "three", "é", ".", " x×", " ,", " ,."]
+    assert pieces("a  b", "a\n\nb", "a \nb") == ["a", "  b", "a", "\n\nb", "a", " \nb"]
+    assert pieces("a\u00a0 b", "a \u2003b", "a\u3000\nb", "a\n\u1680b") == ["a\u00a0 b", "a", " \u2003b", "a\u3000\nb", "a", "\n\u1680b"]
+    assert pieces("\n", "a\n", "b") == ["\n", "a", "\n", "b"] and pieces("") == []
+
+
+def test_pieces_that_differ_late_or_share_a_slot(monkeypatch):
+    """Pieces are compared whole: of 7, 8, 15 and 16 bytes and more, with zero bytes, and where the table grows and slots are shared."""
+    words = ["x" * k + y for k in (1, 6, 7, 8, 13, 14, 15, 16, 200) for y in ("", "a", "b", "\0", "\0\0")]
+    texts = [" ".join(words), " ".join(words[::-1]), "", *words, " ".join(f"w{k * k}" for k in range(3000))]
+    want = [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = ti.PieceEncoder(tokenizer_path())
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode(texts)] == want
+    encoder._forget()
+    encoder.table = np.zeros((2, 3), np.uint64)
+    assert [x.tolist() for x in encoder.encode(texts)] == want
+    monkeypatch.setattr(ti, "mixed", lambda h: h & np.uint64(7))  # nearly all share a slot
+    encoder._forget()
+    assert [x.tolist() for x in encoder.encode(texts[:-1])] == want[:-1]
+    monkeypatch.undo()
+    monkeypatch.setattr(ti, "MAX_PIECES", 5)
+    monkeypatch.setattr(ti, "BYTES_AT_ONCE", 64)  # many portions, each begins with a new memory
+    assert [x.tolist() for x in encoder.encode(texts)] == want

@@ -9,10 +9,10 @@ The file format is a Parquet dataset of (shard, doc_id, n_tokens, control, data)
 shards and rows in ascending doc_id order, beside a dataset of (rank, id). Spark writes both, so a lost
 executor's tasks are written again and nothing is read by a path that only one machine has.
 
-Texts are cut where the byte-level pre-tokenizer always cuts too: before a single space between other
-characters, before a full stop or comma after a letter or digit, around a single line break. Each different piece is
-tokenized once per worker (a worker's tasks share its memory, which ``MAX_PIECES`` bounds) and its ids are looked up
-afterwards; a text with doubtful cuts is cut at single spaces only.
+Texts are cut where the byte-level pre-tokenizer always cuts too: before a space behind another
+character, before a full stop or comma after a letter or digit, around a single line break; a doubtful place is not cut.
+Each different piece is tokenized once per worker (a worker's tasks share its memory, which ``MAX_PIECES`` bounds) and its
+ids are looked up afterwards: cuts and look-ups are numpy operations over the bytes of many documents, pieces are compared whole.
 
 Defined results: null or empty text encodes to the end id alone; rows with the same doc_id are
 documents of their own; null doc_id comes first; an empty table gives no rows.
@@ -20,11 +20,10 @@ documents of their own; null doc_id comes first; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,57 +31,59 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenlake.llm.common import written
+from tokenlake.llm.ngrams import MULTIPLIER, mixed, portions
 
 END_ID = 2
-#: pieces that a worker remembers; more start a new memory
-MAX_PIECES = 1 << 20
+#: pieces that a worker remembers, about 100 bytes each; more start a new memory
+MAX_PIECES = 2_000_000
 #: documents whose ids are put together at a time
 DOCS_AT_ONCE = 256
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-
-
-#: what a piece is like at its ends; a cut is judged by the marks on both sides
-SPACED, STOP, BREAK, EMPTY, ENDS_SPACE, ENDS_WORD = (1 << k for k in range(6))
-
-
-_FIRST = {" ": SPACED, ".": STOP, ",": STOP, "\n": BREAK}
-
-
-def _marks(piece: str) -> int:
-    if not piece or piece == " " or piece[0] == " " and piece[1].isspace():
-        return EMPTY
-    last = piece[-1]
-    end = ENDS_WORD if last.isalnum() and last < "\u0250" else ENDS_SPACE if last.isspace() else 0
-    return _FIRST.get(piece[0], 0) | end
-
-
-def fine_pieces(text: str) -> list[str]:
-    """The text cut before spaces, full stops and commas and around line breaks."""
-    cut = text.replace("\0", " ").replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0").split("\0")
-    if not cut[-1]:
-        cut.pop()
-    return cut if "\0" not in text else ["", text]
-
-
-def plain_pieces(text: str) -> list[str]:
-    """The text cut before single spaces between other characters."""
-    cut = _CUT.split(text)
-    return [cut[0], *[" " + x for x in cut[1:]]]
-
-
-def safe_cuts(marks: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Whether each text, pieces ends[i] .. ends[i + 1], tokenizes piece by piece like the whole."""
-    before, after = marks[:-1], marks[1:]
-    bad = np.zeros(len(marks) + 1, bool)
-    bad[1:-1] = (
-        ((after & (SPACED | BREAK)) > 0) & ((before & ENDS_SPACE) > 0)
-        | ((after & STOP) > 0) & ((before & ENDS_WORD) == 0)
-        | ((before & BREAK) > 0) & ((after & (SPACED | BREAK | STOP)) > 0)
-    )
-    bad[ends[:-1]] = False  # no cut before a text's first piece
-    bad[:-1] |= (marks & EMPTY) > 0
-    total = np.concatenate([[0], np.cumsum(bad)])
-    return total[ends[1:]] == total[ends[:-1]]
+#: bytes of text looked at together
+BYTES_AT_ONCE = 1 << 21
+#: bytes that a piece in the table may have; longer ones stand in a dict
+SHORT = 15
+
+# what a byte is
+SPACE, STOP, BREAK, WHITE, WORD, MAY_BE_WHITE, LATIN = (1 << k for k in range(7))
+_KIND = np.zeros(256, np.uint8)
+for _bytes, _kind in (
+    (b" ", SPACE), (b".,", STOP), (b"\n", BREAK), (b" \t\n\v\f\r\x1c\x1d\x1e\x1f", WHITE),
+    (bytes(k for k in range(128) if chr(k).isalnum()), WORD),
+    (b"\xc2\xe1\xe2\xe3", MAY_BE_WHITE), (bytes(range(0xC3, 0xC9)), LATIN),
+):
+    _KIND[list(_bytes)] |= _kind
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k bytes of a little-endian word
+
+
+def cut_places(raw: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """First byte of every piece of the texts that begin at ``begin`` in ``raw`` and fill it.
+
+    A text is cut where the pre-tokenizer always cuts and a piece does not end in white space, on which the cut
+    would depend: before a space or line break behind anything else, before a full stop or comma behind
+    a letter or digit, and behind a line break between other characters.
+    """
+    n, kind = len(raw), _KIND[raw]
+    solid, word = (kind & WHITE) == 0, (kind & WORD) > 0  # whether the character of a byte is no white space; whether a letter or digit ends with it
+    lead = np.flatnonzero(kind & MAY_BE_WHITE)
+    if len(lead):
+        around = np.append(raw, np.zeros(2, np.uint8))
+        second = around[lead + 1]
+        two = (raw[lead] == 0xC2) & ((second == 0x85) | (second == 0xA0))
+        three = (raw[lead] == 0xE1) & (second == 0x9A) | (raw[lead] == 0xE2) & (second <= 0x81) | (raw[lead] == 0xE3) & (second == 0x80)
+        for k in range(3):
+            solid[(lead + k)[three | two & (k < 2)]] = False
+    lead = np.flatnonzero(kind & LATIN)
+    if len(lead):  # letters up to U+024F, but for the signs of multiplication and division
+        lead = lead[(raw[lead] != 0xC3) | (raw[lead + 1] & 0xDF != 0x97)]
+        word[lead + 1] = True
+    at = np.flatnonzero(kind & (SPACE | STOP | BREAK))
+    at = at[at > 0]
+    cut = np.zeros(n + 1, bool)
+    cut[at] = np.where(kind[at] & STOP, word[at - 1], solid[at - 1])
+    behind = at[(kind[at] & BREAK > 0) & (at < n - 1)] + 1
+    cut[behind] |= solid[behind - 2] & solid[behind]
+    cut[begin] = True
+    return np.flatnonzero(cut[:n])
 
 
 @lru_cache(maxsize=2)
@@ -92,14 +93,6 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class _Places(dict):
-    """Numbers pieces in the order in which they are first asked for."""
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self)
-        return n
-
-
 def _extended(held: np.ndarray, n: int, new: np.ndarray) -> np.ndarray:
     """``held``, of which ``n`` values count, with ``new`` behind them; room is doubled at least, so little is copied."""
     if n + len(new) > len(held):
@@ -119,23 +112,22 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place, self.known, self.used = _Places(), 0, 0
-        self.ids, self.marks = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
-        self.starts = self.counts = np.zeros(0, np.int64)
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Tokenizes new pieces. Pieces that begin with a space and end without go through the tokenizer
-        many at a time, since it cuts before each; the bytes of the tokens tell where a piece ends."""
-        marks = np.fromiter(map(_marks, pieces), np.uint8, len(pieces))
-        joined = (marks & (SPACED | ENDS_SPACE | EMPTY)) == SPACED
+        self.known, self.used, self.taken, self.ids = 0, 0, 0, np.zeros(0, np.uint32)
+        self.table = np.zeros((1 << 16, 3), np.uint64)  # two words of a short piece, its length in the highest byte; then its value
+        self.long: dict[bytes, tuple[int, int]] = {}
+
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokenizes new pieces: where the ids of each stand in ``ids``, and how many. Pieces that begin with a space and do not end in white space
+        go through the tokenizer many at a time, since it cuts before each; the bytes of the tokens tell where a piece ends."""
+        joined = np.fromiter((p[0] == 0x20 < p[-1] and (p[-1] < 0x80 or not p.decode()[-1].isspace()) for p in pieces), bool, len(pieces))
         rows = np.flatnonzero(joined)
         groups, alone = [rows[a : a + 256].tolist() for a in range(0, len(rows), 256)], np.flatnonzero(~joined)
-        given = ["".join([pieces[k] for k in g]) for g in groups] + [pieces[k] for k in alone.tolist()]
+        given = [b"".join([pieces[k] for k in g]).decode() for g in groups] + [pieces[k].decode() for k in alone.tolist()]
         encoded = self.tokenizer.encode_batch_fast(given, add_special_tokens=False)
         counts, starts, flat, used = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), [], self.used
         for group, e in zip(groups, encoded[: len(groups)], strict=True):
             ids = np.array(e.ids, np.uint32)
-            ends = np.cumsum([len(pieces[k].encode()) for k in group])
+            ends = np.cumsum([len(pieces[k]) for k in group])
             at = np.append(0, np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1)
             starts[group], counts[group] = used + at[:-1], np.diff(at)
             flat.append(ids)
@@ -146,31 +138,87 @@ class PieceEncoder:
         flat.append(np.fromiter(chain.from_iterable(lists), np.uint32, int(n.sum())))
         used += int(n.sum())
         self.ids = _extended(self.ids, self.used, np.concatenate(flat))
-        for name, new in (("marks", marks), ("starts", starts), ("counts", counts)):
-            setattr(self, name, _extended(getattr(self, name), self.known, new))
         self.known, self.used = self.known + len(pieces), used
-
-    def _spots(self, cut: list[list[str]]) -> np.ndarray:
-        """Where each piece stands in the memory; pieces not seen before are tokenized first."""
-        spots = np.fromiter(map(self.place.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
-        if len(self.place) > self.known:
-            self._learn(list(islice(self.place, self.known, None)))
-        return spots
+        return starts, counts
+
+    def _slots(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slot, whether the piece is there) of short pieces; where it is not, the slot is the free one at which the search ended."""
+        mask = len(self.table) - 1
+        slot = (mixed(low * MULTIPLIER + high) & np.uint64(mask)).astype(np.int64)
+        row = self.table[slot]
+        found, free = (row[:, 0] == low) & (row[:, 1] == high), row[:, 1] == 0
+        left = np.flatnonzero(~(found | free))
+        while len(left):
+            slot[left] = (slot[left] + 1) & mask
+            row = self.table[slot[left]]  # the next ones
+            found[left] = (row[:, 0] == low[left]) & (row[:, 1] == high[left])
+            left = left[~found[left] & (row[:, 1] != 0)]
+        return slot, found
+
+    def _put(self, rows: np.ndarray) -> None:
+        """Different short pieces that are not in the table, into it; it stays at least half empty."""
+        self.taken += len(rows)
+        if 2 * self.taken > len(self.table):
+            rows = np.concatenate([self.table[self.table[:, 1] != 0], rows])
+            self.table = np.zeros((1 << (4 * self.taken - 1).bit_length(), 3), np.uint64)
+        while len(rows):
+            slot, _ = self._slots(rows[:, 0], rows[:, 1])
+            slot, one = np.unique(slot, return_index=True)  # of pieces that ask for one slot, one goes there
+            self.table[slot] = rows[one]
+            rows = np.delete(rows, one, axis=0)
+
+    def _short(self, raw: np.ndarray, words: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Value (16 times the place of its ids, and their number) of each short piece; pieces not seen before are tokenized first."""
+        low = words[at] & _KEPT[np.minimum(size, 8)]
+        high = words[at + 8] & _KEPT[np.maximum(size - 8, 0)] | size.astype(np.uint64) << np.uint64(56)
+        slot, found = self._slots(low, high)
+        value = self.table[slot, 2].astype(np.int64)
+        new = np.flatnonzero(~found)
+        if len(new):
+            new = new[np.lexsort((low[new], high[new]))]
+            first = np.ones(len(new), bool)
+            first[1:] = (low[new][1:] != low[new][:-1]) | (high[new][1:] != high[new][:-1])
+            one = new[first]
+            text = raw.tobytes()
+            starts, counts = self._learn([text[a : a + n] for a, n in zip(at[one].tolist(), size[one].tolist(), strict=True)])
+            learnt = starts * 16 + counts
+            self._put(np.stack([low[one], high[one], learnt.astype(np.uint64)], axis=1))
+            value[new] = learnt[np.cumsum(first) - 1]
+        return value
+
+    def _whole(self, pieces: list[bytes]) -> list[tuple[int, int]]:
+        """(place, number) of the ids of each long piece."""
+        new = [p for p in dict.fromkeys(pieces) if p not in self.long]
+        if new:
+            starts, counts = self._learn(new)
+            self.long.update(zip(new, zip(starts.tolist(), counts.tolist(), strict=True), strict=True))
+        return [self.long[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.place) > MAX_PIECES or len(self.place) != self.known:  # full, or left half learnt by a task that failed
+        raw = [t.encode() for t in texts]
+        return [ids for a, b in portions(raw, BYTES_AT_ONCE) for ids in self._encoded(raw[a:b])]
+
+    def _encoded(self, texts: list[bytes]) -> list[np.ndarray]:
+        if self.known > MAX_PIECES or self.used > 8 * MAX_PIECES:  # full
             self._forget()
-        cut = [fine_pieces(t) for t in texts]
-        spots = self._spots(cut)
-        bad = ~safe_cuts(self.marks[spots], np.cumsum([0, *map(len, cut)]))
-        if bad.any():
-            cut = [plain_pieces(t) if x else c for t, c, x in zip(texts, cut, bad, strict=True)]
-            spots = self._spots(cut)
-        starts, counts = self.starts[spots], self.counts[spots]
+        size = np.array([len(t) for t in texts], np.int64)
+        begin = np.cumsum(size) - size
+        raw = np.frombuffer(b"".join([*texts, bytes(2 * 8)]), np.uint8)
+        words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))  # eight bytes from each byte on
+        n = len(raw) - 2 * 8
+        at = cut_places(raw[:n], begin)
+        length = np.diff(np.append(at, n))
+        starts, counts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        short, long = np.flatnonzero(length <= SHORT), np.flatnonzero(length > SHORT)
+        value = self._short(raw, words, at[short], length[short])
+        starts[short], counts[short] = value >> 4, value & 15
+        if len(long):
+            text = raw.tobytes()
+            pairs = self._whole([text[a : a + k] for a, k in zip(at[long].tolist(), length[long].tolist(), strict=True)])
+            starts[long], counts[long] = np.array(pairs, np.int64).T
         ends = np.cumsum(counts)
         flat = self.ids[np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
-        upto = np.cumsum([len(p) for p in cut])
-        return np.split(flat, np.concatenate([[0], ends])[upto][:-1])
+        return np.split(flat, np.append(0, ends)[np.searchsorted(at, begin)][1:])
 
 
 @lru_cache(maxsize=1)
